@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from latewing.llm import mixing, packing, quality, tokenfile
+from latewing.llm import mixing, packing, quality, tokenfile, topk, urlrules
 
 QUERIES = {
     "op1_token_files": tokenfile.op1,
     "op4_mix_sources": mixing.op4,
     "op5_quality_rules": quality.op5,
+    "op7_url_rules": urlrules.op7,
+    "op8_pivot_top_k": topk.op8,
     "op9_best_two_fit": packing.op9,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_url_rules": urlrules.SQL, "op8_pivot_top_k": topk.SQL}
