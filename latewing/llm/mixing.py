@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latewing.llm import shared
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def count_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Number of words of each text; null: 0."""
     for batch in batches:
@@ -126,7 +127,7 @@ def mixed_documents(docs: DataFrame, folder: str, **settings) -> DataFrame:
     )
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def first_words(texts: pa.Array, n: pa.Array) -> pa.Array:
     """Each text up to the end of its n-th word."""
     out = []
