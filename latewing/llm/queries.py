@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from latewing.llm import mixing, packing, quality, tokenfile, topk, urlrules
+from latewing.llm import htmltext, jaccard, mixing, packing, pii, quality, tokenfile, topk, urlrules
 
 QUERIES = {
     "op1_token_files": tokenfile.op1,
+    "op2_personal_data": pii.op2,
+    "op3_main_text": htmltext.op3,
     "op4_mix_sources": mixing.op4,
     "op5_quality_rules": quality.op5,
     "op7_url_rules": urlrules.op7,
     "op8_pivot_top_k": topk.op8,
     "op9_best_two_fit": packing.op9,
+    "op10_jaccard_join": jaccard.op10,
 }
 
 SQL: dict[str, str] = {"op7_url_rules": urlrules.SQL, "op8_pivot_top_k": topk.SQL}

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from latewing.session import ship
+
 #: Bytes of text that a kernel works on at a time.
 SLICE_BYTES = 2_000_000
 
@@ -62,7 +64,7 @@ def drop_stored(spark: SparkSession, *paths: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

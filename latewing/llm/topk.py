@@ -163,8 +163,8 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 with v as (
-  select vec_id, list_transform(embedding, c -> cast(floor(64 * c::double) as bigint)) as x from embeddings
-  where embedding is not null and len(list_filter(embedding, c -> c is null or not isfinite(c))) = 0
+  select vec_id, list_transform(embedding, lambda c: cast(floor(64 * c::double) as bigint)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
 ), scored as (
   select q.vec_id as query_id, v.vec_id, cast(list_dot_product(q.x::double[], v.x::double[]) as bigint) as score
   from v q join v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id
