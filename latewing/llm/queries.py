@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from latewing.llm import htmltext, jaccard, mixing, packing, pii, quality, tokenfile, topk, urlrules
+from latewing.llm import htmltext, jaccard, mixing, packing, passages, pii, quality, tokenfile, topk, urlrules
 
 QUERIES = {
     "op1_token_files": tokenfile.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_main_text": htmltext.op3,
     "op4_mix_sources": mixing.op4,
     "op5_quality_rules": quality.op5,
+    "op6_shared_passages": passages.op6,
     "op7_url_rules": urlrules.op7,
     "op8_pivot_top_k": topk.op8,
     "op9_best_two_fit": packing.op9,
