@@ -72,8 +72,8 @@ def ingest(files: DataFrame, registry: Registry, store: EmbeddingStore, encoder,
     fresh = new_documents(files, registry.table())
     order = Window.orderBy("file_path")
     registry.append(fresh.select(F.lit("processing").alias("op"), "file_hash", "file_path").withColumn("seq", F.row_number().over(order).cast("long")))
-    claimed = registry.table().where("status = 'processing'").select("file_hash")
-    pages = rendered(files.join(claimed, "file_hash", "left_semi").dropDuplicates(["file_hash"]), render)
+    claimed = registry.table().where("status = 'processing'").select("file_hash", "file_path")
+    pages = rendered(files.join(claimed, ["file_hash", "file_path"], "left_semi"), render)
     kept_at = f"{store.path}-rendered"
     pages.write.mode("overwrite").parquet(kept_at)
     pages = files.sparkSession.read.parquet(kept_at)
