@@ -8,9 +8,12 @@ two thirds are enumerated.  Small bands use subsets (more selective), large ones
 way linked sets share a signature for certain.
 
 Documents with equal sets are one representative first.  A signature's documents are not paired with each other: each is
-compared with one leader, verified links are joined to components, and this is repeated with another leader; only
-documents that share a signature and are still apart are paired in full at the end.  So groups of near copies cost a
-comparison per member and round, and no link between components is lost.
+compared with one leader, the one that shares most signatures with others and so stands in the middle of its copies.
+Linked ones are one component.  For two that are still apart the comparison has left what they need: how each differs
+from the same leader.  Linked sets differ in at most k elements, so their differences from the leader overlap in a known
+number, and two such differences must meet among their rarest elements (a prefix filter).  Only pairs that do are
+compared.  So a group of near copies costs a comparison for each member and some for those far from the middle, and no
+link is lost.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latewing.llm import shared
 
-#: Document ids are sent to all executors up to this many (8 bytes each); beyond, texts are joined by shuffle.
+#: Tables of ids or signatures are sent to all executors up to this many rows (8 to 24 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Bands up to this set size enumerate subsets.
 SUBSET_SIZE = 200
@@ -117,17 +120,18 @@ def shingle_table(docs: DataFrame, width: int, similarity: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, signatures array<bigint>")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, similarity: int) -> DataFrame:
-    """The (a, b) of ``pairs`` (leader, member) whose sets reach the similarity.
+def _compared(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, similarity: int) -> DataFrame:
+    """(a, b, linked, n_a, n_b, differ) of ``pairs`` (leader, member): whether the sets reach the similarity, their sizes,
+    and the elements that only one of them has.
 
     One pass over the texts makes the sets of the documents in pairs: a leader's set once, a member's set once for each
     of its leaders.  The two meet by a join on the leader, whose hot keys Spark splits.
     """
     roles = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("leader")).unionByName(
-        pairs.select(F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("leader")).distinct()
+        pairs.select(F.col("a").alias("doc_id"), F.col("a").alias("leader")).distinct()
     )
-    wanted = roles.groupBy("doc_id").agg(F.collect_list(F.coalesce("leader", F.col("doc_id"))).alias("leaders"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if n_pairs <= BROADCAST_IDS else wanted, "doc_id")
+    wanted = roles.groupBy("doc_id").agg(F.collect_list("leader").alias("leaders"))
+    texts = docs.select("doc_id", "text").join(_small(wanted, n_pairs), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -142,23 +146,70 @@ def _verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, simil
                             row.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["a", "b", "elements"])
 
-    sets = texts.mapInArrow(run, "a bigint, b bigint, elements binary").dropDuplicates(["a", "b"])
-    leading = sets.where("a = b").select("a", F.col("elements").alias("own"))
+    sets = texts.mapInArrow(run, "a bigint, b bigint, elements binary")
+    leading = sets.where("a = b").groupBy("a").agg(F.first("elements").alias("own"))
     both = sets.where("a <> b").join(leading, "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, own = [], None, None
+            last, own = None, None
+            linked, n_a, n_b, differ = [], [], [], []
             for leader, mine, theirs in zip(batch.column("a").to_pylist(), batch.column("elements"), batch.column("own"), strict=True):
                 if leader != last:
                     last, own = leader, np.frombuffer(theirs.as_py(), np.uint64)
                 other = np.frombuffer(mine.as_py(), np.uint64)
-                shared_n = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * shared_n >= similarity * (len(own) + len(other) - shared_n))
-            chosen = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            yield chosen
+                apart = np.setxor1d(own, other, assume_unique=True)
+                total = len(own) + len(other)
+                linked.append((100 - similarity) * total >= (100 + similarity) * len(apart))
+                n_a.append(len(own))
+                n_b.append(len(other))
+                differ.append(shared.signed(apart))
+            out = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "linked", "n_a", "n_b", "differ"])
 
-    return both.select("a", "b", "elements", "own").mapInArrow(compare, "a bigint, b bigint")
+    return both.select("a", "b", "elements", "own").mapInArrow(compare, "a bigint, b bigint, linked boolean, n_a bigint, n_b bigint, differ array<bigint>")
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """``table``, to be sent to all executors if its counted rows are few; else Spark joins it by shuffle."""
+    return F.broadcast(table) if rows <= BROADCAST_IDS else table
+
+
+def _leader_pairs(held: DataFrame) -> DataFrame:
+    """(a, b): every document of ``held`` (signature, id, n) with the leaders of its signatures."""
+    degrees = held.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = held.join(degrees, "id")
+    leaders = ranked.groupBy("signature").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("a"))
+    return held.join(leaders, "signature").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def _far_pairs(stars: DataFrame, roots: DataFrame, similarity: int, folder: str) -> DataFrame:
+    """(a, b): documents compared with the same leader, in different components, whose differences from it overlap as
+    much as a link needs.
+
+    Of x and y at most one links to the leader itself, so |Dx| + |Dy| exceeds the k differences that a link allows, and a
+    link needs ceil((|Dx| + |Dy| - k) / 2) shared ones: at least one.  Elements are ordered by how few of the star's
+    documents differ in them; the first shared one stands among the first |D| - needed + 1 of either.
+    """
+    own = roots.select(F.col("id").alias("b"), F.col("root").alias("root_b"))
+    of = stars.join(own, "b", "left").join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left")
+    of = of.select("a", "b", "n_b", "differ", F.coalesce("root_b", "b").alias("root"), F.coalesce("root_a", "a").alias("center"))
+    open_stars = of.where("root <> center").select("a").distinct()
+    members = of.join(open_stars, "a", "left_semi").withColumn("d", F.size("differ"))
+    # what a member linked with the leader, or one beyond k of it, needs to share with any it can link to
+    allowed = F.floor(F.col("n_b") * ((100 - similarity) / (100 + similarity) * (1 + 100 / similarity))) + 1
+    least = F.when(F.col("root") == F.col("center"), F.greatest(F.lit(1), F.floor(F.col("d") * (similarity / (100 + similarity) - 0.02)))).otherwise(F.greatest(F.lit(1), F.col("d") - allowed))
+    each = members.select("a", "b", F.col("n_b").alias("n"), "root", "d", least.alias("least"), F.explode("differ").alias("e"))
+    counts = each.groupBy("a", "e").agg(F.count("*").alias("f")).where("f > 1")  # an element of one document meets nothing
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "e"))
+    lone = F.col("d") - F.count("*").over(Window.partitionBy("a", "b"))  # those stand before all others
+    kept = each.join(counts, ["a", "e"]).withColumn("place", place + lone).where("place <= d - least + 1")
+    kept = shared.stored(kept.select("a", "e", "b", "n", "root", "d", "place"), folder, "differences")
+    x = kept.select("a", "e", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "root", "d", "place")])
+    y = kept.select("a", "e", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "root", "d", "place")])
+    need = f"ceil((x_d + y_d - floor(({100 - similarity}) * (x_n + y_n) / ({100 + similarity}))) / 2)"
+    fits = f"x_b < y_b and x_root <> y_root and 100 * least(x_n, y_n) >= {similarity} * greatest(x_n, y_n) and x_place <= x_d - {need} + 1 and y_place <= y_d - {need} + 1"
+    return x.join(y, ["a", "e"]).where(fits).select(F.col("x_b").alias("a"), F.col("y_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -186,7 +237,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def jaccard_components(docs: DataFrame, folder: str, width: int = 3, similarity: int = 90, rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, folder: str, width: int = 3, similarity: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Texts are lower-cased (A-Z) and cut into words; a document's set are its distinct shingles of ``width`` words, or the
@@ -196,44 +247,25 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = 3, similarity:
     gives an empty table.
     """
     made = shared.stored(shingle_table(docs, width, similarity), folder, "shingles")
-    equal = made.where("n_shingles > 0").groupBy("n_shingles", "print_a", "print_b").agg(
-        F.min("doc_id").alias("rep"), F.min_by("signatures", "doc_id").alias("signatures")
-    )
+    equal = made.where("n_shingles > 0").groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep"))
     equal = shared.stored(equal, folder, "equal")
-    signed = equal.select(F.col("rep").alias("id"), F.explode(F.array_distinct("signatures")).alias("signature"))
-    leaders = signed.groupBy("signature").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-    # the documents of every signature that several have
-    held = shared.stored(signed.join(leaders, "signature").select("signature", "id", "least"), folder, "held")
-    tested = links = roots = None
-    for turn in range(rounds + 1):
-        if roots is None:
-            apart, pairs = held, held.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-        else:
-            placed = apart.join(roots, "id", "left").select("signature", "id", F.coalesce("root", "id").alias("root"))
-            mixed = placed.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-            apart = shared.stored(placed.join(mixed.select("signature"), "signature").select("signature", "id", "root"), folder, f"apart{turn}")
-            if apart.isEmpty():
-                break
-            if turn < rounds:
-                # another leader: of each component's members the one of least hash, then the component of least hash
-                order = F.xxhash64("id", F.lit(turn))
-                chosen = apart.groupBy("signature").agg(F.min_by(F.struct("id", "root"), order).alias("l"))
-                crossing = apart.join(chosen, "signature").where("root <> l.root")
-                pairs = crossing.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
-            else:
-                other = apart.select("signature", F.col("id").alias("b"), F.col("root").alias("other"))
-                pairs = apart.join(other, "signature").where("id < b and root <> other").select(F.col("id").alias("a"), "b")
-            pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-            apart = apart.select("signature", "id")
-        pairs = shared.stored(pairs, folder, f"pairs{turn}")
-        n_pairs = pairs.count()
-        if n_pairs:
-            found = shared.stored(_verified(docs, pairs, n_pairs, width, similarity), folder, f"links{turn}")
-            links = found if links is None else links.unionByName(found)
-            roots = components(links, folder, f"roots{turn}")
-        elif roots is None:
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    reps = _small(equal.select(F.col("rep").alias("doc_id")), equal.count())
+    signed = made.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("signatures").alias("signature"))
+    several = shared.stored(signed.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1"), folder, "several")
+    held = shared.stored(signed.join(_small(several, several.count()), "signature"), folder, "held")
+    pairs = shared.stored(_leader_pairs(held), folder, "pairs")
+    n_pairs = pairs.count()
+    roots = None
+    if n_pairs:
+        stars = shared.stored(_compared(docs, pairs, n_pairs, width, similarity), folder, "stars")
+        links = stars.where("linked").select("a", "b")
+        roots = components(links, folder, "near")
+        far = shared.stored(_far_pairs(stars, roots, similarity, folder).join(pairs, ["a", "b"], "left_anti"), folder, "far")
+        n_far = far.count()
+        if n_far:
+            more = shared.stored(_compared(docs, far, n_far, width, similarity).where("linked").select("a", "b"), folder, "more")
+            if not more.isEmpty():
+                roots = components(links.unionByName(more), folder, "all")
     reps = equal.select("n_shingles", "print_a", "print_b", "rep")
     if roots is not None:
         reps = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "print_a", "print_b", F.coalesce("root", "rep").alias("rep"))
@@ -247,8 +279,6 @@ def keep_one(docs: DataFrame, folder: str, width: int = 5, similarity: int = 80)
 
     Rows that repeat its doc_id stay only once, the one whose text hash is least.  Cases as in ``jaccard_components``.
     """
-    from pyspark.sql import Window
-
     found = jaccard_components(docs, folder, width, similarity)
     ids = found.where("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("_print")
