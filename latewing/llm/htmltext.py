@@ -2,8 +2,8 @@
 
 A page becomes a tree of its block elements; runs of like siblings (paragraphs, list items) are one node, a slot.  The
 most frequent tree of a host is its reference.  Every other tree of the host is aligned with it by simple tree matching,
-so slots of different pages correspond.  A block of text that stands in the same slot of nearly all pages of a host is
-template; slots whose text varies are content.  What varies but is no article is told by its element or its names:
+so slots of different pages correspond.  A slot that holds the same text on nearly all pages of a host is template; slots
+whose text varies are content, whole.  What varies but is no article is told by its element or its names:
 menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
 Trees are aligned once per distinct (host, tree), not per page, and blocks are counted by partial sums, so a host with a
@@ -58,7 +58,7 @@ _ENDS = {t: frozenset(("p",)) for t in BLOCKS - {"html", "body"}} | {
 _SCOPE = frozenset("ul ol dl table article section div main body html nav aside form header footer blockquote button".split())
 _DEPTH = 120  # deeper elements belong to the slot of their ancestor there
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</(?:>|[^a-zA-Z>][^>]*>)", re.S)
 _NAMES = re.compile(r"""(?:\s|^)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile("[a-z]+").findall
 
@@ -146,12 +146,10 @@ def parse(source: str) -> Page:
         if block:
             flush()
         if tag in ("html", "body") and len(stack) == 1:
-            if tag == "body":
-                continue
             continue
-        for closes in (_ENDS.get(tag),) if tag in _ENDS else ():
+        if closes := _ENDS.get(tag):
             i = len(stack) - 1
-            while i > 0 and (stack[i][0] not in _SCOPE):
+            while i > 0 and stack[i][0] not in _SCOPE:
                 if stack[i][0] in closes:
                     del stack[i:]
                     i = len(stack)
@@ -248,7 +246,11 @@ def _parsed(pages: DataFrame, keep: list[str], texts: bool) -> DataFrame:
                     page = parse(source.as_py() or "")
                     skeleton = page.skeleton()
                     ids.append(_hash(skeleton))
-                    blocks.append([(s, _hash(t), i, t)[: len(kinds)] for s, t, i in page.blocks])
+                    whole_slots: dict[int, list[str]] = {}
+                    for s, t, _ in page.blocks:
+                        whole_slots.setdefault(s, []).append(t)
+                    hashes = {s: _hash("\n".join(t)) for s, t in whole_slots.items()}
+                    blocks.append([(s, hashes[s], i, t)[: len(kinds)] for s, t, i in page.blocks])
                     skeletons.append(skeleton)
                 flat = [b for row in blocks for b in row]
                 items = pa.StructArray.from_arrays([pa.array([b[i] for b in flat], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
@@ -270,10 +272,10 @@ def _hash(text: str) -> int:
 
 
 def learn_wrappers(pages: DataFrame, folder: str, min_pages: int = 10, share: float = 0.95) -> DataFrame:
-    """(host, skeleton_id, template): for every distinct tree of a host, the (slot, hash) of blocks that are template.
+    """(host, skeleton_id, template): for every distinct tree of a host, the (slot, hash of its text) that are template.
 
-    A block is template if at least ``share`` of the host's pages, and at least ``min_pages`` of them, hold its text in
-    the slot that corresponds to this one.
+    A slot is template if at least ``share`` of the host's pages, and at least ``min_pages`` of them, hold the same text
+    in the slot that corresponds to this one.
     """
     seen = shared.stored(_parsed(pages, [], texts=False), folder, "trees")
     kinds = seen.groupBy("host", "skeleton_id").agg(F.count("*").alias("n"), F.first("skeleton").alias("skeleton"))

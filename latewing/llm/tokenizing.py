@@ -78,7 +78,7 @@ class Encoder:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if piece.isascii():  # only the leading space is written otherwise
+        if piece.isascii() and piece.isprintable():  # only the leading space is written otherwise
             shown = piece.replace(" ", "\u0120")
         else:
             shown = piece.encode().decode("latin-1").translate(self.alphabet)

@@ -45,7 +45,7 @@ def _blocks(vectors: DataFrame, rows: int, total: int, name: str) -> DataFrame:
     """
     n = max(1, -(-total // rows))
 
-    def packed(key, df: pd.DataFrame) -> pd.DataFrame:
+    def packed(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         width = max(map(len, df["x"]), default=0)
         x = np.zeros((len(df), width), np.int64)
         for i, v in enumerate(df["x"]):
