@@ -1,0 +1,168 @@
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from latewing.llm import mixing, pii, quality, shared
+from tests.llm.helpers import ODD_TEXTS, empty, frame, words
+
+TEXTS = st.lists(st.text(alphabet=st.sampled_from("abA Bé \n\t\x0b\x1c\u00a0#|日"), max_size=40) | st.none(), max_size=8)
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXTS)
+def test_word_kernels(texts):
+    column = pa.array(texts, pa.string())
+    assert shared.word_counts(column).tolist() == [len(words(t)) for t in texts]
+    seen = {}
+    for _, _, data, offsets in shared.slices(column):
+        starts, ends, first = shared.word_spans(data, offsets)
+        got = [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
+        assert got == [w for t in texts for w in words(t)]
+        for w, h in zip(got, shared.word_hashes(data, starts, ends).tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+        assert len(set(seen.values())) == len(seen)
+
+
+def brute_quality(text):
+    text = text or ""
+    w = words(text)
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if words(line):
+            again += line in seen
+            seen.add(line)
+    failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), again, len(covered), failed
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c\n", "é", "#|", "d e"]), max_size=120))
+def test_quality_measures(parts):
+    text = " ".join(parts)
+    (row,) = quality.measure(pa.array([text]), quality.Bands()).to_pylist()
+    assert tuple(row[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == brute_quality(text)
+
+
+def test_quality_verdicts(spark):
+    rng = np.random.default_rng(1)
+    prose = " ".join(rng.choice([f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "st", "ring", "", "l")], 900))
+    noise = " ".join(bytes(rng.integers(33, 127, 9).tolist()).decode() for _ in range(900))
+    repeats = " ".join(f"{w} the cat sat" for w in rng.choice(["a", "b", "c", "d"], 900))
+    docs = frame(spark, [prose, repeats, *ODD_TEXTS])
+    rows = quality.with_quality(docs).orderBy("doc_id").collect()
+    assert rows[0].quality.kept and not rows[1].quality.kept
+    assert not quality.compression_verdict(noise.encode(), quality.Bands(chunk=(2.0, 4.0)))[2]
+    assert [tuple(r.quality[:1]) + tuple(r.quality[1:6]) for r in rows] == [brute_quality(r.text) for r in rows]
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r.quality.kept for r in rows)
+    assert quality.with_quality(empty(spark)).count() == 0
+    taken = docs.withColumnRenamed("size", "_quality")
+    assert quality.keep_good(taken).columns == taken.columns
+
+
+def brute_targets(sizes, weights=(3, 1, 2)):
+    """Shares by weight, excess over twice the size shared again, until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    left, targets, open_ = 1.5 * sum(sizes.values()), {}, set(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            targets |= {s: level * weight[s] for s in open_}
+            break
+        for s in over:
+            targets[s] = 2.0 * sizes[s]
+            left -= targets[s]
+        open_ -= over
+    return targets
+
+
+def test_mixing(spark):
+    docs = frame(spark, ODD_TEXTS + [f"w{i} " * (i % 30) for i in range(200)])
+    folder = shared.shared_folder(spark)
+    sizes = docs.selectExpr("doc_id as row_id", "source").join(docs.select(docs.doc_id.alias("row_id"), mixing.count_words("text").alias("size")), "row_id")
+    rows = mixing.mix(sizes, folder).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    want = brute_targets({s: sum(r.size for r in rs) for s, rs in by.items()})
+    for s, rs in by.items():
+        assert all(abs(r.target - want[s]) < 1e-6 for r in rs)
+        assert sum(r.taken for r in rs) == int(want[s] + 1e-9)
+    assert all(r.taken <= 2 * r.size for r in rs) and len(rows) == docs.count()
+    again = mixing.mix(sizes.repartition(7), shared.shared_folder(spark)).collect()
+    assert {(r.row_id, r.taken) for r in rows} == {(r.row_id, r.taken) for r in again}
+    assert mixing.mix(sizes.limit(0), shared.shared_folder(spark)).count() == 0
+    mixed = mixing.mixed_documents(docs, shared.shared_folder(spark))
+    assert mixed.columns == docs.columns
+    assert sum(len(words(r.text)) for r in mixed.collect()) == sum(r.taken for r in rows)
+    twice = docs.unionByName(docs)
+    assert sum(len(words(r.text)) for r in mixing.mixed_documents(twice, shared.shared_folder(spark)).collect()) > 0
+    assert mixing.mixed_documents(empty(spark), shared.shared_folder(spark)).count() == 0
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_pii(text):
+    text = text or ""
+    spans = [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    spans += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 16 <= len(d) <= 19 and sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d[::-1])) % 10 == 0:
+            spans.append(("card", m.start(), m.end()))
+    spans += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return spans
+
+
+def written(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab@@.%+-_ 0123456789()é:"), max_size=60))
+def test_base_patterns(text):
+    got = [(pii.KINDS[s.kind], s.start, s.end) for s in pii.candidates(text) if s.base]
+    assert sorted(got) == sorted(brute_pii(text))
+
+
+def test_personal_data(spark):
+    texts = ["mail me at a.b@mail.example.com or call +1 (017) 555-7713", "card 4111 1111 1111 1111, ip 10.0.0.255 and 1.2.3.400", "version 1.2.3.4", "write to ann (at) site (dot) org", "tel 555-123-4567", *ODD_TEXTS]
+    texts += [f"x{i}@mail{i}.example.com and +1 ({i:03}) 555-{i:04} from 10.0.{i}.1" for i in range(60)] + [f"reach ann{i} (at) site{i} (dot) org" for i in range(30)]
+    docs = frame(spark, texts)
+    model = pii.fit(docs)
+    rows = pii.with_spans(docs, model).orderBy("doc_id").collect()
+    for r in rows:
+        base = brute_pii(r.text)
+        assert r.pii.base_sha256 == hashlib.sha256(written(base).encode()).hexdigest()
+        assert set(written(base).split(",")) <= set(r.pii.spans.split(",")) | {""}
+        assert [r.pii[f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == k for b in base) for k in pii.KINDS]
+    assert "email:9:32" in rows[3].pii.spans  # spelled out, found by the classifier
+    assert "1.2.3.400" not in [texts[1][int(s.split(":")[1]) : int(s.split(":")[2])] for s in rows[1].pii.spans.split(",")]
+    assert rows[0].pii.masked == "mail me at [email] or call [phone]"
+    hidden = pii.mask_documents(docs)
+    assert hidden.columns == docs.columns and hidden.count() == docs.count() and hidden.where("text like '%example.com%'").count() == 0
+    assert pii.with_spans(empty(spark), pii.fit(empty(spark))).count() == 0
+
+
+def test_expectation_maximisation_finds_the_bad_labeler():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.5
+    good = [np.where(rng.random(4000) < a, np.where(truth, 1, -1), np.where(truth, -1, 1)) for a in (0.95, 0.9, 0.85)]
+    votes = np.column_stack([*good, rng.choice([-1, 0, 1], 4000)])
+    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    chance, reliability = pii.expectation_maximisation(patterns, counts.astype(float))
+    assert ((chance > 0.5)[inverse.ravel()] == truth).mean() > 0.97
+    assert abs(reliability[3, 2, 1] - reliability[3, 2, 0]) < 0.05 and reliability[0, 2, 1] > 0.9
