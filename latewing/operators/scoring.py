@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latewing.errors import DimensionError
 from latewing.functions import vectors as V
@@ -50,14 +51,45 @@ def _block_scores(flat: np.ndarray, offsets: np.ndarray, query: np.ndarray) -> n
     bad = np.isnan(sims)
     if bad.any():
         sims[bad] = -np.inf
-    starts = (offsets[:-1][full] - offsets[0]) // dim
+    starts = offsets[:-1][full] // dim
     scores[full] = np.maximum.reduceat(sims, starts, axis=0).sum(1, dtype=np.float64)
     return scores
 
 
+def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The floats of an Arrow column of lists or of bytes, and the bounds of its rows in them; nulls are empty."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        if (offsets % 4 != offsets[0] % 4).any():
+            raise DimensionError("a page's buffer is no run of 32-bit floats")
+        return np.frombuffer(raw.tobytes() if offsets[0] % 4 else raw, np.float32), (offsets - offsets[0]) // 4
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def packed_bytes(pages: DataFrame, flat: str = "flat") -> DataFrame:
+    """``pages`` with the list of floats in ``flat`` as bytes."""
+    names = pages.columns
+    at = names.index(flat)
+    fields = ", ".join(f"`{f.name}` {'binary' if f.name == flat else f.dataType.simpleString()}" for f in pages.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, offsets = _buffer(batch.column(at))
+            raw = np.ascontiguousarray(values, np.float32).tobytes()
+            rows = [raw[a * 4 : b * 4] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            columns = [pa.array(rows, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return pages.mapInArrow(run, fields)
+
+
 def score_packed(pages: DataFrame, query: np.ndarray | Sequence[Sequence[float]], keys: Sequence[str], flat: str = "flat", rows: int = 2048) -> DataFrame:
-    """(keys, score) of packed pages by the Arrow kernel: a page's list offsets are its ragged bounds, no row becomes a
-    Python object."""
+    """(keys, score) of packed pages by the Arrow kernel. ``flat`` is a list of floats or, faster, their bytes; its Arrow
+    offsets are the ragged bounds, no row becomes a Python object."""
     matrix = np.ascontiguousarray(query, np.float32)
     if matrix.ndim != 2:
         raise DimensionError("a query is a list of vectors")
@@ -67,13 +99,11 @@ def score_packed(pages: DataFrame, query: np.ndarray | Sequence[Sequence[float]]
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                column = batch.column(len(keys))
-                values = column.values.to_numpy(zero_copy_only=False)
-                offsets = column.offsets.to_numpy().astype(np.int64)
-                scores = _block_scores(values[offsets[0] : offsets[-1]], offsets, matrix)
+                scores = _block_scores(*_buffer(batch.column(len(keys))), matrix)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(scores)], names=[*keys, "score"])
 
-    return pages.select(*keys, F.coalesce(F.col(flat), F.array().cast("array<float>")).alias(flat)).mapInArrow(run, f"{fields}, score double")
+    empty = F.lit(b"") if pages.schema[flat].dataType == T.BinaryType() else F.array().cast("array<float>")
+    return pages.select(*keys, F.coalesce(F.col(flat), empty).alias(flat)).mapInArrow(run, f"{fields}, score double")
 
 
 def split_ragged(batch: DataFrame, dim: int, flat: str = "flat", lengths: str = "doc_lengths") -> DataFrame:

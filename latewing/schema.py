@@ -28,13 +28,15 @@ REGISTRY = T.StructType(
     ]
 )
 
+#: ``flat`` holds a page's token vectors end to end, row by row, as little-endian 32-bit floats: bytes go from Spark to the
+#: scoring kernel without a look at any element.
 PAGE_EMBEDDINGS = T.StructType(
     [
         T.StructField("file_hash", T.StringType(), False),
         T.StructField("page_number", T.IntegerType(), False),
         T.StructField("n_tokens", T.IntegerType(), False),
         T.StructField("dim", T.IntegerType(), False),
-        T.StructField("flat", T.ArrayType(T.FloatType()), False),
+        T.StructField("flat", T.BinaryType(), False),
     ]
 )
 

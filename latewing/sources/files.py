@@ -40,7 +40,7 @@ def npy_embeddings(spark: SparkSession, folder: str) -> DataFrame:
                 pages = pages[None] if pages.ndim == 2 else pages
                 n, tokens, dim = pages.shape
                 stem = path.rsplit("/", 1)[-1].removesuffix(".npy")
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * tokens * dim, pa.int32()), pa.array(pages.ravel()))
+                flat = pa.array([page.tobytes() for page in pages], pa.binary())
                 out = [pa.array([stem] * n), pa.array(range(1, n + 1), pa.int32()), pa.array([tokens] * n, pa.int32()), pa.array([dim] * n, pa.int32()), flat]
                 yield pa.RecordBatch.from_arrays(out, names=PAGE_EMBEDDINGS.fieldNames())
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latewing.errors import PageRangeError
+from latewing.operators.scoring import packed_bytes
 from latewing.schema import PAGE_EMBEDDINGS
 
 
@@ -22,7 +24,9 @@ class EmbeddingStore:
         return self.spark.read.schema(PAGE_EMBEDDINGS).parquet(self.path)
 
     def append(self, pages: DataFrame) -> None:
-        """Adds pages; a document's pages lie together and in order."""
+        """Adds pages (``flat`` as bytes or as a list of floats); a document's pages lie together and in order."""
+        if pages.schema["flat"].dataType != T.BinaryType():
+            pages = packed_bytes(pages)
         pages.select(PAGE_EMBEDDINGS.fieldNames()).sortWithinPartitions("file_hash", "page_number").write.mode("append").parquet(self.path)
 
 

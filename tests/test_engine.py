@@ -95,7 +95,7 @@ def test_npy(spark, tmp_path):
     np.save(tmp_path / "h1.npy", np.arange(12, dtype=np.float32).reshape(2, 3, 2))
     np.save(tmp_path / "h2.npy", np.arange(4, dtype=np.float32).reshape(2, 2))
     rows = files.npy_embeddings(spark, str(tmp_path)).orderBy("file_hash", "page_number").collect()
-    assert [(r.file_hash, r.page_number, r.n_tokens, r.dim, r.flat) for r in rows] == [("h1", 1, 3, 2, [0, 1, 2, 3, 4, 5]), ("h1", 2, 3, 2, [6, 7, 8, 9, 10, 11]), ("h2", 1, 2, 2, [0, 1, 2, 3])]
+    assert [(r.file_hash, r.page_number, r.n_tokens, r.dim, np.frombuffer(r.flat, np.float32).tolist()) for r in rows] == [("h1", 1, 3, 2, [0, 1, 2, 3, 4, 5]), ("h1", 2, 3, 2, [6, 7, 8, 9, 10, 11]), ("h2", 1, 2, 2, [0, 1, 2, 3])]
 
 
 def test_answers(spark):

@@ -61,6 +61,9 @@ def test_forms_agree_on_ragged_pages_and_keep_empty_ones(spark):
     pages = spark.createDataFrame(rows, "page int, vectors array<array<float>>, flat array<float>")
     plan = {r.page: r.score for r in scoring.score_pages(pages, q.tolist()).collect()}
     kernel = {r.page: r.score for r in scoring.score_packed(pages, q, ["page"]).collect()}
+    packed = scoring.packed_bytes(pages.select("page", "flat"))
+    assert {r.page: r.score for r in scoring.score_packed(packed, q, ["page"]).collect()} == pytest.approx(kernel, abs=1e-5)
+    assert scoring.score_packed(packed.withColumn("flat", F.lit(None).cast("binary")), q, ["page"]).agg(F.sum("score")).first()[0] == 0
     assert set(plan) == set(kernel) == set(range(6))
     for i, d, _ in rows:
         assert plan[i] == pytest.approx(kernel[i], abs=1e-4) == pytest.approx(brute(q, d), abs=1e-4)
