@@ -63,6 +63,11 @@ def rendered(files: DataFrame, render: Renderer) -> DataFrame:
     return files.select("file_hash", "file_path", "content").mapInArrow(run, schema)
 
 
+def _in_order(ops: DataFrame) -> DataFrame:
+    """Numbered in order of path: a distributed sort, then rising numbers with gaps between partitions."""
+    return ops.orderBy("file_path").withColumn("seq", F.monotonically_increasing_id())
+
+
 def ingest(files: DataFrame, registry: Registry, store: EmbeddingStore, encoder, render: Renderer = text_pages) -> dict[str, int]:
     """Ingests new files; returns counts of done and failed documents.
 
@@ -70,8 +75,7 @@ def ingest(files: DataFrame, registry: Registry, store: EmbeddingStore, encoder,
     turns to pending and a next run takes up again.
     """
     fresh = new_documents(files, registry.table())
-    order = Window.orderBy("file_path")
-    registry.append(fresh.select(F.lit("processing").alias("op"), "file_hash", "file_path").withColumn("seq", F.row_number().over(order).cast("long")))
+    registry.append(_in_order(fresh.select(F.lit("processing").alias("op"), "file_hash", "file_path")))
     claimed = registry.table().where("status = 'processing'").select("file_hash", "file_path")
     pages = rendered(files.join(claimed, ["file_hash", "file_path"], "left_semi"), render)
     kept_at = f"{store.path}-rendered"
@@ -82,7 +86,7 @@ def ingest(files: DataFrame, registry: Registry, store: EmbeddingStore, encoder,
         F.when(F.col("error_message").isNull(), "done").otherwise("failed").alias("op"), "file_hash", "file_path", "error_message", "num_pages",
         F.when(F.col("error_message").isNull(), F.concat(F.lit(store.path + "#"), "file_hash")).alias("embedding_path"),
     )
-    registry.append(ended.withColumn("seq", F.row_number().over(order).cast("long")))
+    registry.append(_in_order(ended))
     counts = dict(ended.groupBy("op").count().collect())
     return {"done": counts.get("done", 0), "failed": counts.get("failed", 0)}
 

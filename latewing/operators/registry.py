@@ -61,12 +61,16 @@ def _step(s: Column, x: Column) -> Column:
     )
 
 
+#: The order of one key's operations with the same ``seq``, which only a compacted log has.
+_ORDER = "case op when 'done' then 0 when 'pending' then 1 when 'processing' then 2 when 'failed' then 3 when 'reset' then 4 else 5 end"
+
+
 def registry_of(log: DataFrame) -> DataFrame:
     """The registry that a log leads to, one row per file hash that is present.
 
     A key's operations are gathered in one row; ``compacted`` keeps that short.
     """
-    ops = F.array_sort(F.collect_list(F.struct("seq", "op", "file_path", "num_pages", "embedding_path", "error_message", "at")))
+    ops = F.array_sort(F.collect_list(F.struct("seq", F.expr(_ORDER).alias("place"), "op", "file_path", "num_pages", "embedding_path", "error_message", "at")))
     start = _state(**{f: F.lit(False) if f == "present" else F.lit(None) for f in _FIELDS})
     folded = log.groupBy("file_hash").agg(F.aggregate(ops, start, _step).alias("s")).where("s.present")
     return folded.select("file_hash", *[F.col(f"s.{f}").alias(f) for f in _FIELDS[1:]])
@@ -85,16 +89,12 @@ def compacted(log: DataFrame) -> DataFrame:
         )
 
     held = "_n > 0 or _e is not null"
-    # seq keeps the order of insertion; what follows an insertion has the same seq and a later place in the fold's order
     first = entry("done", F.col("ingest_seq"), True).where(f"_s = 'done' or {held}")
     bare = entry("pending", F.col("ingest_seq"), False).where(f"_s in ('pending', 'failed') and not ({held})")
-    working = entry("processing", F.col("ingest_seq"), False).where("_s = 'processing' or (_s = 'pending' and (_n > 0 or _e is not null))")
-    again = entry("reset", F.col("ingest_seq"), False).where("_s = 'pending' and (_n > 0 or _e is not null)")
+    working = entry("processing", F.col("ingest_seq"), False).where(f"_s = 'processing' or (_s = 'pending' and ({held}))")
+    again = entry("reset", F.col("ingest_seq"), False).where(f"_s = 'pending' and ({held})")
     failed = entry("failed", F.col("ingest_seq"), False, F.col("error_message")).where("_s = 'failed'")
-    rank = F.expr("case op when 'done' then 0 when 'pending' then 1 when 'processing' then 2 when 'failed' then 3 else 4 end")
-    parts = first.unionByName(bare).unionByName(working).unionByName(again).unionByName(failed)
-    # eight places between two insertions leave room for the order within one
-    return parts.withColumn("seq", F.col("seq") * 8 + rank).drop("_s", "_n", "_e")
+    return first.unionByName(bare).unionByName(working).unionByName(again).unionByName(failed).drop("_s", "_n", "_e")
 
 
 class Registry:

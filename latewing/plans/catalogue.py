@@ -6,7 +6,9 @@ pages of ten.  Scores are rounded to four decimals on both sides, and ranks foll
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from latewing.functions import vectors as V
 from latewing.operators import answering, encoding, linalg, registry, scoring, search
 from latewing.session import ship
 from latewing.sources import store
+from latewing.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -487,19 +490,12 @@ def answer_outcome(spark, sf_dir):
 @query()
 def stream_ingest(spark, sf_dir):
     """A stream of the documents as files, read to its end: content hashes, once each per micro-batch."""
-    from latewing.streaming import watch
-
-    found = []
+    base = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp()
+    folder = f"{base}/watch-{uuid.uuid4().hex}"
+    stream = watch.new_files(ship(spark), sf_dir, "region*.parquet", recursive=True)
 
     def handle(files: DataFrame) -> None:
-        found.append(files.select("file_path", "file_hash").collect())
-
-    from tempfile import mkdtemp
+        files.select(texts.basename(F.col("file_path")).alias("filename"), "file_hash").write.mode("append").parquet(f"{folder}/out")
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp()
-    import uuid
-
-    stream = watch.new_files(ship(spark), sf_dir, "region*.parquet", recursive=True)
-    watch.start(stream, f"{folder}/watch-{uuid.uuid4().hex}", handle).awaitTermination()
-    rows = [(r.file_path.rsplit("/", 1)[-1], r.file_hash) for batch in found for r in batch]
-    return spark.createDataFrame(rows, "filename string, file_hash string")
+    watch.start(stream, f"{folder}/checkpoint", handle).awaitTermination()
+    return spark.read.schema("filename string, file_hash string").parquet(f"{folder}/out")
