@@ -61,51 +61,77 @@ def _widened(raw: bytes, n: int, width: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, width - x.shape[1]))).astype(np.float64)
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, radius2: float, pivots: np.ndarray, k: int, run: int = 1024):
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest scores and their ids, ties to the smaller id."""
+    if len(scores) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        near = np.flatnonzero(scores >= least)
+        scores, ids = scores[near], ids[near]
+    keep = np.lexsort((ids, -scores))[:k]
+    return ids[keep], scores[keep]
+
+
+def search_block(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, radius2: float, pivots: np.ndarray, k: int, run: int = 512, chunk: int = 64):
     """Best k of ``points`` for each query: (query index, ids, scores) with ties to the smaller id, and how many
-    points were evaluated.  ``pivots`` are rows of the lifted space."""
+    points were evaluated.  ``pivots`` are rows of the lifted space.
+
+    The nearest ``run`` points by bound are evaluated first, and the k-th of them sets the limit.  What the limit leaves
+    follows in order of bounds, run by run; where it leaves more than a quarter of the block, order saves nothing and a
+    matrix product evaluates the rest for all such queries of a chunk at once.
+    """
     lift = np.sqrt(np.maximum(radius2 - (points**2).sum(1), 0.0))
-    lifted = np.column_stack([points, lift])
-    to_pivot = np.sqrt(np.maximum(((lifted[:, None, :] - pivots[None]) ** 2).sum(2), 0.0)) if len(points) * len(pivots) * lifted.shape[1] < 1 << 24 else _distances(lifted, pivots)
-    table = np.ascontiguousarray(to_pivot.T)
-    query_to_pivot = _distances(np.column_stack([queries, np.zeros(len(queries))]), pivots)
-    margin = 1e-6 * (1.0 + np.sqrt(radius2))
+    table = _distances(np.column_stack([points, lift]), pivots).astype(np.float32).T.copy()
+    from_query = _distances(np.column_stack([queries, np.zeros(len(queries))]), pivots).astype(np.float32)
+    margin = 1e-4 * (1.0 + np.sqrt(radius2))  # above the rounding of 32-bit bounds
     norms = (queries**2).sum(1)
     exact = max(np.abs(points).max(initial=0.0), 1.0) * max(np.abs(queries).max(initial=0.0), 1.0) * points.shape[1] < EXACT
+
+    def scores_of(rows: np.ndarray, q: int) -> np.ndarray:
+        if exact:
+            return np.rint(points[rows] @ queries[q]).astype(np.int64)
+        return points[rows].astype(np.int64) @ queries[q].astype(np.int64)
+
+    def limit_of(best: np.ndarray, q: int) -> float:  # squared distance to the k-th: R^2 + |q|^2 - 2 <q, x>
+        return np.sqrt(max(radius2 + norms[q] - 2.0 * best[-1], 0.0)) + margin if len(best) == k else np.inf
+
     evaluated = 0
-    for q in range(len(queries)):
-        bound = np.zeros(len(points))
-        for p in range(len(table)):
-            np.maximum(bound, np.abs(table[p] - query_to_pivot[q, p]), out=bound)
-        bound[ids == query_ids[q]] = np.inf  # not its own candidate
-        first = np.argpartition(bound, min(run, len(bound) - 1))[:run] if len(bound) > run else np.arange(len(bound))
-        order, rest = first[np.argsort(bound[first], kind="stable")], None
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, limit = 0, np.inf
-        while True:
-            if at >= len(order):
-                if rest is not None or len(order) == len(bound):
-                    break
-                rest = np.setdiff1d(np.flatnonzero(bound <= limit), order)  # the others are eliminated
-                order, at = rest[np.argsort(bound[rest], kind="stable")], 0
-                if not len(order):
+    bound, gap = np.empty(len(points), np.float32), np.empty(len(points), np.float32)
+    for start in range(0, len(queries), chunk):
+        wide = []  # queries that a matrix product finishes: index, points left
+        for q in range(start, min(start + chunk, len(queries))):
+            bound[:] = 0
+            for p in range(len(table)):
+                np.subtract(table[p], from_query[q, p], out=gap)
+                np.abs(gap, out=gap)
+                np.maximum(bound, gap, out=bound)
+            bound[ids == query_ids[q]] = np.inf  # not its own candidate
+            first = np.argpartition(bound, run)[:run] if len(bound) > run else np.arange(len(bound))
+            first = first[np.isfinite(bound[first])]
+            best_ids, best = _best(scores_of(first, q), ids[first], k)
+            evaluated += len(first)
+            left = bound <= limit_of(best, q)
+            left &= np.isfinite(bound)
+            n_left = int(left.sum())
+            if exact and n_left > 0.25 * len(points):
+                wide.append((q, left))
+                evaluated += n_left - len(first)
+                continue
+            left[first] = False
+            rest = np.flatnonzero(left)
+            rest = rest[np.argsort(bound[rest], kind="stable")]
+            for at in range(0, len(rest), run):
+                part = rest[at : at + run]
+                if bound[part[0]] > limit_of(best, q):
                     break
-            part = order[at : at + run]
-            part = part[np.isfinite(bound[part])]
-            if not len(part) or bound[part[0]] > limit:
-                break
-            at += run
-            evaluated += len(part)
-            if exact:
-                score = np.rint(points[part] @ queries[q]).astype(np.int64)
-            else:
-                score = points[part].astype(np.int64) @ queries[q].astype(np.int64)
-            best_ids, best = np.concatenate([best_ids, ids[part]]), np.concatenate([best, score])
-            keep = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[keep], best[keep]
-            if len(best) == k:  # squared distance to the k-th: R^2 + |q|^2 - 2 <q, x>
-                limit = np.sqrt(max(radius2 + norms[q] - 2.0 * best[-1], 0.0)) + margin
-        yield q, best_ids, best, evaluated
+                evaluated += len(part)
+                best_ids, best = _best(np.concatenate([best, scores_of(part, q)]), np.concatenate([best_ids, ids[part]]), k)
+            yield q, best_ids, best, evaluated
+        if wide:
+            products = queries[[q for q, _ in wide]] @ points.T
+            for (q, left), row in zip(wide, products, strict=True):
+                rows = np.flatnonzero(left)
+                best_ids, best = _best(np.rint(row[rows]).astype(np.int64), ids[rows], k)
+                yield q, best_ids, best, evaluated
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
