@@ -2,10 +2,11 @@
 
 Sets at Jaccard similarity s or more have sizes within a factor s, so sizes are cut into bands and only sets of one band
 or of two neighbours can link.  In a pair of bands such sets differ in at most k elements.  The domain of elements is cut
-into n1 parts; with n1 = k + 1 two linked sets agree on some whole part.  With fewer parts, n1 = (k + 1) / 2 rounded up,
-some part has at most one difference; cut into three, it has two thirds on which the sets agree, and the three subsets of
-two thirds are enumerated.  Small bands use subsets (more selective), large ones whole parts (fewer signatures).  Either
-way linked sets share a signature for certain.
+into parts; of k + 1 parts two linked sets agree on a whole one.  Of half as many, some part has at most one difference;
+cut into three, it has two thirds on which the sets agree, and the three subsets of two thirds are enumerated.  Small bands
+use subsets (more selective), large ones whole parts (fewer signatures).  Either way linked sets share a signature for
+certain.  (With whole parts, a set that leaves out its a - 1 smallest of the a parts that must agree still has one of
+them, and the one with the higher threshold decides for both.)
 
 Documents with equal sets are one representative first.  A signature's documents are not paired with each other: each is
 compared with one leader, the one that shares most signatures with others and so stands in the middle of its copies.
@@ -45,13 +46,21 @@ def band_starts(similarity: int, largest: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=1024)
-def instance(band: int, similarity: int, largest: int) -> tuple[int, bool]:
-    """(number of parts, whether subsets are enumerated) for sets of bands ``band`` - 1 and ``band``."""
+def instance(band: int, similarity: int, largest: int) -> tuple[int, bool, int]:
+    """(number of parts, whether subsets are enumerated, parts that linked sets agree on at least), for sets of bands
+    ``band`` - 1 and ``band``.
+
+    There are a fifth more parts than k differences need, so linked sets agree on several, not one; a set then leaves out
+    its smallest parts, one less than it must agree on.  What is left holds more elements and is met by chance less often.
+    """
     top = int(band_starts(similarity, largest)[band + 1]) - 1
     k = (100 - similarity) * 2 * top // (100 + similarity)
-    if top <= SUBSET_SIZE:
-        return (k + 2) // 2, True
-    return k + 1, False
+    if not k:
+        return 1, False, 1  # only equal sets link
+    subsets = top <= SUBSET_SIZE
+    spoiled = k // 2 if subsets else k  # parts that k differences can spoil
+    agreeing = 1 + -(-(spoiled + 1) // 5)
+    return spoiled + agreeing, subsets, agreeing
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -64,13 +73,11 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
     """PartEnum signatures of a set, for its band and the next."""
     n = len(elements)
-    if not n:
-        return elements
+    out = [np.zeros(0, np.uint64)]
     largest = 1 << max(12, int(n).bit_length())
     band = int(np.searchsorted(band_starts(similarity, largest), n, "right")) - 1
-    out = []
-    for which in (band, band + 1):
-        parts, subsets = instance(which, similarity, largest)
+    for which in (band, band + 1) if n else ():
+        parts, subsets, agreeing = instance(which, similarity, largest)
         salt = np.uint64(which * 2 + 1) * np.uint64(0x9E37)
         cells = parts * 3 if subsets else parts
         place = (shared.mix64(elements + salt) >> np.uint64(8)) % np.uint64(cells)
@@ -78,14 +85,20 @@ def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
         place, sums = place[order], np.concatenate([np.zeros(1, np.uint64), np.cumsum(shared.mix64(elements[order] ^ salt))])
         edges = np.searchsorted(place, np.arange(cells + 1, dtype=np.uint64))
         held = sums[edges[1:]] - sums[edges[:-1]]  # an order-free hash of the elements of each cell
+        sizes = np.diff(edges)
         numbers = np.arange(parts, dtype=np.uint64)
         if subsets:
-            cell = held.reshape(parts, 3)
+            cell, size = held.reshape(parts, 3), sizes.reshape(parts, 3)
+            weakest = size.sum(1) - size.max(1)  # elements of a part's smallest subset
+            least = np.partition(weakest, agreeing - 1)[agreeing - 1]
             for a, b in ((0, 1), (0, 2), (1, 2)):
                 code = np.uint64(a * 3 + b)
-                out.append(shared.mix64(cell[:, a] + shared.mix64(cell[:, b] + code) + shared.mix64(numbers * np.uint64(16) + code + (salt << np.uint64(32)))))
+                made = shared.mix64(cell[:, a] + shared.mix64(cell[:, b] + code) + shared.mix64(numbers * np.uint64(16) + code + (salt << np.uint64(32))))
+                out.append(made[size[:, a] + size[:, b] >= least])
         else:
-            out.append(shared.mix64(held + shared.mix64(numbers * np.uint64(16) + (salt << np.uint64(32)))))
+            least = np.partition(sizes, agreeing - 1)[agreeing - 1]
+            made = shared.mix64(held + shared.mix64(numbers * np.uint64(16) + (salt << np.uint64(32))))
+            out.append(made[sizes >= least])
     return np.concatenate(out)
 
 
@@ -97,40 +110,46 @@ def _sets(batch: pa.RecordBatch, column: str, width: int) -> Iterator[tuple[int,
             yield at + i, shingles(words[first[i] : first[i + 1]], width)
 
 
-def shingle_table(docs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """doc_id, n_shingles, print_a, print_b (of the set; equal sets have equal prints) and signatures of every document."""
+def shingle_table(docs: DataFrame, width: int, similarity: int, prints: bool = True, signs: bool = True) -> DataFrame:
+    """doc_id and, if asked for, n_shingles, print_a, print_b (equal sets have equal prints) and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                sizes, a, b, signs, offsets = [], [], [], [], [0]
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sizes, a, b, made, offsets = [], [], [], [np.zeros(0, np.uint64)], [0]
                 for _, elements in _sets(batch, "text", width):
-                    sizes.append(len(elements))
-                    a.append(shared.mix64(elements).sum(dtype=np.uint64))
-                    b.append(shared.mix64(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-                    signs.append(signatures(elements, similarity))
-                    offsets.append(offsets[-1] + len(signs[-1]))
-                flat = shared.signed(np.concatenate(signs)) if signs else np.zeros(0, np.int64)
-                prints = [pa.array(shared.signed(np.array(x, np.uint64))) for x in (a, b)]
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-                out = [batch.column("doc_id"), pa.array(sizes, pa.int64()), *prints, lists]
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_shingles", "print_a", "print_b", "signatures"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, print_a bigint, print_b bigint, signatures array<bigint>")
+                    if prints:
+                        sizes.append(len(elements))
+                        a.append(shared.mix64(elements).sum(dtype=np.uint64))
+                        b.append(shared.mix64(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
+                    if signs:
+                        made.append(signatures(elements, similarity))
+                        offsets.append(offsets[-1] + len(made[-1]))
+                out, names = [batch.column("doc_id")], ["doc_id"]
+                if prints:
+                    out += [pa.array(sizes, pa.int64()), *[pa.array(shared.signed(np.array(x, np.uint64))) for x in (a, b)]]
+                    names += ["n_shingles", "print_a", "print_b"]
+                if signs:
+                    out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shared.signed(np.concatenate(made)))))
+                    names.append("signatures")
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    schema = "doc_id bigint" + (", n_shingles bigint, print_a bigint, print_b bigint" if prints else "") + (", signatures array<bigint>" if signs else "")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _compared(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, similarity: int) -> DataFrame:
     """(a, b, linked, n_a, n_b, differ) of ``pairs`` (leader, member): whether the sets reach the similarity, their sizes,
-    and the elements that only one of them has.
+    and, for ``wide`` pairs, the elements that only one of them has.
 
     One pass over the texts makes the sets of the documents in pairs: a leader's set once, a member's set once for each
     of its leaders.  The two meet by a join on the leader, whose hot keys Spark splits.
     """
-    roles = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("leader")).unionByName(
-        pairs.select(F.col("a").alias("doc_id"), F.col("a").alias("leader")).distinct()
+    roles = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), "wide").unionByName(
+        pairs.select(F.col("a").alias("doc_id"), F.col("a").alias("leader"), F.lit(False).alias("wide")).distinct()
     )
-    wanted = roles.groupBy("doc_id").agg(F.collect_list("leader").alias("leaders"))
+    wanted = roles.groupBy("doc_id").agg(F.collect_list(F.struct("leader", "wide")).alias("leaders"))
     texts = docs.select("doc_id", "text").join(_small(wanted, n_pairs), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,15 +157,16 @@ def _compared(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, simil
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 ids, leaders = batch.column("doc_id").to_pylist(), batch.column("leaders").to_pylist()
-                rows: list[list] = [[], [], []]
+                rows: list[list] = [[], [], [], []]
                 for i, elements in _sets(batch, "text", width):
                     raw = elements.tobytes()
-                    for leader in leaders[i]:
-                        for row, value in zip(rows, (leader, ids[i], raw), strict=True):
+                    for role in leaders[i]:
+                        for row, value in zip(rows, (role["leader"], ids[i], role["wide"], raw), strict=True):
                             row.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["a", "b", "elements"])
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["a", "b", "wide", "elements"])
 
-    sets = texts.mapInArrow(run, "a bigint, b bigint, elements binary")
+    sets = texts.mapInArrow(run, "a bigint, b bigint, wide boolean, elements binary")
     leading = sets.where("a = b").groupBy("a").agg(F.first("elements").alias("own"))
     both = sets.where("a <> b").join(leading, "a")
 
@@ -154,7 +174,8 @@ def _compared(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, simil
         for batch in batches:
             last, own = None, None
             linked, n_a, n_b, differ = [], [], [], []
-            for leader, mine, theirs in zip(batch.column("a").to_pylist(), batch.column("elements"), batch.column("own"), strict=True):
+            columns = (batch.column("a").to_pylist(), batch.column("wide").to_pylist(), batch.column("elements"), batch.column("own"))
+            for leader, wide, mine, theirs in zip(*columns, strict=True):
                 if leader != last:
                     last, own = leader, np.frombuffer(theirs.as_py(), np.uint64)
                 other = np.frombuffer(mine.as_py(), np.uint64)
@@ -163,11 +184,11 @@ def _compared(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, simil
                 linked.append((100 - similarity) * total >= (100 + similarity) * len(apart))
                 n_a.append(len(own))
                 n_b.append(len(other))
-                differ.append(shared.signed(apart))
+                differ.append(shared.signed(apart) if wide else [])
             out = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(out, names=["a", "b", "linked", "n_a", "n_b", "differ"])
 
-    return both.select("a", "b", "elements", "own").mapInArrow(compare, "a bigint, b bigint, linked boolean, n_a bigint, n_b bigint, differ array<bigint>")
+    return both.select("a", "b", "wide", "elements", "own").mapInArrow(compare, "a bigint, b bigint, linked boolean, n_a bigint, n_b bigint, differ array<bigint>")
 
 
 def _small(table: DataFrame, rows: int) -> DataFrame:
@@ -176,11 +197,12 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
 
 
 def _leader_pairs(held: DataFrame) -> DataFrame:
-    """(a, b): every document of ``held`` (signature, id, n) with the leaders of its signatures."""
+    """(a, b, wide): every document of ``held`` (signature, id, n) with the leaders of its signatures; ``wide`` if a third
+    document shares one of these signatures, so that b's difference from a may be asked for."""
     degrees = held.groupBy("id").agg(F.sum("n").alias("degree"))
     ranked = held.join(degrees, "id")
     leaders = ranked.groupBy("signature").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("a"))
-    return held.join(leaders, "signature").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    return held.join(leaders, "signature").where("id <> a").groupBy("a", F.col("id").alias("b")).agg((F.max("n") > 2).alias("wide"))
 
 
 def _far_pairs(stars: DataFrame, roots: DataFrame, similarity: int, folder: str) -> DataFrame:
@@ -195,7 +217,7 @@ def _far_pairs(stars: DataFrame, roots: DataFrame, similarity: int, folder: str)
     of = stars.join(own, "b", "left").join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left")
     of = of.select("a", "b", "n_b", "differ", F.coalesce("root_b", "b").alias("root"), F.coalesce("root_a", "a").alias("center"))
     open_stars = of.where("root <> center").select("a").distinct()
-    members = of.join(open_stars, "a", "left_semi").withColumn("d", F.size("differ"))
+    members = of.join(open_stars, "a", "left_semi").withColumn("d", F.size("differ")).where("d > 0")
     # what a member linked with the leader, or one beyond k of it, needs to share with any it can link to
     allowed = F.floor(F.col("n_b") * ((100 - similarity) / (100 + similarity) * (1 + 100 / similarity))) + 1
     least = F.when(F.col("root") == F.col("center"), F.greatest(F.lit(1), F.floor(F.col("d") * (similarity / (100 + similarity) - 0.02)))).otherwise(F.greatest(F.lit(1), F.col("d") - allowed))
@@ -209,7 +231,7 @@ def _far_pairs(stars: DataFrame, roots: DataFrame, similarity: int, folder: str)
     y = kept.select("a", "e", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "root", "d", "place")])
     need = f"ceil((x_d + y_d - floor(({100 - similarity}) * (x_n + y_n) / ({100 + similarity}))) / 2)"
     fits = f"x_b < y_b and x_root <> y_root and 100 * least(x_n, y_n) >= {similarity} * greatest(x_n, y_n) and x_place <= x_d - {need} + 1 and y_place <= y_d - {need} + 1"
-    return x.join(y, ["a", "e"]).where(fits).select(F.col("x_b").alias("a"), F.col("y_b").alias("b")).distinct()
+    return x.join(y, ["a", "e"]).where(fits).select(F.col("x_b").alias("a"), F.col("y_b").alias("b"), F.lit(False).alias("wide")).distinct()
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -237,20 +259,22 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def jaccard_components(docs: DataFrame, folder: str, width: int = 3, similarity: int = 90) -> DataFrame:
+def jaccard_components(docs: DataFrame, folder: str, width: int = 3, similarity: int = 90, keep_signatures: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Texts are lower-cased (A-Z) and cut into words; a document's set are its distinct shingles of ``width`` words, or the
     whole sequence if it has fewer.  Documents link when 100 * intersection >= ``similarity`` * union; component_id is
     the smallest doc_id reachable.  Null, empty and blank texts have an empty set and link with nothing.  Repeated rows
     and equal texts link; rows with the same doc_id are one document to others but each is returned.  An empty table
-    gives an empty table.
+    gives an empty table.  Signatures are kept in the shared folder (8 bytes each) or, without ``keep_signatures``, made
+    again for the second look at them: less disk, another pass over the texts.
     """
-    made = shared.stored(shingle_table(docs, width, similarity), folder, "shingles")
+    made = shared.stored(shingle_table(docs, width, similarity, signs=keep_signatures), folder, "shingles")
     equal = made.where("n_shingles > 0").groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep"))
     equal = shared.stored(equal, folder, "equal")
     reps = _small(equal.select(F.col("rep").alias("doc_id")), equal.count())
-    signed = made.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("signatures").alias("signature"))
+    signers = made if keep_signatures else shingle_table(docs.join(reps, "doc_id", "left_semi"), width, similarity, prints=False)
+    signed = signers.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("signatures").alias("signature"))
     several = shared.stored(signed.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1"), folder, "several")
     held = shared.stored(signed.join(_small(several, several.count()), "signature"), folder, "held")
     pairs = shared.stored(_leader_pairs(held), folder, "pairs")
@@ -279,7 +303,7 @@ def keep_one(docs: DataFrame, folder: str, width: int = 5, similarity: int = 80)
 
     Rows that repeat its doc_id stay only once, the one whose text hash is least.  Cases as in ``jaccard_components``.
     """
-    found = jaccard_components(docs, folder, width, similarity)
+    found = jaccard_components(docs, folder, width, similarity, keep_signatures=False)
     ids = found.where("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("_print")
     chosen = docs.join(ids, "doc_id", "left_semi").withColumn("_print", F.xxhash64("text"))
