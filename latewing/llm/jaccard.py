@@ -3,10 +3,10 @@
 Sets at Jaccard similarity s or more have sizes within a factor s, so sizes are cut into bands and only sets of one band
 or of two neighbours can link.  In a pair of bands such sets differ in at most k elements.  The domain of elements is cut
 into parts; of k + 1 parts two linked sets agree on a whole one.  Of half as many, some part has at most one difference;
-cut into three, it has two thirds on which the sets agree, and the three subsets of two thirds are enumerated.  Small bands
-use subsets (more selective), large ones whole parts (fewer signatures).  Either way linked sets share a signature for
-certain.  (With whole parts, a set that leaves out its a - 1 smallest of the a parts that must agree still has one of
-them, and the one with the higher threshold decides for both.)
+cut into three, it has two thirds on which the sets agree, and the three subsets of two thirds are enumerated.  Small
+bands use subsets (more selective), large ones whole parts (fewer signatures).  Either way linked sets share a signature
+for certain.  There are more parts than that, so that linked sets agree on several, a; each set leaves out its a - 1
+smallest.  It still has one of those it agrees on, and the set whose smallest kept part is larger decides for both.
 
 Documents with equal sets are one representative first.  A signature's documents are not paired with each other: each is
 compared with one leader, the one that shares most signatures with others and so stands in the middle of its copies.
