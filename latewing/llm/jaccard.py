@@ -12,7 +12,7 @@ Documents with equal sets are one representative first.  A signature's documents
 compared with one leader, the one that shares most signatures with others and so stands in the middle of its copies.
 Linked ones are one component.  For two that are still apart the comparison has left what they need: how each differs
 from the same leader.  Linked sets differ in at most k elements, so their differences from the leader overlap in a known
-number, and two such differences must meet among their rarest elements (a prefix filter).  Only pairs that do are
+number, and two such differences must meet among their first elements in an order that puts rare ones first (a prefix filter).  Only pairs that do are
 compared.  So a group of near copies costs a comparison for each member and some for those far from the middle, and no
 link is lost.
 """
@@ -140,8 +140,9 @@ def shingle_table(docs: DataFrame, width: int, similarity: int, prints: bool = T
 
 
 def _compared(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, similarity: int) -> DataFrame:
-    """(a, b, linked, n_a, n_b, differ) of ``pairs`` (leader, member): whether the sets reach the similarity, their sizes,
-    and, for ``wide`` pairs, the elements that only one of them has.
+    """(a, b, linked, n_b, n_differ, differ) of ``pairs`` (leader, member): whether the sets reach the similarity, the
+    member's size, the number of elements that only one of them has, and, for ``wide`` pairs, the first of those: added
+    ones, then removed ones, each by hash, as many as a prefix filter needs.
 
     One pass over the texts makes the sets of the documents in pairs: a leader's set once, a member's set once for each
     of its leaders.  The two meet by a join on the leader, whose hot keys Spark splits.
@@ -169,26 +170,30 @@ def _compared(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, simil
     sets = texts.mapInArrow(run, "a bigint, b bigint, wide boolean, elements binary")
     leading = sets.where("a = b").groupBy("a").agg(F.first("elements").alias("own"))
     both = sets.where("a <> b").join(leading, "a")
+    allowed = (100 - similarity) / (100 + similarity) * (1 + 100 / similarity)  # times the size: differences that a link allows
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last, own = None, None
-            linked, n_a, n_b, differ = [], [], [], []
+            linked, n_b, n_differ, differ = [], [], [], []
             columns = (batch.column("a").to_pylist(), batch.column("wide").to_pylist(), batch.column("elements"), batch.column("own"))
             for leader, wide, mine, theirs in zip(*columns, strict=True):
                 if leader != last:
                     last, own = leader, np.frombuffer(theirs.as_py(), np.uint64)
                 other = np.frombuffer(mine.as_py(), np.uint64)
-                apart = np.setxor1d(own, other, assume_unique=True)
-                total = len(own) + len(other)
-                linked.append((100 - similarity) * total >= (100 + similarity) * len(apart))
-                n_a.append(len(own))
+                added, removed = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
+                d, total = len(added) + len(removed), len(own) + len(other)
+                linked.append((100 - similarity) * total >= (100 + similarity) * d)
                 n_b.append(len(other))
-                differ.append(shared.signed(apart) if wide else [])
-            out = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "linked", "n_a", "n_b", "differ"])
+                n_differ.append(d)
+                # what it needs to share at least with any document that it can link to
+                least = d * (similarity / (100 + similarity) - 0.02) if linked[-1] else d - (len(other) * allowed + 1)
+                first = d - max(1, int(least)) + 1
+                differ.append(shared.signed(np.concatenate([added, removed])[:first]) if wide else [])
+            out = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(n_b, pa.int64()), pa.array(n_differ, pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "linked", "n_b", "n_differ", "differ"])
 
-    return both.select("a", "b", "wide", "elements", "own").mapInArrow(compare, "a bigint, b bigint, linked boolean, n_a bigint, n_b bigint, differ array<bigint>")
+    return both.select("a", "b", "wide", "elements", "own").mapInArrow(compare, "a bigint, b bigint, linked boolean, n_b bigint, n_differ bigint, differ array<bigint>")
 
 
 def _small(table: DataFrame, rows: int) -> DataFrame:
@@ -205,28 +210,22 @@ def _leader_pairs(held: DataFrame) -> DataFrame:
     return held.join(leaders, "signature").where("id <> a").groupBy("a", F.col("id").alias("b")).agg((F.max("n") > 2).alias("wide"))
 
 
-def _far_pairs(stars: DataFrame, roots: DataFrame, similarity: int, folder: str) -> DataFrame:
+def _far_pairs(stars: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
     """(a, b): documents compared with the same leader, in different components, whose differences from it overlap as
     much as a link needs.
 
     Of x and y at most one links to the leader itself, so |Dx| + |Dy| exceeds the k differences that a link allows, and a
-    link needs ceil((|Dx| + |Dy| - k) / 2) shared ones: at least one.  Elements are ordered by how few of the star's
-    documents differ in them; the first shared one stands among the first |D| - needed + 1 of either.
+    link needs ceil((|Dx| + |Dy| - k) / 2) shared ones: at least one.  In an order of all elements the first shared one
+    stands among the first |D| - needed + 1 of either.  The order puts what the leader lacks first: edits are rare, what
+    they took away is not.
     """
     own = roots.select(F.col("id").alias("b"), F.col("root").alias("root_b"))
     of = stars.join(own, "b", "left").join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left")
-    of = of.select("a", "b", "n_b", "differ", F.coalesce("root_b", "b").alias("root"), F.coalesce("root_a", "a").alias("center"))
+    of = of.select("a", "b", "n_b", "n_differ", "differ", F.coalesce("root_b", "b").alias("root"), F.coalesce("root_a", "a").alias("center"))
     open_stars = of.where("root <> center").select("a").distinct()
-    members = of.join(open_stars, "a", "left_semi").withColumn("d", F.size("differ")).where("d > 0")
-    # what a member linked with the leader, or one beyond k of it, needs to share with any it can link to
-    allowed = F.floor(F.col("n_b") * ((100 - similarity) / (100 + similarity) * (1 + 100 / similarity))) + 1
-    least = F.when(F.col("root") == F.col("center"), F.greatest(F.lit(1), F.floor(F.col("d") * (similarity / (100 + similarity) - 0.02)))).otherwise(F.greatest(F.lit(1), F.col("d") - allowed))
-    each = members.select("a", "b", F.col("n_b").alias("n"), "root", "d", least.alias("least"), F.explode("differ").alias("e"))
-    counts = each.groupBy("a", "e").agg(F.count("*").alias("f")).where("f > 1")  # an element of one document meets nothing
-    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("f", "e"))
-    lone = F.col("d") - F.count("*").over(Window.partitionBy("a", "b"))  # those stand before all others
-    kept = each.join(counts, ["a", "e"]).withColumn("place", place + lone).where("place <= d - least + 1")
-    kept = shared.stored(kept.select("a", "e", "b", "n", "root", "d", "place"), folder, "differences")
+    members = of.join(open_stars, "a", "left_semi").where("size(differ) > 0")
+    each = members.select("a", "b", F.col("n_b").alias("n"), "root", F.col("n_differ").alias("d"), F.posexplode("differ").alias("place", "e"))
+    kept = each.withColumn("place", F.col("place") + 1)
     x = kept.select("a", "e", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "root", "d", "place")])
     y = kept.select("a", "e", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "root", "d", "place")])
     need = f"ceil((x_d + y_d - floor(({100 - similarity}) * (x_n + y_n) / ({100 + similarity}))) / 2)"
@@ -284,7 +283,7 @@ def jaccard_components(docs: DataFrame, folder: str, width: int = 3, similarity:
         stars = shared.stored(_compared(docs, pairs, n_pairs, width, similarity), folder, "stars")
         links = stars.where("linked").select("a", "b")
         roots = components(links, folder, "near")
-        far = shared.stored(_far_pairs(stars, roots, similarity, folder).join(pairs, ["a", "b"], "left_anti"), folder, "far")
+        far = shared.stored(_far_pairs(stars, roots, similarity).join(pairs, ["a", "b"], "left_anti"), folder, "far")
         n_far = far.count()
         if n_far:
             more = shared.stored(_compared(docs, far, n_far, width, similarity).where("linked").select("a", "b"), folder, "more")
