@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from latewing.session import ship
 
 #: Bytes of text that a kernel works on at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 #: The six characters that part words in all contracts.
 WORD_GAPS = b" \t\n\x0b\x0c\r"
