@@ -117,6 +117,38 @@ def test_passages(spark):
     assert passages.shared_passages(empty(spark), shared.shared_folder(spark)).count() == 0
 
 
+def exact_holders(docs, n=50):
+    """Documents with n words that stand exactly so in another one, of all pairs."""
+    runs = [{tuple(d[i : i + n]) for i in range(len(d) - n + 1)} for d in docs]
+    return {a for a in range(len(docs)) if any(a != b and runs[a] & runs[b] for b in range(len(docs)))}
+
+
+def test_exact_passages_whose_seeds_stand_in_earlier_documents(spark):
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+
+    def text(n):
+        return rng.choices(vocabulary, k=n)
+
+    early, late = [], []
+    for _ in range(4):
+        passage = text(50)  # every seed has another first document
+        early += [[*text(20), *passage[i : i + 16], *text(20)] for i in range(35)]
+        late += [[*text(30), *passage, *text(20)], [*text(70), *passage, *text(10)]]
+        passage = text(60)  # most seeds have one first document, too unlike to count
+        early.append([*text(20), *passage[:20], *text(12), *passage[20:40], *text(12), *passage[40:], *text(20)])
+        late += [[*text(30), *passage, *text(20)], [*text(70), *passage, *text(10)]]
+        passage = text(50)  # every seed stands before the passage already, in another order
+        pieces = [w for i in rng.sample(range(35), 35) for w in [*passage[i : i + 16], *text(3)]]
+        other = [w for i in rng.sample(range(35), 35) for w in [*passage[i : i + 16], *text(3)]]
+        late += [[*pieces, *text(30), *passage, *text(20)], [*text(70), *other, *passage]]
+    docs = early + late
+    want = exact_holders(docs)
+    assert want == set(range(len(early), len(docs)))
+    found = passages.shared_passages(frame(spark, [" ".join(d) for d in docs]), shared.shared_folder(spark)).collect()
+    assert {r.doc_id for r in found} >= want
+
+
 def test_seeds_of_shared_runs():
     rng = np.random.default_rng(2)
     for _ in range(50):
