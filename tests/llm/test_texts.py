@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,6 +69,44 @@ def test_quality_verdicts(spark):
     assert quality.keep_good(taken).columns == taken.columns
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def noise_text(rng, alphabet, n):
+    return " ".join("".join(rng.choice(list(alphabet), 6)) for _ in range(n // 7 + 1))[:n].encode()
+
+
+def clean_prose(lang):
+    """Texts of the tables that the base rule, which knows no ratios, passes."""
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    return [d["text"].encode() for d in docs if d["lang"] == lang and not brute_quality(d["text"])[-1]]
+
+
+PROSE = {lang: clean_prose(lang) for lang in ("en", "de", "fr", "es")}
+
+
+@pytest.mark.parametrize("n", [200, 240, 280, 349, 350, 420, 499, 600, 699, 850, 999, 1_000, 1_500, 4_000, 4_095, 4_096, 16_000, 64_000, 200_000])
+def test_noise_goes_and_prose_stays_at_every_length(n):
+    rng = np.random.default_rng(n)
+    for alphabet in (LETTERS, LETTERS + "+/"):
+        assert not quality.compression_verdict(noise_text(rng, alphabet, n), quality.Bands())[2]
+    for texts in PROSE.values():
+        kept = [quality.compression_verdict(t[:n], quality.Bands())[2] for t in texts if len(t) >= n]
+        assert sum(kept) >= 0.99 * len(kept)
+    assert any(len(t) >= min(n, 4_096) for t in PROSE["en"])
+
+
+def test_long_texts_with_bad_parts_go():
+    rng = np.random.default_rng(3)
+    prose = max(PROSE["en"], key=len)
+    prose = prose[: 4_096 * (len(prose) // 4_096)]
+    assert len(prose) >= 16_384 and quality.compression_verdict(prose, quality.Bands())[2]
+    third = noise_text(rng, LETTERS, len(prose) // 2 // 4_096 * 4_096)
+    assert not quality.compression_verdict(prose + third, quality.Bands())[2]
+    assert not quality.compression_verdict(prose[:8_192] + noise_text(rng, LETTERS, 4_000), quality.Bands())[2]  # the tail
+    assert not quality.compression_verdict(prose[:8_192] + b"again and " * 400, quality.Bands())[2]
+
+
 def brute_targets(sizes, weights=(3, 1, 2)):
     """Shares by weight, excess over twice the size shared again, until none is above."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
