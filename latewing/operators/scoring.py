@@ -36,6 +36,17 @@ def score_pages(pages: DataFrame, query: Sequence[Sequence[float]] | Column, vec
     return pages.withColumn(into, V.maxsim(made, F.col(vectors)))
 
 
+def score_tokens(tokens: DataFrame, query: Sequence[Sequence[float]], keys: Sequence[str], vector: str = "vec") -> DataFrame:
+    """(keys, score) from one row per token: maxima are taken as partial aggregates, so a page of any size is never in
+    one row.  Cases as in ``vectors.maxsim``."""
+    if not len(query):
+        return tokens.select(*keys).distinct().withColumn("score", F.lit(0.0))
+    sims = tokens.withColumn("_sims", F.transform(V.literal_vectors(query), lambda q: V.dot(q, F.col(vector))))
+    best = [F.coalesce(F.max(F.when(~F.isnan(F.col("_sims")[i]), F.col("_sims")[i])), F.lit(V.NEVER)).alias(f"_m{i}") for i in range(len(query))]
+    total = sum((F.col(f"_m{i}") for i in range(1, len(query))), F.col("_m0"))
+    return sims.groupBy(*keys).agg(*best).select(*keys, total.alias("score"))
+
+
 def _block_scores(flat: np.ndarray, offsets: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Scores of ragged pages that lie end to end in one buffer of floats."""
     q_len, dim = query.shape

@@ -99,8 +99,7 @@ def maxsim_query_len_5(spark, sf_dir):
 @query(_sql_score(_Q4, "select label, embedding::double[] as e from embeddings where vec_id >= 40", "label"))
 def maxsim_ragged(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
-    docs = scoring.pack_pages(e.where("vec_id >= 40"), ["label"])
-    return _rounded(scoring.score_pages(docs, _query(e, "vec_id < 4")).select("label", "score"), "score")
+    return _rounded(scoring.score_tokens(e.where("vec_id >= 40"), _query(e, "vec_id < 4"), ["label"]), "score")
 
 
 @query("""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from latewing.errors import DimensionError
 from latewing.functions import vectors as V
 from latewing.operators import linalg, scoring
+from latewing.plans import catalogue
 
 
 def brute(q, d):
@@ -124,3 +125,16 @@ def test_score_matrix_does_not_depend_on_parts(spark, monkeypatch):
     monkeypatch.setattr(scoring, "QUERY_BYTES", 20)
     assert sorted(map(tuple, scoring.score_matrix(queries, pages).select("query_id", "page", "score").collect())) == whole
     assert len(whole) == 28
+
+
+def test_scores_of_tokens_gather_no_page(spark):
+    nan = float("nan")
+    rows = [(i % 3, [float(i % 7), float(-i % 5)]) for i in range(40)] + [(3, [nan, nan]), (0, [nan, 1.0])]
+    tokens = spark.createDataFrame(rows, "label long, vec array<float>")
+    query = [[1.0, 0.5], [-1.0, 2.0]]
+    got = scoring.score_tokens(tokens, query, ["label"])
+    want = scoring.score_pages(scoring.pack_pages(tokens, ["label"]), query).select("label", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.score for r in scoring.score_tokens(tokens, [], ["label"]).collect()} == {0.0}
+    plan = catalogue.QUERIES["maxsim_ragged"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
