@@ -8,13 +8,19 @@ bands use subsets (more selective), large ones whole parts (fewer signatures).
 for certain.  There are more parts than that, so that linked sets agree on several, a; each set leaves out its a - 1
 smallest.  It still has one of those it agrees on, and the set whose smallest kept part is larger decides for both.
 
-Documents with equal sets are one representative first.  A signature's documents are not paired with each other: each is
-compared with one leader, the one that shares most signatures with others and so stands in the middle of its copies.
-Linked ones are one component.  For two that are still apart the comparison has left what they need: how each differs
-from the same leader.  Linked sets differ in at most k elements, so their differences from the leader overlap in a known
-number, and two such differences must meet among their first elements in an order that puts rare ones first (a prefix filter).  Only pairs that do are
-compared.  So a group of near copies costs a comparison for each member and some for those far from the middle, and no
-link is lost.
+Equal sets are one vertex.  Signatures travel packed: a block of some thousand documents sends, for each range of
+signatures, one row of sorted 32-bit remainders and 40-bit vertex numbers; nearly all signatures stand alone and end
+there.  What meets is treated by the size of its group:
+
+* Groups of up to ``SMALL`` members give their pairs, a bounded number each.  A pair goes on if two sketches allow it:
+  512 bits of parities of element hashes, whose difference never exceeds the number of differing elements.
+* In a larger group every member is compared with one leader, the member that stands in most large groups.  Linked ones
+  are one component.  For two that are still apart the comparison has left what they need: how each differs from the
+  same leader.  Their differences overlap in a known number, so two such differences must meet among their first elements
+  in an order that puts rare ones first (a prefix filter), and the sketches must allow the pair.
+
+So a group of near copies costs a comparison for each member and some for those far from the middle, and no link is lost.
+All sets are compared by 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -24,15 +30,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latewing.llm import shared
 
-#: Tables of ids or signatures are sent to all executors up to this many rows (8 to 24 bytes each).
+#: Tables of ids are sent to all executors up to this many rows (8 to 24 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Bands up to this set size enumerate subsets.
 SUBSET_SIZE = 200
+#: Groups up to this many members give their pairs.
+SMALL = 8
+#: A block sends its members of a signature by itself if they are more than this.
+HOT = 64
+#: Signatures of a block, and of a range of signatures that one step of a task resolves.
+BLOCK_SIGNATURES, RANGE_SIGNATURES = 1 << 21, 1 << 20
+#: Members of a leader whose differences meet in one cell; leaders with more have several cells, by element.
+CELL_MEMBERS = 1024
+SKETCH_WORDS = 8
 
 
 @lru_cache(maxsize=4)
@@ -102,98 +118,167 @@ def signatures(elements: np.ndarray, similarity: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(batch: pa.RecordBatch, column: str, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    for at, _, data, offsets in shared.slices(batch.column(column)):
+def vertex_of(elements: np.ndarray) -> int:
+    """One 64-bit hash of a set; equal sets have equal ones."""
+    return int(shared.mix64(elements).sum(dtype=np.uint64))
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """512 parities of element hashes: two sets' sketches differ in no more bits than the sets in elements."""
+    bits = (shared.mix64(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(55)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=512) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    for at, _, data, offsets in shared.slices(column):
         starts, ends, first = shared.word_spans(data, offsets)
         words = shared.word_hashes(data, starts, ends, lower=True)
         for i in range(len(offsets) - 1):
             yield at + i, shingles(words[first[i] : first[i + 1]], width)
 
 
-def shingle_table(docs: DataFrame, width: int, similarity: int, prints: bool = True, signs: bool = True) -> DataFrame:
-    """doc_id and, if asked for, n_shingles, print_a, print_b (equal sets have equal prints) and signatures."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_print, text: the first two name a text, whatever ids are repeated or null."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_print"), "text")
+
+
+def shingle_table(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_print, n_shingles, vertex, sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                sizes, a, b, made, offsets = [], [], [], [np.zeros(0, np.uint64)], [0]
-                for _, elements in _sets(batch, "text", width):
-                    if prints:
-                        sizes.append(len(elements))
-                        a.append(shared.mix64(elements).sum(dtype=np.uint64))
-                        b.append(shared.mix64(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-                    if signs:
-                        made.append(signatures(elements, similarity))
-                        offsets.append(offsets[-1] + len(made[-1]))
-                out, names = [batch.column("doc_id")], ["doc_id"]
-                if prints:
-                    out += [pa.array(sizes, pa.int64()), *[pa.array(shared.signed(np.array(x, np.uint64))) for x in (a, b)]]
-                    names += ["n_shingles", "print_a", "print_b"]
-                if signs:
-                    out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shared.signed(np.concatenate(made)))))
-                    names.append("signatures")
-                yield pa.RecordBatch.from_arrays(out, names=names)
-
-    schema = "doc_id bigint" + (", n_shingles bigint, print_a bigint, print_b bigint" if prints else "") + (", signatures array<bigint>" if signs else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def _compared(docs: DataFrame, pairs: DataFrame, n_pairs: int, width: int, similarity: int) -> DataFrame:
-    """(a, b, linked, n_b, n_differ, differ) of ``pairs`` (leader, member): whether the sets reach the similarity, the
-    member's size, the number of elements that only one of them has, and, for ``wide`` pairs, the first of those: added
-    ones, then removed ones, each by hash, as many as a prefix filter needs.
-
-    One pass over the texts makes the sets of the documents in pairs: a leader's set once, a member's set once for each
-    of its leaders.  The two meet by a join on the leader, whose hot keys Spark splits.
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sizes, vertices, made = [], [], [np.zeros(0, np.uint64)]
+                for _, elements in _sets(batch.column("text"), width):
+                    sizes.append(len(elements))
+                    vertices.append(vertex_of(elements))
+                    made.append(sketch(elements))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * SKETCH_WORDS + 1, SKETCH_WORDS, dtype=np.int32)), pa.array(shared.signed(np.concatenate(made))))
+                out = [batch.column("doc_id"), batch.column("text_print"), pa.array(sizes, pa.int64()), pa.array(shared.signed(np.array(vertices, np.uint64))), lists]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "text_print", "n_shingles", "vertex", "sketch"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, text_print bigint, n_shingles bigint, vertex bigint, sketch array<bigint>")
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of unsigned integers, byte by byte: sorted numbers and their like compress well so."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(raw: bytes, width: int) -> np.ndarray:
+    n = len(raw) // width
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return wide.reshape(-1).view("<u8")
+
+
+def signature_blocks(docs: DataFrame, width: int, similarity: int, bits: int) -> DataFrame:
+    """(bucket, hot, signs, ids, told): packed signatures of the distinct sets of a block of documents.
+
+    A signature's first ``bits`` bits are its bucket, the next 32 are kept.  Signatures with more than ``HOT`` members in
+    the block are sent in rows marked hot, to any bucket, with all their members and their whole bits; their own bucket
+    gets one member and, in ``told``, word of it.  So no bucket gathers more of a signature than HOT for each block.
     """
-    roles = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), "wide").unionByName(
-        pairs.select(F.col("a").alias("doc_id"), F.col("a").alias("leader"), F.lit(False).alias("wide")).distinct()
-    )
-    wanted = roles.groupBy("doc_id").agg(F.collect_list(F.struct("leader", "wide")).alias("leaders"))
-    texts = docs.select("doc_id", "text").join(_small(wanted, n_pairs), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids, leaders = batch.column("doc_id").to_pylist(), batch.column("leaders").to_pylist()
-                rows: list[list] = [[], [], [], []]
-                for i, elements in _sets(batch, "text", width):
-                    raw = elements.tobytes()
-                    for role in leaders[i]:
-                        for row, value in zip(rows, (role["leader"], ids[i], role["wide"], raw), strict=True):
-                            row.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["a", "b", "wide", "elements"])
+        made: list[np.ndarray] = []
+        ids: list[int] = []
+        seen: set[int] = set()
+        held, number = 0, TaskContext.get().partitionId()
+
+        def flush() -> pa.RecordBatch:
+            sign = np.concatenate(made) >> np.uint64(32 - bits)
+            owner = np.repeat(np.array(ids, np.uint64) >> np.uint64(24), [len(m) for m in made])
+            order = np.argsort(sign, kind="stable")
+            sign, owner = sign[order], owner[order]
+            new = np.ones(len(sign), bool)
+            new[1:] = sign[1:] != sign[:-1]
+            starts = np.flatnonzero(new)
+            run_of = np.cumsum(new) - 1
+            many = np.diff(np.append(starts, len(sign))) > HOT
+            rows: list[tuple] = []
+            hot = many[run_of]
+            if hot.any():
+                rows.append((number % (1 << bits), True, sign[hot].tobytes(), _planes(owner[hot], 5), b""))
+            keep = ~hot | new
+            told = sign[new][many]
+            sign, owner = sign[keep], owner[keep]
+            edges = np.searchsorted(sign, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+            told_edges = np.searchsorted(told, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+            for bucket in np.flatnonzero(np.diff(edges)).tolist():
+                a, b, c, d = edges[bucket], edges[bucket + 1], told_edges[bucket], told_edges[bucket + 1]
+                rows.append((bucket, False, _planes(sign[a:b], 4), _planes(owner[a:b], 5), _planes(told[c:d], 4)))
+            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "hot", "signs", "ids", "told"])
 
-    sets = texts.mapInArrow(run, "a bigint, b bigint, wide boolean, elements binary")
-    leading = sets.where("a = b").groupBy("a").agg(F.first("elements").alias("own"))
-    both = sets.where("a <> b").join(leading, "a")
-    allowed = (100 - similarity) / (100 + similarity) * (1 + 100 / similarity)  # times the size: differences that a link allows
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                for _, elements in _sets(whole.slice(at, 1000).column(0), width):
+                    vertex = vertex_of(elements)
+                    if not len(elements) or vertex in seen:
+                        continue
+                    seen.add(vertex)
+                    ids.append(vertex)
+                    made.append(signatures(elements, similarity))
+                    held += len(made[-1])
+                if held >= BLOCK_SIGNATURES:
+                    yield flush()
+                    made, ids, seen, held, number = [], [], set(), 0, number + 7919
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, "bucket int, hot boolean, signs binary, ids binary, told binary")
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows of some columns, sorted by the first."""
+    order = np.lexsort(columns[::-1])
+    columns = tuple(c[order] for c in columns)
+    keep = np.ones(len(order), bool)
+    keep[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return tuple(c[keep] for c in columns)
+
+
+def met(blocks: DataFrame) -> DataFrame:
+    """(large, p, q): pairs of vertex numbers that share a signature in a small group, each once for a bucket; and, for
+    large groups, signature and member."""
+
+    def table(large: bool, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), large)), pa.array(p.astype(np.int64)), pa.array(q.astype(np.int64))], names=["large", "p", "q"])
+
+    def resolve(bucket: int, rows: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        signs, ids, told = (np.concatenate([_from_planes(r[i], w) for r in rows]) for i, w in enumerate((4, 5, 4)))
+        signs, ids = _distinct(signs, ids)
+        new = np.ones(len(signs), bool)
+        new[1:] = signs[1:] != signs[:-1]
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(signs)))
+        large = (sizes > SMALL) | np.isin(signs[starts], told)
+        pairs = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        for n in range(2, SMALL + 1):
+            members = ids[starts[(sizes == n) & ~large][:, None] + np.arange(n)]
+            pairs += [(members[:, i], members[:, j]) for i in range(n) for j in range(i + 1, n)]
+        yield table(False, *_distinct(*(np.concatenate(side) for side in zip(*pairs, strict=True))))
+        inside = np.repeat(large, sizes)
+        yield table(True, (np.uint64(bucket) << np.uint64(32)) + signs[inside], ids[inside])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, rows = -1, []
         for batch in batches:
-            last, own = None, None
-            linked, n_b, n_differ, differ = [], [], [], []
-            columns = (batch.column("a").to_pylist(), batch.column("wide").to_pylist(), batch.column("elements"), batch.column("own"))
-            for leader, wide, mine, theirs in zip(*columns, strict=True):
-                if leader != last:
-                    last, own = leader, np.frombuffer(theirs.as_py(), np.uint64)
-                other = np.frombuffer(mine.as_py(), np.uint64)
-                added, removed = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
-                d, total = len(added) + len(removed), len(own) + len(other)
-                linked.append((100 - similarity) * total >= (100 + similarity) * d)
-                n_b.append(len(other))
-                n_differ.append(d)
-                # what it needs to share at least with any document that it can link to
-                least = d * (similarity / (100 + similarity) - 0.02) if linked[-1] else d - (len(other) * allowed + 1)
-                first = d - max(1, int(least)) + 1
-                differ.append(shared.signed(np.concatenate([added, removed])[:first]) if wide else [])
-            out = [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(n_b, pa.int64()), pa.array(n_differ, pa.int64()), pa.array(differ, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "linked", "n_b", "n_differ", "differ"])
-
-    return both.select("a", "b", "wide", "elements", "own").mapInArrow(compare, "a bigint, b bigint, linked boolean, n_b bigint, n_differ bigint, differ array<bigint>")
+            for at, hot, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hot:
+                    yield table(True, np.frombuffer(packed[0], np.uint64), _from_planes(packed[1], 5))
+                    continue
+                if at != bucket and rows:
+                    yield from resolve(bucket, rows)
+                    rows = []
+                bucket = at
+                rows.append(packed)
+        if rows:
+            yield from resolve(bucket, rows)
+
+    return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "large boolean, p bigint, q bigint")
 
 
 def _small(table: DataFrame, rows: int) -> DataFrame:
@@ -201,36 +286,127 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_IDS else table
 
 
-def _leader_pairs(held: DataFrame) -> DataFrame:
-    """(a, b, wide): every document of ``held`` (signature, id, n) with the leaders of its signatures; ``wide`` if a third
-    document shares one of these signatures, so that b's difference from a may be asked for."""
-    degrees = held.groupBy("id").agg(F.sum("n").alias("degree"))
-    ranked = held.join(degrees, "id")
-    leaders = ranked.groupBy("signature").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("a"))
-    return held.join(leaders, "signature").where("id <> a").groupBy("a", F.col("id").alias("b")).agg((F.max("n") > 2).alias("wide"))
+def _allowed(n_x: str, n_y: str, x: str, y: str, similarity: int):
+    """Whether two sketches and sizes allow a link."""
+    bits = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
+    fits = F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * similarity
+    return fits & (bits * (100 + similarity) <= (F.col(n_x) + F.col(n_y)) * (100 - similarity))
+
+
+def _side(candidates: DataFrame, end: str) -> DataFrame:
+    return candidates.select(F.col("vid").alias(f"{end}_vid"), F.col("vertex").alias(end), F.col("n").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_sketch"))
+
+
+def _near_pairs(pairs: DataFrame, candidates: DataFrame, similarity: int) -> DataFrame:
+    """(a, b) vertices of ``pairs`` (p, q) of vertex numbers whose sketches allow a link."""
+    both = pairs.join(_side(candidates, "a"), F.col("p") == F.col("a_vid")).join(_side(candidates, "b"), F.col("q") == F.col("b_vid"))
+    return both.where(_allowed("a_n", "b_n", "a_sketch", "b_sketch", similarity)).select("a", "b")
 
 
-def _far_pairs(stars: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
-    """(a, b): documents compared with the same leader, in different components, whose differences from it overlap as
-    much as a link needs.
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, cells): every vertex of ``members`` (signature, vertex) with the leaders of its large groups, and among how
+    many cells a leader's members are dealt."""
+    degrees = members.groupBy("vertex").agg(F.count("*").alias("degree"))
+    leaders = members.join(degrees, "vertex").groupBy("signature").agg(F.max_by("vertex", F.struct("degree", "vertex")).alias("a"))
+    stars = members.join(leaders, "signature").where("vertex <> a").select("a", F.col("vertex").alias("b")).distinct()
+    sizes = stars.groupBy("a").agg(F.ceil(F.count("*") / CELL_MEMBERS).cast("int").alias("cells"))
+    return stars.join(sizes, "a").select("a", "b", "cells")
+
+
+_DIFFERENCES = "a bigint, b bigint, linked boolean, n_b bigint, n_differ bigint, cell int, places array<int>, differ array<bigint>"
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
+    """_DIFFERENCES of ``pairs`` (a, b, cells) by their ``texts`` (vertex, text): whether the sets reach the similarity
+    and, if ``cells`` is not 0, b's size, the number of elements that only one of them has, and the first of those: added
+    ones, then removed ones, each by hash, as many as a prefix filter needs, with their places; one row for each cell.
+
+    The two texts meet by joins whose hot keys Spark splits.
+    """
+    mine = texts.select(F.col("vertex").alias("b"), F.col("text").alias("b_text"))
+    theirs = texts.select(F.col("vertex").alias("a"), F.col("text").alias("a_text"))
+    allowed = (100 - similarity) / (100 + similarity) * (1 + 100 / similarity)  # times the size: differences that a link allows
+    names = [c.split(" ")[0] for c in _DIFFERENCES.split(", ")]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                leaders, members, cells = (batch.column(c).to_pylist() for c in ("a", "b", "cells"))
+                rows: list[list] = [[] for _ in names]
+                for i, other in _sets(batch.column("b_text"), width):
+                    if leaders[i] not in known:
+                        if len(known) >= 64:
+                            known.clear()
+                        known[leaders[i]] = next(_sets(batch.column("a_text").slice(i, 1), width))[1]
+                    own = known[leaders[i]]
+                    added, removed = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
+                    d, total = len(added) + len(removed), len(own) + len(other)
+                    linked = (100 - similarity) * total >= (100 + similarity) * d
+                    # what it needs to share at least with any document that it can link to
+                    least = d * (similarity / (100 + similarity) - 0.02) if linked else d - (len(other) * allowed + 1)
+                    differ = np.concatenate([added, removed])[: d - max(1, int(least)) + 1]
+                    place = np.arange(1, len(differ) + 1, dtype=np.int32)
+                    cell = (differ % np.uint64(max(1, cells[i]))).astype(np.int32)
+                    for c in np.unique(cell).tolist() if cells[i] and d else [-1]:
+                        here = cell == c
+                        made = (leaders[i], members[i], linked, len(other), d, c, place[here], shared.signed(differ[here]))
+                        for row, value in zip(rows, made, strict=True):
+                            row.append(value)
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=names)
+
+    both = pairs.join(mine, "b").join(theirs, "a").select("a", "b", "cells", "b_text", "a_text")
+    return both.mapInArrow(compare, _DIFFERENCES)
+
+
+def _far_pairs(stars: DataFrame, roots: DataFrame, candidates: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): vertices compared with the same leader, in different components, whose differences from it overlap as
+    much as a link needs and whose sketches allow one.
 
     Of x and y at most one links to the leader itself, so |Dx| + |Dy| exceeds the k differences that a link allows, and a
     link needs ceil((|Dx| + |Dy| - k) / 2) shared ones: at least one.  In an order of all elements the first shared one
     stands among the first |D| - needed + 1 of either.  The order puts what the leader lacks first: edits are rare, what
-    they took away is not.
+    they took away is not.  A cell holds the elements of one leader that fall to it; a task lays a cell's elements in
+    order and tries the members that hold the same one, in blocks, so only pairs that pass leave it.
     """
-    own = roots.select(F.col("id").alias("b"), F.col("root").alias("root_b"))
-    of = stars.join(own, "b", "left").join(roots.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left")
-    of = of.select("a", "b", "n_b", "n_differ", "differ", F.coalesce("root_b", "b").alias("root"), F.coalesce("root_a", "a").alias("center"))
-    open_stars = of.where("root <> center").select("a").distinct()
-    members = of.join(open_stars, "a", "left_semi").where("size(differ) > 0")
-    each = members.select("a", "b", F.col("n_b").alias("n"), "root", F.col("n_differ").alias("d"), F.posexplode("differ").alias("place", "e"))
-    kept = each.withColumn("place", F.col("place") + 1)
-    x = kept.select("a", "e", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "root", "d", "place")])
-    y = kept.select("a", "e", *[F.col(c).alias(f"y_{c}") for c in ("b", "n", "root", "d", "place")])
-    need = f"ceil((x_d + y_d - floor(({100 - similarity}) * (x_n + y_n) / ({100 + similarity}))) / 2)"
-    fits = f"x_b < y_b and x_root <> y_root and 100 * least(x_n, y_n) >= {similarity} * greatest(x_n, y_n) and x_place <= x_d - {need} + 1 and y_place <= y_d - {need} + 1"
-    return x.join(y, ["a", "e"]).where(fits).select(F.col("x_b").alias("a"), F.col("y_b").alias("b"), F.lit(False).alias("wide")).distinct()
+    own = roots.select(F.col("id").alias("b"), F.col("root").alias("b_root"))
+    center = roots.select(F.col("id").alias("a"), F.col("root").alias("a_root"))
+    of = stars.where("cell >= 0").join(own, "b", "left").join(center, "a", "left").withColumn("root", F.coalesce("b_root", "b"))
+    of = of.join(of.where(F.col("root") != F.coalesce("a_root", "a")).select("a").distinct(), "a", "left_semi")
+    of = of.join(candidates.select(F.col("vertex").alias("b"), "sketch"), "b").select("a", "cell", "b", "root", "n_b", "n_differ", "places", "differ", "sketch")
+
+    def tried(key: tuple, table: pa.Table) -> pa.Table:
+        b, root, n, d = (table.column(c).to_numpy() for c in ("b", "root", "n_b", "n_differ"))
+        lists = table.column("differ").combine_chunks()
+        sketches = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS)
+        element = lists.flatten().to_numpy(zero_copy_only=False)
+        place = table.column("places").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        order = np.argsort(element, kind="stable")
+        element, place, owner = element[order], place[order], owner[order]
+        edges = np.concatenate([[0], np.flatnonzero(element[1:] != element[:-1]) + 1, [len(element)]])
+        found: list[np.ndarray] = []
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if high - low < 2 or (root[owner[low:high]] == root[owner[low]]).all():
+                continue
+            for i in range(low, high, 1024):
+                for j in range(i, high, 1024):
+                    x, y = owner[i : min(i + 1024, high), None], owner[None, j : min(j + 1024, high)]
+                    total = n[x] + n[y]
+                    need = (d[x] + d[y] - (100 - similarity) * total // (100 + similarity) + 1) // 2
+                    fits = (root[x] != root[y]) & (place[i : min(i + 1024, high), None] <= d[x] - need + 1) & (place[None, j : min(j + 1024, high)] <= d[y] - need + 1)
+                    p, q = np.nonzero(fits & (100 * np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])))
+                    p, q = x[p, 0], y[0, q]
+                    bits = np.bitwise_count(sketches[p] ^ sketches[q]).sum(1)
+                    near = (bits * (100 + similarity) <= (100 - similarity) * (n[p] + n[q])) & (b[p] != b[q])
+                    found.append(np.unique(np.minimum(p[near], q[near]) * len(b) + np.maximum(p[near], q[near])))
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        x, y = b[pairs // max(1, len(b))], b[pairs % max(1, len(b))]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return of.groupBy("a", "cell").applyInArrow(tried, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -238,7 +414,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
 
     Large-star and small-star steps: every vertex hands its larger, then its smaller neighbours to the smallest of them;
     the edges become stars in a number of rounds that grows as the logarithm of the component's size.  Each round is
-    written to the shared folder, so plans stay short and lost executors cost little.
+    written to the shared folder, so plans stay short and lost executors cost little.  An error if 99 rounds don't do.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = shared.stored(e, folder, f"{name}-0")
@@ -253,61 +429,85 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         shared.drop_stored(e.sparkSession, f"{folder}/{name}-{i - 1}")
         if now == mark:
-            break
+            return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
         mark = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    raise RuntimeError("components did not settle in 99 rounds")
+
+
+def set_components(docs: DataFrame, folder: str, width: int, similarity: int) -> DataFrame:
+    """doc_id, text_print, n_shingles, component of every row of ``docs`` (doc_id, text), stored; ``component`` names the
+    rows that links join by a number of its own, null for empty sets."""
+    made = shared.stored(shingle_table(docs, width), folder, "shingles")
+    filled = made.where("n_shingles > 0")
+    elements = filled.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    bits = max(0, (elements // RANGE_SIGNATURES).bit_length())
+    meeting = shared.stored(met(signature_blocks(docs, width, similarity, bits)), folder, "met")
+    pairs = shared.stored(meeting.where("not large").select("p", "q").distinct(), folder, "small")
+    held = meeting.where("large").select(F.col("p").alias("signature"), F.col("q").alias("vid"))
+    wanted = shared.stored(pairs.select(F.explode(F.array("p", "q")).alias("vid")).unionByName(held.select("vid")).distinct(), folder, "wanted")
+    vid = F.shiftrightunsigned("vertex", 24)
+    row = F.min(F.struct("doc_id", "text_print")).alias("row")
+    candidates = filled.withColumn("vid", vid).join(_small(wanted, wanted.count()), "vid", "left_semi").groupBy("vertex", "vid")
+    candidates = shared.stored(candidates.agg(row, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), folder, "candidates")
+    members = shared.stored(held.join(candidates.select("vid", "vertex"), "vid").select("signature", "vertex").distinct(), folder, "members")
+    near = _near_pairs(pairs, candidates, similarity).select("a", "b", F.lit(0).alias("cells"))
+    pairs = shared.stored(near.unionByName(_leader_pairs(members)), folder, "pairs")
+    roots = None
+    if not pairs.isEmpty():
+        used = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+        rows = shared.stored(candidates.join(used, "vertex").select("vertex", "row.*"), folder, "rows")
+        rows_of = _small(rows.select("vertex", F.col("doc_id").alias("_id"), F.col("text_print").alias("_print")), rows.count())
+        texts = _keyed(docs).join(rows_of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_print") == F.col("_print")))
+        texts = shared.stored(texts.select("vertex", "text").dropDuplicates(["vertex"]), folder, "texts")
+        stars = shared.stored(_compared(pairs, texts, width, similarity), folder, "stars")
+        links = stars.where("linked").select("a", "b")
+        roots = components(links, folder, "near")
+        far = shared.stored(_far_pairs(stars, roots, candidates, similarity).select("a", "b", F.lit(0).alias("cells")), folder, "far")
+        if not far.isEmpty():
+            more = shared.stored(_compared(far, texts, width, similarity).where("linked").select("a", "b"), folder, "more")
+            if not more.isEmpty():
+                roots = components(links.unionByName(more), folder, "all")
+    named = made.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("vertex")))
+    if roots is not None:
+        named = named.join(_small(roots, roots.count()), F.col("component") == F.col("id"), "left").withColumn("component", F.coalesce("root", "component"))
+    return shared.stored(named.select("doc_id", "text_print", "n_shingles", "component"), folder, "components")
 
 
-def jaccard_components(docs: DataFrame, folder: str, width: int = 3, similarity: int = 90, keep_signatures: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, folder: str, width: int = 3, similarity: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Texts are lower-cased (A-Z) and cut into words; a document's set are its distinct shingles of ``width`` words, or the
     whole sequence if it has fewer.  Documents link when 100 * intersection >= ``similarity`` * union; component_id is
     the smallest doc_id reachable.  Null, empty and blank texts have an empty set and link with nothing.  Repeated rows
-    and equal texts link; rows with the same doc_id are one document to others but each is returned.  An empty table
-    gives an empty table.  Signatures are kept in the shared folder (8 bytes each) or, without ``keep_signatures``, made
-    again for the second look at them: less disk, another pass over the texts.
+    and equal texts link.  Rows of one doc_id with different texts are documents of their own that share a name; null
+    ids take part, and a component of null ids alone has a null component_id.  An empty table gives an empty table.
+    Other columns are not read.
     """
-    made = shared.stored(shingle_table(docs, width, similarity, signs=keep_signatures), folder, "shingles")
-    equal = made.where("n_shingles > 0").groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("rep"))
-    equal = shared.stored(equal, folder, "equal")
-    reps = _small(equal.select(F.col("rep").alias("doc_id")), equal.count())
-    signers = made if keep_signatures else shingle_table(docs.join(reps, "doc_id", "left_semi"), width, similarity, prints=False)
-    signed = signers.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("signatures").alias("signature"))
-    several = shared.stored(signed.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1"), folder, "several")
-    held = shared.stored(signed.join(_small(several, several.count()), "signature"), folder, "held")
-    pairs = shared.stored(_leader_pairs(held), folder, "pairs")
-    n_pairs = pairs.count()
-    roots = None
-    if n_pairs:
-        stars = shared.stored(_compared(docs, pairs, n_pairs, width, similarity), folder, "stars")
-        links = stars.where("linked").select("a", "b")
-        roots = components(links, folder, "near")
-        far = shared.stored(_far_pairs(stars, roots, similarity).join(pairs, ["a", "b"], "left_anti"), folder, "far")
-        n_far = far.count()
-        if n_far:
-            more = shared.stored(_compared(docs, far, n_far, width, similarity).where("linked").select("a", "b"), folder, "more")
-            if not more.isEmpty():
-                roots = components(links.unionByName(more), folder, "all")
-    reps = equal.select("n_shingles", "print_a", "print_b", "rep")
-    if roots is not None:
-        reps = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "print_a", "print_b", F.coalesce("root", "rep").alias("rep"))
-    full = made.where("n_shingles > 0").select("doc_id", "n_shingles", "print_a", "print_b").join(reps, ["n_shingles", "print_a", "print_b"])
-    none = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", "n_shingles", F.col("rep").alias("component_id")).unionByName(none)
+    found = set_components(docs, folder, width, similarity)
+    named = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(named, "component", "left").select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, folder: str, width: int = 5, similarity: int = 80) -> DataFrame:
-    """``docs`` with one document of every component: the one whose doc_id names it.
+    """``docs`` with one row of every component: the one with the smallest doc_id (null last), of equal ids the one with
+    the smallest hash of its text, of rows that repeat both any one.  Rows with an empty set are components of their own.
 
-    Rows that repeat its doc_id stay only once, the one whose text hash is least.  Cases as in ``jaccard_components``.
+    Columns pass through, whatever their names.  Other cases as in ``jaccard_components``.
     """
-    found = jaccard_components(docs, folder, width, similarity, keep_signatures=False)
-    ids = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("_print")
-    chosen = docs.join(ids, "doc_id", "left_semi").withColumn("_print", F.xxhash64("text"))
-    once = chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = set_components(docs, folder, width, similarity)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_print")
+    kept = found.where("component is not null").groupBy("component").agg(F.min(place).alias("kept"))
+    kept = kept.select("component", F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_print").alias("kept_print"))
+    rows = found.groupBy("doc_id", "text_print", "component").agg(F.count("*").alias("n"))
+    same = F.col("component").isNull() | (F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_print") == F.col("kept_print")))
+    judged = rows.join(kept, "component", "left").withColumn("is_kept", same)
+    odd = shared.stored(judged.where("not is_kept or n > 1").select("doc_id", "text_print", "is_kept"), folder, "odd")
+    key, text_print, again = shared.free_names(docs.columns, "id", "print", "kept")
+    odd = _small(odd.select(F.col("doc_id").alias(key), F.col("text_print").alias(text_print), F.col("is_kept").alias(again)), odd.count())
+    marked = docs.join(odd, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_print)), "left")
+    once = marked.where(F.col(again)).withColumn(again, F.row_number().over(Window.partitionBy(key, text_print).orderBy(F.lit(0)))).where(F.col(again) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(F.col(again).isNull()).select(*columns).unionByName(once.select(*columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

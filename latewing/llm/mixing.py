@@ -4,9 +4,10 @@ Every document gets a hash-random key; within its source documents are ordered b
 sizes are formed, and the order is cut where the source's budget of words is used up.  A budget above the source's
 size first takes the whole source, as often as it fits (epochs), and cuts the rest.
 
-Nothing runs over a whole source in one task.  The order is dealt into buckets of neighbouring keys, as many per source
-as its rows ask for, so that all buckets hold about as many rows whatever the source; a small table of bucket totals
-gives each bucket the sum before it.
+Nothing runs over a whole source in one task.  The order is cut into ranges of neighbouring keys, as many per source
+as its rows ask for, so that all ranges hold about as many rows whatever the source; running sums of their totals say in
+which range a source's budget ends, and running sums in that range on which row.  A small table with one row per source
+then says all: whether a row is taken follows from its key alone.
 """
 
 from __future__ import annotations
@@ -60,78 +61,101 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     )
 
 
-def mix(sizes: DataFrame, folder: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """(row_id, source, size) -> those and source_size, target, taken: the words of each row that the mix takes.
+def _key(seed: int):
+    """The hash-random key of a row, 53 bits of its id and its text's hash: reruns agree."""
+    return F.shiftrightunsigned(F.xxhash64("row_id", "text_print", F.lit(seed)), 11)
 
-    ``taken`` counts repeats: a row in the last, cut epoch is taken once more than one behind the cut, and the row on
-    the cut is taken in part, so that a source's ``taken`` add up to its target rounded down.  Keys depend on row_id
-    and seed alone, so reruns agree; rows with equal ids are ordered by size.  Rows of size 0 are returned with taken 0.
-    An empty table gives an empty table.
+
+def _printed(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with a text_print: the same for all rows, unless they have one."""
+    return sizes if "text_print" in sizes.columns else sizes.withColumn("text_print", F.lit(0).cast("long"))
+
+
+def cuts(sizes: DataFrame, folder: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """One row per source of (row_id, text_print, source, size): source, source_size, target, epochs that take all of it,
+    and where the last, cut epoch ends: cut_key, cut_id, cut_print, and the words that a row on the cut gives (cut_words).
+
+    Totals of ranges of keys say which range a source's cut lies in; only that range is sorted, and running sums in it
+    find the row.  Rows with equal id and text are one item of their joint size; a cut inside such an item takes the
+    same number of words of each of its rows, so less than a word of each is lost.
     """
     targets = shared.stored(source_targets(sizes, weights, share, cap), folder, "targets")
     total = targets.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
-    per_bucket = max(500, int(total**0.5))  # both the rows of a bucket and the number of buckets stay small
-    key = F.xxhash64(F.col("row_id"), F.lit(seed))
-    u = F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
-    # a row per source: broadcast only if Spark finds it small
-    placed = (
-        sizes.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        .drop("_s")
-        .withColumn("key", key)
-        .withColumn("bucket", F.floor(u * F.ceil(F.col("n_rows") / per_bucket)).cast("int"))
-    )
-    named = F.struct(F.col("source").isNull(), F.coalesce(F.col("source"), F.lit(""))).alias("named")
-    placed = placed.select("*", named)
-    sums = placed.groupBy("named", "bucket").agg(F.sum("size").alias("bucket_size"))
-    running = Window.partitionBy("named").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("named", "bucket", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias("bucket_start"))
-    within = Window.partitionBy("named", "bucket").orderBy("u_key", "row_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = max(500, int(total**0.5))  # both the rows of a range and the number of ranges stay small
     budget = F.floor("target").cast("long")
     full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    cut = budget - full * F.col("source_size") - F.col("start")
-    return (
-        placed.withColumn("u_key", F.shiftrightunsigned("key", 11))
-        .join(sums, ["named", "bucket"])
-        .withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .withColumn("taken", full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), cut)))
-        .select("row_id", "source", "size", "source_size", "target", "taken")
-    )
+    named = F.struct(F.col("source").isNull(), F.coalesce(F.col("source"), F.lit(""))).alias("named")
+    plan = targets.withColumn("epochs", full).withColumn("rest", budget - full * F.col("source_size")).select(named, "source", "n_rows", "source_size", "target", "epochs", "rest")
+    u = F.col("key") / F.lit(float(1 << 53))
+    items = sizes.where("size > 0").select(named, "row_id", "text_print", "size", _key(seed).alias("key"))
+    placed = items.join(plan.select("named", "n_rows", "rest"), "named").withColumn("range", F.floor(u * F.ceil(F.col("n_rows") / per_range)).cast("int"))
+    running = Window.partitionBy("named").orderBy("range")
+    sums = placed.groupBy("named", "range").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
+    sums = sums.withColumn("end", F.sum("size").over(running)).where((F.col("end") > F.col("rest")) & (F.col("end") - F.col("size") <= F.col("rest")))
+    held = placed.drop("rest").join(sums.select("named", "range", (F.col("rest") - F.col("end") + F.col("size")).alias("left")), ["named", "range"])
+    held = held.groupBy("named", "key", "row_id", "text_print").agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.first("left").alias("left"))
+    running = Window.partitionBy("named").orderBy("key", F.col("row_id").asc_nulls_first(), "text_print")
+    on_cut = held.withColumn("end", F.sum("size").over(running)).where((F.col("end") > F.col("left")) & (F.col("end") - F.col("size") <= F.col("left")))
+    words = F.floor((F.col("left") - F.col("end") + F.col("size")) / F.col("rows")).cast("long")
+    ends = on_cut.select("named", F.col("key").alias("cut_key"), F.col("row_id").alias("cut_id"), F.col("text_print").alias("cut_print"), words.alias("cut_words"))
+    return shared.stored(plan.join(ends, "named", "left").drop("named", "n_rows", "rest"), folder, "cuts")
+
+
+def _taken(seed: int):
+    """The words that the mix takes of a row that is joined with its source's row of ``cuts``."""
+    before = F.struct(_key(seed).alias("k"), F.col("row_id").alias("i"), F.col("text_print").alias("p"))
+    at = F.struct(F.col("cut_key").alias("k"), F.col("cut_id").alias("i"), F.col("cut_print").alias("p"))
+    last = F.when(before < at, F.col("size")).when(before.eqNullSafe(at), F.col("cut_words")).otherwise(F.lit(0))
+    return F.col("epochs") * F.col("size") + F.when(F.col("cut_key").isNull(), F.lit(0)).otherwise(last)
+
+
+def mix(sizes: DataFrame, folder: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
+    """(row_id, source, size and, if ids repeat, text_print) -> row_id, source, size, source_size, target, taken: the
+    words of each row that the mix takes.
+
+    ``taken`` counts repeats: a row in the last, cut epoch is taken once more than one behind the cut, and the row on
+    the cut is taken in part, so that a source's ``taken`` add up to its target rounded down (or, with rows that repeat
+    both id and text on the cut, to less than one word of each below).  Rows of size 0 are returned with taken 0.
+    An empty table gives an empty table.
+    """
+    sizes = _printed(sizes)
+    ends = cuts(sizes, folder, weights, share, cap, seed).withColumnRenamed("source", "_source")
+    # a row per source: broadcast only if Spark finds it small
+    both = sizes.join(ends, F.col("source").eqNullSafe(F.col("_source")))
+    return both.select("row_id", "source", "size", "source_size", "target", _taken(seed).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, folder: str, **settings) -> DataFrame:
+def mixed_documents(docs: DataFrame, folder: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """``docs`` (doc_id, text, source and any others) as the mix takes them: every row once per epoch that takes it
     whole, and the row on a source's cut once more with the text ended after the last word taken.
 
-    Rows that the mix does not take are gone.  Null texts have no words and go too.  Rows with equal doc_id are told
-    apart by an order of their own, so repeated rows are each taken as often as their place says.
+    Rows that the mix does not take are gone.  Null texts have no words and go too.  Rows that repeat both doc_id and
+    text are taken alike.  Columns pass through, whatever their names.  Texts are read twice, to count their words and to
+    take them; they are never shuffled.
     """
-    names = docs.columns
-    sizes = shared.stored(docs.select(F.col("doc_id"), F.col("source"), count_words("text").alias("size"), F.xxhash64("text").alias("print")), folder, "sizes")
-    # rows with the same id are told apart by their number among them
-    twins = Window.partitionBy("doc_id").orderBy("print", "source")
-    rows = sizes.withColumn("twin", F.row_number().over(twins)).withColumn("row_id", F.struct("doc_id", "twin"))
-    taken = mix(rows.select("row_id", "source", "size"), folder, **settings)
-    plan = taken.where("taken > 0").select(
-        F.col("row_id.doc_id").alias("_id"), F.col("row_id.twin").alias("_twin"), F.col("size").alias("_size"), F.col("taken").alias("_taken")
-    )
-    plan = shared.stored(plan, folder, "plan")
-    twins = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source")
-    parts = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
-    left = F.col("_taken") - (F.col("_part") - 1) * F.col("_size")
-    return (
-        docs.withColumn("_n", F.row_number().over(twins))
-        .join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_twin")))
-        .withColumn("_part", F.explode(parts))
-        .withColumn("text", F.when(left < F.col("_size"), first_words("text", left)).otherwise(F.col("text")))
-        .select(*[F.col(f"`{c}`") for c in names])
-    )
+    (whole,) = shared.free_names(["size", "text_print"], "document")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col("doc_id").alias("row_id"), F.col("source"), F.col("text"))
+    rows = rows.select(whole, "row_id", "source", "text", F.xxhash64("text").alias("text_print"), count_words("text").alias("size"))
+    sizes = shared.stored(rows.select("row_id", "text_print", "source", "size"), folder, "sizes")
+    ends = cuts(sizes, folder, weights, share, cap, seed).withColumnRenamed("source", "_source")
+    taken = rows.join(ends, F.col("source").eqNullSafe(F.col("_source"))).withColumn("taken", _taken(seed)).where("taken > 0")
+    left = F.col("taken") % F.col("size")
+    # only texts on a cut go to Python
+    taken = taken.withColumn("short", first_words(F.when(left > 0, F.col("text")), left))
+    parts = F.concat(F.array_repeat(F.lit(True), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(left > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    each = taken.select(whole, "short", F.explode(parts).alias("entire"))
+    text = F.when(F.col("entire"), F.col(f"{whole}.text")).otherwise(F.col("short"))
+    return each.select(*[text.alias(c) if c == "text" else F.col(f"{whole}.`{c}`").alias(c) for c in docs.columns])
 
 
 @F.arrow_udf(T.StringType())
 def first_words(texts: pa.Array, n: pa.Array) -> pa.Array:
-    """Each text up to the end of its n-th word."""
+    """Each text up to the end of its n-th word; null stays null."""
     out = []
     for text, k in zip(texts, n.to_pylist(), strict=True):
+        if not text.is_valid:
+            out.append(None)
+            continue
         data, offsets = shared.text_bytes(pa.array([text.as_py()], pa.string()))
         _, ends, _ = shared.word_spans(data, offsets)
         out.append(data[: ends[min(k, len(ends)) - 1]].tobytes().decode() if k > 0 and len(ends) else "")
@@ -141,7 +165,7 @@ def first_words(texts: pa.Array, n: pa.Array) -> pa.Array:
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
     folder = shared.shared_folder(spark)
-    sizes = docs.select(F.col("doc_id").alias("row_id"), "source", count_words("text").alias("size"))
+    sizes = docs.select(F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("text_print"), "source", count_words("text").alias("size"))
     mixed = mix(shared.stored(sizes, folder, "sizes"), folder)
     return mixed.select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -63,6 +63,17 @@ def drop_stored(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that clash with none of those taken, in any case."""
+    held, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while (name := f"_{name}").lower() in held:
+            pass
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

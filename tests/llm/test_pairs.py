@@ -208,3 +208,23 @@ def test_bounds_stop_early():
     base = np.column_stack([points[:16], np.sqrt(radius2 - (points[:16] ** 2).sum(1))])
     evaluated = [e for *_, e in topk.search_block(points[:5], np.arange(5), points, np.arange(4000), radius2, base, 10, run=128)]
     assert evaluated[-1] < 5 * 4000 * 0.8
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    copy = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(7, copy + " end", 1), (7, other, 2), (None, copy, 3), (None, "words of its own that nobody else has", 4), (3, copy, 5), (None, other, 6), (9, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int").withColumnRenamed("_id", "_id").selectExpr("*", "_id as _print", "_id as _kept", "_id as component", "_id as n", "_id as vertex")
+    kept = jaccard.keep_one(docs, shared.shared_folder(spark))
+    assert sorted(r._id for r in kept.collect()) == [2, 4, 5, 7] and kept.columns == docs.columns
+    found = jaccard.jaccard_components(docs, shared.shared_folder(spark), 5, 80).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in found) == [(-1, -1), (-1, 3), (-1, 7), (3, 3), (7, 3), (7, 7), (9, 9)]
+
+
+@pytest.mark.parametrize("similarity,small,hot", [(80, 8, 64), (80, 1, 2), (90, 2, 3)])
+def test_large_groups_and_hot_signatures(spark, monkeypatch, similarity, small, hot):
+    for name, value in (("SMALL", small), ("HOT", hot), ("BLOCK_SIGNATURES", 4000), ("RANGE_SIGNATURES", 500), ("CELL_MEMBERS", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = families(11, 3, 60, 12)
+    got = jaccard.jaccard_components(frame(spark, texts), shared.shared_folder(spark), 5, similarity)
+    assert sorted(map(tuple, got.collect())) == brute_components(texts, 5, similarity)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -206,3 +207,25 @@ def test_expectation_maximisation_finds_the_bad_labeler():
     chance, reliability = pii.expectation_maximisation(patterns, counts.astype(float))
     assert ((chance > 0.5)[inverse.ravel()] == truth).mean() > 0.97
     assert abs(reliability[3, 2, 1] - reliability[3, 2, 0]) < 0.05 and reliability[0, 2, 1] > 0.9
+
+
+def test_mixing_repeated_and_null_ids_and_clashing_names(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        text = " ".join(rng.choices(["a", "b", "c"], k=rng.randrange(1, 30)))
+        rows.append((None if i % 5 == 0 else i % 40, text, f"s{i % 3}" if i % 7 else None, i))
+    rows += [(1, "same words again and again", "s1", 1)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _n int")
+    docs = docs.selectExpr("*", "_n as _part", "_n as size", "_n as taken", "_n as _document", "_n as row_id", "_n as key", "_n as text_print", "_n as `dotted.name`")
+    mixed = mixing.mixed_documents(docs, shared.shared_folder(spark))
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    for source in ("s0", "s1", "s2", None):
+        own = sum(len(r[1].split()) for r in rows if r[2] == source)
+        taken = sum(len(r.text.split()) for r in got if r.source == source)
+        sizes = docs.selectExpr("doc_id as row_id", "source", "size(split(text, ' ')) as size")
+        target = next(r.target for r in mixing.source_targets(sizes, (3, 1, 2)).collect() if r.source == source)
+        assert target - 41 <= taken <= target <= 2 * own + 1e-6
+    assert all(r._n == r._part == r["size"] == r["dotted.name"] for r in got)
+    assert len(got) == mixing.mixed_documents(docs.repartition(5), shared.shared_folder(spark)).count()
