@@ -3,8 +3,11 @@
 Both public vocabularies encode a text pre-token by pre-token, so a text's ids are the ids of its space-separated
 units laid end to end.  Units repeat heavily; each worker remembers the ids of units and of pre-tokens in two bounded
 dictionaries, and asks the library's model only for pre-tokens it has not seen.  Texts for which cutting at single
-spaces and line feeds is not provably the same (runs of white space, white space other than those two) are encoded
-whole by the library, as are units with characters outside Basic/Extended Latin.
+spaces and line feeds is not provably the same (runs of white space, white space other than those two, the string of an
+added token anywhere) are encoded whole by the library, as are units with characters outside Basic/Extended Latin.
+
+Ids are those of the library as it loads the vocabulary: the string of a special token in a text becomes that token.
+With ``special_as_text`` it is ordinary text.
 
 The memory of a worker is bounded by ``UNIT_CAP`` and ``PIECE_CAP`` entries; a full dictionary is emptied, which costs
 time, never results.
@@ -58,11 +61,14 @@ class _Memo(dict):
 class Encoder:
     """``encode(text)`` gives the ids as a numpy array of ``<u2`` or ``<u4``, by the vocabulary's size."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
+        added = [t for t in self.tok.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = [t.content.lower() for t in added]
+        self.added_heads = sorted({h for t in added for h in (t.content[:1].lower(), t.content[:1].upper())})
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 0xFFFF else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model = self.tok.model
@@ -102,6 +108,10 @@ class Encoder:
         """The ids' bytes."""
         if not text:
             return b""
+        if any(head in text for head in self.added_heads):
+            low = text.lower()
+            if any(token in low for token in self.added):
+                return self._library(text)
         words = text.split()
         gaps = text.count(" ") + text.count("\n")
         if len(words) != gaps + 1 or len("".join(words)) != len(text) - gaps:  # other than single spaces and line feeds
@@ -119,10 +129,10 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """This worker's encoder; kept between batches and tasks."""
     gc.set_threshold(100_000, 50, 1000)  # many short-lived tokens, no cycles
-    return Encoder(path)
+    return Encoder(path, special_as_text)
 
 
 def crc_of(ids: np.ndarray) -> int:

@@ -1,9 +1,11 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from latewing.llm import packing, shared, tokenfile
 from latewing.llm.tokenizing import encoder
@@ -12,9 +14,17 @@ from tests.llm.helpers import ODD_TEXTS, empty, frame
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
+@lru_cache
+def plain(name, special_as_text=False):
+    """The library's own tokenizer, not the one under test."""
+    tok = Tokenizer.from_file(tokenfile.default_vocabulary(name))
+    if special_as_text:
+        tok.encode_special_tokens = True
+    return tok
+
+
 def library(name, text):
-    tok = encoder(tokenfile.default_vocabulary(name)).tok
-    return tok.encode_batch([text or ""], add_special_tokens=False)[0].ids
+    return plain(name).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -31,6 +41,18 @@ def test_encoder_on_random_texts(name, text):
     assert encoder(tokenfile.default_vocabulary(name)).encode(text).tolist() == library(name, text)
 
 
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", "<|", " ", "a", "it's", "x<|endoftext|>y", "\n", "\u2028", "1"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=150, deadline=None)
+@given(parts=st.lists(st.sampled_from(SPECIAL), max_size=8))
+def test_special_tokens_in_texts(name, parts):
+    text, path = "".join(parts), tokenfile.default_vocabulary(name)
+    assert encoder(path).encode(text).tolist() == library(name, text)
+    assert encoder(path, True).encode(text).tolist() == plain(name, True).encode(text, add_special_tokens=False).ids
+
+
 def test_full_memory_is_emptied_not_wrong(monkeypatch):
     from latewing.llm import tokenizing
 
