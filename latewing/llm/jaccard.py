@@ -45,7 +45,7 @@ SMALL = 8
 #: A block sends its members of a signature by itself if they are more than this.
 HOT = 64
 #: Signatures of a block, and of a range of signatures that one step of a task resolves.
-BLOCK_SIGNATURES, RANGE_SIGNATURES = 1 << 21, 1 << 20
+BLOCK_SIGNATURES, RANGE_SIGNATURES = 1 << 19, 1 << 20
 #: Members of a leader whose differences meet in one cell; leaders with more have several cells, by element.
 CELL_MEMBERS = 1024
 SKETCH_WORDS = 8
@@ -266,7 +266,8 @@ def met(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows = -1, []
         for batch in batches:
-            for at, hot, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                at, hot, *packed = (c[i].as_py() for c in batch.columns)  # one row's bytes at a time
                 if hot:
                     yield table(True, np.frombuffer(packed[0], np.uint64), _from_planes(packed[1], 5))
                     continue

@@ -1,15 +1,20 @@
 """Exact top-k by inner product with a table of distances to pivots.
 
 Vectors are put on a sphere: with one more component sqrt(R^2 - |x|^2), R the greatest norm, a query's greatest inner
-products belong to its nearest points.  The pivot table holds each point's distances to some pivots.  By the triangle
-inequality |d(q, p) - d(x, p)| is at most d(q, x) for every pivot p; the greatest of these is x's lower bound.  A query
-takes points in the order of their bounds, a run at a time, and stops when the next bound lies beyond the k-th distance
-found: nothing behind it can be nearer.
-
-Both tables are cut into blocks, one row each, and every block of queries meets every block of points in a task of its
-own; the best k of each meeting are merged per query.  Blocks have a fixed number of rows, so memory does not grow, and
-each side is read once per block of the other.  A stopping rule carries no error: distances and bounds are compared
-with a margin above their rounding.
+products belong to its nearest points.  The pivot table holds each point's distances to many pivots, drawn far apart.  By
+the triangle inequality |d(q, p) - d(x, p)| is at most d(q, x) for every pivot p; the greatest of these is x's lower
+bound.  A query takes points in the order of their bounds, a run at a time, and stops when the next bound lies beyond
+the k-th distance found: nothing behind it can be nearer.
+
+Points nearest to the same one of a few pivots lie in one block, cut by hash where they are many; a block knows the least and the
+greatest distance to each pivot, which bound all its points at once.  Queries are dealt into blocks in the same way.
+First every block of queries meets a block of its own pivot, which gives each query a k-th distance.  Then blocks of
+queries and the intervals of blocks of points (no vectors) meet, and only pairs of blocks that the intervals leave are
+sent: to some tasks for each block of queries, nearest blocks first, so that k-th distances shrink on the way.  The best
+k of each task are merged per query.  Blocks have a bounded number of rows, so memory does not grow.  A stopping rule
+carries no error: distances and bounds are compared with a margin above their rounding.
+
+How much the bounds save depends on the vectors; the README has figures.
 """
 
 from __future__ import annotations
@@ -17,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,35 +34,12 @@ EXACT = float(1 << 53)
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: float) -> DataFrame:
     """(vec_id, x array<bigint>): floor(scale * component).  Vectors that are null or hold a null, NaN or infinite
-    component are left out."""
+    component, and those without an id, are left out."""
     x = F.transform(F.col(embedding), lambda c: F.floor(F.lit(scale) * c.cast("double")))
     usable = F.col(embedding).isNotNull() & F.forall(
         F.col(embedding), lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != F.lit(float("inf")))
     )
-    return vectors.where(usable).select(F.col(vec_id).alias("vec_id"), x.alias("x"))
-
-
-def _blocks(vectors: DataFrame, rows: int, total: int, name: str) -> DataFrame:
-    """One row per block: (name, ids binary, x binary), int64 little-endian, each block about ``rows`` vectors.
-
-    The padded width is that of the widest vector of the block; shorter vectors end in zeros, which add nothing.
-    """
-    n = max(1, -(-total // rows))
-
-    def packed(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        width = max(map(len, df["x"]), default=0)
-        x = np.zeros((len(df), width), np.int64)
-        for i, v in enumerate(df["x"]):
-            x[i, : len(v)] = v
-        return pd.DataFrame({name: [key[0]], "ids": [df["vec_id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "width": [width]})
-
-    dealt = vectors.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    return dealt.groupBy("_block").applyInPandas(packed, f"{name} int, ids binary, x binary, width int")
-
-
-def _widened(raw: bytes, n: int, width: int) -> np.ndarray:
-    x = np.frombuffer(raw, np.int64).reshape(n, -1) if n else np.zeros((0, 0), np.int64)
-    return np.pad(x, ((0, 0), (0, width - x.shape[1]))).astype(np.float64)
+    return vectors.where(usable & F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("vec_id"), x.alias("x"))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,114 +52,230 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[keep], scores[keep]
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, radius2: float, pivots: np.ndarray, k: int, run: int = 512, chunk: int = 64):
-    """Best k of ``points`` for each query: (query index, ids, scores) with ties to the smaller id, and how many
-    points were evaluated.  ``pivots`` are rows of the lifted space.
+def _margin(radius2: float) -> float:
+    """Above the rounding of distances and of bounds in 32 bits."""
+    return 1e-4 * (1.0 + np.sqrt(radius2))
+
 
-    The nearest ``run`` points by bound are evaluated first, and the k-th of them sets the limit.  What the limit leaves
-    follows in order of bounds, run by run; where it leaves more than a quarter of the block, order saves nothing and a
-    matrix product evaluates the rest for all such queries of a chunk at once.
+class Search:
+    """A block of queries on its way through blocks of points: the best k so far of each.
+
+    ``known`` are scores that k other points of the table are known to reach at least (or None).
     """
-    lift = np.sqrt(np.maximum(radius2 - (points**2).sum(1), 0.0))
-    table = _distances(np.column_stack([points, lift]), pivots).astype(np.float32).T.copy()
-    from_query = _distances(np.column_stack([queries, np.zeros(len(queries))]), pivots).astype(np.float32)
-    margin = 1e-4 * (1.0 + np.sqrt(radius2))  # above the rounding of 32-bit bounds
-    norms = (queries**2).sum(1)
-    exact = max(np.abs(points).max(initial=0.0), 1.0) * max(np.abs(queries).max(initial=0.0), 1.0) * points.shape[1] < EXACT
-
-    def scores_of(rows: np.ndarray, q: int) -> np.ndarray:
-        if exact:
-            return np.rint(points[rows] @ queries[q]).astype(np.int64)
-        return points[rows].astype(np.int64) @ queries[q].astype(np.int64)
-
-    def limit_of(best: np.ndarray, q: int) -> float:  # squared distance to the k-th: R^2 + |q|^2 - 2 <q, x>
-        return np.sqrt(max(radius2 + norms[q] - 2.0 * best[-1], 0.0)) + margin if len(best) == k else np.inf
-
-    evaluated = 0
-    bound, gap = np.empty(len(points), np.float32), np.empty(len(points), np.float32)
-    for start in range(0, len(queries), chunk):
-        wide = []  # queries that a matrix product finishes: index, points left
-        for q in range(start, min(start + chunk, len(queries))):
-            bound[:] = 0
-            for p in range(len(table)):
-                np.subtract(table[p], from_query[q, p], out=gap)
-                np.abs(gap, out=gap)
-                np.maximum(bound, gap, out=bound)
-            bound[ids == query_ids[q]] = np.inf  # not its own candidate
-            first = np.argpartition(bound, run)[:run] if len(bound) > run else np.arange(len(bound))
-            first = first[np.isfinite(bound[first])]
-            best_ids, best = _best(scores_of(first, q), ids[first], k)
-            evaluated += len(first)
-            left = bound <= limit_of(best, q)
-            left &= np.isfinite(bound)
-            n_left = int(left.sum())
-            if exact and n_left > 0.25 * len(points):
-                wide.append((q, left))
-                evaluated += n_left - len(first)
-                continue
-            left[first] = False
-            rest = np.flatnonzero(left)
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, radius2: float, pivots: np.ndarray, k: int, known: np.ndarray | None = None, run: int = 512):
+        self.queries, self.ids, self.radius2, self.k, self.run = queries, ids, radius2, k, run
+        self.table = _distances(np.column_stack([queries, np.zeros(len(queries))]), pivots).astype(np.float32)
+        self.norms = (queries**2).sum(1)
+        self.known = known if known is not None else np.full(len(queries), np.nan)
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+        self.evaluated = np.zeros(len(ids), np.int64)
+
+    def limits(self) -> np.ndarray:
+        """The distance that a point must not exceed to be among the best k: that of the k-th score known."""
+        own = np.array([best[-1] if len(best) == self.k else -np.inf for _, best in self.best])
+        score = np.fmax(own, self.known)
+        with np.errstate(invalid="ignore"):
+            far = np.sqrt(np.maximum(self.radius2 + self.norms - 2.0 * score, 0.0)) + _margin(self.radius2)
+        return np.where(np.isfinite(score), far, np.inf)
+
+    def meet(self, points: np.ndarray, ids: np.ndarray, table: np.ndarray) -> None:
+        """``table`` holds the points' distances to the pivots, a row for each pivot."""
+        exact = max(np.abs(points).max(initial=0.0), 1.0) * max(np.abs(self.queries).max(initial=0.0), 1.0) * points.shape[1] < EXACT
+        limits = self.limits()
+        step = max(1, (1 << 20) // max(1, len(points)))
+        for q in range(len(self.ids)):
+            if q % step == 0:  # bounds of the next few queries
+                chunk = self.table[q : q + step]
+                bounds = np.zeros((len(chunk), len(points)), np.float32)
+                gap = np.empty_like(bounds)
+                for p in range(len(table)):
+                    np.subtract(table[p][None, :], chunk[:, p : p + 1], out=gap)
+                    np.abs(gap, out=gap)
+                    np.maximum(bounds, gap, out=bounds)
+            bound = bounds[q % step]
+            rest = np.flatnonzero((bound <= limits[q]) & (ids != self.ids[q]))
             rest = rest[np.argsort(bound[rest], kind="stable")]
-            for at in range(0, len(rest), run):
-                part = rest[at : at + run]
-                if bound[part[0]] > limit_of(best, q):
+            best_ids, best = self.best[q]
+            for at in range(0, len(rest), self.run):
+                part = rest[at : at + self.run]
+                if at and len(best) == self.k and bound[part[0]] > np.sqrt(max(self.radius2 + self.norms[q] - 2.0 * best[-1], 0.0)) + _margin(self.radius2):
                     break
-                evaluated += len(part)
-                best_ids, best = _best(np.concatenate([best, scores_of(part, q)]), np.concatenate([best_ids, ids[part]]), k)
-            yield q, best_ids, best, evaluated
-        if wide:
-            products = queries[[q for q, _ in wide]] @ points.T
-            for (q, left), row in zip(wide, products, strict=True):
-                rows = np.flatnonzero(left)
-                best_ids, best = _best(np.rint(row[rows]).astype(np.int64), ids[rows], k)
-                yield q, best_ids, best, evaluated
+                if exact:
+                    scores = np.rint(points[part] @ self.queries[q]).astype(np.int64)
+                else:
+                    scores = points[part].astype(np.int64) @ self.queries[q].astype(np.int64)
+                self.evaluated[q] += len(part)
+                best_ids, best = _best(np.concatenate([best, scores]), np.concatenate([best_ids, ids[part]]), self.k)
+            self.best[q] = (best_ids, best)
+
+
+def search_block(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, radius2: float, pivots: np.ndarray, k: int, run: int = 512):
+    """Best k of ``points`` for each query: (query index, ids, scores, points evaluated), ties to the smaller id.
+    ``pivots`` are rows of the lifted space."""
+    search = Search(queries, query_ids, radius2, pivots, k, run=run)
+    search.meet(points, ids, pivot_table(points, radius2, pivots))
+    for q, (found, scores) in enumerate(search.best):
+        yield q, found, scores, int(search.evaluated[q])
+
+
+def pivot_table(points: np.ndarray, radius2: float, pivots: np.ndarray) -> np.ndarray:
+    """A row for each pivot: its distance to every point on the sphere."""
+    lift = np.sqrt(np.maximum(radius2 - (points**2).sum(1), 0.0))
+    return _distances(np.column_stack([points, lift]), pivots).astype(np.float32).T.copy()
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.column_stack([np.sqrt(np.maximum(((a - p) ** 2).sum(1), 0.0)) for p in b]) if len(b) else np.zeros((len(a), 0))
 
 
-def exact_top_k(queries: DataFrame, points: DataFrame, folder: str, k: int = 20, pivots: int = 16, point_rows: int = 16_384, query_rows: int = 2_048) -> DataFrame:
+def far_apart(points: np.ndarray, n: int) -> np.ndarray:
+    """Up to n rows of ``points``, each the farthest from those before it; equal rows once."""
+    chosen, gap = [], np.full(len(points), np.inf)
+    at = 0
+    while len(chosen) < min(n, len(points)):
+        chosen.append(at)
+        gap = np.minimum(gap, ((points - points[at]) ** 2).sum(1))
+        at = int(gap.argmax())
+        if gap[at] <= 0:
+            break
+    return points[chosen]
+
+
+_BLOCK = "cell int, part bigint, ids binary, x binary, dist binary, low binary, high binary"
+
+
+def _blocks(vectors: DataFrame, rows: int, width: int, radius2: float, pivots: np.ndarray, cells: int, lifted: bool, folder: str, name: str) -> DataFrame:
+    """Blocks of (vec_id, x) by the nearest of the first ``cells`` pivots, each of about ``rows`` vectors: the ids (int64), the vectors (int64), the
+    table of their distances to the pivots (float32, a row for each pivot) and its least and greatest of each row."""
+    given = "vec_id bigint, cell int"
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("x"), width)
+            lift = np.sqrt(np.maximum(radius2 - (x**2).sum(1), 0.0)) if lifted else np.zeros(len(x))
+            near = _distances(np.column_stack([x, lift]), pivots[:cells]).argmin(1) if len(pivots) else np.zeros(len(x), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(near.astype(np.int32)), batch.column("x")], names=["vec_id", "cell", "x"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("x").combine_chunks(), width)
+        dist = pivot_table(x, radius2, pivots) if lifted else _distances(np.column_stack([x, np.zeros(len(x))]), pivots).astype(np.float32).T
+        row = [table.column("cell")[0].as_py(), table.column("part")[0].as_py(), ids.tobytes(), x.astype(np.int64).tobytes(), dist.tobytes(), dist.min(1).tobytes(), dist.max(1).tobytes()]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split(" ")[0] for c in _BLOCK.split(", ")])
+
+    placed = shared.stored(vectors.select("vec_id", "x").mapInArrow(nearest, f"{given}, x array<bigint>"), folder, f"{name}-cells")
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / rows).alias("parts"))  # a row for each pivot
+    dealt = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).drop("parts")
+    return shared.stored(dealt.groupBy("cell", "part").applyInArrow(packed, _BLOCK), folder, f"{name}-blocks")
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists as rows of a matrix, filled with zeros."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(column), width))
+    rows = np.repeat(np.arange(len(column)), lengths)
+    out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def exact_top_k(
+    queries: DataFrame, points: DataFrame, folder: str, k: int = 20, pivots: int = 128, sample: int = 2_048, point_rows: int = 8_192, query_rows: int = 1_024, lanes: int = 8, measured: bool = False
+) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` greatest inner products of every query of (vec_id, x) with every
-    point of (vec_id, x) but its own; all of them if fewer.  Ties go to the smaller vec_id.
+    point of (vec_id, x) but its own; all of them if fewer.  Ties go to the smaller vec_id.  ``measured`` adds n_evaluated,
+    the number of points that were evaluated for the query.
 
     Vectors of different widths are filled with zeros.  Repeated rows count as often as they stand there; equal rows of
-    one id leave each other out.  Empty tables, or a query alone, give no rows.  ``pivots`` points are drawn by hash as
-    pivots: a bounded sample that only steers speed.  Sums must stay below 2^63.
+    one id leave each other out.  Null ids must be left out before (``quantised`` does).  Empty tables, or a query alone,
+    give no rows.  ``pivots`` are chosen far apart from ``sample`` points drawn by hash: a bounded sample that only steers
+    speed.  Sums must stay below 2^63.
     """
-    points = shared.stored(points, folder, "points")
-    queries = shared.stored(queries, folder, "queries")
+    points = shared.stored(points.select("vec_id", "x"), folder, "points")
+    queries = shared.stored(queries.select("vec_id", "x"), folder, "queries")
     square = F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)
     n, radius2, width = points.agg(F.count("*"), F.max(square), F.max(F.size("x"))).first()
-    n_queries, query_width = queries.agg(F.count("*"), F.max(F.size("x"))).first()
-    width = max(width or 0, query_width or 0)
-    drawn = points.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(pivots).collect()
-    base = np.zeros((len(drawn), width + 1))
-    for i, row in enumerate(drawn):
-        base[i, : len(row.x)] = row.x
-        base[i, width] = np.sqrt(max((radius2 or 0.0) - float((base[i, :width] ** 2).sum()), 0.0))
-    point_blocks = _blocks(points, point_rows, n, "point_block")
-    query_blocks = _blocks(queries, query_rows, n_queries, "query_block")
-    n_query_blocks = max(1, -(-n_queries // query_rows))
-    meetings = (
-        point_blocks.withColumnsRenamed({"ids": "point_ids", "x": "point_x", "width": "point_width"})
-        .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-        .join(query_blocks, "query_block")
-        .repartition(max(8, points.sparkSession.sparkContext.defaultParallelism), "query_block", "point_block")
+    cells = -(-n // point_rows)
+    radius2, width = radius2 or 0.0, max(width or 0, queries.agg(F.max(F.size("x"))).first()[0] or 0)
+    drawn = points.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(sample).select("x").toArrow().column("x").combine_chunks()
+    x = _matrix(drawn, width)
+    base = far_apart(np.column_stack([x, np.sqrt(np.maximum(radius2 - (x**2).sum(1), 0.0))]), pivots)
+    point_blocks = _blocks(points, point_rows, width, radius2, base, cells, True, folder, "point")
+    query_blocks = _blocks(queries, query_rows, width, radius2, base, cells, False, folder, "query").select(
+        F.col("cell").alias("query_cell"), F.col("part").alias("query_part"), F.col("ids").alias("query_ids"), F.col("x").alias("query_x")
     )
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(row: dict, known: bytes | None = None) -> Search:
+        ids = np.frombuffer(row["query_ids"], np.int64)
+        return Search(np.frombuffer(row["query_x"], np.int64).reshape(len(ids), width).astype(np.float64), ids, radius2, base, k, None if known is None else np.frombuffer(known))
+
+    def meet(search: Search, row: dict) -> None:
+        ids = np.frombuffer(row["ids"], np.int64)
+        search.meet(np.frombuffer(row["x"], np.int64).reshape(len(ids), width).astype(np.float64), ids, np.frombuffer(row["dist"], np.float32).reshape(len(base), len(ids)))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                search = opened(row)
+                if row["ids"] is not None:
+                    meet(search, row)
+                known = np.array([best[-1] if len(best) == k else np.nan for _, best in search.best])
+                yield pa.RecordBatch.from_arrays([pa.array([row["query_cell"]], pa.int32()), pa.array([row["query_part"]], pa.int64()), pa.array([known.tobytes()], pa.binary())], names=["query_cell", "query_part", "known"])
+
+    own = point_blocks.where("part = 0").select(F.col("cell").alias("query_cell"), "ids", "x", "dist")
+    known = shared.stored(query_blocks.join(own, "query_cell", "left").mapInArrow(first, "query_cell int, query_part bigint, known binary"), folder, "known")
+    asked = shared.stored(query_blocks.join(known, ["query_cell", "query_part"]), folder, "asked")
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, last = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                ids, query_ids = np.frombuffer(row["point_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                x, q = _widened(row["point_x"], len(ids), width), _widened(row["x"], len(query_ids), width)
-                for i, found, scores, _ in search_block(q, query_ids, x, ids, radius2 or 0.0, base, k):
-                    n = len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, query_ids[i])), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
+                if (row["query_cell"], row["query_part"]) != last:
+                    last, search = (row["query_cell"], row["query_part"]), opened(row, row["known"])
+                low, high = np.frombuffer(row["low"], np.float32), np.frombuffer(row["high"], np.float32)
+                bound = np.maximum(np.maximum(search.table - high, low - search.table).max(1, initial=0.0), 0.0)
+                if (bound <= search.limits()).any():
+                    names = ["query_cell", "query_part", "cell", "part", "bound"]
+                    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([row[n] for n in names[:4]] + [float(bound.min())], kinds, strict=True)], names=names)
+
+    # a stated query set against the intervals of all blocks
+    tried = asked.join(point_blocks.select("cell", "part", "low", "high"), F.lit(True))
+    tried = shared.stored(tried.mapInArrow(left, "query_cell int, query_part bigint, cell int, part bigint, bound double"), folder, "tried")
+    meetings = tried.join(point_blocks.select("cell", "part", "ids", "x", "dist"), ["cell", "part"]).withColumn("lane", F.pmod(F.xxhash64("cell", "part"), F.lit(lanes)))
+    meetings = meetings.join(asked, ["query_cell", "query_part"]).repartition("query_cell", "query_part", "lane").sortWithinPartitions("query_cell", "query_part", "lane", "bound")
+
+    def found(search: Search) -> Iterator[pa.RecordBatch]:
+        counts = [len(ids) for ids, _ in search.best]
+        if sum(counts):
+            evaluated = np.repeat(search.evaluated, counts)
+            starts = np.cumsum(counts) - counts
+            evaluated[np.setdiff1d(np.arange(len(evaluated)), starts)] = 0  # once for each query
+            out = [np.repeat(search.ids, counts), *(np.concatenate([b[i] for b in search.best]) for i in (0, 1)), evaluated]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "vec_id", "score", "n_evaluated"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, last = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if (key := (row["query_cell"], row["query_part"], row["lane"])) != last:
+                    if search is not None:
+                        yield from found(search)
+                    last, search = key, opened(row, row["known"])
+                meet(search, row)
+        if search is not None:
+            yield from found(search)
 
-    found = meetings.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    each = meetings.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, n_evaluated bigint")
+    ranked = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if measured:
+        each = shared.stored(each, folder, "each")
+        ranked = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        sums = each.groupBy("query_id").agg(F.sum("n_evaluated").alias("n_evaluated"))
+        return ranked.drop("n_evaluated").join(sums, "query_id").select("query_id", "rank", "vec_id", "score", "n_evaluated")
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
