@@ -3,7 +3,7 @@
 Vectors are put on a sphere: with one more component sqrt(R^2 - |x|^2), R the greatest norm, a query's greatest inner
 products belong to its nearest points.  The pivot table holds each point's distances to many pivots, drawn far apart.  By
 the triangle inequality |d(q, p) - d(x, p)| is at most d(q, x) for every pivot p; the greatest of these is x's lower
-bound.  A query takes points in the order of their bounds, a run at a time, and stops when the next bound lies beyond
+bound.  A query takes points in the order of their bounds, in runs of growing length, and stops when the next bound lies beyond
 the k-th distance found: nothing behind it can be nearer.
 
 Points nearest to the same one of a few pivots lie in one block, cut by hash where they are many; a block knows the least and the
@@ -63,7 +63,7 @@ class Search:
     ``known`` are scores that k other points of the table are known to reach at least (or None).
     """
 
-    def __init__(self, queries: np.ndarray, ids: np.ndarray, radius2: float, pivots: np.ndarray, k: int, known: np.ndarray | None = None, run: int = 512):
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, radius2: float, pivots: np.ndarray, k: int, known: np.ndarray | None = None, run: int = 256):
         self.queries, self.ids, self.radius2, self.k, self.run = queries, ids, radius2, k, run
         self.table = _distances(np.column_stack([queries, np.zeros(len(queries))]), pivots).astype(np.float32)
         self.norms = (queries**2).sum(1)
@@ -97,8 +97,9 @@ class Search:
             rest = np.flatnonzero((bound <= limits[q]) & (ids != self.ids[q]))
             rest = rest[np.argsort(bound[rest], kind="stable")]
             best_ids, best = self.best[q]
-            for at in range(0, len(rest), self.run):
-                part = rest[at : at + self.run]
+            at, size = 0, self.run
+            while at < len(rest):
+                part = rest[at : at + size]
                 if at and len(best) == self.k and bound[part[0]] > np.sqrt(max(self.radius2 + self.norms[q] - 2.0 * best[-1], 0.0)) + _margin(self.radius2):
                     break
                 if exact:
@@ -107,10 +108,11 @@ class Search:
                     scores = points[part].astype(np.int64) @ self.queries[q].astype(np.int64)
                 self.evaluated[q] += len(part)
                 best_ids, best = _best(np.concatenate([best, scores]), np.concatenate([best_ids, ids[part]]), self.k)
+                at, size = at + size, size * 2
             self.best[q] = (best_ids, best)
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, radius2: float, pivots: np.ndarray, k: int, run: int = 512):
+def search_block(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, radius2: float, pivots: np.ndarray, k: int, run: int = 256):
     """Best k of ``points`` for each query: (query index, ids, scores, points evaluated), ties to the smaller id.
     ``pivots`` are rows of the lifted space."""
     search = Search(queries, query_ids, radius2, pivots, k, run=run)
@@ -142,11 +144,11 @@ def far_apart(points: np.ndarray, n: int) -> np.ndarray:
     return points[chosen]
 
 
-_BLOCK = "cell int, part bigint, ids binary, x binary, dist binary, low binary, high binary"
+_BLOCK = "cell int, part bigint, ids binary, kind string, x binary, dist binary, low binary, high binary"
 
 
 def _blocks(vectors: DataFrame, rows: int, width: int, radius2: float, pivots: np.ndarray, cells: int, lifted: bool, folder: str, name: str) -> DataFrame:
-    """Blocks of (vec_id, x) by the nearest of the first ``cells`` pivots, each of about ``rows`` vectors: the ids (int64), the vectors (int64), the
+    """Blocks of (vec_id, x) by the nearest of the first ``cells`` pivots, each of about ``rows`` vectors: the ids (int64), the vectors, the
     table of their distances to the pivots (float32, a row for each pivot) and its least and greatest of each row."""
     given = "vec_id bigint, cell int"
 
@@ -160,8 +162,8 @@ def _blocks(vectors: DataFrame, rows: int, width: int, radius2: float, pivots: n
     def packed(table: pa.Table) -> pa.Table:
         ids, x = table.column("vec_id").to_numpy(), _matrix(table.column("x").combine_chunks(), width)
         dist = pivot_table(x, radius2, pivots) if lifted else _distances(np.column_stack([x, np.zeros(len(x))]), pivots).astype(np.float32).T
-        row = [table.column("cell")[0].as_py(), table.column("part")[0].as_py(), ids.tobytes(), x.astype(np.int64).tobytes(), dist.tobytes(), dist.min(1).tobytes(), dist.max(1).tobytes()]
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        row = [table.column("cell")[0].as_py(), table.column("part")[0].as_py(), ids.tobytes(), *_packed(x), dist.tobytes(), dist.min(1).tobytes(), dist.max(1).tobytes()]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.string(), *[pa.binary()] * 4]
         return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split(" ")[0] for c in _BLOCK.split(", ")])
 
     placed = shared.stored(vectors.select("vec_id", "x").mapInArrow(nearest, f"{given}, x array<bigint>"), folder, f"{name}-cells")
@@ -170,6 +172,17 @@ def _blocks(vectors: DataFrame, rows: int, width: int, radius2: float, pivots: n
     return shared.stored(dealt.groupBy("cell", "part").applyInArrow(packed, _BLOCK), folder, f"{name}-blocks")
 
 
+def _packed(x: np.ndarray) -> tuple[str, bytes]:
+    """Whole numbers in the narrowest type that holds them."""
+    most = np.abs(x).max(initial=0.0)
+    kind = next(k for k in ("<i1", "<i2", "<i4", "<i8") if most <= np.iinfo(k).max)
+    return kind, x.astype(kind).tobytes()
+
+
+def _unpacked(kind: str, raw: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(raw, kind).reshape(rows, width).astype(np.float64)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Lists as rows of a matrix, filled with zeros."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -180,7 +193,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def exact_top_k(
-    queries: DataFrame, points: DataFrame, folder: str, k: int = 20, pivots: int = 128, sample: int = 2_048, point_rows: int = 8_192, query_rows: int = 1_024, lanes: int = 8, measured: bool = False
+    queries: DataFrame, points: DataFrame, folder: str, k: int = 20, pivots: int = 64, sample: int = 2_048, point_rows: int = 8_192, query_rows: int = 1_024, lanes: int = 8, measured: bool = False
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` greatest inner products of every query of (vec_id, x) with every
     point of (vec_id, x) but its own; all of them if fewer.  Ties go to the smaller vec_id.  ``measured`` adds n_evaluated,
@@ -202,16 +215,16 @@ def exact_top_k(
     base = far_apart(np.column_stack([x, np.sqrt(np.maximum(radius2 - (x**2).sum(1), 0.0))]), pivots)
     point_blocks = _blocks(points, point_rows, width, radius2, base, cells, True, folder, "point")
     query_blocks = _blocks(queries, query_rows, width, radius2, base, cells, False, folder, "query").select(
-        F.col("cell").alias("query_cell"), F.col("part").alias("query_part"), F.col("ids").alias("query_ids"), F.col("x").alias("query_x")
+        F.col("cell").alias("query_cell"), F.col("part").alias("query_part"), F.col("ids").alias("query_ids"), F.col("kind").alias("query_kind"), F.col("x").alias("query_x")
     )
 
     def opened(row: dict, known: bytes | None = None) -> Search:
         ids = np.frombuffer(row["query_ids"], np.int64)
-        return Search(np.frombuffer(row["query_x"], np.int64).reshape(len(ids), width).astype(np.float64), ids, radius2, base, k, None if known is None else np.frombuffer(known))
+        return Search(_unpacked(row["query_kind"], row["query_x"], len(ids), width), ids, radius2, base, k, None if known is None else np.frombuffer(known))
 
     def meet(search: Search, row: dict) -> None:
         ids = np.frombuffer(row["ids"], np.int64)
-        search.meet(np.frombuffer(row["x"], np.int64).reshape(len(ids), width).astype(np.float64), ids, np.frombuffer(row["dist"], np.float32).reshape(len(base), len(ids)))
+        search.meet(_unpacked(row["kind"], row["x"], len(ids), width), ids, np.frombuffer(row["dist"], np.float32).reshape(len(base), len(ids)))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +236,7 @@ def exact_top_k(
                 known = np.array([best[-1] if len(best) == k else np.nan for _, best in search.best])
                 yield pa.RecordBatch.from_arrays([pa.array([row["query_cell"]], pa.int32()), pa.array([row["query_part"]], pa.int64()), pa.array([known.tobytes()], pa.binary())], names=["query_cell", "query_part", "known"])
 
-    own = point_blocks.where("part = 0").select(F.col("cell").alias("query_cell"), "ids", "x", "dist")
+    own = point_blocks.where("part = 0").select(F.col("cell").alias("query_cell"), "ids", "kind", "x", "dist")
     known = shared.stored(query_blocks.join(own, "query_cell", "left").mapInArrow(first, "query_cell int, query_part bigint, known binary"), folder, "known")
     asked = shared.stored(query_blocks.join(known, ["query_cell", "query_part"]), folder, "asked")
 
@@ -243,7 +256,7 @@ def exact_top_k(
     # a stated query set against the intervals of all blocks
     tried = asked.join(point_blocks.select("cell", "part", "low", "high"), F.lit(True))
     tried = shared.stored(tried.mapInArrow(left, "query_cell int, query_part bigint, cell int, part bigint, bound double"), folder, "tried")
-    meetings = tried.join(point_blocks.select("cell", "part", "ids", "x", "dist"), ["cell", "part"]).withColumn("lane", F.pmod(F.xxhash64("cell", "part"), F.lit(lanes)))
+    meetings = tried.join(point_blocks.select("cell", "part", "ids", "kind", "x", "dist"), ["cell", "part"]).withColumn("lane", F.pmod(F.xxhash64("cell", "part"), F.lit(lanes)))
     meetings = meetings.join(asked, ["query_cell", "query_part"]).repartition("query_cell", "query_part", "lane").sortWithinPartitions("query_cell", "query_part", "lane", "bound")
 
     def found(search: Search) -> Iterator[pa.RecordBatch]:
