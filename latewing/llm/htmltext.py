@@ -1,20 +1,24 @@
 """Main text of web pages by wrapper induction over the pages of each host.
 
-A page becomes a tree of its block elements; runs of like siblings (paragraphs, list items) are one node, a slot.  The
-most frequent tree of a host is its reference.  Every other tree of the host is aligned with it by simple tree matching,
-so slots of different pages correspond.  A slot that holds the same text on nearly all pages of a host is template; slots
-whose text varies are content, whole.  What varies but is no article is told by its element or its names:
-menus, headers, footers, sidebars, notices, adverts, forms and comments.
-
-Trees are aligned once per distinct (host, tree), not per page, and blocks are counted by partial sums, so a host with a
-third of all pages costs no task more than another.  Pages are parsed twice, once to learn the wrappers and once to use
-them, so that no text is shuffled; only hashes are.
+A page becomes a tree of its block elements; runs of like siblings (paragraphs, list items) are one node, a slot.  A
+host's pages with the same outer structure are a layout, and its most frequent tree is the layout's reference.  Every
+other tree of the layout is aligned with it by simple tree matching, so slots of different pages correspond.  A block
+(inside ``article`` and ``main`` elements: a whole slot) that stands in the same slot on nearly all pages of a layout is
+template; blocks that vary are content.  Pages are told apart by their longest block, so copies and near copies of a page count once and their article is no template.  What varies
+but is no article is told by its element or its names: menus, headers, footers, sidebars, notices, adverts, forms and
+comments.
+
+A wrapper is one row per layout of a host: reference and template.  Trees are aligned in the tasks that read the pages,
+once per distinct tree; blocks are counted by partial sums of hashes, so a host with a third of all pages costs no task
+more than another.  Pages are parsed again rather than moved: texts are shuffled only where the wrappers are too many to
+be sent to all executors.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latewing.llm import shared
 from latewing.llm.urlrules import url_host
@@ -47,8 +52,14 @@ MARKS = frozenset(
     " recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored"
     " subscribe subscription toolbar widget".split()
 )
-#: Parts of names that speak for the article even beside a mark.
+#: Marks that hold no article wherever they stand in a name.
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond related recommended recommendations".split())
+#: Last parts of names of what holds the article.
 GOOD = frozenset("article post entry story content main body text".split())
+#: What a header belongs to if it is the article's.
+OWN_HEADER = frozenset("article post entry story content".split())
+#: Words before a mark in the name of a layout, not of what the mark names.
+LAYOUT = frozenset("has with no without".split())
 #: Elements that end an open element of the same group.
 _ENDS = {t: frozenset(("p",)) for t in BLOCKS - {"html", "body"}} | {
     "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")),
@@ -58,9 +69,13 @@ _ENDS = {t: frozenset(("p",)) for t in BLOCKS - {"html", "body"}} | {
 _SCOPE = frozenset("ul ol dl table article section div main body html nav aside form header footer blockquote button".split())
 _DEPTH = 120  # deeper elements belong to the slot of their ancestor there
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</(?:>|[^a-zA-Z>][^>]*>)", re.S)
+#: Wrappers are sent to all executors up to this size.
+WRAPPER_BYTES = 32 << 20
+_MAX_OPEN = 512  # elements deeper than that are not opened
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^>\"']*")
 _NAMES = re.compile(r"""(?:\s|^)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_PART = re.compile("[a-z]+").findall
+_PART = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])").findall
 
 
 @dataclass(slots=True)
@@ -78,24 +93,115 @@ class Page:
     def skeleton(self) -> str:
         return "|".join(f"{s.parent}:{s.label}" for s in self.slots)
 
+    def layout(self) -> int:
+        """A hash of the outer structure: the labels of the page's two upper levels."""
+        outer = {i for i, s in enumerate(self.slots) if s.parent <= 0}
+        return _hash("|".join(sorted({f"{s.label}" for i, s in enumerate(self.slots) if i in outer or s.parent in outer})))
+
+    def identity(self) -> int:
+        """A hash of the longest block: pages that share it are copies or near copies of each other."""
+        return _hash(max((t for _, t, _ in self.blocks), key=lambda t: (len(t), t), default=""))
+
+    def prints(self) -> list[int]:
+        """For each block the hash that is compared between pages: of its text or, inside the article, of its whole slot,
+        so that a list item or a paragraph that articles share does not make it template."""
+        slots: dict[int, list[str]] = {}
+        for s, t, _ in self.blocks:
+            slots.setdefault(s, []).append(t)
+        whole = {s: _hash("\n".join(t)) for s, t in slots.items()}
+        return [whole[s] if inside else _hash(t) for s, t, inside in self.blocks]
+
+    def chosen(self) -> list[int]:
+        """The numbers of the blocks of ``article`` and ``main`` elements, or of all if there are none."""
+        return [i for i, b in enumerate(self.blocks) if b[2]] or list(range(len(self.blocks)))
+
+
+def _mark(name: str) -> int:
+    """2 if a class, id or role names what is no article, 1 if it mentions such a thing inside, else 0."""
+    parts = [p.lower() for p in _PART(name)]
+    marks = [i for i, p in enumerate(parts) if p in MARKS]
+    if not marks or not LAYOUT.isdisjoint(parts[: marks[0]]):
+        return 0
+    if {parts[i] for i in marks} == {"header"} and not OWN_HEADER.isdisjoint(parts):
+        return 0
+    return 2 if parts[-1] in MARKS or not COMMENTS.isdisjoint(parts) else 1
+
 
 def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    """Whether the element holds no article, and its name for the tree."""
-    name = ""
+    """Whether the element holds no article, and its name for the tree.
+
+    A name that ends in a mark decides (``main-menu``, ``post-share``); one with a mark further ahead does so unless
+    another name of the element says that it holds the article (``content sidebar-right``).
+    """
+    name, marks, good = "", 0, False
     if attributes and not attributes.isspace():
         for key, value in _NAMES.findall(attributes):
-            key, value = key.lower(), value.strip("\"'").lower()
-            if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                return True, name
-            parts = set(_PART(value))
-            name = name or (min(value.split(), default="") if key == "class" else "")
-            if key != "hidden" and parts & MARKS and not (parts & GOOD and not parts & {"comment", "comments", "ad", "ads", "related"}):
+            key, value = key.lower(), value.strip("\"'")
+            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                 return True, name
+            if key in ("class", "id", "role") and tag not in ("html", "body"):
+                words = value.split()
+                name = name or (min(words, default="").lower() if key == "class" else "")
+                for word in words:
+                    mark = _mark(word)
+                    marks = max(marks, mark)
+                    good = good or (not mark and _PART(word)[-1:] != [] and _PART(word)[-1].lower() in GOOD)
+    if marks == 2 or (marks == 1 and not good):
+        return True, name
     if tag == "header":
         return not in_article, name
     return tag in DROPPED, name
 
 
+class _Tags:
+    """The tags of a page in order, in time linear in its length whatever the markup.
+
+    A tag ends at the first ``>`` outside quotes.  If one never would, quotes mean nothing from there on.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.quotes = source, True
+        self.last = {mark: source.rfind(mark) for mark in (">", "-->", "]]>")}
+
+    def _close(self, at: int) -> int:
+        """Where the tag that goes on at ``at`` ends, the end of the page if it does not."""
+        begin = at
+        while self.quotes:
+            at = _PLAIN.match(self.source, at).end()
+            if at >= len(self.source):
+                self.quotes = False
+                break
+            if self.source[at] == ">":
+                return at
+            after = self.source.find(self.source[at], at + 1)
+            if after < 0:
+                self.quotes = False
+            at = after + 1
+        end = self.source.find(">", begin) if begin <= self.last[">"] else -1
+        return end if end >= 0 else len(self.source)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name, attributes) of the next tag or comment; comments have no name."""
+        source = self.source
+        while True:
+            at = source.find("<", at)
+            if at < 0:
+                return None
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if source.startswith(opening, at) and (closing == "-->" or at < self.last[closing]):
+                    end = source.find(closing, at + len(opening)) if at < self.last[closing] else -1
+                    return at, end + len(closing) if end >= 0 else len(source), False, "", ""
+            closes = source.startswith("/", at + 1)
+            name = _TAG_NAME.match(source, at + 1 + closes)
+            if name:
+                end = self._close(name.end())
+                return at, end + 1, closes, name[0].lower(), source[name.end() : end]
+            if closes or source[at + 1 : at + 2] in ("!", "?"):
+                end = source.find(">", at) if at < self.last[">"] else -1
+                return at, end + 1 if end >= 0 else len(source), False, "", ""
+            at += 1
+
+
 def parse(source: str) -> Page:
     """The slots and blocks of a page; never fails, whatever the markup."""
     slots = [Slot("html", -1)]
@@ -103,7 +209,9 @@ def parse(source: str) -> Page:
     # open elements: tag, slot, whether its text is dropped, whether it is inside the article
     stack: list[tuple[str, int, bool, bool]] = [("html", 0, False, False)]
     buffer: list[str] = []
-    at, end = 0, len(source)
+    open_tags: Counter[str] = Counter()
+    unopened: Counter[str] = Counter()
+    tags, at, end = _Tags(source), 0, len(source)
 
     def flush() -> None:
         if buffer:
@@ -113,24 +221,31 @@ def parse(source: str) -> Page:
                 _, slot, _, inside = stack[-1]
                 blocks.append((slot, text, inside))
 
+    def close(depth: int) -> None:
+        for tag, *_ in stack[depth:]:
+            open_tags[tag] -= 1
+        del stack[depth:]
+
     while at < end:
-        found = _TAG.search(source, at)
-        stop = found.start() if found else end
+        found = tags.next(at)
+        stop = found[0] if found else end
         if stop > at and not stack[-1][2]:
             buffer.append(source[at:stop])
         if not found:
             break
-        at = found.end()
-        tag = (found[2] or "").lower()
+        _, at, closing, tag, attributes = found
         if not tag:
             continue
-        if found[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+        if closing:
+            if unopened[tag]:
+                unopened[tag] -= 1
+                continue
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0) if open_tags[tag] else 0
             if not depth or (tag not in BLOCKS and any(t in _SCOPE for t, *_ in stack[depth + 1 :])):
                 continue
             if any(t in BLOCKS for t, *_ in stack[depth:]):
                 flush()
-            del stack[depth:]
+            close(depth)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -139,8 +254,8 @@ def parse(source: str) -> Page:
                 buffer.append(" " if tag == "br" else "")
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = close.end() if close else end
+            ending = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+            at = ending.end() if ending else end
             continue
         block = tag in BLOCKS
         if block:
@@ -151,11 +266,11 @@ def parse(source: str) -> Page:
             i = len(stack) - 1
             while i > 0 and stack[i][0] not in _SCOPE:
                 if stack[i][0] in closes:
-                    del stack[i:]
+                    close(i)
                     i = len(stack)
                 i -= 1
         _, slot, dropped, inside = stack[-1]
-        marked, name = _marked(tag, found[3], inside)
+        marked, name = _marked(tag, attributes, inside)
         if block:
             if len(stack) < _DEPTH:
                 label = f"{tag}.{name}" if name else tag
@@ -168,8 +283,12 @@ def parse(source: str) -> Page:
                     slots[slot].children.append(len(slots) - 1)
                     slot = len(slots) - 1
             inside = inside or tag == "article" or (tag == "main")
-        if found[3].endswith("/") and tag not in BLOCKS:
+        if attributes.endswith("/") and tag not in BLOCKS:
             continue
+        if len(stack) >= _MAX_OPEN:
+            unopened[tag] += 1
+            continue
+        open_tags[tag] += 1
         stack.append((tag, slot, dropped or marked, inside))
     flush()
     return Page(slots, blocks)
@@ -231,106 +350,112 @@ def _tree(skeleton: str) -> list[Slot]:
     return slots
 
 
-def _parsed(pages: DataFrame, keep: list[str], texts: bool) -> DataFrame:
-    """keep, host, skeleton (or its hash only, with texts) and blocks of every page."""
-    made = "skeleton_id bigint, blocks array<struct<slot: int, hash: bigint, inside: boolean" + (", text: string>>" if texts else ">>, skeleton string")
-    kinds = [("slot", pa.int32()), ("hash", pa.int64()), ("inside", pa.bool_())] + ([("text", pa.string())] if texts else [])
-    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep, "host").schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                ids, blocks, skeletons = [], [], []
-                for source in batch.column("html"):
-                    page = parse(source.as_py() or "")
-                    skeleton = page.skeleton()
-                    ids.append(_hash(skeleton))
-                    whole_slots: dict[int, list[str]] = {}
-                    for s, t, _ in page.blocks:
-                        whole_slots.setdefault(s, []).append(t)
-                    hashes = {s: _hash("\n".join(t)) for s, t in whole_slots.items()}
-                    blocks.append([(s, hashes[s], i, t)[: len(kinds)] for s, t, i in page.blocks])
-                    skeletons.append(skeleton)
-                flat = [b for row in blocks for b in row]
-                items = pa.StructArray.from_arrays([pa.array([b[i] for b in flat], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
-                offsets = [0]
-                for row in blocks:
-                    offsets.append(offsets[-1] + len(row))
-                out = [batch.column(c) for c in [*keep, "host"]] + [pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)]
-                names = [*keep, "host", "skeleton_id", "blocks"]
-                if not texts:
-                    out, names = [*out, pa.array(skeletons)], [*names, "skeleton"]
-                yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return pages.select(*keep, "host", "html").mapInArrow(run, f"{given}, {made}")
-
-
 def _hash(text: str) -> int:
     value = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
     return value - (1 << 64) if value >> 63 else value
 
 
-def learn_wrappers(pages: DataFrame, folder: str, min_pages: int = 10, share: float = 0.95) -> DataFrame:
-    """(host, skeleton_id, template): for every distinct tree of a host, the (slot, hash of its text) that are template.
+def _alignment(skeleton: str, reference: str, known: dict) -> list[int]:
+    """For each slot of a tree the slot of the reference, -1 if none; remembered for the last trees."""
+    found = known.get((skeleton, reference))
+    if found is None:
+        if len(known) >= 2_000:
+            known.clear()
+        pairs = simple_tree_matching(_tree(skeleton), _tree(reference))
+        found = known[skeleton, reference] = [pairs.get(i, -1) for i in range(skeleton.count("|") + 1)]
+    return found
+
+
+@F.arrow_udf(T.StructType([T.StructField("layout", T.LongType()), T.StructField("skeleton", T.StringType())]))
+def _outline(sources: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in sources:
+        pages = [parse(source.as_py() or "") for source in batch]
+        yield pa.StructArray.from_arrays([pa.array([p.layout() for p in pages], pa.int64()), pa.array([p.skeleton() for p in pages], pa.string())], names=["layout", "skeleton"])
+
 
-    A slot is template if at least ``share`` of the host's pages, and at least ``min_pages`` of them, hold the same text
-    in the slot that corresponds to this one.
+@F.arrow_udf(T.LongType())
+def _layout(sources: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in sources:
+        yield pa.array([parse(source.as_py() or "").layout() for source in batch], pa.int64())
+
+
+def learn_wrappers(pages: DataFrame, folder: str, min_pages: int = 2, min_articles: int = 10, share: float = 0.95) -> DataFrame:
+    """(host, html) -> (host, layout, reference, template): for every layout of a host that has any, the (slot of the
+    reference, hash of a block's text) that are template.
+
+    A block is template if at least ``share`` of the layout's different pages hold it in this slot and these pages are
+    at least ``min_pages``; inside ``article`` and ``main`` elements at least ``min_articles``.
     """
-    seen = shared.stored(_parsed(pages, [], texts=False), folder, "trees")
-    kinds = seen.groupBy("host", "skeleton_id").agg(F.count("*").alias("n"), F.first("skeleton").alias("skeleton"))
-    kinds = shared.stored(kinds, folder, "kinds")
-    hosts = kinds.groupBy("host").agg(F.sum("n").alias("n_pages"), F.max_by("skeleton", F.struct("n", "skeleton_id")).alias("reference"))
-    hosts = hosts.where(F.col("n_pages") >= min_pages)
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps = []
-            for skeleton, reference in zip(batch.column("skeleton").to_pylist(), batch.column("reference").to_pylist(), strict=True):
-                pairs = simple_tree_matching(_tree(skeleton), _tree(reference))
-                maps.append([pairs.get(i, -1) for i in range(skeleton.count("|") + 1)])
-            out = [batch.column("host"), batch.column("skeleton_id"), batch.column("n_pages"), pa.array(maps, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(out, names=["host", "skeleton_id", "n_pages", "slots"])
-
-    aligned = kinds.join(hosts, "host").select("host", "skeleton_id", "n_pages", "skeleton", "reference")
-    aligned = shared.stored(aligned.mapInArrow(align, "host string, skeleton_id bigint, n_pages bigint, slots array<int>"), folder, "aligned")
-    placed = seen.select("host", "skeleton_id", "blocks").join(aligned, ["host", "skeleton_id"])
-    refs = F.array_distinct(F.transform("blocks", lambda b: F.struct(F.get("slots", b["slot"]).alias("ref"), b["hash"].alias("hash"))))
-    counts = (
-        placed.select("host", "n_pages", F.explode(refs).alias("b"))
-        .where("b.ref >= 0")
-        .groupBy("host", "b.ref", "b.hash")
-        .agg(F.count("*").alias("n"), F.first("n_pages").alias("n_pages"))
-        .where((F.col("n") >= share * F.col("n_pages")) & (F.col("n") >= min_pages))
-    )
-    fixed = counts.groupBy("host").agg(F.collect_set(F.struct("ref", "hash")).alias("fixed"))  # at most 1 / share per slot and page
-    back = F.transform("fixed", lambda f: F.struct(F.array_position("slots", f["ref"].cast("int")).cast("int").alias("at"), f["hash"].alias("hash")))
-    template = F.transform(F.filter(back, lambda f: f["at"] > 0), lambda f: F.struct((f["at"] - 1).cast("int").alias("slot"), f["hash"].alias("hash")))
-    return shared.stored(aligned.join(fixed, "host").select("host", "skeleton_id", template.alias("template")), folder, "wrappers")
-
-
-def main_text(pages: DataFrame, folder: str, url: str = "url", source: str = "html", min_pages: int = 10, share: float = 0.95) -> DataFrame:
-    """``pages`` without ``source``, with a column text: the page's main text, blocks joined by line feeds.
+    seen = pages.select("host", _outline("html").alias("o")).groupBy("host", "o.layout", "o.skeleton").agg(F.count("*").alias("n"))
+    kinds = seen.groupBy("host", "layout").agg(F.sum("n").alias("n"), F.max_by("skeleton", F.struct("n", "skeleton")).alias("reference")).where("n > 1")
+    kinds = shared.stored(kinds.drop("n"), folder, "references")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                rows = []
+                for host, layout, source, reference in zip(*(batch.column(c) for c in ("host", "layout", "html", "reference")), strict=True):
+                    page = parse(source.as_py() or "")
+                    slots = _alignment(page.skeleton(), reference.as_py(), known)
+                    identity = page.identity()
+                    made = {(slots[s], h, inside) for (s, _, inside), h in zip(page.blocks, page.prints(), strict=True) if slots[s] >= 0}
+                    rows += [(host.as_py(), layout.as_py(), identity, *m) for m in [*made, (-1, 0, False)]]  # the last counts the page
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "layout", "identity", "slot", "hash", "inside"])
+
+    placed = _with_wrappers(pages.withColumn("layout", _layout("html")), kinds, "inner").select("host", "layout", "html", "reference")
+    each = placed.mapInArrow(blocks, "host string, layout bigint, identity bigint, slot int, hash bigint, inside boolean").distinct()
+    counts = shared.stored(each.groupBy("host", "layout", "slot", "hash", "inside").agg(F.count("*").alias("n")), folder, "counts")
+    total = counts.where("slot = -1").select("host", "layout", F.col("n").alias("n_pages"))
+    least = F.when(F.col("inside"), min_articles).otherwise(min_pages)
+    fixed = counts.where((F.col("slot") >= 0) & (F.col("n") >= least)).join(total, ["host", "layout"]).where(F.col("n") >= share * F.col("n_pages"))
+    fixed = fixed.groupBy("host", "layout").agg(F.collect_set(F.struct("slot", "hash")).alias("template"))  # at most 1 / share times a page's blocks
+    return shared.stored(kinds.join(fixed, ["host", "layout"]), folder, "wrappers")
+
+
+def _with_wrappers(pages: DataFrame, wrappers: DataFrame, how: str) -> DataFrame:
+    """``pages`` joined with rows of (host, layout): sent to all executors if their measured size allows it."""
+    size = wrappers.agg(F.sum(F.length("reference") + (F.lit(16) * F.size("template") if "template" in wrappers.columns else F.lit(0)) + 64)).first()[0] or 0
+    return pages.join(F.broadcast(wrappers) if size <= WRAPPER_BYTES else wrappers, ["host", "layout"], how)
+
+
+@F.arrow_udf(T.StringType())
+def _extracted(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    known: dict = {}
+    for sources, references, templates in columns:
+        texts = []
+        for source, reference, template in zip(sources, references, templates, strict=True):
+            page = parse(source.as_py() or "")
+            chosen = page.chosen()
+            if reference.is_valid:
+                slots = _alignment(page.skeleton(), reference.as_py(), known)
+                fixed = {(f["slot"], f["hash"]) for f in template.as_py()}
+                prints = page.prints()
+                chosen = [i for i in chosen if (slots[page.blocks[i][0]], prints[i]) not in fixed] or chosen
+            texts.append("\n".join(page.blocks[i][1] for i in chosen))
+        yield pa.array(texts, pa.string())
+
+
+def main_text(
+    pages: DataFrame, folder: str, url: str = "url", source: str = "html", into: str = "text", min_pages: int = 2, min_articles: int = 10, share: float = 0.95
+) -> DataFrame:
+    """``pages`` without ``source``, with a column ``into``: the page's main text, blocks joined by line feeds.
 
     If a page has ``article`` or ``main`` elements, the text is theirs; else the body's.  A page whose every block is
     template (a host of copies) keeps them all.  Null and empty pages have an empty text; null URLs and those without a
-    host share one wrapper, that of the empty host; hosts with fewer than ``min_pages`` pages have none.  Repeated rows
-    are extracted alike; an empty table gives an empty table.  Other columns pass through.
+    host share the wrappers of the empty host; layouts with fewer than ``min_pages`` different pages have none.  Repeated
+    rows are extracted alike; an empty table gives an empty table.  Other columns pass through, whatever their names; a
+    column of the name ``into`` is replaced.
     """
-    keep = [c for c in pages.columns if c != source]
-    named = pages.withColumn("host", url_host(F.col(url))).withColumnRenamed(source, "html") if source != "html" else pages.withColumn("host", url_host(F.col(url)))
-    wrappers = learn_wrappers(named, folder, min_pages, share)
-    # joined as Spark finds it: sent whole where small, else by host and tree with split of hot hosts
-    read = _parsed(named, keep, texts=True).join(wrappers, ["host", "skeleton_id"], "left")
-    inside = F.filter("blocks", lambda b: b["inside"])
-    chosen = F.when(F.size(inside) > 0, inside).otherwise(F.col("blocks"))
-    varying = F.filter(F.col("_chosen"), lambda b: ~F.coalesce(F.array_contains("template", F.struct(b["slot"].alias("slot"), b["hash"].alias("hash"))), F.lit(False)))
-    return (
-        read.withColumn("_chosen", chosen)
-        .withColumn("_varying", varying)
-        .withColumn("_kept", F.when(F.size("_varying") > 0, F.col("_varying")).otherwise(F.col("_chosen")))
-        .select(*keep, F.array_join(F.transform("_kept", lambda b: b["text"]), "\n").alias("text"))
-    )
+    (row,) = shared.free_names(["host", "layout", "html", "reference", "template"], "page")
+    keep = [c for c in pages.columns if c not in (source, into)]
+    whole = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    rows = pages.select(whole.alias(row), url_host(F.col(f"`{url}`")).alias("host"), F.col(f"`{source}`").alias("html"))
+    wrappers = learn_wrappers(rows, folder, min_pages, min_articles, share)
+    both = _with_wrappers(rows.withColumn("layout", _layout("html")), wrappers, "left")
+    return both.select(*[F.col(f"{row}.`{c}`").alias(c) for c in keep], _extracted("html", "reference", "template").alias(into))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -83,6 +85,57 @@ def test_main_text(spark):
     assert htmltext.main_text(docs.limit(0), shared.shared_folder(spark)).count() == 0
 
 
+MENUS = ["main-menu", "post-share", "content-sidebar", "entry-footer", "sidebar-content", "comment-content", "mainMenu", "adBox"]
+KEPT = ["entry-header", "content has-sidebar", "content sidebar-right", "post-content", "article-body", "no-ads", "header-post"]
+
+
+def test_names_tell_what_is_no_article():
+    for name in MENUS + KEPT:
+        for attribute in ("class", "id"):
+            text = [t for _, t, _ in htmltext.parse(f"<body class='has-menu'><div {attribute}='{name}'>X</div><p>y</p>").blocks]
+            assert text == (["y"] if name in MENUS else ["X", "y"]), (attribute, name)
+
+
+@pytest.mark.parametrize("unit", ['<a b="c ', '<a ">" ', "<div>", "</b><div>", "<![CDATA[", "<!--", "<p <", "<span><div></span>", '<a b=">', "</p x", "<ul><li>", "<a '>\" ", "<script>"])
+def test_broken_markup_takes_linear_time(unit):
+    import time
+
+    def seconds(n):
+        begin = time.process_time()
+        htmltext.parse(unit * n)
+        return time.process_time() - begin
+
+    assert seconds(40_000) < 1 + 40 * seconds(4_000)
+
+
+LAYOUTS = {
+    "named": '<body><nav>menu {n}</nav><div class="ad">buy {n}</div><article><h1>{title}</h1>{paragraphs}</article><footer>f</footer>',
+    "bare": "<body><div><p>About this site</p></div><div><h1>{title}</h1>{paragraphs}<p>Subscribe to our letter today</p></div><div><p>All rights kept</p></div>",
+    "table": "<body><table><tr><td>Home</td><td>News</td></tr></table><section><h1>{title}</h1>{paragraphs}</section><section><p>Legal terms</p></section>",
+}
+
+
+def test_generated_sites_with_known_articles(spark):
+    """Small hosts, two layouts on one host, near copies, and constant blocks that nothing names."""
+    rng = random.Random(8)
+    say = lambda k: " ".join(rng.choices([f"word{i}" for i in range(300)], k=k))
+    rows, want = [], {}
+    for host, layouts, n in (("a.org", ["named"], 3), ("b.org", ["bare"], 3), ("c.org", ["bare", "table"], 12), ("d.org", ["table"], 30), ("e.org", ["named"], 1)):
+        for i in range(n):
+            article = [say(4), *[say(rng.randrange(12, 60)) for _ in range(rng.randrange(2, 6))]]
+            html = LAYOUTS[layouts[i % len(layouts)]].format(n=i, title=article[0], paragraphs="".join(f"<p>{p}</p>" for p in article[1:]))
+            rows.append((len(rows), f"http://{host}/{i}", html))
+            want[rows[-1][0]] = "\n".join(article)
+            if i == 0 and n > 1:  # a near copy
+                rows.append((len(rows), f"http://{host}/copy", html.replace(article[1], article[1] + " more") if len(article[1]) < len(max(article, key=len)) else html))
+                want[rows[-1][0]] = None
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as blocks", "3 as layout", "4 as reference", "'old' as text")
+    made = htmltext.main_text(pages, shared.shared_folder(spark))
+    assert made.columns == ["page_id", "url", "host", "blocks", "layout", "reference", "text"]
+    got = {r.page_id: r.text for r in made.collect()}
+    assert {i: got[i] for i in want if want[i] is not None} == {i: t for i, t in want.items() if t is not None}
+
+
 def test_trees_are_matched():
     a = htmltext.parse("<div><p>x</p><ul><li>1</li><li>2</li></ul><h2>y</h2></div>").slots
     b = htmltext.parse("<div><h1>t</h1><p>x</p><h2>y</h2></div>").slots
