@@ -109,50 +109,50 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
-PLACED = "sequence bigint, offset bigint, fill bigint"
-
-
 def pack(pieces: DataFrame, folder: str, capacity: int, group_rows: int = 20_000, good_fill: float = 0.995, seed: int = 5) -> DataFrame:
-    """``pieces`` (with a column length from 1 to ``capacity``) with sequence_id and offset added.
+    """``pieces`` (with a column length from 1 to ``capacity``) with sequence_id and offset added; columns of these two
+    names are replaced, all others pass through, whatever their names.  Columns must be of types that can be grouped.
 
-    Any row takes part, ties and repeated rows too; an empty table gives an empty table.  The group of a row is a hash of
-    doc_id and piece and of a number that spreads equal rows.  Sequence ids are unique, not consecutive.
+    Any row takes part, ties and repeated rows too; an empty table gives an empty table.  A row's group is a hash of its
+    columns and of its number among its equals, so reruns agree and equal rows spread.  Sequence ids are unique, not
+    consecutive.
     """
-    names = pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", " + PLACED
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    group, order, sequence, place, fill, twin = shared.free_names([*names, "sequence_id", "offset"], "group", "order", "sequence", "offset", "fill", "twin")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*[F.col(f"`{c}`") for c in names]).schema)
+    schema = f"{kept}, `{twin}` bigint, `{sequence}` bigint, `{place}` bigint, `{fill}` bigint"
 
     def packed(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values([order, twin], kind="stable")
         bins, offsets = best_two_fit(df["length"].to_numpy(), capacity)
         fills = np.bincount(bins, df["length"].to_numpy()).astype(np.int64) if len(df) else np.zeros(0, np.int64)
-        return df[names].assign(sequence=bins, offset=offsets, fill=fills[bins])
-
-    def with_group(df: pd.DataFrame) -> pd.DataFrame:
-        group = int(df["_group"].iloc[0])
-        out = packed(df.drop(columns="_group"))
-        return out.assign(sequence=(group << 32) + out["sequence"])
+        number = (int(df[group].iloc[0]) << 32) + bins
+        return df[[*names, twin]].assign(**{sequence: number, place: offsets, fill: fills[bins]})
 
+    columns = [F.col(f"`{c}`") for c in names]
+    left = pieces.groupBy(*columns).agg(F.count("*").alias(twin)).withColumn(twin, F.explode(F.sequence(F.lit(1).cast("long"), F.col(twin))))
     done: list[DataFrame] = []
-    left, count, rounds = pieces, pieces.count(), 0
+    count, rounds = pieces.count(), 0
     while True:
         groups = max(1, -(-count // group_rows))
-        salt = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id() % 1024 if rounds == 0 else F.lit(0), F.lit(seed + rounds))
-        dealt = left.withColumn("_group", F.pmod(salt, F.lit(groups)) + F.lit(rounds << 24))
-        made = shared.stored(dealt.groupBy("_group").applyInPandas(with_group, schema), folder, f"packed{rounds}")
+        salted = left.withColumn(order, F.xxhash64(*columns, twin, F.lit(seed + rounds)))
+        dealt = salted.withColumn(group, F.pmod(F.col(order), F.lit(groups)) + F.lit(rounds << 24))
+        made = shared.stored(dealt.groupBy(group).applyInPandas(packed, schema), folder, f"packed{rounds}")
         if groups == 1:
             done.append(made)
             break
-        full = F.col("fill") >= int(good_fill * capacity)
+        full = F.col(fill) >= int(good_fill * capacity)
         loose = made.where(~full)
         rest = loose.count()
         if not rest or rest > 0.9 * count:
             done.append(made)
             break
         done.append(made.where(full))
-        left, count, rounds = loose.select(*names), rest, rounds + 1
+        left, count, rounds = loose.select(*columns, twin), rest, rounds + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*names, F.col("sequence").alias("sequence_id"), "offset")
+    return out.select(*columns, F.col(sequence).alias("sequence_id"), F.col(place).alias("offset"))
 
 
 def packed_sequences(placed: DataFrame, end_fill: int | None = None) -> DataFrame:

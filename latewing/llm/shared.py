@@ -31,10 +31,12 @@ _IN_WORD[list(WORD_GAPS)] = False
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, removed when the session's JVM ends.
 
-    Where the setting is absent (tests, one machine) a temporary local folder stands in for it.
+    Where the setting is absent a temporary local folder stands in for it on one machine; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         base = _local_folder(id(spark.sparkContext))
     path = f"{base.rstrip('/')}/latewing-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm

@@ -2,7 +2,7 @@
 
 Two kinds of rules share one index.  Host rules name a host and a path prefix; the longest that fits decides.  Pattern
 rules decide the rest: ``^`` stands for one character that is neither letter nor digit (or an end), ``*`` for anything,
-``@@`` in front makes an exception that allows.
+``||`` in front for the start of the host or of one of its labels, ``@@`` before all makes an exception that allows.
 
 A token is a run of a-z and 0-9.  A rule can only match a URL that holds all its whole literal tokens, so it is filed
 under the one that fewest URLs hold, counted over the whole table.  A URL looks up its own tokens and runs the regular
@@ -71,6 +71,12 @@ class PatternRule:
     def body(self) -> str:
         return self.pattern.removeprefix("@@").translate(_LOWER)
 
+    def regex(self) -> str:
+        parts = {"^": "([^a-z0-9]|^|$)", "*": ".*"}
+        body = self.body()
+        start = "^[^/?#]*://([^/?#]*[.])?" if body.startswith("||") else ""
+        return start + "".join(parts.get(c) or re.escape(c) for c in body.removeprefix("||"))
+
     def tokens(self) -> set[str]:
         """Literal tokens with a literal non-token or a separator on both sides."""
         body = self.body()
@@ -78,8 +84,7 @@ class PatternRule:
         return {body[a:b] for a, b in spans if a > 0 and body[a - 1] != "*" and b < len(body) and body[b] != "*"}
 
     def matcher(self) -> Callable[[str, str, str], bool]:
-        parts = {"^": "(?:[^a-z0-9]|^|$)", "*": ".*"}
-        search = re.compile("".join(parts.get(c) or re.escape(c) for c in self.body()), re.S).search
+        search = re.compile(self.regex(), re.S).search
         return lambda url, host_of, path_of: search(url) is not None
 
 
@@ -101,7 +106,8 @@ PATTERN_RULES = tuple(
         "^casino^win^", "^online^casino^", "^casino^", "^free^bets^", "^sports^betting^", "^poker^", "^slots^",
         "^cheap^pills^", "^buy^viagra^", "^viagra^", "^cialis^", "^ads^track^", "^adserver^", "^doubleclick^",
         "^click^track^", "^porn^", "^xxx^", "^sex^chat^", "^warez^", "^crack^keygen^", "^torrent^download^",
-        "@@^casino^museum^",
+        "@@^casino^museum^", "^banner*^click^", "^aff_id=*&offer=", "^track*^pixel.gif", "||ads.*^click", "^session*^redirect=http",
+        "@@||docs.*^click^", "^win*^jackpot^",
     )
 )
 
@@ -167,7 +173,8 @@ def _decider(index: dict[str, list[Rule]]):
 
 
 def judge_urls(urls: DataFrame, url: str = "url", hosts: Sequence[HostRule] = HOST_RULES, patterns: Sequence[PatternRule] = PATTERN_RULES) -> DataFrame:
-    """``urls`` with a struct column ``url_verdict``: host, path, rule, verdict, pattern, n_tried.
+    """``urls`` with a struct column ``url_verdict``: host, path, rule, verdict, pattern, n_tried.  Other columns pass
+    through, whatever their names; one of that name is replaced.
 
     The longest host rule decides (``rule``); else an exception pattern, else a blocking one, else ``allow``.  A null or
     empty URL, or one without ``://``, has an empty host and path and can only meet patterns.  Every row is judged on
@@ -180,26 +187,26 @@ def judge_urls(urls: DataFrame, url: str = "url", hosts: Sequence[HostRule] = HO
     ordered = sorted(tokens)
     for at in range(0, len(ordered), 2_000):
         counts |= token_counts(urls, url, ordered[at : at + 2_000])
-    made = urls.withColumn("_host", url_host(F.col(url))).withColumn("_path", url_path(F.col(url)))
-    results = []
-    for at in range(0, len(rules), RULES_PER_PASS):
+    names = [c for c in urls.columns if c != "url_verdict"]
+    host, path, *results = shared.free_names(names, "host", "path", *[f"r{at}" for at in range(0, len(rules), RULES_PER_PASS)])
+    made = urls.withColumn(host, url_host(F.col(f"`{url}`"))).withColumn(path, url_path(F.col(f"`{url}`")))
+    for at, into in zip(range(0, len(rules), RULES_PER_PASS), results, strict=True):
         decide = _decider(index_rules(rules[at : at + RULES_PER_PASS], counts))
-        made = made.withColumn(f"_r{at}", decide(_lower(F.col(url)), F.col("_host"), F.col("_path")))
-        results.append(f"_r{at}")
+        made = made.withColumn(into, decide(_lower(F.col(f"`{url}`")), F.col(host), F.col(path)))
     none = F.lit(None).cast(f"struct<{_MADE}>")
     parts = F.array(*[F.col(r) for r in results]) if results else F.array(none)
     # the longest host rule of all parts, the first pattern of all parts
     host_rule = F.array_max(F.transform(parts, lambda r: F.when(r["rule"].isNotNull(), F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["rule_verdict"].alias("verdict")))))
     pattern = F.array_min(F.array_compact(F.transform(parts, lambda r: F.when(r["pattern"].isNotNull(), F.struct(r["pattern_verdict"].alias("verdict"), r["pattern"].alias("pattern"))))))
     verdict = F.struct(
-        F.col("_host").alias("host"),
-        F.col("_path").alias("path"),
+        F.col(host).alias("host"),
+        F.col(path).alias("path"),
         host_rule["rule"].alias("rule"),
         F.coalesce(host_rule["verdict"], pattern["verdict"], F.lit("allow")).alias("verdict"),
         pattern["pattern"].alias("pattern"),
         F.aggregate(parts, F.lit(0).cast("long"), lambda a, r: a + F.coalesce(r["n_tried"], F.lit(0))).alias("n_tried"),
     )
-    return made.withColumn("url_verdict", verdict).drop("_host", "_path", *results)
+    return made.select(*[F.col(f"`{c}`") for c in names], verdict.alias("url_verdict"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
@@ -210,9 +217,8 @@ def op7(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     fits = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
     hosts = " union all ".join(f"select page_id, '{r.name}' as rule, '{r.verdict}' as verdict from parts where {fits.format(h=r.host, p=r.path)}" for r in HOST_RULES)
-    shape = {"^": "([^a-z0-9]|^|$)", "*": ".*"}
     tests = " union all ".join(
-        f"select page_id, '{r.name}' as pattern, '{r.verdict}' as verdict from parts where regexp_matches(low, '{''.join(shape.get(c, c) for c in r.body())}')" for r in PATTERN_RULES
+        f"select page_id, '{r.name}' as pattern, '{r.verdict}' as verdict from parts where regexp_matches(low, '{r.regex()}', 's')" for r in PATTERN_RULES
     )
     return rf"""
 with parts as (

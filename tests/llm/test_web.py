@@ -40,6 +40,18 @@ def test_urls(spark, pages):
     assert urlrules.judge_urls(pages, hosts=[], patterns=[]).where("url_verdict.verdict <> 'allow'").count() == 0
 
 
+def test_patterns_with_stars_and_host_anchors(spark):
+    rules = [PatternRule("||ads.*^click"), PatternRule("^aff_id=*&offer="), PatternRule("@@||docs.*^click")]
+    urls = {
+        "http://ads.x.org/a/click?1": "block", "http://www.ads.x.org/click": "block", "http://loads.x.org/click": "allow", "http://x.org/ads.y/click": "allow",
+        "http://x.org/?aff_id=3&z&offer=1": "block", "http://x.org/?xaff_id=3&offer=1": "allow", "http://docs.x.org/ads.z/click": "allow", "http://ads.docs.x.org/click": "allow",
+    }
+    table = spark.createDataFrame(list(urls.items()), "u string, want string").selectExpr("*", "1 as _host", "2 as _path", "3 as _r0", "4 as host", "'old' as url_verdict")
+    made = urlrules.judge_urls(table, "u", hosts=[], patterns=rules)
+    assert made.columns == ["u", "want", "_host", "_path", "_r0", "host", "url_verdict"]
+    assert all(r.url_verdict.verdict == r.want and (r._host, r._path, r._r0, r.host) == (1, 2, 3, 4) for r in made.collect())
+
+
 def test_parts_of_long_lists_agree(spark, pages, monkeypatch):
     whole = urlrules.judge_urls(pages).select("page_id", "url_verdict.rule", "url_verdict.verdict", "url_verdict.pattern").orderBy("page_id").collect()
     monkeypatch.setattr(urlrules, "RULES_PER_PASS", 4)
