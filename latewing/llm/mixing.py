@@ -101,12 +101,11 @@ def cuts(sizes: DataFrame, folder: str, weights: tuple[int, ...] = (3, 1, 2), sh
     return shared.stored(plan.join(ends, "named", "left").drop("named", "n_rows", "rest"), folder, "cuts")
 
 
-def _taken(seed: int):
-    """The words that the mix takes of a row that is joined with its source's row of ``cuts``."""
+def _last(seed: int, whole, part):
+    """What the cut epoch takes of a row joined with its source's row of ``cuts``: ``whole``, ``part`` on the cut, or 0."""
     before = F.struct(_key(seed).alias("k"), F.col("row_id").alias("i"), F.col("text_print").alias("p"))
     at = F.struct(F.col("cut_key").alias("k"), F.col("cut_id").alias("i"), F.col("cut_print").alias("p"))
-    last = F.when(before < at, F.col("size")).when(before.eqNullSafe(at), F.col("cut_words")).otherwise(F.lit(0))
-    return F.col("epochs") * F.col("size") + F.when(F.col("cut_key").isNull(), F.lit(0)).otherwise(last)
+    return F.when(F.col("cut_key").isNull(), F.lit(0)).when(before < at, whole).when(before.eqNullSafe(at), part).otherwise(F.lit(0))
 
 
 def mix(sizes: DataFrame, folder: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
@@ -122,7 +121,7 @@ def mix(sizes: DataFrame, folder: str, weights: tuple[int, ...] = (3, 1, 2), sha
     ends = cuts(sizes, folder, weights, share, cap, seed).withColumnRenamed("source", "_source")
     # a row per source: broadcast only if Spark finds it small
     both = sizes.join(ends, F.col("source").eqNullSafe(F.col("_source")))
-    return both.select("row_id", "source", "size", "source_size", "target", _taken(seed).alias("taken"))
+    return both.select("row_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + _last(seed, F.col("size"), F.col("cut_words"))).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, folder: str, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
@@ -133,16 +132,17 @@ def mixed_documents(docs: DataFrame, folder: str, weights: tuple[int, ...] = (3,
     text are taken alike.  Columns pass through, whatever their names.  Texts are read twice, to count their words and to
     take them; they are never shuffled.
     """
-    (whole,) = shared.free_names(["size", "text_print"], "document")
+    (whole,) = shared.free_names(["text_print"], "document")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(whole), F.col("doc_id").alias("row_id"), F.col("source"), F.col("text"))
-    rows = rows.select(whole, "row_id", "source", "text", F.xxhash64("text").alias("text_print"), count_words("text").alias("size"))
-    sizes = shared.stored(rows.select("row_id", "text_print", "source", "size"), folder, "sizes")
+    rows = rows.withColumn("text_print", F.xxhash64("text"))
+    sizes = shared.stored(rows.select("row_id", "text_print", "source", count_words("text").alias("size")), folder, "sizes")
     ends = cuts(sizes, folder, weights, share, cap, seed).withColumnRenamed("source", "_source")
-    taken = rows.join(ends, F.col("source").eqNullSafe(F.col("_source"))).withColumn("taken", _taken(seed)).where("taken > 0")
-    left = F.col("taken") % F.col("size")
-    # only texts on a cut go to Python
-    taken = taken.withColumn("short", first_words(F.when(left > 0, F.col("text")), left))
-    parts = F.concat(F.array_repeat(F.lit(True), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(left > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    both = rows.join(ends, F.col("source").eqNullSafe(F.col("_source")))
+    copies = F.col("epochs") + _last(seed, F.lit(1), F.lit(0))
+    # only texts on a cut go to Python, and null ones and those without a word go away
+    short = first_words(F.when(_last(seed, F.lit(0), F.col("cut_words")) > 0, F.col("text")), F.col("cut_words"))
+    taken = both.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(whole, copies.alias("copies"), short.alias("short"))
+    parts = F.concat(F.array_repeat(F.lit(True), F.col("copies").cast("int")), F.when(F.col("short").isNotNull(), F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
     each = taken.select(whole, "short", F.explode(parts).alias("entire"))
     text = F.when(F.col("entire"), F.col(f"{whole}.text")).otherwise(F.col("short"))
     return each.select(*[text.alias(c) if c == "text" else F.col(f"{whole}.`{c}`").alias(c) for c in docs.columns])
@@ -152,12 +152,13 @@ def mixed_documents(docs: DataFrame, folder: str, weights: tuple[int, ...] = (3,
 def first_words(texts: pa.Array, n: pa.Array) -> pa.Array:
     """Each text up to the end of its n-th word; null stays null."""
     out = []
-    for text, k in zip(texts, n.to_pylist(), strict=True):
+    for text, k in zip(texts, n, strict=True):
         if not text.is_valid:
             out.append(None)
             continue
         data, offsets = shared.text_bytes(pa.array([text.as_py()], pa.string()))
         _, ends, _ = shared.word_spans(data, offsets)
+        k = k.as_py()
         out.append(data[: ends[min(k, len(ends)) - 1]].tobytes().decode() if k > 0 and len(ends) else "")
     return pa.array(out, pa.string())
 
