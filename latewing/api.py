@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latewing.config import Config, cache_folder
+from latewing.errors import PageRangeError, RegistryError
 from latewing.operators import answering, ingestion
 from latewing.operators.registry import Registry
 from latewing.operators.search import search
@@ -18,7 +19,7 @@ from latewing.streaming import watch
 class Engine:
     """Registry, embeddings, encoder and folder of one store."""
 
-    def __init__(self, spark: SparkSession, config: Config, encoder, render: ingestion.Renderer = ingestion.text_pages, pattern: str = "*.[pP][dD][fF]"):
+    def __init__(self, spark: SparkSession, config: Config, encoder, render=ingestion.text_pages, pattern: str = "*.[pP][dD][fF]"):
         self.spark, self.config, self.encoder, self.render, self.pattern = ship(spark), config, encoder, render, pattern
         root = config.store or str(cache_folder())
         self.registry, self.store = Registry(spark, root), EmbeddingStore(spark, root)
@@ -34,16 +35,30 @@ class Engine:
     def scan(self) -> dict[str, int]:
         found = files.documents(self.spark, self.config.watch_folder, self.pattern)
         ingestion.sync_deleted(self.registry, found.select("file_path"))
-        return ingestion.ingest(found, self.registry, self.store, self.encoder, self.render)
+        return self._ingest(found)
+
+    def _ingest(self, found: DataFrame) -> dict[str, int]:
+        return ingestion.ingest(found, self.registry, self.store, self.encoder, self.render, self.config.render_dpi)
 
     def watch(self, checkpoint: str, every: str | None = None):
-        """A stream that ingests new files; each trigger also drops deleted ones."""
+        """Watches the folder, not those below it.  With ``every``, listings are compared at each trigger: new and modified
+        files are ingested when nobody writes them any more, deleted ones dropped.  Without, a stream takes the files
+        that are new to the checkpoint and ends."""
 
-        def handle(batch: DataFrame) -> None:
+        def take(batch: DataFrame) -> None:
             ingestion.sync_deleted(self.registry, files.listing(self.spark, self.config.watch_folder, self.pattern))
-            ingestion.ingest(batch, self.registry, self.store, self.encoder, self.render)
-
-        self.stream = watch.start(watch.new_files(self.spark, self.config.watch_folder, self.pattern), checkpoint, handle, every)
+            self._ingest(batch)
+
+        def change(come: DataFrame, gone: DataFrame) -> None:
+            if not gone.isEmpty():
+                ingestion.sync_deleted(self.registry, files.listing(self.spark, self.config.watch_folder, self.pattern))
+            found = files.documents(self.spark, self.config.watch_folder, self.pattern, recursive=False)
+            self._ingest(found.join(come.select("file_path"), "file_path", "left_semi"))
+
+        if every:
+            self.stream = watch.poll(self.spark, self.config.watch_folder, checkpoint, change, every, self.pattern)
+        else:
+            self.stream = watch.start(watch.new_files(self.spark, self.config.watch_folder, self.pattern), checkpoint, take)
         return self.stream
 
     def stop(self) -> None:
@@ -68,8 +83,38 @@ class Engine:
     def status(self) -> DataFrame:
         return self.registry.status()
 
+    def about(self) -> dict[str, str]:
+        """What a client asks first."""
+        return {"engine": "latewing", "state": "running"}
+
+    def page(self, file_path: str, page_number: int, dpi: int | None = None) -> str | bytes:
+        """One page of a registered document as its renderer gives it; nothing else on disk can be read this way.
+
+        A path that is not registered is a RegistryError, a page that the document does not have a PageRangeError.
+        """
+        row = self.registry.by_path(file_path).first()
+        if row is None:
+            raise RegistryError(f"{file_path} is not registered")
+        content = self.spark.read.format("binaryFile").load(row.file_path).first().content
+        render = self.render if hasattr(self.render, "page_count") else ingestion.TextPages(self.render)
+        if not 1 <= page_number <= render.page_count(row.file_path, content):
+            raise PageRangeError(f"{file_path} has no page {page_number}")
+        return render.pages(row.file_path, content, page_number - 1, page_number, dpi or self.config.render_dpi)[0]
+
+    def save_page(self, file_path: str, page_number: int, target: str, dpi: int | None = None) -> str:
+        """Writes one page to a local file, an image as it is and text as UTF-8; returns the file's name."""
+        page = self.page(file_path, page_number, dpi)
+        with open(target, "wb") as f:
+            f.write(page if isinstance(page, bytes) else page.encode())
+        return target
+
+    def compact(self) -> None:
+        """Drops pages that no document names.  For one writer, while nobody reads."""
+        self.store.compact(self.registry.table())
+
     def remove(self, path_or_hash: str) -> bool:
-        """Removes one document, by hash or else by path; whether there was one."""
+        """Removes one document, by hash or else by path; whether there was one.  Its pages are found no more; ``compact``
+        frees their space."""
         gone = self.registry.delete_by_hash(path_or_hash)
         if gone.isEmpty():
             gone = self.registry.delete_by_path(path_or_hash)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import io
 from collections.abc import Sequence
 from typing import Protocol
 
@@ -58,6 +60,22 @@ def outcome(n_hits: Column, key: Column, n_images: Column, answer: Column) -> Co
     )
 
 
+def image_part(image: bytes, quality: int = 85) -> dict[str, str]:
+    """An image as a part of a request: mime type and base64.  Where Pillow is installed it is made a JPEG without
+    transparency; else PNG, JPEG and WebP go as they are."""
+    try:
+        from PIL import Image
+    except ImportError:
+        kinds = {b"\x89PNG": "image/png", b"\xff\xd8\xff": "image/jpeg", b"RIFF": "image/webp"}
+        mime = next((m for head, m in kinds.items() if image.startswith(head)), None)
+        if mime is None:
+            raise ValueError("neither PNG, JPEG nor WebP") from None
+        return {"mime_type": mime, "data": base64.b64encode(image).decode()}
+    out = io.BytesIO()
+    Image.open(io.BytesIO(image)).convert("RGB").save(out, "JPEG", quality=quality)
+    return {"mime_type": "image/jpeg", "data": base64.b64encode(out.getvalue()).decode()}
+
+
 def query_and_answer(query: str, hits: DataFrame, images: dict[tuple[str, int], bytes], answerer: Answerer) -> dict:
     """The answer to one query over its few hits, with sources and status."""
     rows = [r.asDict() for r in labelled(hits).orderBy("rank").collect()]

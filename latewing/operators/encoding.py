@@ -59,18 +59,18 @@ def codebook_row(word: Column, n: int | Column) -> Column:
     return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % (F.lit(n) if isinstance(n, int) else n)).cast("long")
 
 
-def words_of(text: Column, limit: int = 64) -> Column:
-    """A text's first ``limit`` words: the encoder's sequence length."""
-    return F.slice(F.filter(F.split(texts.strip(text), r"(?U)\s+"), lambda w: w != ""), 1, limit)
+def words_of(text: Column) -> Column:
+    """A text's words, all of them."""
+    return F.filter(F.split(texts.strip(text), r"(?U)\s+"), lambda w: w != "")
 
 
 class CodebookEncoder:
-    """Deterministic default. ``codebook`` has a row per entry: (row, vec)."""
+    """Deterministic default: every word of a text is a token. ``codebook`` has a row per entry: (row, vec)."""
 
-    def __init__(self, codebook: np.ndarray, limit: int = 64):
+    def __init__(self, codebook: np.ndarray):
         if codebook.ndim != 2 or not len(codebook):
             raise EncoderError("a codebook is a matrix with rows")
-        self.codebook, self.limit, self.dim = codebook.astype(np.float32), limit, codebook.shape[1]
+        self.codebook, self.dim = codebook.astype(np.float32), codebook.shape[1]
 
     @classmethod
     def supports_model(cls, model_id: str) -> bool:
@@ -81,14 +81,14 @@ class CodebookEncoder:
 
         if not queries:
             raise EncoderError("nothing to encode")
-        rows = [[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % len(self.codebook) for w in q.split()[: self.limit]] for q in queries]
+        rows = [[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % len(self.codebook) for w in q.split()] for q in queries]
         return [self.codebook[r] if r else np.zeros((0, self.dim), np.float32) for r in rows]
 
     def encode_pages(self, pages: DataFrame) -> DataFrame:
         """Every distinct codebook row is joined once per token; buffers are packed in token order."""
         spark = pages.sparkSession
         book = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(self.codebook)], "row long, vec array<float>")
-        tokens = pages.select("file_hash", "page_number", F.posexplode_outer(words_of(F.col("content"), self.limit)).alias("token_idx", "word"))
+        tokens = pages.select("file_hash", "page_number", F.posexplode_outer(words_of(F.col("content"))).alias("token_idx", "word"))
         placed = tokens.withColumn("row", codebook_row(F.col("word"), len(self.codebook))).join(book, "row", "left")
         packed = placed.groupBy("file_hash", "page_number").agg(
             F.array_sort(F.collect_list(F.when(F.col("vec").isNotNull(), F.struct("token_idx", "vec")))).alias("t")

@@ -1,26 +1,50 @@
 """Ingestion: list, hash, skip what is done, render, encode, write, record.
 
-Rendering is an interface: ``render(path, content)`` gives a document's pages as values the encoder takes.  The default
-takes text, one page per form feed.
+Rendering is an interface: a renderer counts a document's pages and gives them chunk by chunk; a plain function that gives
+all pages will do.  The default takes text, one page per form feed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latewing.operators.registry import Registry, without_stale
-from latewing.sources.store import EmbeddingStore
+from latewing.sources.store import EmbeddingStore, page_chunks
 
+#: Fixed value: the message recorded for a document without pages.
 NO_PAGES = "PDF contains zero pages."
-Renderer = Callable[[str, bytes], list[str]]
+
+
+class Renderer(Protocol):
+    """Gives a document's pages as values that the encoder takes, some pages at a time."""
+
+    def page_count(self, path: str, content: bytes) -> int: ...
+
+    def pages(self, path: str, content: bytes, start: int, end: int, dpi: int) -> list[str]:
+        """Pages ``start`` to ``end`` (exclusive), counted from 0."""
+        ...
+
+
+class TextPages:
+    """The default renderer: UTF-8 text, pages parted by form feeds.  ``split`` gives all pages of a document."""
+
+    def __init__(self, split: Callable[[str, bytes], list[str]] | None = None):
+        self.split = split or text_pages
+
+    def page_count(self, path: str, content: bytes) -> int:
+        return len(self.split(path, content))
+
+    def pages(self, path: str, content: bytes, start: int, end: int, dpi: int) -> list[str]:
+        return self.split(path, content)[start:end]
 
 
 def text_pages(path: str, content: bytes) -> list[str]:
-    """The default renderer: UTF-8 text, pages parted by form feeds."""
     text = content.decode("utf-8", "replace")
     return text.split("\f") if text else []
 
@@ -36,31 +60,47 @@ def new_documents(files: DataFrame, registry: DataFrame) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def rendered(files: DataFrame, render: Renderer) -> DataFrame:
+PAGES = "file_hash string, file_path string, page_number int, content string, num_pages int, error_message string"
+COUNTED = "file_hash string, file_path string, content binary, num_pages int, error_message string"
+
+
+def rendered(files: DataFrame, render: Renderer | Callable[[str, bytes], list[str]], dpi: int = 150, chunk: int = 8) -> DataFrame:
     """(file_hash, file_path, page_number, content, num_pages, error_message): a row per page, or one without a page for
-    a document that failed."""
+    a document or a chunk of ``chunk`` pages that failed."""
+    made = render if hasattr(render, "page_count") else TextPages(render)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file_hash, path, content in zip(*(batch.column(c).to_pylist() for c in ("file_hash", "file_path", "content")), strict=True):
+            numbers, errors = [], []
+            for path, content in zip(batch.column("file_path").to_pylist(), batch.column("content"), strict=True):
                 try:
-                    pages, error = render(path, content), None
-                    if not pages:
-                        error = NO_PAGES
+                    n, error = made.page_count(path, content.as_py()), None
+                    error = None if n else NO_PAGES
                 except Exception as failure:  # one document must not stop the others
-                    pages, error = [], str(failure)
-                rows = list(enumerate(pages, 1)) or [(None, None)]
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([file_hash] * n), pa.array([path] * n), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()),
-                        pa.array([len(pages)] * n, pa.int32()), pa.array([error] * n, pa.string()),
-                    ],
-                    names=["file_hash", "file_path", "page_number", "content", "num_pages", "error_message"],
-                )
+                    n, error = 0, str(failure)
+                numbers.append(n)
+                errors.append(error)
+            columns = [batch.column(c) for c in ("file_hash", "file_path", "content")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(errors, pa.string())], names=[c.split(" ")[0] for c in COUNTED.split(", ")])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                try:
+                    pages, error = made.pages(row["file_path"], row["content"], row["chunk_start"], row["chunk_end"], dpi), None
+                    rows = [(row["chunk_start"] + k, page) for k, page in enumerate(pages, 1)]
+                except Exception as failure:
+                    rows, error = [(None, None)], str(failure)
+                out = [[row["file_hash"]] * len(rows), [row["file_path"]] * len(rows), [r[0] for r in rows], [r[1] for r in rows], [row["num_pages"]] * len(rows), [error] * len(rows)]
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=[c.split(" ")[0] for c in PAGES.split(", ")])
 
-    schema = "file_hash string, file_path string, page_number int, content string, num_pages int, error_message string"
-    return files.select("file_hash", "file_path", "content").mapInArrow(run, schema)
+    counted = files.select("file_hash", "file_path", "content").mapInArrow(count, COUNTED)
+    chunks = page_chunks(counted.withColumn("num_pages", F.when(F.col("error_message").isNull(), F.col("num_pages")).otherwise(0)), size=chunk)
+    pages = chunks.select("file_hash", "file_path", "content", "num_pages", "chunk_start", "chunk_end").mapInArrow(draw, PAGES)
+    none = counted.where("error_message is not null").selectExpr("file_hash", "file_path", "cast(null as int) as page_number", "cast(null as string) as content", "num_pages", "error_message")
+    return pages.unionByName(none)
 
 
 def _in_order(ops: DataFrame) -> DataFrame:
@@ -68,26 +108,32 @@ def _in_order(ops: DataFrame) -> DataFrame:
     return ops.orderBy("file_path").withColumn("seq", F.monotonically_increasing_id())
 
 
-def ingest(files: DataFrame, registry: Registry, store: EmbeddingStore, encoder, render: Renderer = text_pages) -> dict[str, int]:
+def ingest(files: DataFrame, registry: Registry, store: EmbeddingStore, encoder, render=text_pages, dpi: int = 150) -> dict[str, int]:
     """Ingests new files; returns counts of done and failed documents.
 
-    Embeddings are written before the registry says done, so a crash between leaves ``processing``, which a restart
-    turns to pending and a next run takes up again.
+    Embeddings are written under a new attempt before the registry says done and names it.  A crash between leaves
+    ``processing``, which a restart turns to pending and a next run takes up again; the pages of the broken attempt are
+    named by nobody.
     """
     fresh = new_documents(files, registry.table())
     registry.append(_in_order(fresh.select(F.lit("processing").alias("op"), "file_hash", "file_path")))
     claimed = registry.table().where("status = 'processing'").select("file_hash", "file_path")
-    pages = rendered(files.join(claimed, ["file_hash", "file_path"], "left_semi"), render)
-    kept_at = f"{store.path}-rendered"
-    pages.write.mode("overwrite").parquet(kept_at)
-    pages = files.sparkSession.read.parquet(kept_at)
-    store.append(encoder.encode_pages(pages.where("error_message is null")))
-    ended = pages.groupBy("file_hash", "file_path", "num_pages", "error_message").count().select(
+    pages = rendered(files.join(claimed, ["file_hash", "file_path"], "left_semi"), render, dpi)
+    attempt = uuid.uuid4().hex
+    kept_at = f"{store.path}-rendered/{attempt}"
+    pages.write.parquet(kept_at)
+    pages = files.sparkSession.read.schema(PAGES).parquet(kept_at)
+    ended = pages.groupBy("file_hash", "file_path").agg(F.max("num_pages").alias("num_pages"), F.min("error_message").alias("error_message"))
+    good = pages.join(ended.where("error_message is null").select("file_hash"), "file_hash", "left_semi")
+    store.append(encoder.encode_pages(good), attempt)
+    ops = ended.select(
         F.when(F.col("error_message").isNull(), "done").otherwise("failed").alias("op"), "file_hash", "file_path", "error_message", "num_pages",
-        F.when(F.col("error_message").isNull(), F.concat(F.lit(store.path + "#"), "file_hash")).alias("embedding_path"),
+        F.when(F.col("error_message").isNull(), F.lit(f"{store.path}#{attempt}")).alias("embedding_path"),
     )
-    registry.append(_in_order(ended))
-    counts = dict(ended.groupBy("op").count().collect())
+    registry.append(_in_order(ops))
+    counts = dict(ops.groupBy("op").count().collect())
+    where = files.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(kept_at)
+    where.getFileSystem(files.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     return {"done": counts.get("done", 0), "failed": counts.get("failed", 0)}
 
 

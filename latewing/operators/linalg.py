@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latewing.errors import DimensionError
+
 
 def transposed(m: DataFrame) -> DataFrame:
     return m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
@@ -27,3 +33,24 @@ def gemm(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha: float =
     old = c.select("i", "j", (F.lit(float(beta)) * F.col("v").cast("double") if beta else F.lit(0.0)).alias("c"))
     both = product.join(old, ["i", "j"], "full_outer")
     return both.select("i", "j", (F.coalesce("ab", F.lit(0.0)) + F.coalesce("c", F.lit(0.0))).alias("v"))
+
+
+def projected(vectors: DataFrame, weights: np.ndarray, bias: np.ndarray | None = None, vector: str = "vec", into: str = "projected") -> DataFrame:
+    """``vectors`` with weights @ x + bias for each x, in double precision: a matrix product for each Arrow batch.
+
+    Null stays null; a vector of another width than the weights is a DimensionError.
+    """
+    w = np.asarray(weights, np.float64)
+    b = np.zeros(len(w)) if bias is None else np.asarray(bias, np.float64)
+
+    @F.arrow_udf("array<double>")
+    def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            valid = np.asarray(batch.is_valid())
+            if len(set(batch.drop_null().value_lengths().to_pylist()) - {w.shape[1]}):
+                raise DimensionError(f"a vector is not {w.shape[1]} wide")
+            made = batch.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, w.shape[1]) @ w.T + b
+            offsets = np.concatenate([[0], np.cumsum(valid * len(w))]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(made.ravel()), mask=pa.array(~valid))
+
+    return vectors.withColumn(into, project(F.col(vector)))

@@ -22,45 +22,6 @@ from pyspark.sql import functions as F
 from latewing.functions import texts
 from latewing.schema import REGISTRY, REGISTRY_LOG
 
-STATE = (
-    "struct<present: boolean, file_path: string, status: string, error_message: string, num_pages: int, "
-    "embedding_path: string, processed_at: timestamp, ingest_seq: bigint>"
-)
-_FIELDS = ["present", "file_path", "status", "error_message", "num_pages", "embedding_path", "processed_at", "ingest_seq"]
-
-
-def _state(**values: Column) -> Column:
-    return F.struct(*[values[f].alias(f) for f in _FIELDS]).cast(STATE)
-
-
-def _step(s: Column, x: Column) -> Column:
-    none = F.lit(None)
-    old = {f: s[f] for f in _FIELDS}
-    fresh = {
-        "present": F.lit(True), "file_path": x["file_path"], "status": x["op"], "error_message": none, "num_pages": F.lit(0),
-        "embedding_path": none, "processed_at": x["at"], "ingest_seq": x["seq"],
-    }
-    there = s["present"]
-    moved = old | {"file_path": x["file_path"], "processed_at": x["at"]}
-    done = fresh | {
-        "num_pages": F.coalesce(x["num_pages"], F.lit(0)), "embedding_path": x["embedding_path"],
-        "ingest_seq": F.when(there, s["ingest_seq"]).otherwise(x["seq"]),
-    }
-    gone = {f: F.lit(False) if f == "present" else none for f in _FIELDS}
-    op = x["op"]
-    return (
-        F.when((op == "pending") & ~there, _state(**fresh))
-        .when((op == "pending") & (s["status"] != "done"), _state(**moved))
-        .when((op == "processing") & ~there, _state(**fresh))
-        .when(op == "processing", _state(**(moved | {"status": op})))
-        .when(op == "done", _state(**done))
-        .when((op == "failed") & there, _state(**(moved | {"status": op, "error_message": x["error_message"]})))
-        .when((op == "reset") & there & (s["status"] == "processing"), _state(**(old | {"status": F.lit("pending")})))
-        .when(op == "delete", _state(**gone))
-        .otherwise(s)
-    )
-
-
 #: The order of one key's operations with the same ``seq``, which only a compacted log has.
 _ORDER = "case op when 'done' then 0 when 'pending' then 1 when 'processing' then 2 when 'failed' then 3 when 'reset' then 4 else 5 end"
 
@@ -68,12 +29,36 @@ _ORDER = "case op when 'done' then 0 when 'pending' then 1 when 'processing' the
 def registry_of(log: DataFrame) -> DataFrame:
     """The registry that a log leads to, one row per file hash that is present.
 
-    A key's operations are gathered in one row; ``compacted`` keeps that short.
+    The fold follows from a few of a key's operations, found by aggregates with partial results, so no key's operations
+    are gathered, however many: those before its last delete are gone; the first that inserts gives its place; of the
+    later ones the last that sets the status, the last reset, the last done or failed, and the last of all that moves
+    the path.
     """
-    ops = F.array_sort(F.collect_list(F.struct("seq", F.expr(_ORDER).alias("place"), "op", "file_path", "num_pages", "embedding_path", "error_message", "at")))
-    start = _state(**{f: F.lit(False) if f == "present" else F.lit(None) for f in _FIELDS})
-    folded = log.groupBy("file_hash").agg(F.aggregate(ops, start, _step).alias("s")).where("s.present")
-    return folded.select("file_hash", *[F.col(f"s.{f}").alias(f) for f in _FIELDS[1:]])
+    ops = log.withColumn("_at", F.struct("seq", F.expr(_ORDER).alias("place")))
+    gone = ops.where("op = 'delete'").groupBy("file_hash").agg(F.max("_at").alias("_gone"))
+    ops = ops.join(gone, "file_hash", "left").where(F.col("_gone").isNull() | (F.col("_at") > F.col("_gone")))
+
+    def last(*kinds: str) -> Column:
+        fields = F.struct("_at", "op", "file_path", "num_pages", "embedding_path", "error_message", "at")
+        return F.max_by(F.when(F.col("op").isin(*kinds), fields), F.when(F.col("op").isin(*kinds), F.col("_at")))
+
+    found = ops.groupBy("file_hash").agg(
+        F.min(F.when(F.col("op").isin("pending", "processing", "done"), F.col("_at"))).alias("first"),
+        last("processing", "done", "failed").alias("set"), last("reset").alias("reset"), last("pending").alias("pending"),
+        last("done").alias("done"), last("done", "failed").alias("ended"),
+    ).where("first is not null")
+    counts = F.col("set").isNotNull() & (F.col("set._at") >= F.col("first"))  # a failure before the first insertion does nothing
+    found = found.withColumn("set", F.when(counts, F.col("set"))).withColumn("ended", F.when(F.col("ended._at") >= F.col("first"), F.col("ended")))
+    was_reset = (F.col("set.op") == "processing") & (F.col("reset._at") > F.col("set._at"))
+    status = F.when(F.col("set").isNull() | F.coalesce(was_reset, F.lit(False)), F.lit("pending")).otherwise(F.col("set.op"))
+    later = F.col("set").isNull() | ((F.col("set.op") != "done") & (F.col("pending._at") > F.col("set._at")))
+    moved = F.when(F.coalesce(later, F.lit(False)), F.col("pending")).otherwise(F.col("set"))
+    return found.select(
+        "file_hash", moved["file_path"].alias("file_path"), status.alias("status"),
+        F.when(F.col("ended.op") == "failed", F.col("ended.error_message")).alias("error_message"),
+        F.coalesce("done.num_pages", F.lit(0)).alias("num_pages"), F.col("done.embedding_path").alias("embedding_path"),
+        moved["at"].alias("processed_at"), F.col("first.seq").alias("ingest_seq"),
+    )
 
 
 def compacted(log: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latewing.errors import EmptyQueryError
@@ -16,41 +16,38 @@ def searchable(registry: DataFrame) -> DataFrame:
     return registry.where("status = 'done' and coalesce(embedding_path, '') <> ''")
 
 
-def rank_hits(registry: DataFrame, scored: DataFrame, top_k: int, digits: int | None = None) -> DataFrame:
-    """Hits from scored pages (file_hash, page_number, total_pages, score): best first, ties in order of ingestion and
-    page.  The limit above the sort is a bounded heap in every task; nothing is sorted as a whole."""
+def rank_hits(registry: DataFrame, scored: DataFrame, pages: DataFrame, top_k: int, digits: int | None = None) -> DataFrame:
+    """Hits from scored pages (file_hash, page_number, score): best first, ties in order of ingestion and page.
+
+    The registry is joined with keys and scores, never with vectors.  The limit above the sort is a bounded heap in every
+    task.  How many pages a document has is counted in ``pages`` for the few documents among the hits alone.  Where pages
+    have an ``attempt``, only those of the attempt that the registry names count.
+    """
     if top_k < 0:
         raise ValueError("top_k cannot be negative")
+    keys = ["file_hash", "attempt"] if "attempt" in scored.columns else ["file_hash"]
     score = F.col("score") if digits is None else F.round("score", digits)
-    hits = scored.join(searchable(registry).select("file_hash", "file_path", "ingest_seq"), "file_hash")
-    return (
-        hits.select(
-            score.cast("double").alias("score"), "file_path", texts.basename(F.col("file_path")).alias("filename"), "file_hash",
-            F.col("page_number").cast("int").alias("page_number"), F.col("total_pages").cast("int").alias("total_pages"), "ingest_seq",
-        )
-        .orderBy(F.desc("score"), "ingest_seq", "page_number")
-        .limit(top_k)
-        .drop("ingest_seq")
-    )
-
-
-def with_total_pages(pages: DataFrame) -> DataFrame:
-    """The number of pages of each document, from the embeddings themselves."""
-    return pages.withColumn("total_pages", F.count("*").over(Window.partitionBy("file_hash")))
+    live = searchable(registry).select("file_hash", "file_path", "ingest_seq", F.substring_index("embedding_path", "#", -1).alias("attempt"))
+    order = [F.desc("score"), "ingest_seq", "page_number"]
+    best = scored.withColumn("score", score.cast("double")).join(live if len(keys) > 1 else live.drop("attempt"), keys)
+    best = best.select(*keys, "score", "file_path", F.col("page_number").cast("int").alias("page_number"), "ingest_seq").orderBy(*order).limit(top_k)
+    counted = pages.select(*keys).join(F.broadcast(best), keys).groupBy(*best.columns).agg(F.count("*").cast("int").alias("total_pages"))
+    return counted.orderBy(*order).select("score", "file_path", texts.basename(F.col("file_path")).alias("filename"), "file_hash", "page_number", "total_pages")
 
 
 def search(query: str, encoder, registry: DataFrame, embeddings: DataFrame, top_k: int = 5, check: bool = False) -> DataFrame:
     """Hits (schema HITS) for a query text over packed ``embeddings``.
 
-    A blank query has no hits; at the interface (``check``) an empty one is an error.  Documents without embeddings are
-    skipped by the join.  Documents that are not searchable are dropped before their pages are scored.
+    A blank query has no hits; at the interface (``check``) an empty one is an error.  Documents that are not searchable,
+    or have no embeddings, are dropped by the join behind the scores.
     """
     spark = embeddings.sparkSession
     if check and query == "":
         raise EmptyQueryError("the query is empty")
+    if top_k < 0:
+        raise ValueError("top_k cannot be negative")
     if texts.is_blank(query) or top_k == 0:
         return spark.createDataFrame([], HITS)
     vectors = encoder.encode_texts([query])[0]
-    live = embeddings.join(searchable(registry).select("file_hash"), "file_hash", "left_semi")
-    scored = scoring.score_packed(live, vectors, ["file_hash", "page_number"])
-    return rank_hits(registry, with_total_pages(scored), top_k)
+    keys = [c for c in ("file_hash", "attempt", "page_number") if c in embeddings.columns]
+    return rank_hits(registry, scoring.score_packed(embeddings, vectors, keys), embeddings, top_k)

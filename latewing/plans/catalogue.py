@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from tempfile import mkdtemp
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latewing.functions import texts
 from latewing.functions import vectors as V
-from latewing.operators import answering, encoding, linalg, registry, scoring, search
-from latewing.session import ship
+from latewing.operators import answering, encoding, ingestion, linalg, registry, scoring, search
+from latewing.session import shared_root, ship
 from latewing.sources import store
 from latewing.streaming import watch
 
@@ -70,11 +70,10 @@ _Q4 = "select vec_id as i, embedding::double[] as e from embeddings where vec_id
 _P10 = "select vec_id // 10 as page, embedding::double[] as e from embeddings where vec_id >= 40"
 
 
-@query(_sql_score("select vec_id as i, embedding::double[] as e from embeddings where vec_id < 8", "select 4::bigint as page, embedding::double[] as e from embeddings where vec_id between 40 and 49", "page"))
+@query(_sql_score("select vec_id as i, embedding::double[] as e from embeddings where vec_id < 8", _P10, "page"))
 def maxsim_single_page(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
-    page = scoring.pack_pages(e.where("vec_id between 40 and 49").withColumn("page", F.lit(4).cast("long")), ["page"])
-    return _rounded(scoring.score_pages(page, _query(e, "vec_id < 8")).select("page", "score"), "score")
+    return _rounded(scoring.score_pages(_pages(e), _query(e, "vec_id < 8")).select("page", "score"), "score")
 
 
 @query(_sql_score(_Q4, _P10, "page"))
@@ -110,33 +109,33 @@ def maxsim_flat_offsets(spark, sf_dir):
     return scoring.ragged_offsets(lengths, "label", "doc_len")
 
 
-@query("""
+def _flat(embeddings: DataFrame, size: int) -> DataFrame:
+    """The whole table as flat buffers of ``size`` neighbouring vectors: batch, flat."""
+    rows = F.array_sort(F.collect_list(F.struct("vec_id", "vec")))
+    return embeddings.groupBy(F.expr(f"vec_id div {size}").alias("batch")).agg(F.flatten(F.transform(rows, lambda r: r["vec"])).alias("flat"))
+
+
+_TILED = """
 with q as (select vec_id as i, embedding::double[] as e from embeddings where vec_id < 4),
-p as (select cast((vec_id - 40) // 3 as int) as doc_idx, embedding::double[] as e from embeddings where vec_id between 40 and 48),
-sims as (select p.doc_idx, q.i, list_dot_product(q.e, p.e) as s from p, q),
-best as (select doc_idx, i, max(s) as m from sims group by doc_idx, i)
-select doc_idx, round(sum(m), 4) as score from best group by doc_idx""")
+p as (select vec_id // {size} as batch, vec_id % {size} as spot, embedding::double[] as e, count(*) over (partition by vec_id // {size}) as n from embeddings),
+placed as (select batch, cast(spot // {width} as int) as part, e from p where spot // {width} < {whole}),
+best as (select batch, part, i, max(list_dot_product(q.e, placed.e)) as m from placed, q group by batch, part, i)
+select batch, part as {name}, round(sum(m), 4) as score from best group by batch, part"""
+
+
+@query(_TILED.format(size=10, width=3, whole="3 and spot % 10 < 9", name="doc_idx"))
 def maxsim_ragged_batch(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
-    rows = F.array_sort(F.collect_list(F.struct("vec_id", "vec")))
-    flat = e.where("vec_id between 40 and 49").agg(F.flatten(F.transform(rows, lambda r: r["vec"])).alias("flat"))
-    batch = flat.withColumn("doc_lengths", F.array(*[F.lit(3)] * 3))  # the tenth vector is surplus
-    docs = scoring.split_ragged(batch, 64)
-    return _rounded(scoring.score_pages(docs, _query(e, "vec_id < 4")).select("doc_idx", "score"), "score")
+    batches = _flat(e, 10).withColumn("doc_lengths", F.array(*[F.lit(3)] * 3))  # every tenth vector is surplus
+    docs = scoring.split_ragged(batches, 64).where(F.size("vectors") > 0)
+    return _rounded(scoring.score_pages(docs, _query(e, "vec_id < 4")).select("batch", "doc_idx", "score"), "score")
 
 
-@query("""
-with q as (select vec_id as i, embedding::double[] as e from embeddings where vec_id < 4),
-p as (select label, cast((vec_id - 40) // 7 as int) as tile, embedding::double[] as e from (select * from embeddings where vec_id between 40 and 71) where (vec_id - 40) // 7 < 4),
-sims as (select p.tile, q.i, list_dot_product(q.e, p.e) as s from p, q),
-best as (select tile, i, max(s) as m from sims group by tile, i)
-select tile, round(sum(m), 4) as score from best group by tile""")
+@query(_TILED.format(size=32, width=7, whole="n // 7", name="tile"))
 def maxsim_tiles(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
-    rows = F.array_sort(F.collect_list(F.struct("vec_id", "vec")))
-    flat = e.where("vec_id between 40 and 71").agg(F.flatten(F.transform(rows, lambda r: r["vec"])).alias("flat"))
-    tiles = scoring.split_tiles(flat, 64, 7)  # 32 tokens: four tiles of seven, four tokens left over
-    return _rounded(scoring.score_pages(tiles, _query(e, "vec_id < 4")).select("tile", "score"), "score")
+    tiles = scoring.split_tiles(_flat(e, 32), 64, 7)  # 32 tokens: four tiles of seven, four tokens left over
+    return _rounded(scoring.score_pages(tiles, _query(e, "vec_id < 4")).select("batch", "tile", "score"), "score")
 
 
 @query("""
@@ -232,13 +231,21 @@ def l2_normalize(spark, sf_dir):
     return long.withColumn("x", F.round("x", 4) + F.lit(0.0))
 
 
-def _cells(embeddings: DataFrame, where: str, first: str, width: int) -> DataFrame:
-    rows = embeddings.where(where).select(F.expr(first).cast("int").alias("i"), F.posexplode(F.slice("vec", 1, width)).alias("j", "v"))
-    return rows
+def _cells(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(F.col("vec_id").cast("int").alias("i"), F.posexplode("vec").alias("j", "v"))
+
+
+def _grid(spark: SparkSession, rows: int, columns: int) -> DataFrame:
+    """A made matrix: ((7 i + 3 j) mod 11 - 5) / 10."""
+    at = spark.range(rows * columns).selectExpr(f"cast(id div {columns} as int) as i", f"cast(id % {columns} as int) as j")
+    return at.selectExpr("i", "j", "cast((7 * i + 3 * j) % 11 - 5 as double) / 10 as v")
 
 
-def _sql_cells(where: str, first: str, width: int) -> str:
-    return f"select cast({first} as int) as i, cast(k as int) as j, embedding[k + 1]::double as v from embeddings, range(0, {width}) t(k) where {where}"
+def _sql_grid(rows: int, columns: int) -> str:
+    return f"select cast(x as int) as i, cast(y as int) as j, ((7 * x + 3 * y) % 11 - 5)::double / 10 as v from range(0, {rows}) a(x), range(0, {columns}) b(y)"
+
+
+_SQL_CELLS = "select cast(vec_id as int) as i, cast(k as int) as j, embedding[k + 1]::double as v from embeddings, range(0, 64) t(k)"
 
 
 def _sql_gemm(a: str, b: str, c: str, ta: bool, tb: bool) -> str:
@@ -251,27 +258,35 @@ select coalesce(ab.i, c.i) as i, coalesce(ab.j, c.j) as j, round(0.5::double * c
 from ab full join c on ab.i = c.i and ab.j = c.j"""
 
 
-_CELLS = {
-    "nn": (("vec_id < 6", "vec_id", 8), ("vec_id between 10 and 17", "vec_id - 10", 5), ("vec_id between 20 and 25", "vec_id - 20", 5)),
-    "nt": (("vec_id < 6", "vec_id", 8), ("vec_id between 10 and 14", "vec_id - 10", 8), ("vec_id between 20 and 25", "vec_id - 20", 5)),
-    "tn": (("vec_id < 8", "vec_id", 6), ("vec_id between 10 and 17", "vec_id - 10", 4), ("vec_id between 20 and 25", "vec_id - 20", 4)),
-}
+#: The whole table (a row per vector) times a made matrix; for tn the table, transposed, times itself.
+_GEMM = {"nn": ((64, 8), (500, 8)), "nt": ((8, 64), (500, 8)), "tn": (None, (64, 64))}
 
 
 def _gemm(kind: str):
+    other, old = _GEMM[kind]
+
     def run(spark, sf_dir):
-        e = _embeddings(spark, sf_dir)
-        a, b, c = (_cells(e, *x) for x in _CELLS[kind])
-        return _rounded(linalg.gemm(a, b, c, 0.5, 0.5, trans_a=kind[0] == "t", trans_b=kind[1] == "t"), "v")
+        table_cells = _cells(_embeddings(spark, sf_dir))
+        b = _grid(spark, *other) if other else table_cells
+        return _rounded(linalg.gemm(table_cells, b, _grid(spark, *old), 0.5, 0.5, trans_a=kind[0] == "t", trans_b=kind[1] == "t"), "v")
 
     run.__name__ = f"gemm_{kind}"
-    return query(_sql_gemm(*(_sql_cells(*x) for x in _CELLS[kind]), kind[0] == "t", kind[1] == "t"))(run)
+    return query(_sql_gemm(_SQL_CELLS, _sql_grid(*other) if other else _SQL_CELLS, _sql_grid(*old), kind[0] == "t", kind[1] == "t"))(run)
 
 
-for _kind in _CELLS:
+for _kind in _GEMM:
     _gemm(_kind)
 
 
+@query("""
+with p as (select vec_id, embedding::double[] as e from embeddings)
+select vec_id, cast(r as int) as at, round(list_sum(list_transform(range(0, 64), lambda k: e[k + 1] * (((7 * r + 3 * k) % 11 - 5)::double / 10))) + r::double / 4, 4) as x from p, range(0, 16) t(r)""")
+def projection(spark, sf_dir):
+    at = np.arange(16)[:, None] * 7 + np.arange(64)[None, :] * 3
+    made = linalg.projected(_embeddings(spark, sf_dir), (at % 11 - 5) / 10, np.arange(16) / 4)
+    return made.select("vec_id", F.posexplode("projected").alias("at", "x")).withColumn("x", F.round("x", 4))
+
+
 # A store made of the tables: five pages a document, a registry row for each of them.
 
 _REGISTRY = """
@@ -309,9 +324,7 @@ def search_topk(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     reg = _registry(e)
     packed = _stored_pages(e).select("file_hash", "page_number", F.flatten("vectors").alias("flat"))
-    live = packed.join(search.searchable(reg).select("file_hash"), "file_hash", "left_semi")
-    scored = search.with_total_pages(scoring.score_packed(live, _query(e, "vec_id < 4"), ["file_hash", "page_number"]))
-    return search.rank_hits(reg, scored, 10, digits=4)
+    return search.rank_hits(reg, scoring.score_packed(packed, _query(e, "vec_id < 4"), ["file_hash", "page_number"]), packed, 10, digits=4)
 
 
 @query("with r as (" + _REGISTRY + ") select file_hash, file_path, embedding_path from r where status = 'done' and coalesce(embedding_path, '') <> ''")
@@ -322,7 +335,7 @@ def search_done_only(spark, sf_dir):
 _LOG = """
 select event_id as seq, cast(user_id as varchar) as file_hash, 'path/' || user_id || '/' || event_id as file_path,
   case event_type when 'click' then 'processing' when 'purchase' then 'done' when 'error' then 'failed' else 'pending' end as op
-from events qualify row_number() over (partition by user_id order by event_id) <= user_id % 7 + 1"""
+from events"""
 
 _FOLD = f"""
 with log as ({_LOG}),
@@ -334,10 +347,7 @@ registry as (
 
 
 def _log(spark, sf_dir) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    kept = events.withColumn("n", n).where("n <= user_id % 7 + 1")
-    return kept.selectExpr(
+    return table(spark, sf_dir, "events").selectExpr(
         "event_id as seq", "case event_type when 'click' then 'processing' when 'purchase' then 'done' when 'error' then 'failed' else 'pending' end as op",
         "cast(user_id as string) as file_hash", "'path/' || user_id || '/' || event_id as file_path", "1 as num_pages", "'store/' || user_id as embedding_path",
         "'broken' as error_message", "cast(null as timestamp) as at",
@@ -386,6 +396,48 @@ def sync_deleted(spark, sf_dir):
     return registry.without_stale(r, r.where("cast(file_hash as int) % 2 = 0").select("file_path")).select("file_hash", "file_path")
 
 
+@query("with r as (" + _REGISTRY + """)
+select file_hash, case when cast(file_hash as int) % 3 = 0 then 'done' else status end as status, case when cast(file_hash as int) % 3 = 0 then 'store#second' else embedding_path end as embedding_path from r""")
+def delete_and_reingest(spark, sf_dir):
+    """Every third document is deleted and ingested again, under another attempt."""
+    first = _registry(_embeddings(spark, sf_dir)).selectExpr(
+        "ingest_seq as seq", "case status when 'done' then 'done' else 'processing' end as op", "file_hash", "file_path", "5 as num_pages", "embedding_path",
+        "cast(null as string) as error_message", "cast(null as timestamp) as at",
+    )
+    failed = _registry(_embeddings(spark, sf_dir)).where("status = 'failed'").selectExpr(
+        "ingest_seq + 1000000000 as seq", "'failed' as op", "file_hash", "file_path", "0 as num_pages", "embedding_path", "'broken' as error_message", "cast(null as timestamp) as at"
+    )
+    third = first.where("cast(file_hash as int) % 3 = 0")
+    gone = third.withColumns({"seq": F.col("seq") + 2_000_000_000, "op": F.lit("delete")})
+    again = third.withColumns({"seq": F.col("seq") + 3_000_000_000, "op": F.lit("done"), "embedding_path": F.lit("store#second")})
+    log = first.unionByName(failed).unionByName(gone).unionByName(again)
+    made = registry.registry_of(log)
+    # a failure before any done keeps no embeddings
+    return made.join(first.select("file_hash", F.col("embedding_path").alias("was")), "file_hash").select(
+        "file_hash", "status", F.when(F.col("status") == "failed", F.col("was")).otherwise(F.col("embedding_path")).alias("embedding_path")
+    )
+
+
+@query("""
+select 'folder/' || doc_id || '.pdf' as file_path, case doc_id % 4 when 1 then 'created' when 2 then 'deleted' else 'modified' end as change from documents where doc_id % 4 <> 0""")
+def listing_changes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    before = docs.where("doc_id % 4 <> 1").selectExpr("'folder/' || doc_id || '.pdf' as file_path", "0 as modified", "n_chars as length")
+    now = docs.where("doc_id % 4 <> 2").selectExpr("'folder/' || doc_id || '.pdf' as file_path", "cast(doc_id % 4 = 3 as int) as modified", "n_chars as length")
+    return watch.changes(before, now).select("file_path", "change")
+
+
+@query("""
+with files as (select sha256(text) as file_hash, source || '/' || lpad(cast(doc_id as varchar), 12, '0') || '.pdf' as file_path, doc_id from documents where text is not null),
+done as (select file_hash from files group by file_hash having min(doc_id) % 3 = 0)
+select file_hash, min(file_path) as file_path from files where file_hash not in (select file_hash from done) group by file_hash""")
+def new_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    files = docs.select(F.sha2("text", 256).alias("file_hash"), F.expr("source || '/' || lpad(cast(doc_id as string), 12, '0') || '.pdf'").alias("file_path"), "doc_id")
+    known = files.groupBy("file_hash").agg(F.min("doc_id").alias("first")).selectExpr("file_hash", "case when first % 3 = 0 then 'done' else 'failed' end as status")
+    return ingestion.new_documents(files, known).select("file_hash", "file_path")
+
+
 @query("select sha256(text) as file_hash, min(source || '/' || lpad(cast(doc_id as varchar), 12, '0') || '.pdf') as file_path from documents where text is not null group by 1")
 def content_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
@@ -427,13 +479,13 @@ def format_prompt(spark, sf_dir):
 
 
 _TOKENS = r"""
-words as (select {id}, list_filter(string_split_regex(regexp_replace({text}, '^\s+|\s+$', '', 'g'), '\s+'), lambda w: w <> '')[1:{limit}] as ws from {source}),
+words as (select {id}, list_filter(string_split_regex(regexp_replace({text}, '^\s+|\s+$', '', 'g'), '\s+'), lambda w: w <> '') as ws from {source}),
 tokens as (select {id}, generate_subscripts(ws, 1) - 1 as token_idx, unnest(ws) as word from words),
 n as (select count(*) as n from embeddings),
 placed as (select {id}, token_idx, cast('0x' || substr(md5(word), 1, 8) as bigint) % n.n as row from tokens, n)"""
 
 
-@query("with " + _TOKENS.format(id="conv_id, turn", text="text", limit=64, source="conversations where role = 'user'") + " select conv_id, turn, cast(token_idx as int) as token_idx, row from placed")
+@query("with " + _TOKENS.format(id="conv_id, turn", text="text", source="conversations where role = 'user'") + " select conv_id, turn, cast(token_idx as int) as token_idx, row from placed")
 def encode_text(spark, sf_dir):
     user = table(spark, sf_dir, "conversations").where("role = 'user'")
     n = table(spark, sf_dir, "embeddings").count()
@@ -445,7 +497,7 @@ _QUERY_WORDS = "of the and that with this from what"
 
 
 @query(
-    "with " + _TOKENS.format(id="doc_id", text="text", limit=64, source="documents")
+    "with " + _TOKENS.format(id="doc_id", text="text", source="documents")
     + f""",
 q as (select row_number() over () as i, cast('0x' || substr(md5(w), 1, 8) as bigint) % n.n as row from (select unnest(string_split('{_QUERY_WORDS}', ' ')) as w), n),
 sims as (select b.vec_id as row, q.i, list_dot_product(b.embedding::double[], c.embedding::double[]) as s from embeddings b, q join embeddings c on c.vec_id = q.row),
@@ -488,10 +540,9 @@ def answer_outcome(spark, sf_dir):
 
 @query()
 def stream_ingest(spark, sf_dir):
-    """A stream of the documents as files, read to its end: content hashes, once each per micro-batch."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or mkdtemp()
-    folder = f"{base}/watch-{uuid.uuid4().hex}"
-    stream = watch.new_files(ship(spark), sf_dir, "region*.parquet", recursive=True)
+    """A stream of all files of the tables, read to its end: content hashes, once each per micro-batch."""
+    folder = f"{shared_root(spark)}/watch-{uuid.uuid4().hex}"
+    stream = watch.new_files(ship(spark), sf_dir, "*.parquet", recursive=True)
 
     def handle(files: DataFrame) -> None:
         files.select(texts.basename(F.col("file_path")).alias("filename"), "file_hash").write.mode("append").parquet(f"{folder}/out")

@@ -40,6 +40,9 @@ PAGE_EMBEDDINGS = T.StructType(
     ]
 )
 
+#: What the store keeps: a page and the attempt that wrote it; the registry names the attempt that counts.
+STORED_PAGES = T.StructType([*PAGE_EMBEDDINGS.fields, T.StructField("attempt", T.StringType())])
+
 HITS = T.StructType(
     [
         T.StructField("score", T.DoubleType()),

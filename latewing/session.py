@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -33,3 +34,18 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(target))
         _shipped.add(app)
     return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is absent, a temporary folder on one machine, an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=8)
+def _local_folder(_application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="latewing-")

@@ -2,32 +2,55 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latewing.errors import PageRangeError
 from latewing.operators.scoring import packed_bytes
-from latewing.schema import PAGE_EMBEDDINGS
+from latewing.schema import PAGE_EMBEDDINGS, STORED_PAGES
 
 
 class EmbeddingStore:
+    """Pages are only ever added, each under the attempt that wrote it.  The registry names one attempt for a document:
+    a later one takes the place of an earlier, a deleted document has none.  ``compact`` drops what nobody names."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, f"{path.rstrip('/')}/page_embeddings"
 
+    def _folder(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def initialise(self) -> None:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            self.spark.createDataFrame([], PAGE_EMBEDDINGS).write.parquet(self.path)
+        where, system = self._folder(self.path)
+        if not system.exists(where):
+            self.spark.createDataFrame([], STORED_PAGES).write.parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(PAGE_EMBEDDINGS).parquet(self.path)
+        return self.spark.read.schema(STORED_PAGES).parquet(self.path)
 
-    def append(self, pages: DataFrame) -> None:
+    def append(self, pages: DataFrame, attempt: str | None = None) -> None:
         """Adds pages (``flat`` as bytes or as a list of floats); a document's pages lie together and in order."""
         if pages.schema["flat"].dataType != T.BinaryType():
             pages = packed_bytes(pages)
-        pages.select(PAGE_EMBEDDINGS.fieldNames()).sortWithinPartitions("file_hash", "page_number").write.mode("append").parquet(self.path)
+        pages = pages.select(*PAGE_EMBEDDINGS.fieldNames(), F.lit(attempt).cast("string").alias("attempt"))
+        pages.sortWithinPartitions("file_hash", "page_number").write.mode("append").parquet(self.path)
+
+    def named(self, registry: DataFrame) -> DataFrame:
+        """The pages of the attempts that the registry names."""
+        live = registry.where("coalesce(embedding_path, '') <> ''").select("file_hash", F.substring_index("embedding_path", "#", -1).alias("attempt"))
+        return self.read().join(live, ["file_hash", "attempt"], "left_semi")
+
+    def compact(self, registry: DataFrame) -> None:
+        """Rewrites the store with the named pages alone.  For one writer, while nobody reads."""
+        fresh = f"{self.path}-{uuid.uuid4().hex}"
+        self.named(registry).sortWithinPartitions("file_hash", "page_number").write.parquet(fresh)
+        (old, system), (new, _) = self._folder(self.path), self._folder(fresh)
+        system.delete(old, True)
+        system.rename(new, old)
 
 
 def page_chunks(documents: DataFrame, num_pages: str = "num_pages", size: int = 8) -> DataFrame:

@@ -1,13 +1,15 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from latewing import config
 from latewing.api import Engine
-from latewing.cli import parse
-from latewing.errors import ConfigError, EmptyQueryError, EncoderError, PageRangeError
+from latewing.cli import parse, settings
+from latewing.errors import ConfigError, EmptyQueryError, EncoderError, PageRangeError, RegistryError
 from latewing.functions.texts import is_blank
-from latewing.operators import answering
+from latewing.operators import answering, ingestion, linalg
 from latewing.operators.encoding import CodebookEncoder, EncoderRegistry
 from latewing.sources import files, store
 from latewing.streaming import watch
@@ -80,6 +82,95 @@ def test_stream_and_listing_changes(spark, engine, tmp_path):
     assert [r.file_path for r in watch.settled(was, now).collect()] == ["a"]
 
 
+def test_pages_are_found_once_after_removal_and_reingestion(spark, engine):
+    folder = engine.config.watch_folder
+    engine.start()
+    assert engine.remove(f"{folder}/a.pdf")
+    assert engine.query("red", 20).where("filename = 'a.pdf'").count() == 0
+    assert engine.scan() == {"done": 1, "failed": 0}
+    found = [(r.filename, r.page_number, r.total_pages) for r in engine.query("red", 20).collect() if r.filename == "a.pdf"]
+    assert sorted(found) == [("a.pdf", 1, 2), ("a.pdf", 2, 2)]
+    before, hits = engine.store.read().count(), engine.query("red", 20).collect()
+    engine.compact()
+    assert engine.store.read().count() == before - 2 and engine.query("red", 20).collect() == hits
+    # an attempt that broke off behind the pages: processing, reset, again
+    engine.registry.processing(engine.documents().where("file_path like '%a.pdf'").first().file_hash, f"{folder}/a.pdf")
+    assert engine.start() == {"done": 1, "failed": 0}
+    assert engine.query("red", 20).where("filename = 'a.pdf'").count() == 2
+
+
+def test_watch_sees_new_changed_and_deleted_files(spark, engine, tmp_path):
+    import os
+    import time
+
+    folder = engine.config.watch_folder
+    engine.registry.initialise()
+    engine.store.initialise()
+    query = engine.watch(str(tmp_path / "polled"), every="1 second")
+
+    def until(condition):
+        end = time.time() + 120
+        while not condition():
+            assert query.isActive and time.time() < end, query.exception()
+            time.sleep(1)
+
+    paths = lambda: {os.path.basename(r.file_path) for r in engine.documents().where("status = 'done'").collect()}
+    try:
+        until(lambda: paths() == {"a.pdf", "b.PDF"})  # copies count once, folders below are not watched
+        with open(f"{folder}/a.pdf", "w") as f:
+            f.write("quite other words here")
+        until(lambda: engine.query("quite other", 20).where("filename = 'a.pdf'").count() == 3)
+        os.remove(f"{folder}/a.pdf")
+        until(lambda: paths() == {"b.PDF"})
+    finally:
+        engine.stop()
+
+
+def test_chunks_of_pages_and_single_pages(spark, engine, tmp_path):
+    class Long(ingestion.TextPages):
+        def pages(self, path, content, start, end, dpi):
+            if dpi != 99 or end - start > 8:
+                raise ValueError("asked for too much")
+            return super().pages(path, content, start, end, dpi)
+
+    engine.config = replace(engine.config, render_dpi=99)
+    with open(f"{engine.config.watch_folder}/long.pdf", "w") as f:
+        f.write("\f".join(f"page{i}" for i in range(1, 20)))
+    engine.render = Long()
+    assert engine.start() == {"done": 4, "failed": 0}
+    path = f"{engine.config.watch_folder}/long.pdf"
+    assert engine.registry.by_path(path).first().num_pages == 19
+    assert engine.query("page19", 50).where("filename = 'long.pdf'").count() == 19
+    assert engine.page(path, 19) == "page19"
+    assert open(engine.save_page(path, 2, str(tmp_path / "two.txt"))).read() == "page2"
+    for n in (0, 20):
+        with pytest.raises(PageRangeError):
+            engine.page(path, n)
+    with pytest.raises(RegistryError):
+        engine.page("/etc/passwd", 1)
+    assert engine.about()["state"] == "running"
+
+
+def test_image_parts():
+    import base64
+
+    png = base64.b64decode("iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJAAAADUlEQVR42mP8z8BQDwAEhQGAhKmMIQAAAABJRU5ErkJggg==")
+    part = answering.image_part(png)
+    assert part["mime_type"] in ("image/png", "image/jpeg") and base64.b64decode(part["data"])
+    with pytest.raises((ValueError, OSError)):
+        answering.image_part(b"no image")
+
+
+def test_projection(spark):
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, -1.0])]
+    table = spark.createDataFrame(rows, "id int, vec array<float>")
+    made = linalg.projected(table, np.array([[1.0, 1.0], [0.0, 2.0], [3.0, 0.0]]), np.array([0.5, 0.0, 0.0]))
+    assert [r.projected for r in made.orderBy("id").collect()] == [[3.5, 4.0, 3.0], None, [-0.5, -2.0, 0.0]]
+    assert linalg.projected(table.limit(0), np.ones((2, 2))).count() == 0
+    with pytest.raises(Exception, match="wide"):
+        linalg.projected(table, np.ones((2, 3))).collect()
+
+
 def test_chunks_and_pages(spark):
     docs = spark.createDataFrame([(n,) for n in (0, 1, 8, 9, 16)], "num_pages int")
     got = sorted((r.num_pages, r.chunk_start, r.chunk_end) for r in store.page_chunks(docs).collect())
@@ -138,7 +229,10 @@ def test_configuration(tmp_path):
 
 def test_command_line_and_encoders():
     assert parse([]).command == "server" and parse(["my.yaml"]).config == "my.yaml"
-    assert parse(["query", "x", "--top-k", "2"]).top_k == 2
+    assert parse(["query", "x", "--top-k", "2"]).top_k == 2 and parse(["query", "x"]).top_k is None
+    with pytest.warns(UserWarning):
+        assert settings(parse(["query", "x", "-c", "none.yaml"])).top_k == 3
+        assert settings(parse(["server", "none.yaml", "--port", "81"])).port == 81
     registry = EncoderRegistry()
     with pytest.raises(EncoderError):
         registry.get_for_model("x")
