@@ -392,7 +392,7 @@ def learn_wrappers(pages: DataFrame, folder: str, min_pages: int = 2, min_articl
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for whole in batches:
+        for whole in shared.lean(batches):
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 rows = []

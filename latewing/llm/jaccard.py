@@ -146,7 +146,7 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, text_print, n_shingles, vertex, sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in shared.lean(batches):
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 sizes, vertices, made = [], [], [np.zeros(0, np.uint64)]
@@ -212,7 +212,7 @@ def signature_blocks(docs: DataFrame, width: int, similarity: int, bits: int) ->
             kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "hot", "signs", "ids", "told"])
 
-        for whole in batches:
+        for whole in shared.lean(batches):
             for at in range(0, whole.num_rows, 1000):
                 for _, elements in _sets(whole.slice(at, 1000).column(0), width):
                     vertex = vertex_of(elements)
@@ -265,7 +265,7 @@ def met(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, rows = -1, []
-        for batch in batches:
+        for batch in shared.lean(batches):
             for i in range(batch.num_rows):
                 at, hot, *packed = (c[i].as_py() for c in batch.columns)  # one row's bytes at a time
                 if hot:
@@ -331,7 +331,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
-        for whole in batches:
+        for whole in shared.lean(batches):
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 leaders, members, cells = (batch.column(c).to_pylist() for c in ("a", "b", "cells"))

@@ -25,7 +25,7 @@ from latewing.llm import shared
 @F.arrow_udf(T.LongType())
 def count_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Number of words of each text; null: 0."""
-    for batch in batches:
+    for batch in shared.lean(batches):
         yield pa.array(shared.word_counts(batch), pa.int64())
 
 

@@ -36,7 +36,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, wit
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(vocabulary)
         end = np.array([end_id], tok.dtype)
-        for batch in batches:
+        for batch in shared.lean(batches, tok.forget):
             rows: list[list] = [[] for _ in range(5 + with_ids)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.concatenate([tok.encode(text.as_py()), end])

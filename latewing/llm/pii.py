@@ -226,7 +226,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     """Learns from the candidates of all ``docs``. Kinds without candidates get no classifier and add no spans."""
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.lean(batches):
             counts: dict[tuple, int] = {}
             for value in batch.column(0):
                 for s in candidates(value.as_py() or ""):
@@ -286,7 +286,7 @@ def with_spans(docs: DataFrame, model: Model, text: str = "text", into: str = "p
 
     @F.arrow_udf(f"struct<{ddl}>")
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for whole in batches:
+        for whole in shared.lean(batches):
             rows = []
             for value in whole:
                 source = value.as_py()

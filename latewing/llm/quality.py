@@ -169,7 +169,7 @@ def with_quality(docs: DataFrame, text: str = "text", into: str = "quality", ban
 
     @F.arrow_udf(f"struct<{', '.join(f'{n}: {k}' for n, k in _FIELDS)}>".replace("long", "bigint"))
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in shared.lean(batches):
             yield measure(batch, limits)
 
     return docs.withColumn(into, judged(F.col(text)))

@@ -6,17 +6,17 @@ that is a slice of its own.
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from latewing.session import ship
+from latewing.session import shared_root, ship
 
 #: Bytes of text that a kernel works on at a time.
 SLICE_BYTES = 500_000
@@ -33,23 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
 
     Where the setting is absent a temporary local folder stands in for it on one machine; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
-        base = _local_folder(id(spark.sparkContext))
-    path = f"{base.rstrip('/')}/latewing-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/latewing-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
 
 
-@lru_cache(maxsize=8)
-def _local_folder(_context: int) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="latewing-")
-
-
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``df`` written once as Parquet in a shared folder and read back: lineage ends here, and lost executors cost a
     reread, not a recomputation."""
@@ -80,6 +70,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(batches: Iterator, *forget: Callable[[], object]) -> Iterator:
+    """Passes ``batches`` on; when they end, gives freed memory back to the machine, so that workers that wait for the next
+    stage stay small.  ``forget`` is called before."""
+    try:
+        yield from batches
+    finally:
+        for call in forget:
+            call()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the int64 offsets of its rows in them; nulls are empty."""
     column = pc.fill_null(column, "") if column.null_count else column

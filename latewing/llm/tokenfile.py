@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         writer, fs, out, name = None, None, None, ""
         encode = encoder(vocabulary)
         end = np.array([end_id], encode.dtype)
-        for batch in batches:
+        for batch in shared.lean(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
                     fs, inner = _filesystem(target)
@@ -199,7 +199,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     placed = manifest.select("part", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("file_start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.lean(batches):
             for path, start in zip(batch.column("path").to_pylist(), batch.column("file_start").to_pylist(), strict=True):
                 reader = open_file(path)
                 for i in range(len(reader.entries)):

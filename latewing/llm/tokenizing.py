@@ -124,6 +124,12 @@ class Encoder:
             out.append(self.first[head] + b"".join(map(self.inner.__getitem__, tail)))
         return self.feed.join(out)
 
+    def forget(self, most: int = 120_000) -> None:
+        """Empties the memory if it holds more entries than ``most``."""
+        if len(self.inner) + len(self.pieces) > most:
+            for memo in (self.inner, self.first, self.pieces):
+                memo.clear()
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.raw(text), self.dtype)
 

@@ -228,3 +228,23 @@ def test_large_groups_and_hot_signatures(spark, monkeypatch, similarity, small,
     texts = families(11, 3, 60, 12)
     got = jaccard.jaccard_components(frame(spark, texts), shared.shared_folder(spark), 5, similarity)
     assert sorted(map(tuple, got.collect())) == brute_components(texts, 5, similarity)
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.06])
+def test_recall_of_passages_whose_parts_stand_elsewhere(spark, rate):
+    """Two documents share 90 words, reworded in one; both halves and the middle also stand, too short to count, in others."""
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    say = lambda k: rng.choices(vocabulary, k=k)
+    docs, want = [], set()
+    for _ in range(60):
+        passage = say(90)
+        for part in (passage[:45], passage[45:], passage[22:67]):
+            docs.append(say(30) + part + say(30))
+        want |= {len(docs), len(docs) + 1}
+        docs.append(say(40) + passage + say(20))
+        docs.append(say(20) + [w if rng.random() > rate else "other" for w in passage] + say(40))
+    found = passages.shared_passages(frame(spark, [" ".join(d) for d in docs]), shared.shared_folder(spark)).collect()
+    got = {r.doc_id for r in found}
+    assert got <= want  # half passages are too short
+    assert len(got) >= (len(want) if rate == 0 else 0.9 * len(want)), len(got) / len(want)
