@@ -9,10 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Rows of an Arrow batch, unless the session says otherwise: rows are whole texts and pages, and a task holds a batch
+#: Bounds of an Arrow batch, unless the session says otherwise: rows are whole texts and pages, and a task holds a batch
 #: several times (in the JVM, in the worker, as it is made and as it is sent).
-BATCH_ROWS = 2_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 _shipped: set[str] = set()
 
@@ -20,10 +19,11 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package's sources to the executors once per application; returns the session.
 
-    Sets the number of rows of an Arrow batch if the session has not.
+    Sets the bounds of an Arrow batch if the session has not.
     """
-    if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, BATCH_ROWS)
+    for name, value in BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
