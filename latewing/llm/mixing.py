@@ -62,8 +62,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
 
 def _key(seed: int):
-    """The hash-random key of a row, 53 bits of its id and its text's hash: reruns agree."""
-    return F.shiftrightunsigned(F.xxhash64("row_id", "text_print", F.lit(seed)), 11)
+    """The hash-random key of a row, 52 bits of the md5 of its id (a null id: of its text's hash): reruns agree."""
+    name = F.coalesce(F.col("row_id").cast("string"), F.concat(F.lit("~"), F.col("text_print").cast("string")))
+    return F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long")
 
 
 def _printed(sizes: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def cuts(sizes: DataFrame, folder: str, weights: tuple[int, ...] = (3, 1, 2), sh
     full = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     named = F.struct(F.col("source").isNull(), F.coalesce(F.col("source"), F.lit(""))).alias("named")
     plan = targets.withColumn("epochs", full).withColumn("rest", budget - full * F.col("source_size")).select(named, "source", "n_rows", "source_size", "target", "epochs", "rest")
-    u = F.col("key") / F.lit(float(1 << 53))
+    u = F.col("key") / F.lit(float(1 << 52))
     items = sizes.where("size > 0").select(named, "row_id", "text_print", "size", _key(seed).alias("key"))
     placed = items.join(plan.select("named", "n_rows", "rest"), "named").withColumn("range", F.floor(u * F.ceil(F.col("n_rows") / per_range)).cast("int"))
     running = Window.partitionBy("named").orderBy("range")
@@ -187,6 +188,12 @@ with sizes as (
   select *, (select min({'r': ratio, 'l': level}) from levels where level < ratio) as s from levels
 ), targets as (
   select source, source_size, case when s is null or ratio < s.r then cap else least(cap, s.l * weight) end as target from settled
+), placed as (
+  select doc_id, sizes.source, size, source_size, target, cast(floor(target) as bigint) as budget,
+    coalesce(sum(size) over (partition by sizes.source order by cast('0x' || substr(md5(doc_id || ':17'), 1, 13) as bigint), doc_id rows between unbounded preceding and 1 preceding), 0) as start
+  from sizes join targets on sizes.source is not distinct from targets.source
+), epochs as (
+  select *, case when source_size > 0 then budget // source_size else 0 end as epochs from placed
 )
-select doc_id, size, source_size, round(target, 3) as target from sizes join targets on sizes.source is not distinct from targets.source
+select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least(size, budget - epochs * source_size - start)) as bigint) as taken, source from epochs
 """

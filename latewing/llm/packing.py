@@ -117,42 +117,44 @@ def pack(pieces: DataFrame, folder: str, capacity: int, group_rows: int = 20_000
     columns and of its number among its equals, so reruns agree and equal rows spread.  Sequence ids are unique, not
     consecutive.
     """
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    group, order, sequence, place, fill, twin = shared.free_names([*names, "sequence_id", "offset"], "group", "order", "sequence", "offset", "fill", "twin")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*[F.col(f"`{c}`") for c in names]).schema)
-    schema = f"{kept}, `{twin}` bigint, `{sequence}` bigint, `{place}` bigint, `{fill}` bigint"
+    given = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    names = [f"c{i}" for i in range(len(given))]  # no clash with the columns made here, whatever the given names are
+    length = names[given.index("length")]
+    pieces = pieces.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(given, names, strict=True)])
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = f"{kept}, twin bigint, sequence bigint, place bigint, fill bigint"
 
     def packed(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values([order, twin], kind="stable")
-        bins, offsets = best_two_fit(df["length"].to_numpy(), capacity)
-        fills = np.bincount(bins, df["length"].to_numpy()).astype(np.int64) if len(df) else np.zeros(0, np.int64)
-        number = (int(df[group].iloc[0]) << 32) + bins
-        return df[[*names, twin]].assign(**{sequence: number, place: offsets, fill: fills[bins]})
-
-    columns = [F.col(f"`{c}`") for c in names]
-    left = pieces.groupBy(*columns).agg(F.count("*").alias(twin)).withColumn(twin, F.explode(F.sequence(F.lit(1).cast("long"), F.col(twin))))
+        df = df.sort_values(["order", "twin"], kind="stable")
+        bins, offsets = best_two_fit(df[length].to_numpy(), capacity)
+        fills = np.bincount(bins, df[length].to_numpy()).astype(np.int64) if len(df) else np.zeros(0, np.int64)
+        number = (int(df["group"].iloc[0]) << 32) + bins
+        return df[[*names, "twin"]].assign(sequence=number, place=offsets, fill=fills[bins])
+
+    left = pieces.groupBy(*names).agg(F.count("*").alias("twin")).withColumn("twin", F.explode(F.sequence(F.lit(1).cast("long"), F.col("twin"))))
     done: list[DataFrame] = []
     count, rounds = pieces.count(), 0
     while True:
         groups = max(1, -(-count // group_rows))
-        salted = left.withColumn(order, F.xxhash64(*columns, twin, F.lit(seed + rounds)))
-        dealt = salted.withColumn(group, F.pmod(F.col(order), F.lit(groups)) + F.lit(rounds << 24))
-        made = shared.stored(dealt.groupBy(group).applyInPandas(packed, schema), folder, f"packed{rounds}")
+        salted = left.withColumn("order", F.xxhash64(*names, "twin", F.lit(seed + rounds)))
+        dealt = salted.withColumn("group", F.pmod(F.col("order"), F.lit(groups)) + F.lit(rounds << 24))
+        made = shared.stored(dealt.groupBy("group").applyInPandas(packed, schema), folder, f"packed{rounds}")
         if groups == 1:
             done.append(made)
             break
-        full = F.col(fill) >= int(good_fill * capacity)
+        full = F.col("fill") >= int(good_fill * capacity)
         loose = made.where(~full)
         rest = loose.count()
         if not rest or rest > 0.9 * count:
             done.append(made)
             break
         done.append(made.where(full))
-        left, count, rounds = loose.select(*columns, twin), rest, rounds + 1
+        left, count, rounds = loose.select(*names, "twin"), rest, rounds + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*columns, F.col(sequence).alias("sequence_id"), F.col(place).alias("offset"))
+    own = [F.col(n).alias(c) for c, n in zip(given, names, strict=True)]
+    return out.select(*own, F.col("sequence").alias("sequence_id"), F.col("place").alias("offset"))
 
 
 def packed_sequences(placed: DataFrame, end_fill: int | None = None) -> DataFrame:

@@ -17,4 +17,9 @@ QUERIES = {
     "op10_jaccard_join": jaccard.op10,
 }
 
-SQL: dict[str, str] = {"op7_url_rules": urlrules.SQL, "op8_pivot_top_k": topk.SQL}
+SQL: dict[str, str] = {
+    "op4_mix_sources": mixing.SQL,
+    "op7_url_rules": urlrules.SQL,
+    "op8_pivot_top_k": topk.SQL,
+    "op10_jaccard_join": jaccard.SQL,
+}

@@ -2,7 +2,8 @@
 
 A file is a run of data frames, then two skippable frames that any zstandard decoder passes over:
 
-    data frame   ids of some consecutive documents: uint32 n; n x (int64 doc id, uint8 1 if that id is null, uint32 ids);
+    data frame   ids of some consecutive documents: uint32 n; n x (int64 doc id, uint8 1 if that id is null, uint32 ids; a null
+                 id is written as the least int64);
                  then all ids, little-endian, 2 or 4 bytes each
     documents    skippable 0x184D2A5C: uint8 bytes per id, uint32 n frames, then for each frame its first doc id
                  (int64), its documents (uint32) and its ids (uint64)
@@ -40,6 +41,9 @@ SEEK_FRAME, SEEK_MAGIC, SEEK_CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: The skippable frame that this format adds.
 DOCS_FRAME = 0x184D2A5C
 
+#: Stands for a null id, which comes before all others.
+_NULL = -(1 << 63)
+
 _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 _FRAME = np.dtype([("first", "<i8"), ("docs", "<u4"), ("ids", "<u8")])
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ids", "<u4")])
@@ -68,7 +72,7 @@ class FrameWriter:
     total_docs: int = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, len(ids)))
+        self.docs.append((_NULL if doc_id is None else doc_id, doc_id is None, len(ids)))
         self.parts.append(ids.astype(f"<u{self.width}").tobytes())
         self.held += len(self.parts[-1])
         if self.held >= self.frame_bytes:

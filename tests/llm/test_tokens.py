@@ -154,3 +154,45 @@ def test_rounds_repack_what_groups_leave(spark):
     fills = placed.groupBy("sequence_id").sum("length").collect()
     total = sum(r[1] for r in fills)
     assert placed.count() == 3000 and max(r[1] for r in fills) <= 1000 and len(fills) <= total / 1000 * 1.03 + 1
+
+
+def test_one_document_beside_null_and_negative_ids(spark):
+    rows = [(None, f"null {i}") for i in range(30)] + [(i, f"text {i}") for i in range(-20, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as part", "text as path", "1 as print")
+    manifest = tokenfile.write_token_files(docs, shared.shared_folder(spark), tokenfile.default_vocabulary(NAMES[0]), 2, files=2, frame_bytes=20)
+    readers = [tokenfile.open_file(r.path) for r in manifest.orderBy("part").collect()]
+    for i in (-20, -1, 0, 19):
+        found = [ids.tolist() for r in readers for ids in r.document(i)]
+        assert found == [library(NAMES[0], f"text {i}") + [2]]
+    assert [r.doc_id for r in sorted(tokenfile.read_token_files(manifest).collect(), key=lambda r: r.start)] == [None] * 30 + list(range(-20, 20))
+
+
+def test_packing_query_against_the_library(spark):
+    """Every piece of every document, by ids of a tokenizer of its own; sequences gapless, and nearly as few as can be."""
+    docs = frame(spark, [*ODD_TEXTS, "long words " * 5000, *[f"document {i} " * (i % 97 + 1) for i in range(600)]])
+    docs = docs.unionByName(frame(spark, ["repeated row"] * 3))
+    made = packing.pack_documents(docs, shared.shared_folder(spark)).collect()
+    want = []
+    for r in docs.collect():
+        ids = library(NAMES[1], r.text) + [1]
+        want += [(r.doc_id, k, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    assert sorted(r[:5] for r in made) == sorted(want)
+    by = {}
+    for r in made:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(by) <= -(-sum(r.length for r in made) // 4096) + 1
+    again = packing.pack_documents(docs.repartition(7), shared.shared_folder(spark)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, made))
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    pieces = spark.range(50).selectExpr("id", "id % 7 + 1 as length", "'a' as _group", "id as sequence", "id as fill", "id as `dotted.name`", "id as offset")
+    made = packing.pack(pieces, shared.shared_folder(spark), 16)
+    assert made.columns == ["id", "length", "_group", "sequence", "fill", "dotted.name", "sequence_id", "offset"]
+    assert all(r.id == r.sequence == r.fill == r["dotted.name"] for r in made.collect()) and made.count() == 50

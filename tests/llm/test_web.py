@@ -101,6 +101,18 @@ MENUS = ["main-menu", "post-share", "content-sidebar", "entry-footer", "sidebar-
 KEPT = ["entry-header", "content has-sidebar", "content sidebar-right", "post-content", "article-body", "no-ads", "header-post"]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name", ["op4_mix_sources", "op10_jaccard_join"])
+def test_document_sql(spark, name, sf):
+    path = f"/root/testdata/{sf}"
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{path}/documents.parquet'")
+    made = queries.QUERIES[name](spark, path).toPandas()
+    want = c.execute(queries.SQL[name]).df()[list(made.columns)]
+    rows = lambda d: sorted(map(str, d.astype(object).where(d.notna(), None).itertuples(index=False, name=None)))
+    assert rows(made) == rows(want)
+
+
 def test_names_tell_what_is_no_article():
     for name in MENUS + KEPT:
         for attribute in ("class", "id"):
