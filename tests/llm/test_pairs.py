@@ -247,4 +247,4 @@ def test_recall_of_passages_whose_parts_stand_elsewhere(spark, rate):
     found = passages.shared_passages(frame(spark, [" ".join(d) for d in docs]), shared.shared_folder(spark)).collect()
     got = {r.doc_id for r in found}
     assert got <= want  # half passages are too short
-    assert len(got) >= (len(want) if rate == 0 else 0.9 * len(want)), len(got) / len(want)
+    assert len(got) >= (len(want) if rate == 0 else 0.95 * len(want)), len(got) / len(want)
