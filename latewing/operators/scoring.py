@@ -59,11 +59,12 @@ def _block_scores(flat: np.ndarray, offsets: np.ndarray, query: np.ndarray) -> n
     full = np.flatnonzero(lengths)
     with np.errstate(invalid="ignore"):
         sims = flat.reshape(-1, dim) @ query.T
-    bad = np.isnan(sims)
-    if bad.any():
-        sims[bad] = -np.inf
     starts = offsets[:-1][full] // dim
-    scores[full] = np.maximum.reduceat(sims, starts, axis=0).sum(1, dtype=np.float64)
+    best = np.maximum.reduceat(sims, starts, axis=0)
+    if np.isnan(best).any():  # a maximum over a similarity that is no number is none either: only then look at all
+        sims[np.isnan(sims)] = -np.inf
+        best = np.maximum.reduceat(sims, starts, axis=0)
+    scores[full] = best.sum(1, dtype=np.float64)
     return scores
 
 
