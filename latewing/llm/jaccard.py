@@ -12,14 +12,15 @@ Equal sets are one vertex.  Signatures travel packed: a block of some thousand d
 signatures, one row of sorted 32-bit remainders and 40-bit vertex numbers; nearly all signatures stand alone and end
 there.  What meets is treated by the size of its group:
 
-* Groups of up to ``SMALL`` members give their pairs, a bounded number each.  A pair goes on if two sketches allow it:
-  512 bits of parities of element hashes, whose difference never exceeds the number of differing elements.
-* In a larger group every member is compared with one leader, the member that stands in most large groups.  Linked ones
-  are one component.  For two that are still apart the comparison has left what they need: how each differs from the
-  same leader.  Their differences overlap in a known number, so two such differences must meet among their first elements
-  in an order that puts rare ones first (a prefix filter), and the sketches must allow the pair.
-
-So a group of near copies costs a comparison for each member and some for those far from the middle, and no link is lost.
+* Groups of up to ``SMALL`` members give their pairs, a bounded number each.
+* In a larger group every member is paired with one leader, the member that stands in most large groups.
+
+A pair is compared only if two sketches allow it: 512 bits of parities of element hashes, whose difference never exceeds the
+number of differing elements.  What links becomes components.  Members of a leader that are still in different components
+then meet by their sketches alone, in blocks inside a task, and only pairs that the sketches allow leave it to be compared.
+
+So a group of near copies costs a comparison for each member and some for those far from the middle, texts are moved only
+for pairs that may link, and no link is lost.
 All sets are compared by 64-bit hashes of their shingles.
 """
 
@@ -46,8 +47,8 @@ SMALL = 8
 HOT = 64
 #: Signatures of a block, and of a range of signatures that one step of a task resolves.
 BLOCK_SIGNATURES, RANGE_SIGNATURES = 1 << 19, 1 << 20
-#: Members of a leader whose differences meet in one cell; leaders with more have several cells, by element.
-CELL_MEMBERS = 1024
+#: Members of a leader in one block; two blocks meet in a task.
+BLOCK_MEMBERS = 2048
 SKETCH_WORDS = 8
 
 
@@ -299,115 +300,79 @@ def _side(candidates: DataFrame, end: str) -> DataFrame:
 
 
 def _near_pairs(pairs: DataFrame, candidates: DataFrame, similarity: int) -> DataFrame:
-    """(a, b) vertices of ``pairs`` (p, q) of vertex numbers whose sketches allow a link."""
-    both = pairs.join(_side(candidates, "a"), F.col("p") == F.col("a_vid")).join(_side(candidates, "b"), F.col("q") == F.col("b_vid"))
+    """(a, b) vertices of ``pairs``, (p, q) of vertex numbers or (a, b) of vertices, whose sketches allow a link."""
+    on_a, on_b = ((F.col("p") == F.col("a_vid"), F.col("q") == F.col("b_vid")) if "p" in pairs.columns else ("a", "b"))
+    both = pairs.join(_side(candidates, "a"), on_a).join(_side(candidates, "b"), on_b)
     return both.where(_allowed("a_n", "b_n", "a_sketch", "b_sketch", similarity)).select("a", "b")
 
 
 def _leader_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, cells): every vertex of ``members`` (signature, vertex) with the leaders of its large groups, and among how
-    many cells a leader's members are dealt."""
+    """(a, b): every vertex of ``members`` (signature, vertex) with the leaders of its large groups."""
     degrees = members.groupBy("vertex").agg(F.count("*").alias("degree"))
     leaders = members.join(degrees, "vertex").groupBy("signature").agg(F.max_by("vertex", F.struct("degree", "vertex")).alias("a"))
-    stars = members.join(leaders, "signature").where("vertex <> a").select("a", F.col("vertex").alias("b")).distinct()
-    sizes = stars.groupBy("a").agg(F.ceil(F.count("*") / CELL_MEMBERS).cast("int").alias("cells"))
-    return stars.join(sizes, "a").select("a", "b", "cells")
-
-
-_DIFFERENCES = "a bigint, b bigint, linked boolean, n_b bigint, n_differ bigint, cell int, places array<int>, differ array<bigint>"
+    return members.join(leaders, "signature").where("vertex <> a").select("a", F.col("vertex").alias("b")).distinct()
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
-    """_DIFFERENCES of ``pairs`` (a, b, cells) by their ``texts`` (vertex, text): whether the sets reach the similarity
-    and, if ``cells`` is not 0, b's size, the number of elements that only one of them has, and the first of those: added
-    ones, then removed ones, each by hash, as many as a prefix filter needs, with their places; one row for each cell.
+    """The ``pairs`` (a, b) whose sets reach the similarity, by their ``texts`` (vertex, text).
 
     The two texts meet by joins whose hot keys Spark splits.
     """
     mine = texts.select(F.col("vertex").alias("b"), F.col("text").alias("b_text"))
     theirs = texts.select(F.col("vertex").alias("a"), F.col("text").alias("a_text"))
-    allowed = (100 - similarity) / (100 + similarity) * (1 + 100 / similarity)  # times the size: differences that a link allows
-    names = [c.split(" ")[0] for c in _DIFFERENCES.split(", ")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for whole in shared.lean(batches):
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                leaders, members, cells = (batch.column(c).to_pylist() for c in ("a", "b", "cells"))
-                rows: list[list] = [[] for _ in names]
-                for i, other in _sets(batch.column("b_text"), width):
-                    if leaders[i] not in known:
-                        if len(known) >= 64:
-                            known.clear()
-                        known[leaders[i]] = next(_sets(batch.column("a_text").slice(i, 1), width))[1]
-                    own = known[leaders[i]]
-                    added, removed = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
-                    d, total = len(added) + len(removed), len(own) + len(other)
-                    linked = (100 - similarity) * total >= (100 + similarity) * d
-                    # what it needs to share at least with any document that it can link to
-                    least = d * (similarity / (100 + similarity) - 0.02) if linked else d - (len(other) * allowed + 1)
-                    differ = np.concatenate([added, removed])[: d - max(1, int(least)) + 1]
-                    place = np.arange(1, len(differ) + 1, dtype=np.int32)
-                    cell = (differ % np.uint64(max(1, cells[i]))).astype(np.int32)
-                    for c in np.unique(cell).tolist() if cells[i] and d else [-1]:
-                        here = cell == c
-                        made = (leaders[i], members[i], linked, len(other), d, c, place[here], shared.signed(differ[here]))
-                        for row, value in zip(rows, made, strict=True):
-                            row.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=names)
-
-    both = pairs.join(mine, "b").join(theirs, "a").select("a", "b", "cells", "b_text", "a_text")
-    return both.mapInArrow(compare, _DIFFERENCES)
+            leaders, linked = whole.column("a").to_pylist(), np.zeros(whole.num_rows, bool)
+            for i, other in _sets(whole.column("b_text"), width):
+                if leaders[i] not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[leaders[i]] = next(_sets(whole.column("a_text").slice(i, 1), width))[1]
+                own = known[leaders[i]]
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                linked[i] = 100 * common >= similarity * (len(own) + len(other) - common)
+            yield whole.select(["a", "b"]).filter(pa.array(linked))
+
+    both = pairs.join(mine, "b").join(theirs, "a").select("a", "b", "b_text", "a_text")
+    return both.mapInArrow(compare, "a bigint, b bigint")
 
 
 def _far_pairs(stars: DataFrame, roots: DataFrame, candidates: DataFrame, similarity: int) -> DataFrame:
-    """(a, b): vertices compared with the same leader, in different components, whose differences from it overlap as
-    much as a link needs and whose sketches allow one.
-
-    Of x and y at most one links to the leader itself, so |Dx| + |Dy| exceeds the k differences that a link allows, and a
-    link needs ceil((|Dx| + |Dy| - k) / 2) shared ones: at least one.  In an order of all elements the first shared one
-    stands among the first |D| - needed + 1 of either.  The order puts what the leader lacks first: edits are rare, what
-    they took away is not.  A cell holds the elements of one leader that fall to it; a task lays a cell's elements in
-    order and tries the members that hold the same one, in blocks, so only pairs that pass leave it.
+    """(a, b), a < b: vertices with the same leader, or a leader and its member, in different components, whose sketches
+    allow a link.
+
+    A leader's members are dealt into blocks of bounded size and every two blocks meet in a task; leaders whose members
+    are one component are left out.
     """
-    own = roots.select(F.col("id").alias("b"), F.col("root").alias("b_root"))
-    center = roots.select(F.col("id").alias("a"), F.col("root").alias("a_root"))
-    of = stars.where("cell >= 0").join(own, "b", "left").join(center, "a", "left").withColumn("root", F.coalesce("b_root", "b"))
-    of = of.join(of.where(F.col("root") != F.coalesce("a_root", "a")).select("a").distinct(), "a", "left_semi")
-    of = of.join(candidates.select(F.col("vertex").alias("b"), "sketch"), "b").select("a", "cell", "b", "root", "n_b", "n_differ", "places", "differ", "sketch")
+    sides = stars.unionByName(stars.select("a", F.col("a").alias("b")).distinct())
+    sides = sides.join(roots.select(F.col("id").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    leaders = sides.groupBy("a").agg(F.count("*").alias("m"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    sides = sides.join(leaders.select("a", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks")), "a")
+    sides = sides.join(candidates.select(F.col("vertex").alias("b"), "n", "sketch"), "b").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    met_by = sides.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = met_by.select("a", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "b", "root", "n", "sketch")
 
     def tried(key: tuple, table: pa.Table) -> pa.Table:
-        b, root, n, d = (table.column(c).to_numpy() for c in ("b", "root", "n_b", "n_differ"))
-        lists = table.column("differ").combine_chunks()
+        b, root, n, block = (table.column(c).to_numpy() for c in ("b", "root", "n", "block"))
         sketches = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS)
-        element = lists.flatten().to_numpy(zero_copy_only=False)
-        place = table.column("places").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy(zero_copy_only=False))
-        order = np.argsort(element, kind="stable")
-        element, place, owner = element[order], place[order], owner[order]
-        edges = np.concatenate([[0], np.flatnonzero(element[1:] != element[:-1]) + 1, [len(element)]])
-        found: list[np.ndarray] = []
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if high - low < 2 or (root[owner[low:high]] == root[owner[low]]).all():
-                continue
-            for i in range(low, high, 1024):
-                for j in range(i, high, 1024):
-                    x, y = owner[i : min(i + 1024, high), None], owner[None, j : min(j + 1024, high)]
-                    total = n[x] + n[y]
-                    need = (d[x] + d[y] - (100 - similarity) * total // (100 + similarity) + 1) // 2
-                    fits = (root[x] != root[y]) & (place[i : min(i + 1024, high), None] <= d[x] - need + 1) & (place[None, j : min(j + 1024, high)] <= d[y] - need + 1)
-                    p, q = np.nonzero(fits & (100 * np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])))
-                    p, q = x[p, 0], y[0, q]
-                    bits = np.bitwise_count(sketches[p] ^ sketches[q]).sum(1)
-                    near = (bits * (100 + similarity) <= (100 - similarity) * (n[p] + n[q])) & (b[p] != b[q])
-                    found.append(np.unique(np.minimum(p[near], q[near]) * len(b) + np.maximum(p[near], q[near])))
-        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
-        x, y = b[pairs // max(1, len(b))], b[pairs % max(1, len(b))]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return of.groupBy("a", "cell").applyInArrow(tried, "a bigint, b bigint").distinct()
+        low, high = key[1].as_py(), key[2].as_py()
+        xs, ys = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = []
+        for at in range(0, len(xs), 128):
+            x = xs[at : at + 128]
+            fits = (root[x, None] != root[None, ys]) & (100 * np.minimum(n[x, None], n[None, ys]) >= similarity * np.maximum(n[x, None], n[None, ys]))
+            if low == high:
+                fits &= b[x, None] < b[None, ys]
+            p, q = np.nonzero(fits)
+            p, q = x[p], ys[q]
+            near = np.bitwise_count(sketches[p] ^ sketches[q]).sum(1) * (100 + similarity) <= (100 - similarity) * (n[p] + n[q])
+            found.append(np.stack([np.minimum(b[p[near]], b[q[near]]), np.maximum(b[p[near]], b[q[near]])]))
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return dealt.groupBy("a", "low", "high").applyInArrow(tried, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -435,6 +400,14 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     raise RuntimeError("components did not settle in 99 rounds")
 
 
+def _texts_of(docs: DataFrame, pairs: DataFrame, candidates: DataFrame, folder: str, name: str) -> DataFrame:
+    """(vertex, text) of the vertices in ``pairs``, stored: one pass over the texts."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    rows = shared.stored(candidates.join(used, "vertex").select("vertex", F.col("row.doc_id").alias("_id"), F.col("row.text_print").alias("_print")), folder, f"{name}-rows")
+    texts = _keyed(docs).join(_small(rows, rows.count()), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_print") == F.col("_print")))
+    return shared.stored(texts.select("vertex", "text").dropDuplicates(["vertex"]), folder, f"{name}-texts")
+
+
 def set_components(docs: DataFrame, folder: str, width: int, similarity: int) -> DataFrame:
     """doc_id, text_print, n_shingles, component of every row of ``docs`` (doc_id, text), stored; ``component`` names the
     rows that links join by a number of its own, null for empty sets."""
@@ -451,23 +424,19 @@ def set_components(docs: DataFrame, folder: str, width: int, similarity: int) ->
     candidates = filled.withColumn("vid", vid).join(_small(wanted, wanted.count()), "vid", "left_semi").groupBy("vertex", "vid")
     candidates = shared.stored(candidates.agg(row, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), folder, "candidates")
     members = shared.stored(held.join(candidates.select("vid", "vertex"), "vid").select("signature", "vertex").distinct(), folder, "members")
-    near = _near_pairs(pairs, candidates, similarity).select("a", "b", F.lit(0).alias("cells"))
-    pairs = shared.stored(near.unionByName(_leader_pairs(members)), folder, "pairs")
+    stars = shared.stored(_leader_pairs(members), folder, "stars")
+    near = _near_pairs(pairs, candidates, similarity).unionByName(_near_pairs(stars, candidates, similarity))
+    near = shared.stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, "near")
     roots = None
-    if not pairs.isEmpty():
-        used = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-        rows = shared.stored(candidates.join(used, "vertex").select("vertex", "row.*"), folder, "rows")
-        rows_of = _small(rows.select("vertex", F.col("doc_id").alias("_id"), F.col("text_print").alias("_print")), rows.count())
-        texts = _keyed(docs).join(rows_of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_print") == F.col("_print")))
-        texts = shared.stored(texts.select("vertex", "text").dropDuplicates(["vertex"]), folder, "texts")
-        stars = shared.stored(_compared(pairs, texts, width, similarity), folder, "stars")
-        links = stars.where("linked").select("a", "b")
-        roots = components(links, folder, "near")
-        far = shared.stored(_far_pairs(stars, roots, candidates, similarity).select("a", "b", F.lit(0).alias("cells")), folder, "far")
-        if not far.isEmpty():
-            more = shared.stored(_compared(far, texts, width, similarity).where("linked").select("a", "b"), folder, "more")
-            if not more.isEmpty():
-                roots = components(links.unionByName(more), folder, "all")
+    links = shared.stored(_compared(near, _texts_of(docs, near, candidates, folder, "near"), width, similarity), folder, "links")
+    if not links.isEmpty():
+        roots = components(links, folder, "round")
+    still = roots if roots is not None else links.selectExpr("a as id", "b as root")
+    far = shared.stored(_far_pairs(stars, still, candidates, similarity).join(near, ["a", "b"], "left_anti"), folder, "far")
+    if not far.isEmpty():
+        more = shared.stored(_compared(far, _texts_of(docs, far, candidates, folder, "far"), width, similarity), folder, "more")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more), folder, "all")
     named = made.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("vertex")))
     if roots is not None:
         named = named.join(_small(roots, roots.count()), F.col("component") == F.col("id"), "left").withColumn("component", F.coalesce("root", "component"))

@@ -223,7 +223,7 @@ def test_keep_one_with_null_and_repeated_ids(spark):
 
 @pytest.mark.parametrize("similarity,small,hot", [(80, 8, 64), (80, 1, 2), (90, 2, 3)])
 def test_large_groups_and_hot_signatures(spark, monkeypatch, similarity, small, hot):
-    for name, value in (("SMALL", small), ("HOT", hot), ("BLOCK_SIGNATURES", 4000), ("RANGE_SIGNATURES", 500), ("CELL_MEMBERS", 3)):
+    for name, value in (("SMALL", small), ("HOT", hot), ("BLOCK_SIGNATURES", 4000), ("RANGE_SIGNATURES", 500), ("BLOCK_MEMBERS", 7)):
         monkeypatch.setattr(jaccard, name, value)
     texts = families(11, 3, 60, 12)
     got = jaccard.jaccard_components(frame(spark, texts), shared.shared_folder(spark), 5, similarity)
