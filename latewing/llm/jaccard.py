@@ -15,7 +15,7 @@ there.  What meets is treated by the size of its group:
 * Groups of up to ``SMALL`` members give their pairs, a bounded number each.
 * In a larger group every member is paired with one leader, the member that stands in most large groups.
 
-A pair is compared only if two sketches allow it: 512 bits of parities of element hashes, whose difference never exceeds the
+A pair is compared only if two sketches allow it: 2,048 bits of parities of element hashes, whose difference never exceeds the
 number of differing elements.  What links becomes components.  Members of a leader that are still in different components
 then meet by their sketches alone, in blocks inside a task, and only pairs that the sketches allow leave it to be compared.
 
@@ -49,7 +49,8 @@ HOT = 64
 BLOCK_SIGNATURES, RANGE_SIGNATURES = 1 << 19, 1 << 20
 #: Members of a leader in one block; two blocks meet in a task.
 BLOCK_MEMBERS = 2048
-SKETCH_WORDS = 8
+#: 64-bit words of a sketch.
+SKETCH_WORDS = 32
 
 
 @lru_cache(maxsize=4)
@@ -125,9 +126,9 @@ def vertex_of(elements: np.ndarray) -> int:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """512 parities of element hashes: two sets' sketches differ in no more bits than the sets in elements."""
-    bits = (shared.mix64(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(55)).astype(np.int64)
-    return np.packbits((np.bincount(bits, minlength=512) & 1).astype(np.uint8)).view(np.uint64)
+    """2,048 parities of element hashes: two sets' sketches differ in no more bits than the sets in elements."""
+    bits = (shared.mix64(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -360,8 +361,8 @@ def _far_pairs(stars: DataFrame, roots: DataFrame, candidates: DataFrame, simila
         low, high = key[1].as_py(), key[2].as_py()
         xs, ys = np.flatnonzero(block == low), np.flatnonzero(block == high)
         found = []
-        for at in range(0, len(xs), 128):
-            x = xs[at : at + 128]
+        for at in range(0, len(xs), 32):
+            x = xs[at : at + 32]
             fits = (root[x, None] != root[None, ys]) & (100 * np.minimum(n[x, None], n[None, ys]) >= similarity * np.maximum(n[x, None], n[None, ys]))
             if low == high:
                 fits &= b[x, None] < b[None, ys]
@@ -401,11 +402,12 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, pairs: DataFrame, candidates: DataFrame, folder: str, name: str) -> DataFrame:
-    """(vertex, text) of the vertices in ``pairs``, stored: one pass over the texts."""
+    """(vertex, text) of the vertices in ``pairs``: one pass over the texts, and one shuffle that both sides of a comparison
+    share."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
     rows = shared.stored(candidates.join(used, "vertex").select("vertex", F.col("row.doc_id").alias("_id"), F.col("row.text_print").alias("_print")), folder, f"{name}-rows")
     texts = _keyed(docs).join(_small(rows, rows.count()), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_print") == F.col("_print")))
-    return shared.stored(texts.select("vertex", "text").dropDuplicates(["vertex"]), folder, f"{name}-texts")
+    return texts.select("vertex", "text").dropDuplicates(["vertex"])
 
 
 def set_components(docs: DataFrame, folder: str, width: int, similarity: int) -> DataFrame:
