@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from latewing.llm import htmltext, jaccard, mixing, packing, passages, pii, quality, tokenfile, topk, toxicity, urlrules
+from latewing.llm import divergence, htmltext, jaccard, mixing, packing, passages, pii, quality, tokenfile, topk, toxicity, urlrules
 
 QUERIES = {
     "op1_token_files": tokenfile.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_two_fit": packing.op9,
     "op10_jaccard_join": jaccard.op10,
     "op12_toxicity": toxicity.op12,
+    "op13_source_divergence": divergence.op13,
 }
 
 SQL: dict[str, str] = {
@@ -23,4 +24,5 @@ SQL: dict[str, str] = {
     "op7_url_rules": urlrules.SQL,
     "op8_pivot_top_k": topk.SQL,
     "op10_jaccard_join": jaccard.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
