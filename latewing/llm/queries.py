@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from latewing.llm import divergence, htmltext, jaccard, mixing, packing, passages, pii, quality, tokenfile, topk, toxicity, urlrules
+from latewing.llm import alignment, divergence, htmltext, jaccard, mixing, packing, passages, pii, quality, tokenfile, topk, toxicity, urlrules
 
 QUERIES = {
     "op1_token_files": tokenfile.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pivot_top_k": topk.op8,
     "op9_best_two_fit": packing.op9,
     "op10_jaccard_join": jaccard.op10,
+    "op11_token_alignment": alignment.op11,
     "op12_toxicity": toxicity.op12,
     "op13_source_divergence": divergence.op13,
 }

@@ -36,7 +36,7 @@ BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
-def _byte_alphabet() -> list[str]:
+def byte_alphabet() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(shown)]
@@ -73,7 +73,7 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model = self.tok.model
         self.words = self.tok.normalizer is not None  # lower case, white space dropped
-        self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(_byte_alphabet())})
+        self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
         self.pieces_of = regex.compile(WORD_PIECES if self.words else BYTE_PIECES).findall
         self.pieces = _Memo(self._piece, PIECE_CAP)
         self.inner = _Memo(self._inner, UNIT_CAP)
