@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latewing.llm import shared
-from latewing.llm.tokenizing import Encoder, byte_alphabet
+from latewing.llm.tokenizing import TAIL, Encoder, byte_alphabet
 
 #: Characters of text in a block, unless a single text is longer; distinct units that a task remembers.
-BLOCK_CHARS = 2_000_000
-UNIT_CAP = 250_000
+BLOCK_CHARS = 1_000_000
+UNIT_CAP = 150_000
 
 _SPLIT_SPACE = re.compile(r"(?<=\S) (?=\S)").split
 _SPLIT_FEED = re.compile(r"(?<=\S)\n(?=\S)").split
@@ -75,11 +75,19 @@ class Bytes:
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for name, i in vocabulary.items():
             self.bytes[i] = bytes(byte_of[c] for c in name) if all(c in byte_of for c in name) else name.encode()
+        self.letters = self.encoder.piece
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units end to end, and how many each has."""
-        inner, kind = self.encoder.inner, self.encoder.dtype
-        found = [inner[u[1:]] if u[0] == " " and u.split() == [u[1:]] else self._whole(u) for u in units]
+        kind, letters, other = self.encoder.dtype, self.letters, self.encoder.inner
+        found = []
+        for u in units:
+            word = u.rstrip(TAIL)
+            if u[0] == " " and word[1:].isalpha() and (u.isascii() or max(u) < "\u0250"):  # one pre-token, and one of its tail
+                ids = letters(word)
+                found.append(ids + self.encoder.pieces[u[len(word) :]] if len(word) < len(u) else ids)
+            else:
+                found.append(other[u[1:]] if u[0] == " " and u.split() == [u[1:]] else self._whole(u))
         counts = np.fromiter(map(len, found), np.int64, len(found)) // kind.itemsize
         return np.frombuffer(b"".join(found), kind).astype(np.int64), counts
 

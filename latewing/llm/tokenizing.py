@@ -28,7 +28,7 @@ UNIT_CAP = 500_000
 PIECE_CAP = 400_000
 
 #: Punctuation that often closes a word; such a tail is one pre-token of its own.
-_TAIL = ".,:;!?%*$#&|)\"-"
+TAIL = ".,:;!?%*$#&|)\"-"
 
 #: The published pre-token patterns of the two vocabularies, without the white-space branches that a
 #: unit cannot reach.
@@ -75,7 +75,7 @@ class Encoder:
         self.words = self.tok.normalizer is not None  # lower case, white space dropped
         self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
         self.pieces_of = regex.compile(WORD_PIECES if self.words else BYTE_PIECES).findall
-        self.pieces = _Memo(self._piece, PIECE_CAP)
+        self.pieces = _Memo(self.piece, PIECE_CAP)
         self.inner = _Memo(self._inner, UNIT_CAP)
         self.first = self.inner if self.words else _Memo(self._unit, UNIT_CAP // 4)
         self.feed = b"" if self.words else self._library("\n")
@@ -83,7 +83,8 @@ class Encoder:
     def _library(self, text: str) -> bytes:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
+        """The ids' bytes of one pre-token."""
         if piece.isascii() and piece.isprintable():  # only the leading space is written otherwise
             shown = piece.replace(" ", "\u0120")
         else:
@@ -96,7 +97,7 @@ class Encoder:
             return self._library(lead + unit)
         if self.words:
             unit = unit.lower()
-        if (word := unit.rstrip(_TAIL)).isalpha():
+        if (word := unit.rstrip(TAIL)).isalpha():
             got = self.pieces[lead + word]
             return got + self.pieces[unit[len(word) :]] if len(word) < len(unit) else got
         return b"".join(map(self.pieces.__getitem__, self.pieces_of(lead + unit)))
