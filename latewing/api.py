@@ -11,7 +11,7 @@ from latewing.operators import answering, ingestion
 from latewing.operators.registry import Registry
 from latewing.operators.search import search
 from latewing.session import ship
-from latewing.sources import files
+from latewing.sources import files, folders
 from latewing.sources.store import EmbeddingStore
 from latewing.streaming import watch
 
@@ -19,7 +19,7 @@ from latewing.streaming import watch
 class Engine:
     """Registry, embeddings, encoder and folder of one store."""
 
-    def __init__(self, spark: SparkSession, config: Config, encoder, render=ingestion.text_pages, pattern: str = "*.[pP][dD][fF]"):
+    def __init__(self, spark: SparkSession, config: Config, encoder, render=None, pattern: str = folders.PDF):
         self.spark, self.config, self.encoder, self.render, self.pattern = ship(spark), config, encoder, render, pattern
         root = config.store or str(cache_folder())
         self.registry, self.store = Registry(spark, root), EmbeddingStore(spark, root)
@@ -41,24 +41,19 @@ class Engine:
         return ingestion.ingest(found, self.registry, self.store, self.encoder, self.render, self.config.render_dpi)
 
     def watch(self, checkpoint: str, every: str | None = None):
-        """Watches the folder, not those below it.  With ``every``, listings are compared at each trigger: new and modified
-        files are ingested when nobody writes them any more, deleted ones dropped.  Without, a stream takes the files
-        that are new to the checkpoint and ends."""
-
-        def take(batch: DataFrame) -> None:
-            ingestion.sync_deleted(self.registry, files.listing(self.spark, self.config.watch_folder, self.pattern))
-            self._ingest(batch)
+        """Watches the folder, not those below it, as a stream of changes.  With ``every``, new and modified files are ingested
+        when nobody writes them any more, and deleted ones dropped; only files that changed are opened.  Without, the
+        stream takes what changed since the checkpoint and ends."""
 
         def change(come: DataFrame, gone: DataFrame) -> None:
             if not gone.isEmpty():
-                ingestion.sync_deleted(self.registry, files.listing(self.spark, self.config.watch_folder, self.pattern))
-            found = files.documents(self.spark, self.config.watch_folder, self.pattern, recursive=False)
-            self._ingest(found.join(come.select("file_path"), "file_path", "left_semi"))
-
-        if every:
-            self.stream = watch.poll(self.spark, self.config.watch_folder, checkpoint, change, every, self.pattern)
-        else:
-            self.stream = watch.start(watch.new_files(self.spark, self.config.watch_folder, self.pattern), checkpoint, take)
+                ingestion.drop_paths(self.registry, gone)
+            if not come.isEmpty():
+                self._ingest(folders.hashed(come))
+
+        base = checkpoint.rstrip("/")
+        stream = watch.changed_files(self.spark, self.config.watch_folder, f"{base}/listings", self.pattern, settle=every is not None)
+        self.stream = watch.start(stream, f"{base}/stream", change, every)
         return self.stream
 
     def stop(self) -> None:
@@ -95,11 +90,11 @@ class Engine:
         row = self.registry.by_path(file_path).first()
         if row is None:
             raise RegistryError(f"{file_path} is not registered")
-        content = self.spark.read.format("binaryFile").load(row.file_path).first().content
-        render = self.render if hasattr(self.render, "page_count") else ingestion.TextPages(self.render)
-        if not 1 <= page_number <= render.page_count(row.file_path, content):
-            raise PageRangeError(f"{file_path} has no page {page_number}")
-        return render.pages(row.file_path, content, page_number - 1, page_number, dpi or self.config.render_dpi)[0]
+        render = ingestion.renderer(self.render)
+        with folders.open_file(row.file_path) as file:
+            if not 1 <= page_number <= render.page_count(row.file_path, file):
+                raise PageRangeError(f"{file_path} has no page {page_number}")
+            return render.pages(row.file_path, file, page_number - 1, page_number, dpi or self.config.render_dpi)[0]
 
     def save_page(self, file_path: str, page_number: int, target: str, dpi: int | None = None) -> str:
         """Writes one page to a local file, an image as it is and text as UTF-8; returns the file's name."""

@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import SparkSession
 
 from latewing.api import Engine
-from latewing.config import Config, load
+from latewing.config import Config, cache_folder, load
 from latewing.operators.encoding import ENCODERS
 
 
@@ -53,7 +53,7 @@ def main(arguments: list[str], spark: SparkSession, codebook) -> None:
     engine = Engine(spark, config, ENCODERS.get_for_model(config.base_model_id)(codebook))
     if options.command == "server":
         logging.info("%s:%s ingested %s", config.host, config.port, engine.start())
-        engine.watch(f"{config.store}/watch-checkpoint", every="5 seconds").awaitTermination()
+        engine.watch(f"{config.store or cache_folder()}/watch-checkpoint", every="5 seconds").awaitTermination()
     elif options.command == "query":
         hits = engine.query(options.text, config.top_k)
         hits.show(truncate=False)

@@ -1,20 +1,24 @@
 """Ingestion: list, hash, skip what is done, render, encode, write, record.
 
+Rows are paths and ranges of pages, never contents: whoever hashes, counts or draws a document opens it where it lies.
 Rendering is an interface: a renderer counts a document's pages and gives them chunk by chunk; a plain function that gives
-all pages will do.  The default takes text, one page per form feed.
+all pages of some bytes will do.  The default takes the text of PDF files, and plain text by form feeds.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import BinaryIO, Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latewing.operators.registry import Registry, without_stale
+from latewing.session import drop_folder
+from latewing.sources.folders import open_file, spread_over
+from latewing.sources.pdf import Pdf
 from latewing.sources.store import EmbeddingStore, page_chunks
 
 #: Fixed value: the message recorded for a document without pages.
@@ -22,26 +26,50 @@ NO_PAGES = "PDF contains zero pages."
 
 
 class Renderer(Protocol):
-    """Gives a document's pages as values that the encoder takes, some pages at a time."""
+    """Gives a document's pages as values that the encoder takes, some pages at a time.  ``file`` is open for reading at any
+    place; what is not read stays where it is."""
 
-    def page_count(self, path: str, content: bytes) -> int: ...
+    def page_count(self, path: str, file: BinaryIO) -> int: ...
 
-    def pages(self, path: str, content: bytes, start: int, end: int, dpi: int) -> list[str]:
+    def pages(self, path: str, file: BinaryIO, start: int, end: int, dpi: int) -> list[str]:
         """Pages ``start`` to ``end`` (exclusive), counted from 0."""
         ...
 
 
 class TextPages:
-    """The default renderer: UTF-8 text, pages parted by form feeds.  ``split`` gives all pages of a document."""
+    """Text, by a function that gives all pages of a document's bytes."""
 
     def __init__(self, split: Callable[[str, bytes], list[str]] | None = None):
         self.split = split or text_pages
 
-    def page_count(self, path: str, content: bytes) -> int:
-        return len(self.split(path, content))
+    def page_count(self, path: str, file: BinaryIO) -> int:
+        return len(self.split(path, _whole(file)))
 
-    def pages(self, path: str, content: bytes, start: int, end: int, dpi: int) -> list[str]:
-        return self.split(path, content)[start:end]
+    def pages(self, path: str, file: BinaryIO, start: int, end: int, dpi: int) -> list[str]:
+        return self.split(path, _whole(file))[start:end]
+
+
+class DocumentPages(TextPages):
+    """The default renderer: pages of PDF files as text; anything else is UTF-8 text, pages parted by form feeds."""
+
+    def page_count(self, path: str, file: BinaryIO) -> int:
+        return len(Pdf(file)) if _is_pdf(file) else super().page_count(path, file)
+
+    def pages(self, path: str, file: BinaryIO, start: int, end: int, dpi: int) -> list[str]:
+        if not _is_pdf(file):
+            return super().pages(path, file, start, end, dpi)
+        document = Pdf(file)
+        return [document.text(n) for n in range(start, min(end, len(document)))]
+
+
+def _whole(file: BinaryIO) -> bytes:
+    file.seek(0)
+    return file.read()
+
+
+def _is_pdf(file: BinaryIO) -> bool:
+    file.seek(0)
+    return b"%PDF-" in file.read(1024)
 
 
 def text_pages(path: str, content: bytes) -> list[str]:
@@ -49,57 +77,71 @@ def text_pages(path: str, content: bytes) -> list[str]:
     return text.split("\f") if text else []
 
 
+def renderer(render: Renderer | Callable[[str, bytes], list[str]] | None) -> Renderer:
+    """A renderer as it is, a function of all pages as one, none as the default."""
+    if render is None or render is text_pages:
+        return DocumentPages()
+    return render if hasattr(render, "page_count") else TextPages(render)
+
+
 def new_documents(files: DataFrame, registry: DataFrame) -> DataFrame:
     """Files to ingest: content that is not done yet, once per content, in order of path.
 
-    Failed and pending content is tried again; a second path to known content is skipped and the first path stays.
+    Failed and pending content is tried again; a second path to known content is skipped and the first path stays.  The
+    first path of a content is a partial aggregate; other columns of ``files`` come back by a join on it.
     """
     done = registry.where("status = 'done'").select("file_hash")
-    first = Window.partitionBy("file_hash").orderBy("file_path")
     fresh = files.join(done, "file_hash", "left_anti")
-    return fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    first = fresh.groupBy("file_hash").agg(F.min("file_path").alias("file_path"))
+    return fresh.join(first, ["file_hash", "file_path"], "left_semi").dropDuplicates(["file_hash"])
 
 
 PAGES = "file_hash string, file_path string, page_number int, content string, num_pages int, error_message string"
-COUNTED = "file_hash string, file_path string, content binary, num_pages int, error_message string"
+COUNTED = "file_hash string, file_path string, num_pages int, error_message string"
+_KINDS = {"string": pa.string(), "int": pa.int32()}
 
 
-def rendered(files: DataFrame, render: Renderer | Callable[[str, bytes], list[str]], dpi: int = 150, chunk: int = 8) -> DataFrame:
-    """(file_hash, file_path, page_number, content, num_pages, error_message): a row per page, or one without a page for
-    a document or a chunk of ``chunk`` pages that failed."""
-    made = render if hasattr(render, "page_count") else TextPages(render)
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    fields = [f.split(" ") for f in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[kind]) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def counted(files: DataFrame, render: Renderer) -> DataFrame:
+    """(file_hash, file_path, num_pages, error_message) of each file, opened by its path."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, errors = [], []
-            for path, content in zip(batch.column("file_path").to_pylist(), batch.column("content"), strict=True):
+            rows = []
+            for name, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    n, error = made.page_count(path, content.as_py()), None
-                    error = None if n else NO_PAGES
+                    with open_file(path) as file:
+                        n = render.page_count(path, file)
+                    rows.append((name, path, n, None if n else NO_PAGES))
                 except Exception as failure:  # one document must not stop the others
-                    n, error = 0, str(failure)
-                numbers.append(n)
-                errors.append(error)
-            columns = [batch.column(c) for c in ("file_hash", "file_path", "content")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), pa.array(errors, pa.string())], names=[c.split(" ")[0] for c in COUNTED.split(", ")])
+                    rows.append((name, path, 0, str(failure)))
+            yield _batch(rows, COUNTED)
+
+    spread = files.select("file_hash", "file_path").repartition(spread_over(files.sparkSession), "file_hash")
+    return spread.mapInArrow(count, COUNTED)
+
+
+def rendered(counts: DataFrame, render: Renderer, dpi: int = 150, chunk: int = 8) -> DataFrame:
+    """PAGES of what ``counted`` found: a row per page, or one without a page for a document or a chunk of ``chunk`` pages
+    that failed.  A chunk is a path and a range; whoever draws it opens the file."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+            for name, path, n, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    pages, error = made.pages(row["file_path"], row["content"], row["chunk_start"], row["chunk_end"], dpi), None
-                    rows = [(row["chunk_start"] + k, page) for k, page in enumerate(pages, 1)]
+                    with open_file(path) as file:
+                        pages = render.pages(path, file, start, end, dpi)
+                    yield _batch([(name, path, start + k, page, n, None) for k, page in enumerate(pages, 1)], PAGES)
                 except Exception as failure:
-                    rows, error = [(None, None)], str(failure)
-                out = [[row["file_hash"]] * len(rows), [row["file_path"]] * len(rows), [r[0] for r in rows], [r[1] for r in rows], [row["num_pages"]] * len(rows), [error] * len(rows)]
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=[c.split(" ")[0] for c in PAGES.split(", ")])
-
-    counted = files.select("file_hash", "file_path", "content").mapInArrow(count, COUNTED)
-    chunks = page_chunks(counted.withColumn("num_pages", F.when(F.col("error_message").isNull(), F.col("num_pages")).otherwise(0)), size=chunk)
-    pages = chunks.select("file_hash", "file_path", "content", "num_pages", "chunk_start", "chunk_end").mapInArrow(draw, PAGES)
-    none = counted.where("error_message is not null").selectExpr("file_hash", "file_path", "cast(null as int) as page_number", "cast(null as string) as content", "num_pages", "error_message")
+                    yield _batch([(name, path, None, None, n, str(failure))], PAGES)
+
+    chunks = page_chunks(counts.where("error_message is null"), size=chunk).select("file_hash", "file_path", "num_pages", "chunk_start", "chunk_end")
+    pages = chunks.repartition(spread_over(counts.sparkSession), "file_hash", "chunk_start").mapInArrow(draw, PAGES)
+    none = counts.where("error_message is not null").selectExpr("file_hash", "file_path", "cast(null as int) as page_number", "cast(null as string) as content", "num_pages", "error_message")
     return pages.unionByName(none)
 
 
@@ -108,21 +150,25 @@ def _in_order(ops: DataFrame) -> DataFrame:
     return ops.orderBy("file_path").withColumn("seq", F.monotonically_increasing_id())
 
 
-def ingest(files: DataFrame, registry: Registry, store: EmbeddingStore, encoder, render=text_pages, dpi: int = 150) -> dict[str, int]:
-    """Ingests new files; returns counts of done and failed documents.
+def ingest(
+    files: DataFrame, registry: Registry, store: EmbeddingStore, encoder, render: Renderer | Callable[[str, bytes], list[str]] | None = None, dpi: int = 150
+) -> dict[str, int]:
+    """Ingests new files of ``files`` (file_path, file_hash); returns counts of done and failed documents.
 
-    Embeddings are written under a new attempt before the registry says done and names it.  A crash between leaves
-    ``processing``, which a restart turns to pending and a next run takes up again; the pages of the broken attempt are
-    named by nobody.
+    What is listed, counted and drawn is written once under a new attempt.  Embeddings are written before the registry
+    says done and names the attempt.  A crash between leaves ``processing``, which a restart turns to pending and a next
+    run takes up again; the pages of the broken attempt are named by nobody.
     """
-    fresh = new_documents(files, registry.table())
+    spark, made, attempt = files.sparkSession, renderer(render), uuid.uuid4().hex
+    work = f"{store.path}-rendered/{attempt}"
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{work}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{work}/{name}")
+
+    fresh = kept(new_documents(files.select("file_hash", "file_path"), registry.table()), "files")
     registry.append(_in_order(fresh.select(F.lit("processing").alias("op"), "file_hash", "file_path")))
-    claimed = registry.table().where("status = 'processing'").select("file_hash", "file_path")
-    pages = rendered(files.join(claimed, ["file_hash", "file_path"], "left_semi"), render, dpi)
-    attempt = uuid.uuid4().hex
-    kept_at = f"{store.path}-rendered/{attempt}"
-    pages.write.parquet(kept_at)
-    pages = files.sparkSession.read.schema(PAGES).parquet(kept_at)
+    pages = kept(rendered(kept(counted(fresh, made), "counts"), made, dpi), "pages")
     ended = pages.groupBy("file_hash", "file_path").agg(F.max("num_pages").alias("num_pages"), F.min("error_message").alias("error_message"))
     good = pages.join(ended.where("error_message is null").select("file_hash"), "file_hash", "left_semi")
     store.append(encoder.encode_pages(good), attempt)
@@ -132,8 +178,7 @@ def ingest(files: DataFrame, registry: Registry, store: EmbeddingStore, encoder,
     )
     registry.append(_in_order(ops))
     counts = dict(ops.groupBy("op").count().collect())
-    where = files.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(kept_at)
-    where.getFileSystem(files.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    drop_folder(spark, work)
     return {"done": counts.get("done", 0), "failed": counts.get("failed", 0)}
 
 
@@ -142,3 +187,8 @@ def sync_deleted(registry: Registry, listing: DataFrame) -> int:
     table = registry.table()
     stale = table.join(without_stale(table, listing).select("file_hash"), "file_hash", "left_anti")
     return registry.delete(stale).count()
+
+
+def drop_paths(registry: Registry, gone: DataFrame) -> int:
+    """Deletes every row whose path is in ``gone`` (file_path); returns how many."""
+    return registry.delete(registry.table().join(gone.select("file_path").distinct(), "file_path", "left_semi")).count()

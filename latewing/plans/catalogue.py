@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from latewing.functions import texts
 from latewing.functions import vectors as V
 from latewing.operators import answering, encoding, ingestion, linalg, registry, scoring, search
 from latewing.session import shared_root, ship
-from latewing.sources import store
+from latewing.sources import files, folders, pdf, sink, store
 from latewing.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,14 +539,76 @@ def answer_outcome(spark, sf_dir):
     return rows.select("conv_id", "turn", answering.outcome(F.col("n_hits"), F.col("key"), F.col("n_images"), F.col("answer")).alias("status"))
 
 
-@query()
+@query("select parse_filename(filename) as filename, sha256(content) as file_hash from read_blob('/root/testdata/sf0.01/*.parquet')")
 def stream_ingest(spark, sf_dir):
-    """A stream of all files of the tables, read to its end: content hashes, once each per micro-batch."""
+    """The stream of changes over the files of the tables, read to its end; only files that came are hashed.  The SQL reads
+    the files of ``sf0.01``, as a view has none."""
     folder = f"{shared_root(spark)}/watch-{uuid.uuid4().hex}"
-    stream = watch.new_files(ship(spark), sf_dir, "*.parquet", recursive=True)
+    stream = watch.changed_files(ship(spark), sf_dir, f"{folder}/listings", "*.parquet", recursive=True, settle=False)
 
-    def handle(files: DataFrame) -> None:
-        files.select(texts.basename(F.col("file_path")).alias("filename"), "file_hash").write.mode("append").parquet(f"{folder}/out")
+    def handle(come: DataFrame, gone: DataFrame) -> None:
+        folders.hashed(come).select(texts.basename(F.col("file_path")).alias("filename"), "file_hash").write.mode("append").parquet(f"{folder}/out")
 
-    watch.start(stream, f"{folder}/checkpoint", handle).awaitTermination()
+    watch.start(stream, f"{folder}/stream", handle).awaitTermination()
     return spark.read.schema("filename string, file_hash string").parquet(f"{folder}/out")
+
+
+@query("""
+select 'src/' || coalesce(source, '') || '/' || doc_id || '.txt' as file_path, octet_length(encode(text)) as length, sha256(text) as file_hash from documents where text <> ''""")
+def folder_hashes(spark, sf_dir):
+    """Every text as a file of a folder per source, listed and hashed by the folder source; empty files are not listed."""
+    folder = f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    sink.save_files(docs.selectExpr("'src/' || coalesce(source, '') || '/' || doc_id || '.txt' as name", "cast(text as binary) as content"), folder)
+    found = files.documents(spark, folder, "*.txt")
+    return found.select(F.substring_index("file_path", f"{folder.rsplit('/', 1)[1]}/", -1).alias("file_path"), "length", "file_hash")
+
+
+_PAGE_WORDS, _LINE_WORDS = 240, 12
+
+
+@query(f"""
+with w as (select doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words from documents where text is not null),
+p as (select doc_id, words, cast(ceil(len(words) / {_PAGE_WORDS}.0) as int) as num_pages, unnest(range(0, len(words), {_PAGE_WORDS})) as first from w),
+t as (select doc_id, num_pages, cast(first / {_PAGE_WORDS} + 1 as int) as page_number, array_to_string(words[first + 1:first + {_PAGE_WORDS}], ' ') as text from p)
+select doc_id, page_number, num_pages, cast(length(text) as bigint) as n_chars, sha256(text) as text_hash from t""")
+def pdf_pages(spark, sf_dir):
+    """Every text as a PDF file of pages of 240 words; the files are listed, their pages counted and read by ranges of
+    eight, each range by its path.  Odd documents have their objects in the open, even ones in object streams."""
+    folder = f"{shared_root(spark)}/pdf-{uuid.uuid4().hex}"
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = lambda of, by: F.transform(F.sequence(F.lit(0), F.size(of) - 1, F.lit(by)), lambda at: F.slice(of, at + 1, by))
+    page = lambda part: F.array_join(F.transform(cut(part, _LINE_WORDS), lambda line: F.array_join(line, " ")), "\n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).where(F.size("words") > 0)
+    docs = docs.select("doc_id", F.transform(cut(F.col("words"), _PAGE_WORDS), page).alias("pages"))
+
+    @F.pandas_udf("binary")
+    def made(ids: pd.Series, pages: pd.Series) -> pd.Series:
+        return pd.Series([pdf.written(list(p), i % 2 == 0) for i, p in zip(ids, pages, strict=True)])
+
+    sink.save_files(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), made("doc_id", "pages").alias("content")), folder)
+    found = files.listing(spark, folder).select("file_path", F.lit("").alias("file_hash"))
+    reader = ingestion.DocumentPages()
+    pages = ingestion.rendered(ingestion.counted(found, reader), reader)
+    text = F.regexp_replace("content", "\n", " ")
+    doc_id = F.regexp_extract("file_path", r"(\d+)\.pdf$", 1).cast("long")
+    return pages.select(doc_id.alias("doc_id"), "page_number", "num_pages", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_hash"))
+
+
+@query("""
+select vec_id // 50 as file, cast(vec_id % 50 + 1 as int) as page_number, cast(1 as int) as n_tokens, cast(len(embedding) as int) as dim,
+round(list_sum([cast(x as double) for x in embedding]), 3) as total from embeddings""")
+def npy_round_trip(spark, sf_dir):
+    """Vectors as ``.npy`` files of fifty pages of one vector, written by the file sink and read back."""
+    folder = f"{shared_root(spark)}/npy-{uuid.uuid4().hex}"
+    pages = _embeddings(spark, sf_dir).selectExpr(
+        "cast(vec_id div 50 as string) as file_hash", "cast(vec_id % 50 + 1 as int) as page_number", "1 as n_tokens", "size(vec) as dim", "vec as flat"
+    )
+    sink.save_files(sink.npy_files(scoring.packed_bytes(pages)), folder)
+    back = files.npy_embeddings(spark, folder)
+
+    @F.pandas_udf("double")
+    def total(flat: pd.Series) -> pd.Series:
+        return pd.Series([float(np.frombuffer(x, "<f4").astype(float).sum()) for x in flat])
+
+    return back.select(F.col("file_hash").cast("long").alias("file"), "page_number", "n_tokens", "dim", F.round(total("flat"), 3).alias("total"))

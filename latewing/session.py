@@ -49,3 +49,9 @@ def shared_root(spark: SparkSession) -> str:
 @lru_cache(maxsize=8)
 def _local_folder(_application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="latewing-")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark reads, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

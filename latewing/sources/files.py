@@ -6,23 +6,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from latewing.schema import PAGE_EMBEDDINGS
+from latewing.sources.folders import PDF, FolderListing, register
 
 
-def documents(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]", recursive: bool = True) -> DataFrame:
-    """file_path, modified, length, content and file_hash of the files below a folder; empty files are not listed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.select(
-        F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.col("modificationTime").alias("modified"), "length", "content",
-        F.sha2("content", 256).alias("file_hash"),
-    )
+def documents(spark: SparkSession, folder: str, pattern: str = PDF, recursive: bool = True) -> DataFrame:
+    """file_path, modified, length and file_hash of the files below a folder, hashed by pieces; empty files are not listed."""
+    source = register(spark).read.format(FolderListing.name()).option("pattern", pattern).option("recursive", str(recursive))
+    return source.load(folder).where("file_hash is not null")
 
 
-def listing(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]", recursive: bool = True) -> DataFrame:
+def listing(spark: SparkSession, folder: str, pattern: str = PDF, recursive: bool = True) -> DataFrame:
     """The same without reading any content: file_path, modified, length."""
-    return documents(spark, folder, pattern, recursive).select("file_path", "modified", "length")
+    source = register(spark).read.format(FolderListing.name()).option("pattern", pattern).option("recursive", str(recursive))
+    return source.option("hash", "false").load(folder).drop("file_hash")
 
 
 def npy_embeddings(spark: SparkSession, folder: str) -> DataFrame:

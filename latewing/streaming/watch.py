@@ -1,7 +1,7 @@
 """Watching a folder.
 
-The file source of Structured Streaming reports new files only, neither changed nor deleted ones.  ``new_files`` is that
-stream; ``poll`` compares listings at every trigger and finds files that came, changed or went.
+A stream of changes (``sources.folders.FolderChanges``): its offsets are versions of the folder's listing, its rows the files
+that came, changed or went between two of them.
 """
 
 from __future__ import annotations
@@ -12,80 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from latewing.sources import files
+from latewing.sources.folders import PDF, FolderChanges, register
 
-FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
+def changed_files(spark: SparkSession, folder: str, state: str, pattern: str = PDF, recursive: bool = False, settle: bool = True) -> DataFrame:
+    """A stream of file_path, change (created, modified, deleted), modified, length and version; a file is taken when two
+    listings agree on it, without ``settle`` at once.  ``state`` is a folder for this stream's listings."""
+    source = register(spark).readStream.format(FolderChanges.name()).option("state", state).option("pattern", pattern)
+    return source.option("recursive", str(recursive)).option("settle", str(settle)).load(folder)
 
-def new_files(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]", recursive: bool = False, per_trigger: int = 1000) -> DataFrame:
-    """A stream of files as they appear: file_path, modified, length, content, file_hash."""
-    found = (
-        spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", str(recursive).lower()).option("maxFilesPerTrigger", per_trigger).load(folder)
-    )
-    return found.select(
-        F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.col("modificationTime").alias("modified"), "length", "content",
-        F.sha2("content", 256).alias("file_hash"),
-    )
 
-
-def start(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame], object], every: str | None = None) -> StreamingQuery:
-    """Runs ``handle`` on every micro-batch, one row per content in it; ``every`` None takes what is there and ends."""
+def start(changes: DataFrame, checkpoint: str, handle: Callable[[DataFrame, DataFrame], object], every: str | None = None) -> StreamingQuery:
+    """Runs ``handle`` on (files that came or changed, files that went) of every micro-batch that has any; ``every`` None
+    takes what there is and ends.  A batch that broke off is run again with the same rows."""
 
     def batch(found: DataFrame, _id: int) -> None:
-        handle(found.dropDuplicates(["file_hash"]))
-
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
-
-
-def poll(
-    spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame, DataFrame], object], every: str, pattern: str = "*.[pP][dD][fF]", recursive: bool = False
-) -> StreamingQuery:
-    """Lists a folder at every trigger and runs ``handle`` on (files to take, files that went), both (file_path, change).
-
-    A file is taken when two listings agree on its length and it is new or was modified since it was last taken.  Each
-    trigger keeps what it saw and what was taken by its number under ``checkpoint``, so a trigger that broke off is
-    repeated as it was; ``handle`` may then see the same files again.
-    """
-    root = f"{checkpoint.rstrip('/')}/listings"
-    listed = "file_path string, modified timestamp, length bigint"
-
-    def kept(trigger: int, name: str) -> DataFrame:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{trigger}/{name}")
-        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return spark.read.schema(listed).parquet(f"{root}/{trigger}/{name}") if there else spark.createDataFrame([], listed)
-
-    def tick(_: DataFrame, trigger: int) -> None:
-        files.listing(spark, folder, pattern, recursive).write.mode("overwrite").parquet(f"{root}/{trigger}/seen")
-        now, before, taken = kept(trigger, "seen"), kept(trigger - 1, "seen"), kept(trigger - 1, "taken")
-        steady = settled(before, now)
-        come = changes(taken, steady).where("change <> 'deleted'")
-        gone = changes(taken, now).where("change = 'deleted'")
-        if not (come.isEmpty() and gone.isEmpty()):
+        come, gone = found.where("change <> 'deleted'"), found.where("change = 'deleted'")
+        if not found.isEmpty():
             handle(come, gone)
-        rest = taken.join(come.unionByName(gone), "file_path", "left_anti")
-        rest.unionByName(steady.join(come.select("file_path"), "file_path", "left_semi")).write.mode("overwrite").parquet(f"{root}/{trigger}/taken")
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{trigger - 2}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
-    return ticks.writeStream.option("checkpointLocation", f"{checkpoint.rstrip('/')}/ticks").foreachBatch(tick).trigger(processingTime=every).start()
+    writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def changes(before: DataFrame, now: DataFrame) -> DataFrame:
-    """file_path and change (created, modified, deleted) between two listings (file_path, modified, length)."""
-    old = before.select("file_path", F.col("modified").alias("_m"), F.col("length").alias("_l"))
-    both = now.join(old, "file_path", "full_outer")
-    change = (
-        F.when(F.col("_m").isNull(), "created")
-        .when(F.col("modified").isNull(), "deleted")
-        .when(F.col("modified") != F.col("_m"), "modified")
-    )
+    """file_path and change (created, modified, deleted) between two listings (file_path, modified)."""
+    old = before.select("file_path", F.struct(F.col("modified").alias("was")).alias("old"))
+    both = now.select("file_path", F.struct(F.col("modified").alias("is")).alias("new")).join(old, "file_path", "full_outer")
+    change = F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "deleted").when(F.col("new.is") != F.col("old.was"), "modified")
     return both.select("file_path", change.alias("change")).where("change is not null")
 
 
 def settled(before: DataFrame, now: DataFrame) -> DataFrame:
     """Files whose length is more than zero and the same in two listings: nobody is writing them."""
-    old = before.select("file_path", F.col("length").alias("_l"))
-    return now.join(old, "file_path").where("length > 0 and length = _l").drop("_l")
+    return now.where("length > 0").join(before.select("file_path", "length"), ["file_path", "length"], "left_semi")
