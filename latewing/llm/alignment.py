@@ -5,8 +5,8 @@ intervals of bytes.  Where an A and a B token end together, a group of both side
 intervals overlap.
 
 The work inside a task is SQL: every task has a DuckDB of its own, over token interval tables that live in memory.  ASOF
-joins find for each A token the first and the last B token that it overlaps, a range of positions gives those between;
-window sums over the common ends number the groups.  Both tokenizers end a token before a space that stands between two
+joins find for each token the last one of the other side that it overlaps, and so whether both end together; window sums over
+the common ends number the groups, and a range join links an A token with the B tokens from its first to its last.  Both tokenizers end a token before a space that stands between two
 other characters (and around such a line feed), so a text is a sequence of *units* there; intervals are made once per
 distinct unit that a task meets, and a text's groups and links are joins of its units with theirs.
 
@@ -34,7 +34,7 @@ from latewing.llm.tokenizing import TAIL, Encoder, byte_alphabet
 
 #: Characters of text in a block, unless a single text is longer; distinct units that a task remembers.
 BLOCK_CHARS = 1_000_000
-UNIT_CAP = 150_000
+UNIT_CAP = 400_000
 
 _SPLIT_SPACE = re.compile(r"(?<=\S) (?=\S)").split
 _SPLIT_FEED = re.compile(r"(?<=\S)\n(?=\S)").split
@@ -142,29 +142,26 @@ CREATE OR REPLACE TEMP TABLE {side} AS
 SELECT k, unit, id, hi, hi - size AS lo FROM new_{side}
 """
 
-#: Whether a token ends where one of the other side does.
-_ENDS = """
-CREATE OR REPLACE TEMP TABLE ends_{side} AS
-SELECT {side}.*, (e.hi IS NOT NULL AND e.hi = {side}.hi)::INT AS shut
-FROM {side} ASOF LEFT JOIN (SELECT hi FROM {other}) e ON {side}.hi >= e.hi
+#: The last token of the other side that begins before a token ends, and whether they end together.
+_LAST = """
+CREATE OR REPLACE TEMP TABLE last_{side} AS
+SELECT t.k, t.unit, t.id, o.k AS last, (o.hi = t.hi)::INT AS shut
+FROM {side} t ASOF JOIN {other} o ON t.hi > o.lo
 """
 
-#: Numbers of groups: common ends before a token.
+#: Numbers of groups: common ends before a token.  The first token that overlaps it is the last one that overlaps the token
+#: before it, or the next if those two end together.
 _GROUPS = """
 CREATE OR REPLACE TEMP TABLE group_{side} AS
-SELECT k, unit, id, sum(shut) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) - shut AS grp, lag(shut, 1, 1) OVER (ORDER BY k) AS opens
-FROM ends_{side}
+SELECT k, unit, id, last, sum(shut) OVER w - shut AS grp, lag(shut, 1, 1) OVER w AS opens, lag(last + shut, 1, 0) OVER w AS first
+FROM last_{side} WINDOW w AS (ORDER BY k ROWS UNBOUNDED PRECEDING)
 """
 
-#: The B tokens that each A token overlaps lie from the one that holds its first byte to the one that holds its last.
+#: An A token overlaps the B tokens from its first to its last.
 _LINKS = """
 INSERT INTO unit_pairs
-SELECT s.unit, (s.a_id::BIGINT << 32) | b.id AS pair, count(*) AS times
-FROM (
-  SELECT a.unit, a.id AS a_id, unnest(range(f.k, l.k + 1)) AS at
-  FROM a ASOF JOIN (SELECT k, lo FROM b) f ON a.lo >= f.lo ASOF JOIN (SELECT k, lo FROM b) l ON a.hi > l.lo) s
-JOIN b ON b.k = s.at
-GROUP BY ALL
+SELECT s.unit, (s.id::BIGINT << 32) | b.id AS pair
+FROM (SELECT unit, id, unnest(range(first, last + 1)) AS at FROM group_a) s JOIN b ON b.k = s.at
 """
 
 #: Groups of a unit as text.  One thread aggregates, in the order of the rows.
@@ -187,7 +184,7 @@ FROM sequence JOIN units USING (unit) GROUP BY doc
 """
 
 _PAIRS = """
-SELECT doc, pair, sum(n * times)::BIGINT AS times
+SELECT doc, pair, sum(n)::BIGINT AS times
 FROM (SELECT doc, unit, count(*) AS n FROM sequence GROUP BY ALL) JOIN unit_pairs USING (unit)
 GROUP BY ALL ORDER BY doc
 """
@@ -209,7 +206,7 @@ class Aligner:
 
     def _reset(self) -> None:
         self.numbers, self.known, self.bad = _Numbers(), 0, set()
-        self.db.execute("CREATE OR REPLACE TABLE unit_pairs (unit INT, pair BIGINT, times BIGINT)")
+        self.db.execute("CREATE OR REPLACE TABLE unit_pairs (unit INT, pair BIGINT)")
         self.db.execute("CREATE OR REPLACE TABLE units (unit INT, n_a BIGINT, n_b BIGINT, n_groups BIGINT, written VARCHAR)")
 
     def _meet(self, units: list[str]) -> None:
@@ -224,7 +221,7 @@ class Aligner:
                 keep = np.repeat(good, counts)
                 ids, unit = ids[keep], np.repeat(np.arange(len(units), dtype=np.int32) + self.known, counts)[keep]
                 self._show(f"new_{name}", k=np.arange(len(ids)), unit=unit.astype(np.int32), id=ids, size=sizes[ids], hi=np.cumsum(sizes[ids]))
-            for template in (_INTERVALS, _ENDS, _GROUPS):
+            for template in (_INTERVALS, _LAST, _GROUPS):
                 if template is _INTERVALS:
                     self.db.execute(template.format(side="a"))
                     self.db.execute(template.format(side="b"))
@@ -233,7 +230,7 @@ class Aligner:
                     self.db.execute(template.format(side="b", other="a"))
             self.db.execute(_LINKS)
             self.db.execute(_WRITTEN)
-            for name in ("a", "b", "ends_a", "ends_b", "group_a", "group_b"):
+            for name in ("a", "b", "last_a", "last_b", "group_a", "group_b"):
                 self.db.execute(f"DROP TABLE {name}")
             self.db.unregister("new_a")
             self.db.unregister("new_b")
