@@ -9,23 +9,31 @@ counts, and an inverted index corrects it:
   another's *histogram of counts*, not with its terms;
 * a term that both hold is found in the term's postings, and adds what those two one-sided corrections leave open.
 
-All of it is joins and sums of whole numbers with partial results; what is sorted is a source's list of others, and of its
+Words are counted in bounded Arrow tasks; all that follows is joins and sums of whole numbers with partial results; what is sorted is a source's list of others, and of its
 terms no more than ``top`` per task.  The number of rows of the posting join is the sum over terms of the pairs of sources
 that hold the term, never more than pairs of the result times terms that both have.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latewing.llm import shared
 
-#: A run of ASCII letters and of characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A term is a run of ASCII letters and of characters beyond ASCII.  In UTF-8 every other character is one byte, so
+#: bytes say it all: letters become small, what parts terms a space.
+_LETTERS = bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
+_TO_TERMS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _LETTERS else 0x20 for b in range(256))
+
+#: Distinct terms of sources that a task counts before it passes them on.
+HELD_TERMS = 300_000
 
 #: The unit of shares.
 WHOLE = 1_000_000_000
@@ -35,18 +43,44 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def terms_of(text: bytes) -> list[bytes]:
+    return text.translate(_TO_TERMS).split()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of what the rows hold, for many rows at a time."""
+    held: dict[tuple, tuple[Counter, Counter]] = {}
+
+    def passed_on() -> pa.RecordBatch:
+        groups = [(*key, n, docs) for key, (n, docs) in held.items()]
+        sizes = [len(n) for _, _, n, _ in groups]
+        names = [pa.array(np.repeat(np.array([g[i] for g in groups], object), sizes), pa.string()) for i in (0, 1)]
+        terms = pa.array([t for g in groups for t in g[2]], pa.binary()).cast(pa.string())
+        n = pa.array([x for g in groups for x in g[2].values()], pa.int64())
+        docs = pa.array([g[3][t] for g in groups for t in g[2]], pa.int64())
+        held.clear()
+        return pa.RecordBatch.from_arrays([*names, terms, n, docs], names=["lang", "source", "term", "n", "docs"])
+
+    for batch in shared.lean(batches):
+        for text, *key in zip(*batch.columns, strict=True):
+            found = terms_of(text.as_buffer().to_pybytes())
+            n, docs = held.setdefault(tuple(k.as_py() for k in key), (Counter(), Counter()))
+            n.update(found)
+            docs.update(set(found))
+        if sum(len(n) for n, _ in held.values()) > HELD_TERMS:
+            yield passed_on()
+    if held:
+        yield passed_on()
+
+
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in each source, and rows of it that hold the term.
 
     Nulls are empty strings.  Words are counted before the shuffle.
     """
-    terms = F.regexp_extract_all(F.translate(_text(text), _UPPER, _UPPER.lower()), F.lit(TERM), F.lit(0))
-    rows = docs.select(_text(lang).alias("lang"), _text(source).alias("source"), terms.alias("terms"))
-    twice = rows.withColumn("distinct", F.explode(F.array(F.lit(False), F.lit(True))))  # all terms, then each once
-    words = twice.select(
-        "lang", "source", "distinct", F.explode(F.when(F.col("distinct"), F.array_distinct("terms")).otherwise(F.col("terms"))).alias("term")
-    )
-    return words.groupBy("lang", "source", "term").agg(F.count_if(~F.col("distinct")).alias("n"), F.count_if("distinct").alias("docs"))
+    rows = docs.select(_text(text).alias("text"), _text(lang).alias("lang"), _text(source).alias("source"))
+    counts = rows.mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(n: str, total: str, terms: str) -> Column:
