@@ -104,8 +104,10 @@ class Engine:
         return target
 
     def compact(self) -> None:
-        """Drops pages that no document names.  For one writer, while nobody reads."""
+        """Drops pages that no document names; frees what nothing has named for an hour."""
         self.store.compact(self.registry.table())
+        self.store.clean()
+        self.registry.clean()
 
     def remove(self, path_or_hash: str) -> bool:
         """Removes one document, by hash or else by path; whether there was one.  Its pages are found no more; ``compact``

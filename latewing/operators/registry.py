@@ -14,13 +14,18 @@ operations in order of ``seq``:
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latewing.functions import texts
-from latewing.schema import REGISTRY, REGISTRY_LOG
+from latewing.schema import REGISTRY_LOG
+from latewing.sources.snapshots import Conflict, Manifest, Part, Snapshots
+
+#: What is stored: an operation and the normal form of its path.
+_STORED = T.StructType([*REGISTRY_LOG.fields, T.StructField("normal_path", T.StringType())])
 
 #: The order of one key's operations with the same ``seq``, which only a compacted log has.
 _ORDER = "case op when 'done' then 0 when 'pending' then 1 when 'processing' then 2 when 'failed' then 3 when 'reset' then 4 else 5 end"
@@ -82,29 +87,84 @@ def compacted(log: DataFrame) -> DataFrame:
     return first.unionByName(bare).unionByName(working).unionByName(again).unionByName(failed).drop("_s", "_n", "_e")
 
 
+def reduced(log: DataFrame) -> DataFrame:
+    """The operations of a log, or of a stretch of one, that can still matter: of each key the last delete and, of those after
+    it, the first that inserts and the last of each kind.
+
+    They keep their ``seq``.  The fold asks for nothing else, and what was dropped is never asked for when more operations
+    follow or come before; so reduced stretches, put together and reduced again, are the reduced whole.
+    """
+    kept = [f.name for f in REGISTRY_LOG]
+    ops = log.withColumn("_at", F.struct("seq", F.expr(_ORDER).alias("place")))
+    last_delete = ops.where("op = 'delete'").groupBy("file_hash").agg(F.max("_at").alias("_gone"))
+    ops = ops.join(last_delete, "file_hash", "left").where(F.col("_gone").isNull() | (F.col("_at") >= F.col("_gone")))
+    row = F.struct(*kept)
+    inserts = F.col("op").isin("pending", "processing", "done")
+    kinds = ("pending", "processing", "done", "failed", "reset", "delete")
+    found = ops.groupBy("file_hash").agg(
+        F.min_by(F.when(inserts, row), F.when(inserts, F.col("_at"))).alias("first"),
+        *[F.max_by(F.when(F.col("op") == k, row), F.when(F.col("op") == k, F.col("_at"))).alias(k) for k in kinds],
+    )
+    rows = F.array_distinct(F.array("first", *kinds))
+    return found.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("x.*").select(*kept)
+
+
+def _clustered(ops: DataFrame) -> DataFrame:
+    return ops.withColumn("normal_path", texts.normal_path_column(F.col("file_path"))).sortWithinPartitions("file_hash")
+
+
+def _full(parts: tuple[Part, ...], size: int) -> tuple[Part, ...] | None:
+    """The first parts of one level, the lowest that has ``size`` of them together."""
+    for level in sorted({p.level for p in parts}):
+        at = [i for i, p in enumerate(parts) if p.level == level]
+        if len(at) >= size and at[size - 1] - at[0] == size - 1:
+            return parts[at[0] : at[0] + size]
+    return None
+
+
 class Registry:
-    """The registry of one store, kept as a Parquet log below ``path``."""
+    """The registry of one store, kept as a log below ``path``, in parts under numbered manifests: any number of writers may
+    append at once.
+
+    Each append is a part.  ``MERGE`` parts of a level that lie together become one of the next level, reduced, so an
+    operation is rewritten once per level, and the log stays within a few operations per key and the parts of the newest
+    appends.  Parts are clustered by file hash and have bloom filters of hash and path, so a lookup skips row groups.
+    """
+
+    MERGE = 8
 
     def __init__(self, spark: SparkSession, path: str):
+        filters = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("file_hash", "normal_path")}
+        sizes = {f"parquet.bloom.filter.expected.ndv#{c}": "100000" for c in ("file_hash", "normal_path")}
         self.spark, self.path = spark, f"{path.rstrip('/')}/registry_log"
+        self.parts = Snapshots(spark, self.path, _STORED, **filters, **sizes, **{"parquet.block.size": str(8 << 20)})
 
     def initialise(self) -> None:
         """Creates the empty log if there is none."""
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            self.spark.createDataFrame([], REGISTRY_LOG).write.parquet(self.path)
+        self.parts.initialise()
+
+    def _stored(self) -> DataFrame:
+        return self.parts.read()
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(REGISTRY_LOG).parquet(self.path)
+        return self._stored().select(*REGISTRY_LOG.fieldNames())
 
     def append(self, ops: DataFrame) -> None:
         """Adds operations (op, file_hash and any fields); they follow all before and keep the order of ``seq`` among them."""
-        last = self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
         for field in REGISTRY_LOG:
             if field.name not in ops.columns:
                 made = F.current_timestamp() if field.name == "at" else F.lit(0 if field.name == "seq" else None)
                 ops = ops.withColumn(field.name, made.cast(field.dataType))
-        ops.select(*[F.col(f.name).cast(f.dataType) for f in REGISTRY_LOG]).withColumn("seq", F.col("seq") + last + 1).write.mode("append").parquet(self.path)
+        self._merge(self.parts.append(_clustered(ops)))
+
+    def _merge(self, now: Manifest) -> None:
+        """Merges full levels, the lowest first.  Another writer that merges the same parts may come first: then it is done."""
+        while (run := _full(now.parts, self.MERGE)) is not None:
+            rows = reduced(self.parts.read(replace(now, parts=run)).select(*REGISTRY_LOG.fieldNames()))
+            try:
+                now = self.parts.replace(run, _clustered(rows), run[0].level + 1)
+            except Conflict:
+                now = self.parts.manifest()
 
     def table(self) -> DataFrame:
         return registry_of(self.log())
@@ -116,10 +176,20 @@ class Registry:
         """The filter reaches the log's scan: only this key's operations are folded."""
         return registry_of(self.log().where(F.col("file_hash") == file_hash))
 
+    #: Contents that a path may have had for its lookup to filter by their hashes; beyond, they are joined.
+    FEW = 200
+
     def by_path(self, path: str) -> DataFrame:
-        """The first row, by insertion, whose path is the given one or has the same normal form."""
-        same = (F.col("file_path") == path) | (texts.normal_path_column(F.col("file_path")) == texts.normal_path(path))
-        return self.table().where(same).orderBy("ingest_seq").limit(1)
+        """The first row, by insertion, whose path is the given one or has the same normal form.
+
+        Both filters reach the scan: the path gives the hashes that ever had it, those give their operations.
+        """
+        normal = texts.normal_path(path)
+        had = self._stored().where((F.col("normal_path") == normal) | (F.col("file_path") == path)).select("file_hash").distinct()
+        keys = [r.file_hash for r in had.limit(self.FEW + 1).collect()]
+        own = self.log().where(F.col("file_hash").isin(keys)) if len(keys) <= self.FEW else self.log().join(had, "file_hash", "left_semi")
+        same = (F.col("file_path") == path) | (texts.normal_path_column(F.col("file_path")) == normal)
+        return registry_of(own).where(same).orderBy("ingest_seq").limit(1)
 
     def _record(self, **values) -> None:
         at = values.pop("at", None)
@@ -140,12 +210,14 @@ class Registry:
 
     def delete(self, rows: DataFrame) -> DataFrame:
         """Deletes the rows with these hashes; returns what was deleted."""
-        # written first: what is returned must not change with the log
-        kept_at = f"{self.path}-deleted/{uuid.uuid4().hex}"
-        self.table().join(rows.select("file_hash").distinct(), "file_hash", "left_semi").write.parquet(kept_at)
-        kept = self.spark.read.schema(REGISTRY).parquet(kept_at)
-        self.append(kept.select(F.lit("delete").alias("op"), "file_hash", F.col("ingest_seq").alias("seq")))
-        return kept
+        before = self.parts.manifest()  # what is returned is read from it, so it does not change with the log
+        there = registry_of(self.parts.read(before).select(*REGISTRY_LOG.fieldNames())).join(rows.select("file_hash").distinct(), "file_hash", "left_semi")
+        self.append(there.select(F.lit("delete").alias("op"), "file_hash", F.col("ingest_seq").alias("seq")))
+        return there
+
+    def clean(self, older_than: float = 3600.0) -> int:
+        """Frees parts that were merged away; see ``Snapshots.clean``."""
+        return self.parts.clean(older_than)
 
     def delete_by_hash(self, file_hash: str) -> DataFrame:
         return self.delete(self.by_hash(file_hash))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from latewing.functions import texts
 from latewing.functions import vectors as V
 from latewing.operators import answering, encoding, ingestion, linalg, registry, scoring, search
+from latewing.schema import REGISTRY
 from latewing.session import shared_root, ship
 from latewing.sources import files, folders, pdf, sink, store
 from latewing.streaming import watch
@@ -398,25 +399,34 @@ def sync_deleted(spark, sf_dir):
 
 
 @query("with r as (" + _REGISTRY + """)
-select file_hash, case when cast(file_hash as int) % 3 = 0 then 'done' else status end as status, case when cast(file_hash as int) % 3 = 0 then 'store#second' else embedding_path end as embedding_path from r""")
+select file_hash, case when cast(file_hash as int) % 3 = 0 then 'done' else status end as status, case when cast(file_hash as int) % 3 = 0 then 'store#second' else 'store#first' end as embedding_path,
+  case when cast(file_hash as int) % 3 <> 0 and status = 'failed' then 'broken' end as error_message, cast(case when cast(file_hash as int) % 3 = 0 then 7 else 5 end as int) as num_pages from r""")
 def delete_and_reingest(spark, sf_dir):
-    """Every third document is deleted and ingested again, under another attempt."""
-    first = _registry(_embeddings(spark, sf_dir)).selectExpr(
-        "ingest_seq as seq", "case status when 'done' then 'done' else 'processing' end as op", "file_hash", "file_path", "5 as num_pages", "embedding_path",
-        "cast(null as string) as error_message", "cast(null as timestamp) as at",
-    )
-    failed = _registry(_embeddings(spark, sf_dir)).where("status = 'failed'").selectExpr(
-        "ingest_seq + 1000000000 as seq", "'failed' as op", "file_hash", "file_path", "0 as num_pages", "embedding_path", "'broken' as error_message", "cast(null as timestamp) as at"
-    )
-    third = first.where("cast(file_hash as int) % 3 = 0")
-    gone = third.withColumns({"seq": F.col("seq") + 2_000_000_000, "op": F.lit("delete")})
-    again = third.withColumns({"seq": F.col("seq") + 3_000_000_000, "op": F.lit("done"), "embedding_path": F.lit("store#second")})
-    log = first.unionByName(failed).unionByName(gone).unionByName(again)
-    made = registry.registry_of(log)
-    # a failure before any done keeps no embeddings
-    return made.join(first.select("file_hash", F.col("embedding_path").alias("was")), "file_hash").select(
-        "file_hash", "status", F.when(F.col("status") == "failed", F.col("was")).otherwise(F.col("embedding_path")).alias("embedding_path")
-    )
+    """All documents are done, some fail later and keep what the first success stored; every third is deleted and ingested
+    again, under another attempt.  As the library's own registry says it."""
+    own = registry.Registry(spark, f"{shared_root(ship(spark))}/registry-{uuid.uuid4().hex}")
+    r = _registry(_embeddings(spark, sf_dir)).selectExpr("ingest_seq as seq", "file_hash", "file_path", "status")
+    third = r.where("cast(file_hash as int) % 3 = 0")
+    own.append(r.selectExpr("seq", "'done' as op", "file_hash", "file_path", "5 as num_pages", "'store#first' as embedding_path"))
+    own.append(r.where("status = 'failed'").selectExpr("seq", "'failed' as op", "file_hash", "file_path", "'broken' as error_message"))
+    own.delete(third)
+    own.append(third.selectExpr("seq", "'done' as op", "file_hash", "file_path", "7 as num_pages", "'store#second' as embedding_path"))
+    return own.table().select("file_hash", "status", "embedding_path", "error_message", "num_pages")
+
+
+@query(_FOLD + " select file_hash, status, ingest_seq from registry")
+def registry_incremental(spark, sf_dir):
+    """All events, appended in twelve stretches; the log is merged and reduced as it grows."""
+    own = registry.Registry(spark, f"{shared_root(ship(spark))}/registry-{uuid.uuid4().hex}")
+    own.MERGE = 4
+    log = _log(spark, sf_dir)
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    step = (high - low) // 12 + 1
+    for k in range(12):
+        own.append(log.where(F.col("seq").between(low + k * step, low + (k + 1) * step - 1)).withColumn("seq", F.col("seq") - F.lit(low + k * step)))
+    held = own.log().groupBy("file_hash").agg(F.min_by("file_path", "seq").alias("first"))  # paths name their events
+    first = F.substring_index("first", "/", -1).cast("long")
+    return own.table().join(held, "file_hash").select("file_hash", "status", first.alias("ingest_seq"))
 
 
 @query("""
@@ -443,7 +453,8 @@ def new_documents(spark, sf_dir):
 def content_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
     files = docs.select(F.sha2("text", 256).alias("file_hash"), F.expr("source || '/' || lpad(cast(doc_id as string), 12, '0') || '.pdf'").alias("file_path"))
-    return files.groupBy("file_hash").agg(F.min("file_path").alias("file_path"))
+    nothing_done = spark.createDataFrame([], REGISTRY)
+    return ingestion.new_documents(files, nothing_done).select("file_hash", "file_path")
 
 
 @query("""

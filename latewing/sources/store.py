@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +9,7 @@ from pyspark.sql import types as T
 from latewing.errors import PageRangeError
 from latewing.operators.scoring import packed_bytes
 from latewing.schema import PAGE_EMBEDDINGS, STORED_PAGES
+from latewing.sources.snapshots import Manifest, Snapshots
 
 
 class EmbeddingStore:
@@ -19,38 +18,39 @@ class EmbeddingStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, f"{path.rstrip('/')}/page_embeddings"
-
-    def _folder(self, path: str):
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.parts = Snapshots(spark, self.path, STORED_PAGES)
 
     def initialise(self) -> None:
-        where, system = self._folder(self.path)
-        if not system.exists(where):
-            self.spark.createDataFrame([], STORED_PAGES).write.parquet(self.path)
+        self.parts.initialise()
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(STORED_PAGES).parquet(self.path)
+        return self.parts.read()
 
     def append(self, pages: DataFrame, attempt: str | None = None) -> None:
         """Adds pages (``flat`` as bytes or as a list of floats); a document's pages lie together and in order."""
         if pages.schema["flat"].dataType != T.BinaryType():
             pages = packed_bytes(pages)
         pages = pages.select(*PAGE_EMBEDDINGS.fieldNames(), F.lit(attempt).cast("string").alias("attempt"))
-        pages.sortWithinPartitions("file_hash", "page_number").write.mode("append").parquet(self.path)
+        self.parts.append(pages.sortWithinPartitions("file_hash", "page_number"))
 
     def named(self, registry: DataFrame) -> DataFrame:
         """The pages of the attempts that the registry names."""
-        live = registry.where("coalesce(embedding_path, '') <> ''").select("file_hash", F.substring_index("embedding_path", "#", -1).alias("attempt"))
-        return self.read().join(live, ["file_hash", "attempt"], "left_semi")
+        return self.read().join(self._live(registry), ["file_hash", "attempt"], "left_semi")
+
+    @staticmethod
+    def _live(registry: DataFrame) -> DataFrame:
+        return registry.where("coalesce(embedding_path, '') <> ''").select("file_hash", F.substring_index("embedding_path", "#", -1).alias("attempt"))
 
     def compact(self, registry: DataFrame) -> None:
-        """Rewrites the store with the named pages alone.  For one writer, while nobody reads."""
-        fresh = f"{self.path}-{uuid.uuid4().hex}"
-        self.named(registry).sortWithinPartitions("file_hash", "page_number").write.parquet(fresh)
-        (old, system), (new, _) = self._folder(self.path), self._folder(fresh)
-        system.delete(old, True)
-        system.rename(new, old)
+        """Puts the named pages alone in the place of what there was; pages added meanwhile stay, and readers go on reading
+        what they began.  ``clean`` frees the space."""
+        old = self.parts.manifest().parts
+        live = self._live(registry)
+        rows = self.parts.read(Manifest(parts=old)).join(live, ["file_hash", "attempt"], "left_semi")
+        self.parts.replace(old, rows.sortWithinPartitions("file_hash", "page_number"), 1)
+
+    def clean(self, older_than: float = 3600.0) -> int:
+        return self.parts.clean(older_than)
 
 
 def page_chunks(documents: DataFrame, num_pages: str = "num_pages", size: int = 8) -> DataFrame:
