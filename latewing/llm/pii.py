@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,14 @@ KINDS = ("email", "ip", "card", "phone")
 
 #: The base patterns of the contract.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # four numbers of such a row are an ip
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 _DIGIT = re.compile("[0-9]")
-_LOOSE_EMAIL = re.compile(
-    r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+", re.I
-)
+_AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}) ?", re.I)
+_LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+", re.I)
 _LOOSE_PHONE = re.compile(r"(?<![\w+.(-])(?:\([0-9]{2,5}\)[ ./-]?|0[0-9]{1,4}[ ./-]|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,6}(?![\w.-]?[0-9])")
 _LOOSE_CARD = re.compile(r"(?<![\w.])[0-9]{4}(?:[._/]| - |  )[0-9]{4}(?:[._/]| - |  )[0-9]{4}(?:[._/]| - |  )[0-9]{4}(?!\w)")
 _IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
@@ -86,23 +87,35 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _local_start(text: str, low: int, at: int) -> int:
+    """Where the run of characters of a local part begins that ends at ``at``, not before ``low``."""
+    size = 64
+    while True:
+        part = text[max(low, at - size) : at][::-1]
+        n = _LOCAL.match(part).end()
+        if n < len(part) or at - size <= low:
+            return at - n
+        size *= 4
+
+
 def base_matches(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, valid) of all matches of the base patterns, leftmost and non-overlapping for each kind."""
     found, last, at = [], 0, text.find("@")
     while at >= 0:  # a match holds one "@", and starts where the run before it does
-        low = max(last, at - 4096)
-        local = _LOCAL_END.search(text, low, at)
-        while local and local.start() == low and low > last:
-            low = max(last, low - 4096)
-            local = _LOCAL_END.search(text, low, at)
-        domain = _DOMAIN.match(text, at + 1) if local else None
+        start = _local_start(text, last, at)
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
         if domain:
             last = domain.end()
-            found.append((0, local.start(), last, True))
+            found.append((0, start, last, True))
         at = text.find("@", max(at + 1, last))
     if _DIGIT.search(text):
-        for m in _IP.finditer(text):
-            found.append((1, m.start(), m.end(), all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))))
+        for m in _DOTTED.finditer(text):
+            parts, at = m[0].split("."), m.start()
+            for i in range(0, len(parts) - 3, 4):
+                four = parts[i : i + 4]
+                end = at + sum(map(len, four)) + 3
+                found.append((1, at, end, all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four)))
+                at = end + 1
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = _digits(m[0])
@@ -116,8 +129,12 @@ def base_matches(text: str) -> list[tuple[int, int, int, bool]]:
 
 def _loose_matches(text: str) -> Iterator[tuple[int, int, int]]:
     if "(" in text or "[" in text or "{" in text:
-        for m in _LOOSE_EMAIL.finditer(text):
-            yield 0, m.start(), m.end()
+        last = 0
+        for m in _AT.finditer(text):  # the rare part first, then outwards
+            start = _local_start(text, last, m.start())
+            if start < m.start() and (domain := _LOOSE_DOMAIN.match(text, m.end())):
+                last = domain.end()
+                yield 0, start, last
     if _DIGIT.search(text):
         if text.count(":") >= 7:
             for m in _IP6.finditer(text):
@@ -158,14 +175,35 @@ def label(kind: int, text: str, start: int, end: int) -> tuple[tuple[int, ...],
     return votes, (min(20, len(digits)), groups, min(7, (end - start) // 6))
 
 
+class _Taken:
+    """Intervals, and whether another overlaps none of them."""
+
+    def __init__(self, intervals: Iterable[tuple[int, int]]):
+        own = sorted(intervals)
+        self.starts = [a for a, _ in own]
+        self.reach = list(accumulate((b for _, b in own), max))  # the furthest end so far
+        self.added: list[tuple[int, int]] = []
+
+    def free(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        if before and self.reach[before - 1] > start:
+            return False
+        at = bisect_left(self.added, (end,))
+        return not at or self.added[at - 1][1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        """An interval that is free."""
+        insort(self.added, (start, end))
+
+
 def candidates(text: str) -> list[Span]:
     """All candidates of a text, with votes and features."""
-    spans, taken = [], []
+    spans = []
     for kind, start, end, valid in base_matches(text):
         spans.append(Span(kind, start, end, valid, not valid, *label(kind, text, start, end)))
-        taken.append((start, end))
+    taken = _Taken((s.start, s.end) for s in spans)
     for kind, start, end in _loose_matches(text):
-        if all(end <= a or start >= b for a, b in taken):
+        if taken.free(start, end):
             spans.append(Span(kind, start, end, False, False, *label(kind, text, start, end)))
     return spans
 
@@ -253,9 +291,11 @@ def spans_of(text: str | None, model: Model, least: float) -> list[Span]:
     """The base spans and the spans that the method adds, by kind and start. Added ones overlap no other."""
     found = candidates(text or "")
     kept = [s for s in found if s.base]
+    taken = _Taken((s.start, s.end) for s in kept)
     for s in found:
-        if not s.base and not s.barred and model.sure(s, least) and all(s.end <= k.start or s.start >= k.end for k in kept):
+        if not s.base and not s.barred and model.sure(s, least) and taken.free(s.start, s.end):
             kept.append(s)
+            taken.add(s.start, s.end)
     return sorted(kept, key=lambda s: (s.kind, s.start))
 
 
@@ -276,7 +316,8 @@ def masked(text: str | None, spans: list[Span]) -> str | None:
 
 
 def with_spans(docs: DataFrame, model: Model, text: str = "text", into: str = "pii", least: float = 0.95) -> DataFrame:
-    """``docs`` with a struct ``into``: n_email, n_ip, n_card, n_phone (of the base), base_sha256, spans, masked.
+    """``docs`` with a struct ``into``: n_email, n_ip, n_card, n_phone (of the base), base_sha256, spans, masked.  A column of
+    that name, in any case, is replaced.
 
     Null texts count as empty and stay null when masked.  Each row is read on its own, whole; repeated rows give the same
     spans; an empty table gives an empty table.  No shuffle.
@@ -301,9 +342,7 @@ def with_spans(docs: DataFrame, model: Model, text: str = "text", into: str = "p
 
 def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` masked; all other columns as they are. Cases as in ``with_spans``."""
-    into = "_pii"
-    while into in docs.columns:
-        into += "_"
+    (into,) = shared.free_names(docs.columns, "pii")
     found = with_spans(docs, fit(docs, text), text, into)
     return found.withColumn(text, F.col(f"{into}.masked")).select(*[F.col(f"`{c}`") for c in docs.columns])
 

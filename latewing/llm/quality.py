@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -163,7 +163,7 @@ def with_quality(docs: DataFrame, text: str = "text", into: str = "quality", ban
     """``docs`` with a struct column ``into`` of the measures in RESULT, one row out for each row in.
 
     Null and empty texts have no words: they fail the base rule. Repeated rows and ties are judged alike, each on its
-    own; an empty table gives an empty table. No shuffle; a task holds one Arrow batch.
+    own; an empty table gives an empty table. A column of the name ``into``, in any case, is replaced. No shuffle; a task holds one Arrow batch.
     """
     limits = bands or Bands()
 
@@ -180,17 +180,10 @@ def keep_good(docs: DataFrame, text: str = "text", bands: Bands | None = None) -
 
     Same cases as ``with_quality``; clashing column names cannot occur, the measures live in one column of a new name.
     """
-    into = _free(docs.columns)
+    (into,) = shared.free_names(docs.columns, "quality")
     return with_quality(docs, text, into, bands).where(F.col(f"{into}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _free(taken: Iterable[str]) -> str:
-    name = "_quality"
-    while name in set(taken):
-        name += "_"
-    return name
-
-
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
     return with_quality(docs).select("doc_id", "quality.*")

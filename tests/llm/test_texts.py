@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -179,6 +180,51 @@ def test_base_patterns(text):
     assert sorted(got) == sorted(brute_pii(text))
 
 
+LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+", re.I)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["(at)", "[AT]", "(dot)", "{dot}", ".", " ", "a", "b-c", "@", "9", "+", "é", "("]), max_size=30).map("".join))
+def test_spelled_addresses_are_those_of_one_pattern(text):
+    got = [(a, b) for kind, a, b in pii._loose_matches(text) if kind == 0]
+    assert got == [(m.start(), m.end()) for m in LOOSE_EMAIL.finditer(text)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=12), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6)), max_size=12))
+def test_overlaps_are_those_of_all_pairs(fixed, tried):
+    spans = [(a, a + n) for a, n in fixed]
+    taken = pii._Taken(spans)
+    for a, n in tried:
+        free = all(a + n <= x or a >= y for x, y in spans)
+        assert taken.free(a, a + n) == free
+        if free:
+            taken.add(a, a + n)
+            spans.append((a, a + n))
+
+
+@pytest.mark.parametrize("text", ["1" * 10**6, "a" * 10**6 + "(", "(" * 10**6, "." * 10**6, "a" * 10**6 + "@", ("a" * 4000 + " @") * 250, "a" * 500_000 + "(at)" + "b" * 500_000, "+1" + "(" * 10**6, "-" * 10**6, "1 " * 500_000, "@" + "a-" * 500_000])
+def test_a_megabyte_of_anything_takes_linear_time(text):
+    began = time.process_time()
+    pii.candidates(text)
+    assert time.process_time() - began < 2
+
+
+def test_many_candidates_take_linear_time():
+    began = time.process_time()
+    model = pii.Model({}, {}, {})
+    assert len(pii.spans_of("call 0123 4567 8901, +12345678901 " * 20_000, model, 0.9)) == 20_000
+    assert time.process_time() - began < 8
+
+
+def test_clashing_names_in_any_case(spark):
+    docs = frame(spark, ["mail a@b.com", None, "word " * 30]).withColumnRenamed("size", "_PII").withColumnRenamed("n_chars", "_QUALITY")
+    hidden = pii.mask_documents(docs)
+    assert hidden.columns == docs.columns and [r._PII for r in hidden.orderBy("doc_id").collect()] == [0, 1, 2]
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+
+
 def test_personal_data(spark):
     texts = ["mail me at a.b@mail.example.com or call +1 (017) 555-7713", "card 4111 1111 1111 1111, ip 10.0.0.255 and 1.2.3.400", "version 1.2.3.4", "write to ann (at) site (dot) org", "tel 555-123-4567", *ODD_TEXTS]
     texts += [f"x{i}@mail{i}.example.com and +1 ({i:03}) 555-{i:04} from 10.0.{i}.1" for i in range(60)] + [f"reach ann{i} (at) site{i} (dot) org" for i in range(30)]
