@@ -4,14 +4,15 @@ A page becomes a tree of its block elements; runs of like siblings (paragraphs,
 host's pages with the same outer structure are a layout, and its most frequent tree is the layout's reference.  Every
 other tree of the layout is aligned with it by simple tree matching, so slots of different pages correspond.  A block
 (inside ``article`` and ``main`` elements: a whole slot) that stands in the same slot on nearly all pages of a layout is
-template; blocks that vary are content.  Pages are told apart by their longest block, so copies and near copies of a page count once and their article is no template.  What varies
-but is no article is told by its element or its names: menus, headers, footers, sidebars, notices, adverts, forms and
-comments.
+template; blocks that vary are content.  Copies and near copies of a page count once: pages are told apart by their longest
+block first and then, when their common blocks are taken away, by what is left of them, so their article is no template.
+What varies but is no article is told by its element or its names: menus, headers, footers, sidebars, notices, adverts,
+forms and comments.
 
 A wrapper is one row per layout of a host: reference and template.  Trees are aligned in the tasks that read the pages,
 once per distinct tree; blocks are counted by partial sums of hashes, so a host with a third of all pages costs no task
-more than another.  Pages are parsed again rather than moved: texts are shuffled only where the wrappers are too many to
-be sent to all executors.
+more than another.  Pages are parsed once, and their trees and blocks written; they are moved only where the wrappers are
+too many to be sent to all executors.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,7 +52,7 @@ MARKS = frozenset(
     " consent contentinfo complementary cookie cookies copyright dialog discussion disqus footer form gdpr header login masthead"
     " menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended"
     " recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored"
-    " subscribe subscription toolbar widget".split()
+    " subscribe subscription toolbar widget adbanner cookiebar cookiebanner cookienotice footernav navmenu sidenav topbar topnav".split()
 )
 #: Marks that hold no article wherever they stand in a name.
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond related recommended recommendations".split())
@@ -85,6 +87,13 @@ class Slot:
     children: list[int] = field(default_factory=list)
 
 
+#: Of several articles of a page, those shorter than this share of the longest are teasers.
+TEASER = 0.2
+
+#: Elements that may hold the whole article though their kind or name says otherwise.
+WRAPPERS = frozenset("form fieldset article main".split())
+
+
 @dataclass(slots=True)
 class Page:
     slots: list[Slot]
@@ -98,10 +107,6 @@ class Page:
         outer = {i for i, s in enumerate(self.slots) if s.parent <= 0}
         return _hash("|".join(sorted({f"{s.label}" for i, s in enumerate(self.slots) if i in outer or s.parent in outer})))
 
-    def identity(self) -> int:
-        """A hash of the longest block: pages that share it are copies or near copies of each other."""
-        return _hash(max((t for _, t, _ in self.blocks), key=lambda t: (len(t), t), default=""))
-
     def prints(self) -> list[int]:
         """For each block the hash that is compared between pages: of its text or, inside the article, of its whole slot,
         so that a list item or a paragraph that articles share does not make it template."""
@@ -111,9 +116,44 @@ class Page:
         whole = {s: _hash("\n".join(t)) for s, t in slots.items()}
         return [whole[s] if inside else _hash(t) for s, t, inside in self.blocks]
 
-    def chosen(self) -> list[int]:
-        """The numbers of the blocks of ``article`` and ``main`` elements, or of all if there are none."""
-        return [i for i, b in enumerate(self.blocks) if b[2]] or list(range(len(self.blocks)))
+
+@dataclass(slots=True)
+class _Block:
+    slot: int
+    text: str
+    inside: bool  # an article or main element
+    title: bool
+    article: int  # the number of the outermost article element, 0 outside
+    dropped: int  # the number of the element that drops it, 0 if none does
+
+
+def _article(blocks: list[_Block], excused: dict[int, bool]) -> list[tuple[int, str, bool]]:
+    """The blocks that may be the main text.
+
+    An element that usually holds none but has more text than all that is kept is a wrapper, and its text stays.  If there
+    are ``article`` or ``main`` elements, the text is theirs, with a title that stands before them; of several articles
+    those much shorter than the longest are teasers.
+    """
+    sizes: dict[int, int] = {}
+    for x in blocks:
+        sizes[x.dropped] = sizes.get(x.dropped, 0) + len(x.text)
+    wide, total = set(), sizes.get(0, 0)
+    for n in sorted((n for n in sizes if n and excused[n]), key=lambda n: -sizes[n]):
+        if sizes[n] > total:
+            wide.add(n)
+            total += sizes[n]
+    kept = [x for x in blocks if not x.dropped or x.dropped in wide]
+    inside = [x for x in kept if x.inside]
+    if not inside:
+        return [(x.slot, x.text, False) for x in kept]
+    lengths: dict[int, int] = {}
+    for x in inside:
+        lengths[x.article] = lengths.get(x.article, 0) + len(x.text)
+    longest = max((n for a, n in lengths.items() if a), default=0)
+    inside = [x for x in inside if not x.article or lengths[x.article] >= TEASER * longest]
+    first = next(i for i, x in enumerate(kept) if x is inside[0])
+    titles = [x for x in kept[:first] if x.title] if not any(x.title for x in inside) else []
+    return [(x.slot, x.text, True) for x in [*titles[-1:], *inside]]
 
 
 def _mark(name: str) -> int:
@@ -127,30 +167,32 @@ def _mark(name: str) -> int:
     return 2 if parts[-1] in MARKS or not COMMENTS.isdisjoint(parts) else 1
 
 
-def _marked(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    """Whether the element holds no article, and its name for the tree.
+def _marked(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
+    """1 if the element seems to hold no article, 2 if it certainly holds none (what is hidden, comments), else 0; and its
+    name for the tree.
 
     A name that ends in a mark decides (``main-menu``, ``post-share``); one with a mark further ahead does so unless
     another name of the element says that it holds the article (``content sidebar-right``).
     """
-    name, marks, good = "", 0, False
+    name, marks, good, others = "", 0, False, False
     if attributes and not attributes.isspace():
         for key, value in _NAMES.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-                return True, name
+                return 2, name
             if key in ("class", "id", "role") and tag not in ("html", "body"):
                 words = value.split()
                 name = name or (min(words, default="").lower() if key == "class" else "")
                 for word in words:
                     mark = _mark(word)
                     marks = max(marks, mark)
+                    others = others or (mark > 0 and not COMMENTS.isdisjoint(p.lower() for p in _PART(word)))
                     good = good or (not mark and _PART(word)[-1:] != [] and _PART(word)[-1].lower() in GOOD)
     if marks == 2 or (marks == 1 and not good):
-        return True, name
+        return 1 + others, name
     if tag == "header":
-        return not in_article, name
-    return tag in DROPPED, name
+        return int(not in_article), name
+    return int(tag in DROPPED), name
 
 
 class _Tags:
@@ -205,9 +247,11 @@ class _Tags:
 def parse(source: str) -> Page:
     """The slots and blocks of a page; never fails, whatever the markup."""
     slots = [Slot("html", -1)]
-    blocks: list[tuple[int, str, bool]] = []
-    # open elements: tag, slot, whether its text is dropped, whether it is inside the article
-    stack: list[tuple[str, int, bool, bool]] = [("html", 0, False, False)]
+    blocks: list[_Block] = []
+    # open elements: tag, slot, number of the element that drops its text, whether it is inside the article, number of that
+    stack: list[tuple[str, int, int, bool, int]] = [("html", 0, 0, False, 0)]
+    excused: dict[int, bool] = {}
+    articles = 0
     buffer: list[str] = []
     open_tags: Counter[str] = Counter()
     unopened: Counter[str] = Counter()
@@ -218,8 +262,8 @@ def parse(source: str) -> Page:
             text = " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                _, slot, _, inside = stack[-1]
-                blocks.append((slot, text, inside))
+                _, slot, dropped, inside, article = stack[-1]
+                blocks.append(_Block(slot, text, inside, any(t == "h1" for t, *_ in stack[-3:]), article, dropped))
 
     def close(depth: int) -> None:
         for tag, *_ in stack[depth:]:
@@ -229,7 +273,7 @@ def parse(source: str) -> Page:
     while at < end:
         found = tags.next(at)
         stop = found[0] if found else end
-        if stop > at and not stack[-1][2]:
+        if stop > at and (not stack[-1][2] or excused[stack[-1][2]]):
             buffer.append(source[at:stop])
         if not found:
             break
@@ -250,7 +294,7 @@ def parse(source: str) -> Page:
         if tag in VOID:
             if tag == "hr":
                 flush()
-            elif tag in ("br", "wbr") and not stack[-1][2]:
+            elif tag in ("br", "wbr") and (not stack[-1][2] or excused[stack[-1][2]]):
                 buffer.append(" " if tag == "br" else "")
             continue
         if tag in RAW:
@@ -269,7 +313,7 @@ def parse(source: str) -> Page:
                     close(i)
                     i = len(stack)
                 i -= 1
-        _, slot, dropped, inside = stack[-1]
+        _, slot, dropped, inside, article = stack[-1]
         marked, name = _marked(tag, attributes, inside)
         if block:
             if len(stack) < _DEPTH:
@@ -282,16 +326,22 @@ def parse(source: str) -> Page:
                     slots.append(Slot(label, slot))
                     slots[slot].children.append(len(slots) - 1)
                     slot = len(slots) - 1
-            inside = inside or tag == "article" or (tag == "main")
+            inside = inside or tag in ("article", "main")
+            if tag == "article" and not article:
+                articles += 1
+                article = articles
         if attributes.endswith("/") and tag not in BLOCKS:
             continue
         if len(stack) >= _MAX_OPEN:
             unopened[tag] += 1
             continue
         open_tags[tag] += 1
-        stack.append((tag, slot, dropped or marked, inside))
+        if marked and (not dropped or excused[dropped]):
+            dropped = len(excused) + 1
+            excused[dropped] = marked == 1 and tag in WRAPPERS
+        stack.append((tag, slot, dropped, inside, article))
     flush()
-    return Page(slots, blocks)
+    return Page(slots, _article(blocks, excused))
 
 
 def simple_tree_matching(a: list[Slot], b: list[Slot]) -> dict[int, int]:
@@ -366,53 +416,106 @@ def _alignment(skeleton: str, reference: str, known: dict) -> list[int]:
     return found
 
 
-@F.arrow_udf(T.StructType([T.StructField("layout", T.LongType()), T.StructField("skeleton", T.StringType())]))
-def _outline(sources: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in sources:
-        pages = [parse(source.as_py() or "") for source in batch]
-        yield pa.StructArray.from_arrays([pa.array([p.layout() for p in pages], pa.int64()), pa.array([p.skeleton() for p in pages], pa.string())], names=["layout", "skeleton"])
+_PARSED = "layout bigint, skeleton string, slots array<int>, texts array<string>, inside array<boolean>, prints array<bigint>"
+
 
+def parsed(pages: DataFrame, folder: str) -> DataFrame:
+    """(row, host) of (row, host, html) with the pages' trees and blocks, each page parsed once and written."""
 
-@F.arrow_udf(T.LongType())
-def _layout(sources: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in sources:
-        yield pa.array([parse(source.as_py() or "").layout() for source in batch], pa.int64())
+    @F.arrow_udf(f"struct<{', '.join(f'{n}: {k}' for n, k in (x.split(' ') for x in _PARSED.split(', ')))}>")
+    def parse_all(sources: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in shared.lean(sources):
+            made = [parse(source.as_py() or "") for source in batch]
+            columns = [
+                pa.array([p.layout() for p in made], pa.int64()), pa.array([p.skeleton() for p in made], pa.string()),
+                pa.array([[b[0] for b in p.blocks] for p in made], pa.list_(pa.int32())), pa.array([[b[1] for b in p.blocks] for p in made], pa.list_(pa.string())),
+                pa.array([[b[2] for b in p.blocks] for p in made], pa.list_(pa.bool_())), pa.array([p.prints() for p in made], pa.list_(pa.int64())),
+            ]
+            yield pa.StructArray.from_arrays(columns, names=[x.split(" ")[0] for x in _PARSED.split(", ")])
 
+    made = pages.withColumn("page", parse_all("html")).select(*[c for c in pages.columns if c != "html"], "page.*")
+    return shared.stored(made, folder, "parsed")
 
-def learn_wrappers(pages: DataFrame, folder: str, min_pages: int = 2, min_articles: int = 10, share: float = 0.95) -> DataFrame:
-    """(host, html) -> (host, layout, reference, template): for every layout of a host that has any, the (slot of the
+
+def _longest(texts: list[str]) -> int:
+    """A hash of the longest block: pages that share it are copies or near copies of each other."""
+    return _hash(max(texts, key=lambda t: (len(t), t), default=""))
+
+
+#: Least hashes that a page's varying text is told by.
+_SKETCH = 9
+
+
+def _sketch(texts: list[str]) -> list[int]:
+    """For each of some hash functions the least hash of the text's runs of three words."""
+    words = " ".join(texts).split()
+    runs = np.array([_hash(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.int64).view(np.uint64)
+    return [int(shared.mix64(runs ^ salt).min() >> np.uint64(1)) for salt in shared.spread(_SKETCH, 41)]
+
+
+def learn_wrappers(
+    pages: DataFrame, folder: str, min_pages: int = 2, min_articles: int = 10, share: float = 0.95, most: float = 0.5
+) -> DataFrame:
+    """``parsed`` pages -> (host, layout, reference, template): for every layout of a host that has any, the (slot of the
     reference, hash of a block's text) that are template.
 
-    A block is template if at least ``share`` of the layout's different pages hold it in this slot and these pages are
-    at least ``min_pages``; inside ``article`` and ``main`` elements at least ``min_articles``.
+    A block may be template if at least ``share`` of the layout's different pages hold it in this slot and these pages
+    are at least ``min_pages``; inside ``article`` and ``main`` elements at least ``min_articles``.  Then the rest of the pages
+    has the last word: near copies of a page also share most of their blocks, but what differs between them is alike.
+    Pages are counted again by the text that is left (the median, over some hash functions, of the number of different
+    least hashes of its word triples: versions of a text share most of them, different texts none).  A layout that has much
+    fewer by that count has no template, and where fewer than ``min_articles`` are left, blocks that hold more
+    than the share ``most`` of the pages' text stay.
     """
-    seen = pages.select("host", _outline("html").alias("o")).groupBy("host", "o.layout", "o.skeleton").agg(F.count("*").alias("n"))
+    seen = pages.groupBy("host", "layout", "skeleton").agg(F.count("*").alias("n"))
     kinds = seen.groupBy("host", "layout").agg(F.sum("n").alias("n"), F.max_by("skeleton", F.struct("n", "skeleton")).alias("reference")).where("n > 1")
     kinds = shared.stored(kinds.drop("n"), folder, "references")
+    inputs = ["host", "layout", "skeleton", "slots", "texts", "inside", "prints", "reference"]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for whole in shared.lean(batches):
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                rows = []
-                for host, layout, source, reference in zip(*(batch.column(c) for c in ("host", "layout", "html", "reference")), strict=True):
-                    page = parse(source.as_py() or "")
-                    slots = _alignment(page.skeleton(), reference.as_py(), known)
-                    identity = page.identity()
-                    made = {(slots[s], h, inside) for (s, _, inside), h in zip(page.blocks, page.prints(), strict=True) if slots[s] >= 0}
-                    rows += [(host.as_py(), layout.as_py(), identity, *m) for m in [*made, (-1, 0, False)]]  # the last counts the page
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "layout", "identity", "slot", "hash", "inside"])
-
-    placed = _with_wrappers(pages.withColumn("layout", _layout("html")), kinds, "inner").select("host", "layout", "html", "reference")
+        for batch in shared.lean(batches):
+            rows = []
+            for r in (r for at in range(0, len(batch), 200) for r in batch.slice(at, 200).to_pylist()):
+                slots = _alignment(r["skeleton"], r["reference"], known)
+                identity = _longest(r["texts"])
+                made = {(slots[s], h, i) for s, h, i in zip(r["slots"], r["prints"], r["inside"], strict=True) if slots[s] >= 0}
+                rows += [(r["host"], r["layout"], identity, *m) for m in [*made, (-1, 0, False)]]  # the last counts the page
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=["host", "layout", "identity", "slot", "hash", "inside"])
+
+    placed = _with_wrappers(pages, kinds, "inner").select(*inputs)
     each = placed.mapInArrow(blocks, "host string, layout bigint, identity bigint, slot int, hash bigint, inside boolean").distinct()
     counts = shared.stored(each.groupBy("host", "layout", "slot", "hash", "inside").agg(F.count("*").alias("n")), folder, "counts")
     total = counts.where("slot = -1").select("host", "layout", F.col("n").alias("n_pages"))
     least = F.when(F.col("inside"), min_articles).otherwise(min_pages)
     fixed = counts.where((F.col("slot") >= 0) & (F.col("n") >= least)).join(total, ["host", "layout"]).where(F.col("n") >= share * F.col("n_pages"))
-    fixed = fixed.groupBy("host", "layout").agg(F.collect_set(F.struct("slot", "hash")).alias("template"))  # at most 1 / share times a page's blocks
-    return shared.stored(kinds.join(fixed, ["host", "layout"]), folder, "wrappers")
+    fixed = fixed.groupBy("host", "layout").agg(F.collect_set(F.struct("slot", "hash", "inside")).alias("template"))  # at most 1 / share times a page's blocks
+    wrappers = shared.stored(kinds.join(fixed, ["host", "layout"]), folder, "candidates")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in shared.lean(batches):
+            rows = []
+            for r in (r for at in range(0, len(batch), 200) for r in batch.slice(at, 200).to_pylist()):
+                slots = _alignment(r["skeleton"], r["reference"], known)
+                dropped = {(f["slot"], f["hash"]) for f in r["template"]}
+                left = [t for t, s, h in zip(r["texts"], r["slots"], r["prints"], strict=True) if (slots[s], h) not in dropped]
+                size = sum(map(len, r["texts"]))
+                gone = 1 - sum(map(len, left)) / size if size else 0.0
+                rows += [(r["host"], r["layout"], k, h, gone) for k, h in enumerate(_sketch(left))]
+            types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], names=["host", "layout", "k", "least", "gone"])
+
+    left = _with_wrappers(pages, wrappers, "inner").select(*inputs, "template").mapInArrow(rest, "host string, layout bigint, k int, least bigint, gone double")
+    one = left.groupBy("host", "layout", "k", "least").agg(F.sum("gone").alias("gone"), F.count("*").alias("n"))
+    each = one.groupBy("host", "layout", "k").agg(F.count("*").alias("different"), (F.sum("gone") / F.sum("n")).alias("gone"))
+    said = each.groupBy("host", "layout").agg(F.median("different").alias("different"), F.max("gone").alias("gone"))
+    enough = (F.col("different") >= min_pages) & (F.col("different") >= 0.6 * F.col("n_pages"))
+    good = said.join(total, ["host", "layout"]).where(enough & ((F.col("different") >= min_articles) | (F.col("gone") <= most)))
+    inner = F.filter("template", lambda f: ~f["inside"] | (F.col("different") >= min_articles))
+    chosen = wrappers.join(good, ["host", "layout"]).select("host", "layout", "reference", F.transform(inner, lambda f: F.struct(f["slot"].alias("slot"), f["hash"].alias("hash"))).alias("template"))
+    return shared.stored(chosen, folder, "wrappers")
 
 
 def _with_wrappers(pages: DataFrame, wrappers: DataFrame, how: str) -> DataFrame:
@@ -422,20 +525,18 @@ def _with_wrappers(pages: DataFrame, wrappers: DataFrame, how: str) -> DataFrame
 
 
 @F.arrow_udf(T.StringType())
-def _extracted(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _extracted(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     known: dict = {}
-    for sources, references, templates in columns:
-        texts = []
-        for source, reference, template in zip(sources, references, templates, strict=True):
-            page = parse(source.as_py() or "")
-            chosen = page.chosen()
+    for skeletons, slots, texts, prints, references, templates in columns:
+        out = []
+        for skeleton, own, parts, hashes, reference, template in zip(skeletons, slots, texts, prints, references, templates, strict=True):
+            parts = parts.as_py()
             if reference.is_valid:
-                slots = _alignment(page.skeleton(), reference.as_py(), known)
+                at = _alignment(skeleton.as_py(), reference.as_py(), known)
                 fixed = {(f["slot"], f["hash"]) for f in template.as_py()}
-                prints = page.prints()
-                chosen = [i for i in chosen if (slots[page.blocks[i][0]], prints[i]) not in fixed] or chosen
-            texts.append("\n".join(page.blocks[i][1] for i in chosen))
-        yield pa.array(texts, pa.string())
+                parts = [t for t, s, h in zip(parts, own.as_py(), hashes.as_py(), strict=True) if (at[s], h) not in fixed] or parts
+            out.append("\n".join(parts))
+        yield pa.array(out, pa.string())
 
 
 def main_text(
@@ -443,19 +544,21 @@ def main_text(
 ) -> DataFrame:
     """``pages`` without ``source``, with a column ``into``: the page's main text, blocks joined by line feeds.
 
-    If a page has ``article`` or ``main`` elements, the text is theirs; else the body's.  A page whose every block is
-    template (a host of copies) keeps them all.  Null and empty pages have an empty text; null URLs and those without a
-    host share the wrappers of the empty host; layouts with fewer than ``min_pages`` different pages have none.  Repeated
-    rows are extracted alike; an empty table gives an empty table.  Other columns pass through, whatever their names; a
-    column of the name ``into`` is replaced.
+    If a page has ``article`` or ``main`` elements, the text is theirs and a title's before them; else the body's.  A page
+    whose every block is template (a host of copies) keeps them all.  Null and empty pages have an empty text; null URLs
+    and those without a host share the wrappers of the empty host; layouts with fewer than ``min_pages`` different pages
+    have none.  Repeated rows are extracted alike; an empty table gives an empty table.  Other columns pass through,
+    whatever their names; a column of the name ``into``, in any case, is replaced.
     """
-    (row,) = shared.free_names(["host", "layout", "html", "reference", "template"], "page")
-    keep = [c for c in pages.columns if c not in (source, into)]
+    taken = ["host", "layout", "html", "skeleton", "slots", "texts", "inside", "prints", "reference", "template"]
+    (row,) = shared.free_names(taken, "row")
+    keep = [c for c in pages.columns if c != source and c.lower() != into.lower()]
     whole = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
-    rows = pages.select(whole.alias(row), url_host(F.col(f"`{url}`")).alias("host"), F.col(f"`{source}`").alias("html"))
+    rows = parsed(pages.select(whole.alias(row), url_host(F.col(f"`{url}`")).alias("host"), F.col(f"`{source}`").alias("html")), folder)
     wrappers = learn_wrappers(rows, folder, min_pages, min_articles, share)
-    both = _with_wrappers(rows.withColumn("layout", _layout("html")), wrappers, "left")
-    return both.select(*[F.col(f"{row}.`{c}`").alias(c) for c in keep], _extracted("html", "reference", "template").alias(into))
+    both = _with_wrappers(rows, wrappers, "left")
+    text = _extracted("skeleton", "slots", "texts", "prints", "reference", "template")
+    return both.select(*[F.col(f"{row}.`{c}`").alias(c) for c in keep], text.alias(into))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

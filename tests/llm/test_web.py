@@ -150,14 +150,59 @@ def test_generated_sites_with_known_articles(spark):
             html = LAYOUTS[layouts[i % len(layouts)]].format(n=i, title=article[0], paragraphs="".join(f"<p>{p}</p>" for p in article[1:]))
             rows.append((len(rows), f"http://{host}/{i}", html))
             want[rows[-1][0]] = "\n".join(article)
-            if i == 0 and n > 1:  # a near copy
-                rows.append((len(rows), f"http://{host}/copy", html.replace(article[1], article[1] + " more") if len(article[1]) < len(max(article, key=len)) else html))
-                want[rows[-1][0]] = None
+            if i == 0 and n > 1:  # near copies, with an edit in every block in turn
+                for k in range(len(article)):
+                    edited = [x.replace(" ", " also ", 1) if j == k else x for j, x in enumerate(article)]
+                    rows.append((len(rows), f"http://{host}/copy{k}", LAYOUTS[layouts[i % len(layouts)]].format(n=i, title=edited[0], paragraphs="".join(f"<p>{p}</p>" for p in edited[1:]))))
+                    want[rows[-1][0]] = "\n".join(edited)
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as blocks", "3 as layout", "4 as reference", "'old' as text")
     made = htmltext.main_text(pages, shared.shared_folder(spark))
     assert made.columns == ["page_id", "url", "host", "blocks", "layout", "reference", "text"]
     got = {r.page_id: r.text for r in made.collect()}
-    assert {i: got[i] for i in want if want[i] is not None} == {i: t for i, t in want.items() if t is not None}
+    assert got == want
+
+
+def test_hosts_of_near_copies_alone_keep_their_articles(spark):
+    """Two to twelve versions of one article on a host, edited in the longest paragraph or in all."""
+    rng = random.Random(4)
+    say = lambda k: " ".join(rng.choices([f"word{i}" for i in range(300)], k=k))
+    rows, want = [], {}
+    for h in range(12):
+        article = [say(60 + 30 * (h % 2)), say(25), say(30), say(28)]
+        for i in range(2 + h):
+            edited = [" ".join(w if rng.random() > 0.06 or (h % 3 and j) else "new" for w in x.split()) for j, x in enumerate(article)]
+            edited[0] = f"{edited[0]} version {i}"
+            rows.append((len(rows), f"http://h{h}.org/{i}", "<body><div>" + "".join(f"<p>{p}</p>" for p in edited) + "</div>"))
+            want[rows[-1][0]] = "\n".join(edited)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.main_text(pages, shared.shared_folder(spark)).collect()}
+    assert got == want
+
+
+WRAPPED = {
+    "<body><form id=aspnetForm><div class=menu>m</div><p>the article</p><p>more of it</p><fieldset><p>short</p></fieldset></form><footer>f</footer>": "the article\nmore of it",
+    "<body><article class=search><p>found words</p></article>": "found words",
+    "<body><form><input><p>find</p></form><p>all of the text</p>": "all of the text",
+    "<body><header><h1>Site</h1></header><h1>Title</h1><main><p>text of it</p></main>": "Title\ntext of it",
+    "<body><h1>Site</h1><article><h1>Own</h1><p>text</p></article>": "Own\ntext",
+    "<body><article><p>" + "long article " * 20 + "</p></article><article><p>teaser</p></article><article><p>another</p></article>": ("long article " * 20).strip(),
+    "<body><article><p>one of two posts</p></article><article><p>two of two posts</p></article>": "one of two posts\ntwo of two posts",
+    "<body><div class=cookiebar>we use them</div><div class=topbar>call us</div><p>text</p>": "text",
+    "<body><article hidden><p>" + "not shown " * 30 + "</p></article><p>shown</p>": "shown",
+    "<body><p>short</p><article class=comment><p>" + "a long comment " * 30 + "</p></article>": "short",
+    "<p>a <span class=share>s<br>t</span> b <button>x</button>c</p>": "a b c",
+}
+
+
+@pytest.mark.parametrize("page", WRAPPED)
+def test_wrappers_titles_and_teasers(page):
+    assert "\n".join(t for _, t, _ in htmltext.parse(page).blocks) == WRAPPED[page]
+
+
+def test_clashing_text_column(spark):
+    pages = spark.createDataFrame([(1, "http://a.org", "<p>x</p>", "old", 5)], "page_id long, url string, html string, Text string, _row int")
+    made = htmltext.main_text(pages, shared.shared_folder(spark))
+    assert made.columns == ["page_id", "url", "_row", "text"] and tuple(made.first()) == (1, "http://a.org", 5, "x")
 
 
 def test_trees_are_matched():
