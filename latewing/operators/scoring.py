@@ -7,7 +7,7 @@ Both are exact and exhaustive.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +41,21 @@ def score_tokens(tokens: DataFrame, query: Sequence[Sequence[float]], keys: Sequ
     one row.  Cases as in ``vectors.maxsim``."""
     if not len(query):
         return tokens.select(*keys).distinct().withColumn("score", F.lit(0.0))
-    sims = tokens.withColumn("_sims", F.transform(V.literal_vectors(query), lambda q: V.dot(q, F.col(vector))))
-    best = [F.coalesce(F.max(F.when(~F.isnan(F.col("_sims")[i]), F.col("_sims")[i])), F.lit(V.NEVER)).alias(f"_m{i}") for i in range(len(query))]
-    total = sum((F.col(f"_m{i}") for i in range(1, len(query))), F.col("_m0"))
-    return sims.groupBy(*keys).agg(*best).select(*keys, total.alias("score"))
+    own = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key")  # names of keys meet no other names
+    sims = tokens.select(own, F.transform(V.literal_vectors(query), lambda q: V.dot(q, F.col(vector))).alias("sims"))
+    best = [F.coalesce(F.max(F.when(~F.isnan(F.col("sims")[i]), F.col("sims")[i])), F.lit(V.NEVER)).alias(f"m{i}") for i in range(len(query))]
+    total = sum((F.col(f"m{i}") for i in range(1, len(query))), F.col("m0"))
+    return sims.groupBy("key").agg(*best).select(*[F.col(f"key.k{i}").alias(k) for i, k in enumerate(keys)], total.alias("score"))
 
 
-def _block_scores(flat: np.ndarray, offsets: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Scores of ragged pages that lie end to end in one buffer of floats."""
+def _block_maxima(flat: np.ndarray, offsets: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """For each of some ragged pages, end to end in one buffer of floats, the best similarity with each query vector; zeros
+    for empty pages."""
     q_len, dim = query.shape
     lengths = np.diff(offsets)
-    scores = np.zeros(len(lengths), np.float64)
+    out = np.zeros((len(lengths), q_len), np.float64)
     if not q_len or not dim or not flat.size:
-        return scores
+        return out
     if (lengths % dim).any():
         raise DimensionError(f"a page's buffer is no multiple of the query's width {dim}")
     full = np.flatnonzero(lengths)
@@ -64,8 +66,12 @@ def _block_scores(flat: np.ndarray, offsets: np.ndarray, query: np.ndarray) -> n
     if np.isnan(best).any():  # a maximum over a similarity that is no number is none either: only then look at all
         sims[np.isnan(sims)] = -np.inf
         best = np.maximum.reduceat(sims, starts, axis=0)
-    scores[full] = best.sum(1, dtype=np.float64)
-    return scores
+    out[full] = best
+    return out
+
+
+def _block_scores(flat: np.ndarray, offsets: np.ndarray, query: np.ndarray) -> np.ndarray:
+    return _block_maxima(flat, offsets, query).sum(1)
 
 
 def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +172,55 @@ def score_matrix(queries: DataFrame, pages: DataFrame, query_vectors: str = "que
     return out
 
 
+def score_matrix_packed(queries: DataFrame, pages: DataFrame, keys: Sequence[str], query_key: str = "query_id", flat: str = "flat", rows: int = 512) -> DataFrame:
+    """(query_key, keys, score) of every query with every page, by tiles: a block of pages times all vectors of a part of
+    the queries is one matrix product.
+
+    ``queries`` has a row per query, ``query_key`` and ``query_vectors``; their size is measured, and parts of at most
+    QUERY_BYTES, by hash of the key, go to the executors one after another.  Pages are packed (``flat``) and stay where
+    they are.  Cases as in ``score_packed``.
+    """
+    size = F.coalesce(F.sum(F.aggregate(F.col("query_vectors"), F.lit(0), lambda s, v: s + F.size(v))), F.lit(0))
+    parts = max(1, -(-queries.agg(size).first()[0] * 4 // QUERY_BYTES))
+    kinds = {f.name: f.dataType.simpleString() for f in [*pages.select(*keys).schema, *queries.select(query_key).schema]}
+    fields = ", ".join(f"`{n}` {kinds[n]}" for n in [query_key, *keys])
+    empty = F.lit(b"") if pages.schema[flat].dataType == T.BinaryType() else F.array().cast("array<float>")
+    packed = pages.select(*keys, F.coalesce(F.col(flat), empty).alias(flat))
+    out = None
+    for part in range(parts):
+        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == part)
+        made = packed.mapInArrow(_against_all(own.select(query_key, "query_vectors").toArrow(), len(keys), rows), f"{fields}, score double")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _against_all(queries: pa.Table, n_keys: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores of pages, ``rows`` at a time, with all of some queries."""
+    names = queries.column(0)
+    vectors = [q.as_py() or [] for q in queries.column(1)]
+    dim = next((len(v) for q in vectors for v in q), 0)
+    if any(len(v) != dim for q in vectors for v in q):
+        raise DimensionError("vectors differ in width")
+    bounds = np.concatenate([[0], np.cumsum([len(q) for q in vectors])]).astype(np.int64)
+    matrix = np.array([v for q in vectors for v in q], np.float32).reshape(int(bounds[-1]), dim)
+    full = np.flatnonzero(np.diff(bounds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                best = _block_maxima(*_buffer(batch.column(n_keys)), matrix)
+                scores = np.zeros((len(batch), len(vectors)))
+                if len(full) and best.shape[1]:
+                    scores[:, full] = np.add.reduceat(best, bounds[:-1][full], axis=1)
+                each = np.repeat(np.arange(len(batch)), len(vectors))
+                columns = [c.take(pa.array(each)) for c in batch.columns[:n_keys]]
+                asked = names.combine_chunks().take(pa.array(np.tile(np.arange(len(vectors)), len(batch))))
+                yield pa.RecordBatch.from_arrays([asked, *columns, pa.array(scores.ravel())], names=[queries.column_names[0], *batch.schema.names[:n_keys], "score"])
+
+    return run
+
+
 def similarity_matrix(pages: DataFrame, query: Sequence[Sequence[float]], keys: Sequence[str], vectors: str = "vectors") -> DataFrame:
     """(keys, q_idx, d_idx, sim): every dot product, unfused."""
     sims = F.transform(V.literal_vectors(query), lambda q: F.transform(F.col(vectors), lambda d: V.dot(q, d)))

@@ -148,7 +148,8 @@ select query_id, page, round(sum(m), 4) as score from sims group by query_id, pa
 def maxsim_score_matrix(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     queries = scoring.pack_pages(e.where("vec_id < 40").withColumn("query_id", F.expr("vec_id div 4")), ["query_id"]).withColumnRenamed("vectors", "query_vectors")
-    return _rounded(scoring.score_matrix(queries, _pages(e)).select("query_id", "page", "score"), "score")
+    packed = _pages(e).select("page", F.flatten("vectors").alias("flat"))
+    return _rounded(scoring.score_matrix_packed(queries, packed, ["page"]).select("query_id", "page", "score"), "score")
 
 
 @query(f"""
@@ -256,7 +257,7 @@ def _sql_gemm(a: str, b: str, c: str, ta: bool, tb: bool) -> str:
     return f"""
 with a as ({a}), b as ({b}), c as ({c}), x as ({left}), y as ({right}),
 ab as (select x.i, y.j, sum(x.v * y.v) as v from x join y on x.k = y.k group by x.i, y.j)
-select coalesce(ab.i, c.i) as i, coalesce(ab.j, c.j) as j, round(0.5::double * coalesce(ab.v, 0) + 0.5::double * coalesce(c.v, 0), 4) as v
+select coalesce(ab.i, c.i) as i, coalesce(ab.j, c.j) as j, round(0.5::double * coalesce(ab.v, 0) + 0.5::double * coalesce(c.v, 0), 4) + 0::double as v
 from ab full join c on ab.i = c.i and ab.j = c.j"""
 
 
@@ -270,7 +271,8 @@ def _gemm(kind: str):
     def run(spark, sf_dir):
         table_cells = _cells(_embeddings(spark, sf_dir))
         b = _grid(spark, *other) if other else table_cells
-        return _rounded(linalg.gemm(table_cells, b, _grid(spark, *old), 0.5, 0.5, trans_a=kind[0] == "t", trans_b=kind[1] == "t"), "v")
+        made = _rounded(linalg.gemm(table_cells, b, _grid(spark, *old), 0.5, 0.5, trans_a=kind[0] == "t", trans_b=kind[1] == "t"), "v")
+        return made.withColumn("v", F.col("v") + F.lit(0.0))  # no negative zeros
 
     run.__name__ = f"gemm_{kind}"
     return query(_sql_gemm(_SQL_CELLS, _sql_grid(*other) if other else _SQL_CELLS, _sql_grid(*old), kind[0] == "t", kind[1] == "t"))(run)

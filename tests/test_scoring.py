@@ -107,9 +107,30 @@ def test_gemm(spark, m, n, k, alpha, beta, ta, tb):
     def cells(x):
         return spark.createDataFrame([(i, j, float(x[i, j])) for i in range(x.shape[0]) for j in range(x.shape[1])], "i int, j int, v double")
 
-    got = linalg.gemm(cells(a.T if ta else a), cells(b.T if tb else b), cells(c), alpha, beta, ta, tb).collect()
     want = alpha * a @ b + beta * c
-    assert len(got) == m * n and all(r.v == pytest.approx(want[r.i, r.j], abs=1e-9) for r in got)
+    for product in (linalg.gemm, linalg.gemm_cells):
+        got = product(cells(a.T if ta else a), cells(b.T if tb else b), cells(c), alpha, beta, ta, tb).collect()
+        assert len(got) == m * n and all(r.v == pytest.approx(want[r.i, r.j], abs=1e-9) for r in got)
+
+
+@pytest.mark.parametrize("sent", [1 << 30, 0])
+def test_gemm_of_many_tiles(spark, monkeypatch, sent):
+    """Sparse matrices over several tiles, with infinities and cells that stand twice: as cell by cell."""
+    monkeypatch.setattr(linalg, "SENT_BYTES", sent)
+    rng = np.random.default_rng(5)
+
+    def some(rows, columns, n, odd=()):
+        made = [(int(rng.integers(rows)), int(rng.integers(columns)), float(rng.normal())) for _ in range(n)]
+        return spark.createDataFrame([*made, *[(0, 3, x) for x in odd]], "i int, j int, v double")
+
+    a, b, c = some(40, 30, 300), some(30, 25, 200, [float("inf")]), some(40, 25, 60)
+    rows = lambda df: {(r.i, r.j): r.v for r in df.collect()}
+    once = lambda df: df.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    got, want = rows(linalg.gemm(a, b, once(c), 0.5, 2.0, tile=8)), rows(linalg.gemm_cells(once(a), once(b), once(c), 0.5, 2.0))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9, nan_ok=True) for k in got)
+    assert rows(linalg.gemm(a.limit(0), b, tile=8)) == {} and rows(linalg.gemm(a, b.limit(0), c, 1.0, 1.0, tile=8)) == pytest.approx(rows(once(c)))
+    plan = linalg.gemm(a, b, tile=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
 
 
 def test_normalise_and_masks(spark):
@@ -125,12 +146,32 @@ def test_score_matrix_does_not_depend_on_parts(spark, monkeypatch):
     monkeypatch.setattr(scoring, "QUERY_BYTES", 20)
     assert sorted(map(tuple, scoring.score_matrix(queries, pages).select("query_id", "page", "score").collect())) == whole
     assert len(whole) == 28
+    packed = pages.select("page", F.flatten("vectors").cast("array<float>").alias("flat"))
+    for size in (1 << 20, 20):
+        monkeypatch.setattr(scoring, "QUERY_BYTES", size)
+        for form in (packed, scoring.packed_bytes(packed)):
+            assert sorted(map(tuple, scoring.score_matrix_packed(queries, form, ["page"], rows=3).select("query_id", "page", "score").collect())) == whole
+
+
+def test_score_matrix_by_tiles_on_ragged_pages(spark):
+    rng = np.random.default_rng(2)
+    qs = [rng.normal(size=(n, 3)) for n in (2, 0, 4)]
+    ds = [rng.normal(size=(n, 3)) for n in (1, 0, 5, 3)]
+    queries = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(qs)], "query_id int, query_vectors array<array<double>>")
+    pages = spark.createDataFrame([(f"p{i}", i, d.ravel().tolist()) for i, d in enumerate(ds)] + [("none", 9, None)], "name string, page int, flat array<float>")
+    got = {(r.query_id, r.name, r.page): r.score for r in scoring.score_matrix_packed(queries, pages, ["name", "page"]).collect()}
+    want = {(i, f"p{j}", j): brute(q, d) for i, q in enumerate(qs) for j, d in enumerate(ds)} | {(i, "none", 9): 0.0 for i in range(3)}
+    assert got == pytest.approx(want, abs=1e-4)
+    assert scoring.score_matrix_packed(queries.limit(0), pages, ["page"]).count() == 0
+    with pytest.raises(Exception, match="no multiple"):
+        scoring.score_matrix_packed(queries, pages.withColumn("flat", F.array(F.lit(1.0)).cast("array<float>")), ["page"]).collect()
 
 
 def test_scores_of_tokens_gather_no_page(spark):
     nan = float("nan")
     rows = [(i % 3, [float(i % 7), float(-i % 5)]) for i in range(40)] + [(3, [nan, nan]), (0, [nan, 1.0])]
     tokens = spark.createDataFrame(rows, "label long, vec array<float>")
+    assert scoring.score_tokens(tokens.withColumnsRenamed({"label": "m0", "vec": "sims"}), [[1.0, 0.5]], ["m0"], "sims").count() == 4
     query = [[1.0, 0.5], [-1.0, 2.0]]
     got = scoring.score_tokens(tokens, query, ["label"])
     want = scoring.score_pages(scoring.pack_pages(tokens, ["label"]), query).select("label", "score")
