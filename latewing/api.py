@@ -9,6 +9,8 @@ from latewing.config import Config, cache_folder
 from latewing.errors import PageRangeError, RegistryError
 from latewing.operators import answering, ingestion
 from latewing.operators.registry import Registry
+from latewing.operators import search as search_operators
+from latewing.operators.encoding import encoded, unpacked
 from latewing.operators.search import search
 from latewing.session import ship
 from latewing.sources import files, folders
@@ -69,6 +71,24 @@ class Engine:
             table = table.join(newest, ["file_path", "ingest_seq"])
         return search(text, self.encoder, table, self.store.read(), top_k, check=True)
 
+    def serve(self, requests: str, answers: str, checkpoint: str, every: str | None = None, most: int = 100):
+        """Answers requests as they come: JSON lines (request_id, query, top_k) in files of the folder ``requests``; each
+        micro-batch scans the pages once for all of them and writes JSON lines (``search.ANSWERED``) below ``answers``, in a
+        folder of its number, so a batch that is run again replaces what it wrote.  ``every`` None answers what is there and ends."""
+
+        def encode(texts: DataFrame) -> DataFrame:
+            made = encoded(texts.select(F.col("query_id").alias("file_hash"), F.lit(1).alias("page_number"), F.col("query").alias("content")), self.encoder.model)
+            return unpacked(made).select(F.col("file_hash").alias("query_id"), F.col("vectors").alias("query_vectors"))
+
+        def batch(found: DataFrame, number: int) -> None:
+            made = search_operators.answered(found, encode, self.registry.table(), self.store.read(), most)
+            made.write.mode("overwrite").json(f"{answers.rstrip('/')}/{number}")
+
+        source = self.spark.readStream.schema("request_id string, query string, top_k int").json(requests)
+        writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+        self.stream = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+        return self.stream
+
     def answer(self, text: str, answerer: answering.Answerer | None = None, images: dict | None = None, top_k: int | None = None) -> dict:
         return answering.query_and_answer(text, self.query(text, top_k or self.config.top_k), images or {}, answerer or answering.NoAnswerer())
 

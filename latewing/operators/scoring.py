@@ -172,9 +172,10 @@ def score_matrix(queries: DataFrame, pages: DataFrame, query_vectors: str = "que
     return out
 
 
-def score_matrix_packed(queries: DataFrame, pages: DataFrame, keys: Sequence[str], query_key: str = "query_id", flat: str = "flat", rows: int = 512) -> DataFrame:
+def score_matrix_packed(queries: DataFrame, pages: DataFrame, keys: Sequence[str], query_key: str = "query_id", flat: str = "flat", rows: int = 512, top: int | None = None) -> DataFrame:
     """(query_key, keys, score) of every query with every page, by tiles: a block of pages times all vectors of a part of
-    the queries is one matrix product.
+    the queries is one matrix product.  With ``top``, of each block and query only the pages whose score is not below the
+    ``top`` best of the block: all that can be among the ``top`` best of all, ties included.
 
     ``queries`` has a row per query, ``query_key`` and ``query_vectors``; their size is measured, and parts of at most
     QUERY_BYTES, by hash of the key, go to the executors one after another.  Pages are packed (``flat``) and stay where
@@ -189,14 +190,14 @@ def score_matrix_packed(queries: DataFrame, pages: DataFrame, keys: Sequence[str
     out = None
     for part in range(parts):
         own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(parts)) == part)
-        made = packed.mapInArrow(_against_all(own.select(query_key, "query_vectors").toArrow(), len(keys), rows), f"{fields}, score double")
+        made = packed.mapInArrow(_against_all(own.select(query_key, "query_vectors").toArrow(), len(keys), rows, top), f"{fields}, score double")
         out = made if out is None else out.unionByName(made)
     return out
 
 
-def _against_all(queries: pa.Table, n_keys: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _against_all(queries: pa.Table, n_keys: int, rows: int, top: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Scores of pages, ``rows`` at a time, with all of some queries."""
-    names = queries.column(0)
+    ids = queries.column(0).combine_chunks()
     vectors = [q.as_py() or [] for q in queries.column(1)]
     dim = next((len(v) for q in vectors for v in q), 0)
     if any(len(v) != dim for q in vectors for v in q):
@@ -213,10 +214,12 @@ def _against_all(queries: pa.Table, n_keys: int, rows: int) -> Callable[[Iterato
                 scores = np.zeros((len(batch), len(vectors)))
                 if len(full) and best.shape[1]:
                     scores[:, full] = np.add.reduceat(best, bounds[:-1][full], axis=1)
-                each = np.repeat(np.arange(len(batch)), len(vectors))
-                columns = [c.take(pa.array(each)) for c in batch.columns[:n_keys]]
-                asked = names.combine_chunks().take(pa.array(np.tile(np.arange(len(vectors)), len(batch))))
-                yield pa.RecordBatch.from_arrays([asked, *columns, pa.array(scores.ravel())], names=[queries.column_names[0], *batch.schema.names[:n_keys], "score"])
+                keep = np.ones(scores.shape, bool)
+                if top is not None and top < len(batch):
+                    keep = scores >= np.partition(scores, len(batch) - top, axis=0)[len(batch) - top] if top else ~keep
+                page, asked = np.nonzero(keep)
+                columns = [c.take(pa.array(page)) for c in batch.columns[:n_keys]]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(asked)), *columns, pa.array(scores[keep])], names=[queries.column_names[0], *batch.schema.names[:n_keys], "score"])
 
     return run
 

@@ -331,6 +331,35 @@ def search_topk(spark, sf_dir):
     return search.rank_hits(reg, scoring.score_packed(packed, _query(e, "vec_id < 4"), ["file_hash", "page_number"]), packed, 10, digits=4)
 
 
+@query(_SEARCH.format(registry=_REGISTRY, k=10))
+def search_bounded(spark, sf_dir):
+    """The same hits, from pages that are scored in the order of the bounds of their envelopes until no other can be better."""
+    e = _embeddings(spark, sf_dir)
+    reg = _registry(e)
+    packed = _stored_pages(e).select("file_hash", "page_number", F.lit(64).alias("dim"), F.flatten("vectors").alias("flat"))
+    packed = scoring.packed_bytes(packed.join(search.searchable(reg).select("file_hash"), "file_hash", "left_semi"))
+    keys = ["file_hash", "page_number"]
+    scored, _ = search.best_pages(packed, search.enveloped(packed, keys), np.array(_query(e, "vec_id < 4")), keys, 10, [], first=1, growth=2)
+    return search.rank_hits(reg, scored, packed, 10, digits=4)
+
+
+@query(f"""
+with r as ({_REGISTRY}), live as (select * from r where status = 'done' and coalesce(embedding_path, '') <> ''),
+p as (select cast(vec_id // 50 as varchar) as file_hash, cast((vec_id // 10) % 5 as int) + 1 as page_number, embedding::double[] as e from embeddings where vec_id >= 40),
+q as (select vec_id // 4 as query_id, vec_id as i, embedding::double[] as e from embeddings where vec_id < 40),
+best as (select query_id, file_hash, page_number, i, max(list_dot_product(q.e, p.e)) as m from p, q group by all),
+scored as (select query_id, file_hash, page_number, round(sum(m), 4) as score from best group by all),
+pages as (select *, cast(count(*) over (partition by query_id, file_hash) as int) as total_pages from scored),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, ingest_seq, page_number) as int) as rank from pages join live using (file_hash))
+select query_id, rank, score, file_path, file_hash, page_number, total_pages from ranked where rank <= 3""")
+def search_many(spark, sf_dir):
+    """Ten queries at once, with one scan of the pages."""
+    e = _embeddings(spark, sf_dir)
+    queries = scoring.pack_pages(e.where("vec_id < 40").withColumn("query_id", F.expr("vec_id div 4")), ["query_id"]).withColumnRenamed("vectors", "query_vectors")
+    packed = _stored_pages(e).select("file_hash", "page_number", F.flatten("vectors").alias("flat"))
+    return search.search_many(queries, _registry(e), packed, 3, digits=4).drop("filename")
+
+
 @query("with r as (" + _REGISTRY + ") select file_hash, file_path, embedding_path from r where status = 'done' and coalesce(embedding_path, '') <> ''")
 def search_done_only(spark, sf_dir):
     return search.searchable(_registry(_embeddings(spark, sf_dir))).select("file_hash", "file_path", "embedding_path")
