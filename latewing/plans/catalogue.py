@@ -7,10 +7,11 @@ pages of ten.  Scores are rounded to four decimals on both sides, and ranks foll
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -624,11 +625,13 @@ def pdf_pages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).where(F.size("words") > 0)
     docs = docs.select("doc_id", F.transform(cut(F.col("words"), _PAGE_WORDS), page).alias("pages"))
 
-    @F.pandas_udf("binary")
-    def made(ids: pd.Series, pages: pd.Series) -> pd.Series:
-        return pd.Series([pdf.written(list(p), i % 2 == 0) for i, p in zip(ids, pages, strict=True)])
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, pages = (c.to_pylist() for c in batch.columns)
+            content = [pdf.written(p, i % 2 == 0) for i, p in zip(ids, pages, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}.pdf" for i in ids]), pa.array(content, pa.binary())], names=["name", "content"])
 
-    sink.save_files(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), made("doc_id", "pages").alias("content")), folder)
+    sink.save_files(docs.mapInArrow(made, sink.FILES), folder)
     found = files.listing(spark, folder).select("file_path", F.lit("").alias("file_hash"))
     reader = ingestion.DocumentPages()
     pages = ingestion.rendered(ingestion.counted(found, reader), reader)

@@ -91,7 +91,8 @@ class _Writer(DataSourceArrowWriter):
 
 def save_files(files: DataFrame, folder: str, mode: str = "append") -> None:
     """Writes (name, content) rows as files of a folder that all executors see.  A null content is an empty file, a null
-    name an error; of two rows with one name either stays."""
+    name an error; of two rows with one name either stays.  Contents made in Python come from ``mapInArrow``: Spark does not
+    always plan a Python function of columns below a sink written in Python."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     cloudpickle.register_pickle_by_value(folders)
     files.sparkSession.dataSource.register(FileSink)
