@@ -206,7 +206,7 @@ def exact_top_k(
     """
     points = shared.stored(points.select("vec_id", "x"), folder, "points")
     queries = shared.stored(queries.select("vec_id", "x"), folder, "queries")
-    square = F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)
+    square = F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
     n, radius2, width = points.agg(F.count("*"), F.max(square), F.max(F.size("x"))).first()
     cells = -(-n // point_rows)
     radius2, width = radius2 or 0.0, max(width or 0, queries.agg(F.max(F.size("x"))).first()[0] or 0)

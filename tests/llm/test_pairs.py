@@ -181,6 +181,14 @@ def test_chains_are_best():
         assert score == pytest.approx(brute_chain(x.tolist(), y.tolist(), 5.0, 0.2))
 
 
+def test_top_k_of_large_components(spark):
+    """Squares beyond 64 bits, products within."""
+    points = spark.createDataFrame([(0, [4 * 10**9, 1]), (1, [-(4 * 10**9), 3]), (2, [0, 5])], "vec_id long, x array<bigint>")
+    queries = spark.createDataFrame([(9, [1, 2])], "vec_id long, x array<bigint>")
+    rows = topk.exact_top_k(queries, points, shared.shared_folder(spark)).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in rows] == [(0, 4 * 10**9 + 2), (2, 10), (1, -4 * 10**9 + 6)]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(7)
     rows = [(i, [float(v) for v in rng.normal(size=8).round(1)]) for i in range(300)]
