@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from latewing.api import Engine
 from latewing.config import Config, cache_folder, load
 from latewing.operators.encoding import ENCODERS
+from latewing.session import for_scoring
 
 
 def parse(arguments: list[str]) -> argparse.Namespace:
@@ -55,6 +56,7 @@ def main(arguments: list[str], spark: SparkSession, codebook) -> None:
         logging.info("%s:%s ingested %s", config.host, config.port, engine.start())
         engine.watch(f"{config.store or cache_folder()}/watch-checkpoint", every="5 seconds").awaitTermination()
     elif options.command == "query":
+        for_scoring(spark)
         hits = engine.query(options.text, config.top_k)
         hits.show(truncate=False)
         if options.save_images:

@@ -37,10 +37,14 @@ def rank_hits(registry: DataFrame, scored: DataFrame, pages: DataFrame, top_k: i
     order = [F.desc("score"), "ingest_seq", "page_number"]
     best = scored.withColumn("score", score.cast("double")).join(live if len(keys) > 1 else live.drop("attempt"), keys)
     best = best.select(*keys, "score", "file_path", F.col("page_number").cast("int").alias("page_number"), "ingest_seq").orderBy(*order).limit(top_k)
-    counted = pages.select(*keys).join(F.broadcast(best), keys).groupBy(*best.columns).agg(F.count("*").cast("int").alias("total_pages"))
+    few = F.broadcast(best) if top_k <= SENT_HITS else best
+    counted = pages.select(*keys).join(few, keys).groupBy(*best.columns).agg(F.count("*").cast("int").alias("total_pages"))
     return counted.orderBy(*order).select("score", "file_path", texts.basename(F.col("file_path")).alias("filename"), "file_hash", "page_number", "total_pages")
 
 
+#: Hits that are sent to all executors to count the pages of their documents.
+SENT_HITS = 100_000
+
 ENVELOPE = "low binary, high binary"
 
 
