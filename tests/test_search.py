@@ -7,7 +7,6 @@ import os
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from latewing.api import Engine
 from latewing.config import Config
