@@ -40,3 +40,12 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_failure_before_the_first_insertion_gives_no_place(spark, tmp_path):
+    c = duckdb.connect()
+    kinds = "case when i = 0 then 'error' when i = 30 then 'click' else 'view' end"
+    c.execute(f"create table events as select i as event_id, i % 3 as user_id, {kinds} as event_type from range(0, 60) t(i)")
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    made = catalogue.QUERIES["registry_incremental"](spark, str(tmp_path)).toPandas()
+    assert plain(made) == plain(c.execute(catalogue.SQL["registry_incremental"]).df())
