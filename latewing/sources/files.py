@@ -8,18 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from latewing.schema import PAGE_EMBEDDINGS
-from latewing.sources.folders import PDF, FolderListing, register
+from latewing.sources.folders import PDF, FolderListing, register, spread_over
 
 
 def documents(spark: SparkSession, folder: str, pattern: str = PDF, recursive: bool = True) -> DataFrame:
     """file_path, modified, length and file_hash of the files below a folder, hashed by pieces; empty files are not listed."""
-    source = register(spark).read.format(FolderListing.name()).option("pattern", pattern).option("recursive", str(recursive))
+    source = register(spark).read.format(FolderListing.name()).option("pattern", pattern).option("recursive", str(recursive)).option("tasks", spread_over(spark))
     return source.load(folder).where("file_hash is not null")
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = PDF, recursive: bool = True) -> DataFrame:
     """The same without reading any content: file_path, modified, length."""
-    source = register(spark).read.format(FolderListing.name()).option("pattern", pattern).option("recursive", str(recursive))
+    source = register(spark).read.format(FolderListing.name()).option("pattern", pattern).option("recursive", str(recursive)).option("tasks", spread_over(spark))
     return source.option("hash", "false").load(folder).drop("file_hash")
 
 

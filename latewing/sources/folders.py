@@ -1,7 +1,8 @@
 """Folders as data sources: listings, content hashes, and a stream of what changed.
 
 Files are never rows with their content.  ``FolderListing`` lists a folder and hashes its files piece by piece, so a file
-of any size costs a worker one piece; ``hashed`` does the same for given paths alone.  ``FolderChanges`` is a stream whose
+of any size costs a worker one piece; a folder of many files is listed by the tasks, each taking its share of the names, so
+nobody holds them all.  ``hashed`` does the same for given paths alone.  ``FolderChanges`` is a stream whose
 offset is the version of a listing and whose rows are the files that two versions tell apart.
 """
 
@@ -9,9 +10,13 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import os
 import sys
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
+from itertools import batched, islice
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -28,6 +33,10 @@ PIECE = 1 << 20
 #: Files, and bytes of files to be hashed, that one task takes at most; a larger file is a task of its own.
 TASK_FILES, TASK_BYTES = 2_000, 256 << 20
 
+#: Files that the driver lists by itself; a folder with more is listed by the tasks, so many unless the option ``tasks`` says
+#: otherwise.
+LISTED, SHARES = 20_000, 64
+
 _TIME = pa.timestamp("us", tz="UTC")
 _ENTRIES = pa.schema([("file_path", pa.string()), ("modified", _TIME), ("length", pa.int64())])
 
@@ -52,21 +61,59 @@ def content_hash(path: str) -> str:
     return made.hexdigest()
 
 
-def entries(folder: str, pattern: str, recursive: bool) -> pa.Table:
-    """file_path, modified and length of the files below a folder, by path.  Empty files, and files and folders whose name
-    starts with a dot or an underscore, are not listed; a folder that is not there has no files."""
+def walk(folder: str, pattern: str, recursive: bool, share: tuple[int, int] = (0, 1)) -> Iterator[tuple[str, datetime, int]]:
+    """(path, modified, length) of the files below a folder, in any order, of each folder as its names are read.  Empty files,
+    and files and folders whose name starts with a dot or an underscore, are not listed; a folder that is not there has no
+    files.  ``share`` (k, n) takes the files whose name's hash is k modulo n; of the others nothing but the name is read."""
     system, inside = place(folder)
-    lead = "" if isinstance(system, fs.LocalFileSystem) else folder[: folder.index(inside)] if inside in folder else ""
-    top = inside.rstrip("/")
-    rows = []
-    for info in system.get_file_info(fs.FileSelector(inside, recursive=recursive, allow_not_found=True)):
-        inner = info.path[len(top) :].lstrip("/").split("/")
-        if info.type == fs.FileType.File and info.size and fnmatch.fnmatchcase(info.base_name, pattern) and not any(n[:1] in "._" for n in inner):
-            rows.append((lead + info.path, info.mtime, info.size))
-    rows.sort()
+    local = isinstance(system, fs.LocalFileSystem)
+    lead = "" if local else folder[: folder.index(inside)] if inside in folder else ""
+    wanted = lambda name: fnmatch.fnmatchcase(name, pattern) and zlib.crc32(os.fsencode(name)) % share[1] == share[0]
+    waiting = [inside.rstrip("/") or inside]
+    while waiting:
+        here = waiting.pop()
+        for name, path, is_folder, seen in _names(here) if local else _infos(system, here):
+            if name[:1] in "._":
+                continue
+            if is_folder:
+                waiting += [path] * recursive
+            elif wanted(name) and (found := seen()) and found[1]:
+                yield lead + path, *found
+
+
+def _names(here: str) -> Iterator[tuple]:
+    """name, path, whether it is a folder, and a call for modified and length, of a local folder; names are not gathered."""
+
+    def seen(entry: os.DirEntry) -> tuple[datetime, int] | None:
+        try:
+            is_file, found = entry.is_file(), entry.stat()
+        except FileNotFoundError:
+            return None  # it went since
+        return (datetime.fromtimestamp(0, UTC) + timedelta(microseconds=found.st_mtime_ns // 1000), found.st_size) if is_file else None
+
+    try:
+        with os.scandir(here) as entries_here:
+            for entry in entries_here:
+                yield entry.name, entry.path, entry.is_dir(), lambda entry=entry: seen(entry)
+    except FileNotFoundError:
+        return
+
+
+def _infos(system: fs.FileSystem, here: str) -> Iterator[tuple]:
+    """The same of a folder elsewhere, where a folder's files are listed together."""
+    for info in system.get_file_info(fs.FileSelector(here, allow_not_found=True)):
+        yield info.base_name, info.path, info.type == fs.FileType.Directory, lambda info=info: (info.mtime, info.size) if info.type == fs.FileType.File else None
+
+
+def _listed(rows: list[tuple[str, datetime, int]]) -> pa.Table:
     return pa.table([[r[i] for r in rows] for i in range(3)], schema=_ENTRIES)
 
 
+def entries(folder: str, pattern: str, recursive: bool) -> pa.Table:
+    """file_path, modified and length of the files that ``walk`` finds, by path."""
+    return _listed(sorted(walk(folder, pattern, recursive)))
+
+
 def _tasks(found: pa.Table, most_bytes: int | None) -> list[pa.Table]:
     """Runs of files of bounded number and, if stated, of bounded length."""
     cuts, size = [0], 0
@@ -83,12 +130,18 @@ class _Files(InputPartition):
     table: pa.Table
 
 
+@dataclass
+class _Share(InputPartition):
+    share: tuple[int, int]
+
+
 def _flag(value: str) -> bool:
     return value.lower() == "true"
 
 
 class FolderListing(DataSource):
-    """``path``, ``pattern`` (of names), ``recursive`` and ``hash``: with hash, files are read, without it file_hash is null."""
+    """``path``, ``pattern`` (of names), ``recursive`` and ``hash``: with hash, files are read, without it file_hash is null.
+    ``tasks``: how many tasks share a folder of more than ``LISTED`` files."""
 
     @classmethod
     def name(cls) -> str:
@@ -105,13 +158,25 @@ class _Lister(DataSourceReader):
     def __init__(self, options):
         self.folder, self.pattern = options["path"], options.get("pattern", PDF)
         self.recursive, self.hash = _flag(options.get("recursive", "true")), _flag(options.get("hash", "true"))
+        self.tasks = int(options.get("tasks", SHARES))
 
     def partitions(self) -> list[InputPartition]:
-        found = entries(self.folder, self.pattern, self.recursive)
-        return [_Files(t) for t in _tasks(found, TASK_BYTES if self.hash else None)] or [_Files(found)]
-
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        for batch in partition.table.to_batches(max_chunksize=100):
+        rows = list(islice(walk(self.folder, self.pattern, self.recursive), LISTED + 1))
+        if len(rows) > LISTED:
+            return [_Share((k, self.tasks)) for k in range(self.tasks)]
+        found = _listed(sorted(rows))
+        runs = _tasks(found, TASK_BYTES if self.hash else None)
+        return [_Files(t.take(pa.array(range(len(t))))) for t in runs] or [_Files(found)]  # a slice would be sent with the whole table
+
+    def read(self, partition: _Files | _Share) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, _Share):
+            for rows in batched(walk(self.folder, self.pattern, self.recursive, partition.share), 100):
+                yield from self._rows(_listed(rows))
+        else:
+            yield from self._rows(partition.table)
+
+    def _rows(self, found: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in found.to_batches(max_chunksize=100):
             hashes = [_hash_or_none(p) for p in batch.column(0).to_pylist()] if self.hash else [None] * len(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string())], names=[*_ENTRIES.names, "file_hash"])
 

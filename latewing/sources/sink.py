@@ -1,7 +1,8 @@
 """Files written as rows: a name and its bytes.
 
 ``FileSink`` is a batch sink of (name, content).  Tasks write below a folder of the attempt; when all have ended the files
-move to their places, and a job that fails leaves nothing.  ``npy_files`` makes such rows of a store's pages.
+move to their places, a task's at a time, and a job that fails leaves nothing.  What tasks tell the driver is their number,
+whatever they wrote.  ``npy_files`` makes such rows of a store's pages.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ FILES = "name string, content binary"
 
 @dataclass
 class _Written(WriterCommitMessage):
-    names: list[str]
+    task: int
 
 
 class FileSink(DataSource):
@@ -52,7 +54,7 @@ class _Writer(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         system, inside = folders.place(self.path)
-        task, names, made = TaskContext.get().taskAttemptId(), [], set()
+        task, made = TaskContext.get().taskAttemptId(), set()
         for batch in iterator:
             for name, content in zip(*batch.columns, strict=True):
                 if not name.is_valid:
@@ -65,8 +67,7 @@ class _Writer(DataSourceArrowWriter):
                 with system.open_output_stream(target) as out:
                     if content.is_valid:
                         out.write(content.as_buffer())
-                names.append(f"{task}/{name.as_py()}")
-        return _Written(names)
+        return _Written(task)
 
     def commit(self, messages: list[_Written | None]) -> None:
         system, inside = folders.place(self.path)
@@ -74,13 +75,24 @@ class _Writer(DataSourceArrowWriter):
             for info in system.get_file_info(fs.FileSelector(inside, allow_not_found=True)):
                 if info.base_name != self.attempt:
                     (system.delete_dir if info.type == fs.FileType.Directory else system.delete_file)(info.path)
-        names = [n for m in messages if m for n in m.names]
-        for parent in sorted({n.partition("/")[2].rpartition("/")[0] for n in names}):
-            system.create_dir(f"{inside}/{parent}".rstrip("/"), recursive=True)
         with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda n: system.move(f"{inside}/{self.attempt}/{n}", f"{inside}/{n.partition('/')[2]}"), names))
+            for message in messages:
+                if message:
+                    self._move(system, inside, f"{inside}/{self.attempt}/{message.task}", pool)
         self._clear(system, inside)
 
+    def _move(self, system: fs.FileSystem, inside: str, made: str, pool: ThreadPoolExecutor) -> None:
+        """What a task made, folder by folder and some files at a time."""
+        waiting = [made]
+        while waiting:
+            here = waiting.pop()
+            target = f"{inside}/{here[len(made) + 1 :]}".rstrip("/")
+            found = system.get_file_info(fs.FileSelector(here, allow_not_found=True))
+            waiting += [i.path for i in found if i.type == fs.FileType.Directory]
+            system.create_dir(target, recursive=True)
+            move = lambda names, here=here, target=target: [system.move(f"{here}/{n}", f"{target}/{n}") for n in names]
+            list(pool.map(move, batched((i.base_name for i in found if i.type == fs.FileType.File), 1000)))
+
     def abort(self, messages: list[_Written | None]) -> None:
         self._clear(*folders.place(self.path))
 

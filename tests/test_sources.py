@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import pickle
 import random
 import zlib
 
@@ -319,3 +320,26 @@ def test_npy_files(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, pages.collect()))
     with pytest.raises(Exception, match="shapes"):
         sink.npy_files(pages.selectExpr("'one' as file_hash", "page_number", "n_tokens", "dim", "flat")).collect()
+
+
+def test_the_driver_holds_no_names_of_many_files(spark, tmp_path, monkeypatch):
+    rows = spark.range(300).selectExpr("'d' || id % 3 || '/' || id || '.txt' as name", "cast(cast(id as string) as binary) as content").repartition(6)
+    writer = sink._Writer(str(tmp_path / "direct"), False)
+    for task in range(2):
+        for k in range(50):
+            at = tmp_path / "direct" / writer.attempt / str(task) / f"d{k % 2}"
+            at.mkdir(parents=True, exist_ok=True)
+            (at / f"{task}-{k}.txt").write_bytes(b"x")
+    writer.commit([sink._Written(0), None, sink._Written(1)])
+    assert len(list((tmp_path / "direct").rglob("*.txt"))) == 100 and sorted(os.listdir(tmp_path / "direct")) == ["d0", "d1"]
+    sink.save_files(rows, str(tmp_path / "out"))
+    monkeypatch.setattr(folders, "LISTED", 50)
+    lister = folders._Lister({"path": str(tmp_path / "out"), "pattern": "*.txt", "tasks": "5"})
+    parts = lister.partitions()
+    assert len(parts) == 5 and len(pickle.dumps(parts)) < 1000
+    read = [b.to_pylist() for p in parts for b in lister.read(p)]
+    assert max(map(len, read)) <= 100
+    found = {os.path.basename(r["file_path"]): r for b in read for r in b}
+    assert sum(map(len, read)) == len(found) == 300 and found["7.txt"]["file_hash"] == hashlib.sha256(b"7").hexdigest()
+    whole = {r["file_path"]: r for r in folders.entries(str(tmp_path / "out"), "*.txt", True).to_pylist()}
+    assert {r["file_path"]: (r["modified"], r["length"]) for r in found.values()} == {p: (r["modified"], r["length"]) for p, r in whole.items()}
