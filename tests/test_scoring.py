@@ -179,3 +179,13 @@ def test_scores_of_tokens_gather_no_page(spark):
     assert {r.score for r in scoring.score_tokens(tokens, [], ["label"]).collect()} == {0.0}
     plan = catalogue.QUERIES["maxsim_ragged"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_tiles_of_narrow_matrices_take_no_more_than_their_cells(spark):
+    narrow = spark.range(600).selectExpr("cast(id as int) as i", "cast(id % 3 as int) as j", "cast(id as double) as v")
+    made = linalg.tiles(narrow).collect()
+    assert sorted((r.bi, len(r.cells)) for r in made) == [(0, 256 * 3 * 8), (1, 256 * 3 * 8), (2, 88 * 3 * 8)]
+    wide = spark.range(500).selectExpr("cast(id % 2 as int) as i", "cast(id as int) as j", "1.5D as v")  # rows 0 and 1 of the three
+    old = spark.createDataFrame([(599, 3, 2.0), (700, 700, 4.0)], "i int, j int, v double")
+    want = {(r.i, r.j): r.v for r in linalg.gemm_cells(narrow, wide, old, 2.0, 0.5).collect()}
+    assert {(r.i, r.j): r.v for r in linalg.gemm(narrow, wide, old, 2.0, 0.5).collect()} == want
