@@ -49,3 +49,11 @@ def test_a_failure_before_the_first_insertion_gives_no_place(spark, tmp_path):
     c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
     made = catalogue.QUERIES["registry_incremental"](spark, str(tmp_path)).toPandas()
     assert plain(made) == plain(c.execute(catalogue.SQL["registry_incremental"]).df())
+
+
+def test_words_stay_with_their_documents(spark, monkeypatch):
+    made = catalogue.search_text(spark, str(DATA))
+    assert "hashpartitioning(row#" not in made._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(catalogue, "CODEBOOK_SENT", 0)
+    by_shuffle = catalogue.search_text(spark, str(DATA))
+    assert plain(made.toPandas()) == plain(by_shuffle.toPandas())
