@@ -16,7 +16,8 @@ there.  What meets is treated by the size of its group:
 * In a larger group every member is paired with one leader, the member that stands in most large groups.
 
 A pair is compared only if two sketches allow it: 2,048 bits of parities of element hashes, whose difference never exceeds the
-number of differing elements.  What links becomes components.  Members of a leader that are still in different components
+number of differing elements.  Sets that overfill these have wide sketches as well, of one to two bits an element: without them
+every two large sets of a leader would be compared by their texts.  What links becomes components.  Members of a leader that are still in different components
 then meet by their sketches alone, in blocks inside a task, and only pairs that the sketches allow leave it to be compared.
 
 So a group of near copies costs a comparison for each member and some for those far from the middle, texts are moved only
@@ -47,10 +48,14 @@ SMALL = 8
 HOT = 64
 #: Signatures of a block, and of a range of signatures that one step of a task resolves.
 BLOCK_SIGNATURES, RANGE_SIGNATURES = 1 << 19, 1 << 20
-#: Members of a leader in one block; two blocks meet in a task.
-BLOCK_MEMBERS = 2048
+#: Members of a leader in one block; two blocks meet in a task.  A member is sent once for each block of its leader.
+BLOCK_MEMBERS = 8192
+#: Pairs of members that a task tries at a time.
+TRIED = 1 << 16
 #: 64-bit words of a sketch.
 SKETCH_WORDS = 32
+#: Sets with more elements than a sketch has bits get a wide sketch too.
+WIDE_FROM = 64 * SKETCH_WORDS
 
 
 @lru_cache(maxsize=4)
@@ -125,10 +130,26 @@ def vertex_of(elements: np.ndarray) -> int:
     return int(shared.mix64(elements).sum(dtype=np.uint64))
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """2,048 parities of element hashes: two sets' sketches differ in no more bits than the sets in elements."""
-    bits = (shared.mix64(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
-    return np.packbits((np.bincount(bits, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)).view(np.uint64)
+def sketch(elements: np.ndarray, width: int = SKETCH_WORDS) -> np.ndarray:
+    """Parities of element hashes, 64 to a word: two sets' sketches differ in no more bits than the sets in elements."""
+    bits = (shared.mix64(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(64 * width)).astype(np.int64)
+    return np.packbits((np.bincount(bits, minlength=64 * width) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def wide_sketch(elements: np.ndarray) -> bytes | None:
+    """A sketch of one to two bits an element, for sets that overfill the usual one."""
+    n = len(elements)
+    return sketch(elements, 1 << ((n - 1) // 64).bit_length()).tobytes() if n > WIDE_FROM else None
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Differing bits of two wide sketches, the longer folded to the length of the shorter: no more than elements differ."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(p) < len(q):
+        p, q = q, p
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -145,22 +166,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_print, n_shingles, vertex, sketch of every row."""
+    """doc_id, text_print, n_shingles, vertex, sketch, wide (null for small sets) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in shared.lean(batches):
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                sizes, vertices, made = [], [], [np.zeros(0, np.uint64)]
+                sizes, vertices, made, wide = [], [], [np.zeros(0, np.uint64)], []
                 for _, elements in _sets(batch.column("text"), width):
                     sizes.append(len(elements))
+                    wide.append(wide_sketch(elements))
                     vertices.append(vertex_of(elements))
                     made.append(sketch(elements))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * SKETCH_WORDS + 1, SKETCH_WORDS, dtype=np.int32)), pa.array(shared.signed(np.concatenate(made))))
-                out = [batch.column("doc_id"), batch.column("text_print"), pa.array(sizes, pa.int64()), pa.array(shared.signed(np.array(vertices, np.uint64))), lists]
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "text_print", "n_shingles", "vertex", "sketch"])
+                out = [batch.column("doc_id"), batch.column("text_print"), pa.array(sizes, pa.int64()), pa.array(shared.signed(np.array(vertices, np.uint64))), lists, pa.array(wide, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "text_print", "n_shingles", "vertex", "sketch", "wide"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id bigint, text_print bigint, n_shingles bigint, vertex bigint, sketch array<bigint>")
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, text_print bigint, n_shingles bigint, vertex bigint, sketch array<bigint>, wide binary")
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -307,6 +329,24 @@ def _near_pairs(pairs: DataFrame, candidates: DataFrame, similarity: int) -> Dat
     return both.where(_allowed("a_n", "b_n", "a_sketch", "b_sketch", similarity)).select("a", "b")
 
 
+def _told_apart(pairs: DataFrame, candidates: DataFrame, similarity: int) -> DataFrame:
+    """The ``pairs`` (a, b) of vertices without those of two large sets whose wide sketches allow no link."""
+    wide = candidates.where("wide is not null")
+    for end in ("a", "b"):
+        pairs = pairs.join(wide.select(F.col("vertex").alias(end), F.col("n").alias(f"{end}_n"), F.col("wide").alias(f"{end}_wide")), end, "left")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in shared.lean(batches):
+            keep = np.ones(batch.num_rows, bool)
+            for i, (x, y, n, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a_wide", "b_wide", "a_n", "b_n")), strict=True)):
+                if x is not None and y is not None:
+                    keep[i] = differing(x, y) * (100 + similarity) <= (n + m) * (100 - similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    large = pairs.where("a_wide is not null and b_wide is not null").select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
+    return pairs.where("a_wide is null or b_wide is null").select("a", "b").unionByName(large.mapInArrow(told, "a bigint, b bigint"))
+
+
 def _leader_pairs(members: DataFrame) -> DataFrame:
     """(a, b): every vertex of ``members`` (signature, vertex) with the leaders of its large groups."""
     degrees = members.groupBy("vertex").agg(F.count("*").alias("degree"))
@@ -351,24 +391,28 @@ def _far_pairs(stars: DataFrame, roots: DataFrame, candidates: DataFrame, simila
     sides = sides.join(roots.select(F.col("id").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     leaders = sides.groupBy("a").agg(F.count("*").alias("m"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
     sides = sides.join(leaders.select("a", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks")), "a")
-    sides = sides.join(candidates.select(F.col("vertex").alias("b"), "n", "sketch"), "b").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    sides = sides.join(candidates.select(F.col("vertex").alias("b"), "n", "sketch", "wide"), "b").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     met_by = sides.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = met_by.select("a", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "b", "root", "n", "sketch")
+    dealt = met_by.select("a", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "b", "root", "n", "sketch", "wide")
 
     def tried(key: tuple, table: pa.Table) -> pa.Table:
         b, root, n, block = (table.column(c).to_numpy() for c in ("b", "root", "n", "block"))
         sketches = table.column("sketch").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS)
+        wide = table.column("wide").to_pylist()
         low, high = key[1].as_py(), key[2].as_py()
         xs, ys = np.flatnonzero(block == low), np.flatnonzero(block == high)
         found = []
-        for at in range(0, len(xs), 32):
-            x = xs[at : at + 32]
+        step = max(1, TRIED // max(1, len(ys)))
+        for at in range(0, len(xs), step):
+            x = xs[at : at + step]
             fits = (root[x, None] != root[None, ys]) & (100 * np.minimum(n[x, None], n[None, ys]) >= similarity * np.maximum(n[x, None], n[None, ys]))
             if low == high:
                 fits &= b[x, None] < b[None, ys]
             p, q = np.nonzero(fits)
             p, q = x[p], ys[q]
             near = np.bitwise_count(sketches[p] ^ sketches[q]).sum(1) * (100 + similarity) <= (100 - similarity) * (n[p] + n[q])
+            for i in np.flatnonzero(near & (n[p] > WIDE_FROM) & (n[q] > WIDE_FROM)).tolist():
+                near[i] = differing(wide[p[i]], wide[q[i]]) * (100 + similarity) <= (100 - similarity) * (n[p[i]] + n[q[i]])
             found.append(np.stack([np.minimum(b[p[near]], b[q[near]]), np.maximum(b[p[near]], b[q[near]])]))
         pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
         return pa.table({"a": pairs[0], "b": pairs[1]})
@@ -424,11 +468,12 @@ def set_components(docs: DataFrame, folder: str, width: int, similarity: int) ->
     vid = F.shiftrightunsigned("vertex", 24)
     row = F.min(F.struct("doc_id", "text_print")).alias("row")
     candidates = filled.withColumn("vid", vid).join(_small(wanted, wanted.count()), "vid", "left_semi").groupBy("vertex", "vid")
-    candidates = shared.stored(candidates.agg(row, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), folder, "candidates")
+    candidates = shared.stored(candidates.agg(row, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), folder, "candidates")
     members = shared.stored(held.join(candidates.select("vid", "vertex"), "vid").select("signature", "vertex").distinct(), folder, "members")
     stars = shared.stored(_leader_pairs(members), folder, "stars")
     near = _near_pairs(pairs, candidates, similarity).unionByName(_near_pairs(stars, candidates, similarity))
-    near = shared.stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, "near")
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = shared.stored(_told_apart(near, candidates, similarity), folder, "near")
     roots = None
     links = shared.stored(_compared(near, _texts_of(docs, near, candidates, folder, "near"), width, similarity), folder, "links")
     if not links.isEmpty():

@@ -256,3 +256,37 @@ def test_recall_of_passages_whose_parts_stand_elsewhere(spark, rate):
     got = {r.doc_id for r in found}
     assert got <= want  # half passages are too short
     assert len(got) >= (len(want) if rate == 0 else 0.95 * len(want)), len(got) / len(want)
+
+
+def test_large_sets_are_told_apart_without_their_texts(spark):
+    """A sketch of 2,048 bits allows any two sets of more than 4,608 elements at similarity 80."""
+    rng = random.Random(31)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=6000)) for _ in range(6)]
+    near = rng.choices(vocabulary, k=4103)
+    texts += [" ".join(near), " ".join([*near[:3995], "other", *near[4000:]])]  # wide sketches of different lengths
+    docs = frame(spark, texts)
+    made = jaccard.shingle_table(docs, 5).selectExpr("*", "n_shingles as n").cache()
+    first = made.orderBy("doc_id").first().vertex
+    stars = made.where(f"vertex <> {first}").selectExpr(f"{first}L as a", "vertex as b")
+    none = made.limit(0).selectExpr("vertex as id", "vertex as root")
+    ids = {r.vertex: r.doc_id for r in made.collect()}
+    far = jaccard._far_pairs(stars, none, made, 80).collect()
+    assert {frozenset((ids[r.a], ids[r.b])) for r in far} == {frozenset((6, 7))}
+    pairs = made.alias("x").crossJoin(made.alias("y")).where("x.vertex < y.vertex").selectExpr("x.vertex as a", "y.vertex as b")
+    assert {frozenset((ids[r.a], ids[r.b])) for r in jaccard._told_apart(pairs, made, 80).collect()} == {frozenset((6, 7))}
+    got = jaccard.jaccard_components(docs, shared.shared_folder(spark), 5, 80)
+    assert sorted(map(tuple, got.collect())) == brute_components(texts, 5, 80)
+
+
+def test_wide_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(8)
+    for n in (2049, 4096, 4097, 9000, 40_000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for gone, new in ((0, 0), (5, 300), (n // 8, n // 16), (n // 2, 0), (n, n)):
+            b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64)])
+            x, y = jaccard.wide_sketch(a), jaccard.wide_sketch(b)
+            if y is not None:
+                assert jaccard.differing(x, y) == jaccard.differing(y, x) <= gone + new
+        assert jaccard.differing(x, y) > (2 * n) * 20 / 180  # nothing in common: no link at 80
+    assert jaccard.wide_sketch(a[:2048]) is None
