@@ -290,3 +290,17 @@ def test_wide_sketches_differ_in_no_more_bits_than_sets():
                 assert jaccard.differing(x, y) == jaccard.differing(y, x) <= gone + new
         assert jaccard.differing(x, y) > (2 * n) * 20 / 180  # nothing in common: no link at 80
     assert jaccard.wide_sketch(a[:2048]) is None
+
+
+def test_rows_are_winnowed_together_as_alone():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        lengths = rng.choice([0, 1, 4, 5, 6, 16, 17, 30, 49, 50, 80, 200], size=rng.integers(0, 12))
+        first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        said = rng.integers(0, rng.choice([1, 3, 50, 1 << 62]), first[-1], dtype=np.uint64)
+        for width, window in ((5, 12), (27, 24), (3, 1)):
+            want = []
+            for i in range(len(lengths)):
+                hashes = shared.window_hashes(said[first[i] : first[i + 1]], width)
+                want += [(i, int(at), int(hashes[at])) for at in passages.winnowed(hashes, window)]
+            assert want == list(zip(*(c.tolist() for c in passages._winnowed_rows(said, first, width, window)), strict=True))
