@@ -304,3 +304,35 @@ def test_rows_are_winnowed_together_as_alone():
                 hashes = shared.window_hashes(said[first[i] : first[i + 1]], width)
                 want += [(i, int(at), int(hashes[at])) for at in passages.winnowed(hashes, window)]
             assert want == list(zip(*(c.tolist() for c in passages._winnowed_rows(said, first, width, window)), strict=True))
+
+
+def test_reworded_passages_whose_seeds_others_lead_to(spark):
+    """Two documents share a reworded passage whose seeds 24 others hold in pieces, so that no order need lead to the two."""
+    rng = random.Random(41)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    say = lambda k: rng.choices(vocabulary, k=k)
+    docs, want = [], set()
+    for _ in range(12):
+        passage = say(80)
+        for _ in range(24):
+            docs.append([w for i in range(0, 80, 20) for w in [*passage[i : i + 20], *say(60)]])
+        want |= {len(docs), len(docs) + 1}
+        other = [w if i % 20 or not i else "changed" for i, w in enumerate(passage)]  # no 50 words stand exactly so
+        docs += [[*say(30), *passage, *say(30)], [*say(50), *other, *say(20)]]
+    assert not exact_holders(docs)
+    found = passages.shared_passages(frame(spark, [" ".join(d) for d in docs]), shared.shared_folder(spark)).collect()
+    assert {r.doc_id for r in found} == want
+
+
+def test_reworded_passages_at_two_places(spark):
+    rng = random.Random(43)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    say = lambda k: rng.choices(vocabulary, k=k)
+    changed = lambda words: [f"new{rng.random()}" if i % 19 == 9 else w for i, w in enumerate(words)]
+    docs = []
+    for _ in range(10):
+        passage = say(90)
+        docs += [[*say(40), *passage, *say(20)], [*changed(passage), *say(100), *changed(passage), *say(30)]]
+    found = passages.shared_passages(frame(spark, [" ".join(d) for d in docs]), shared.shared_folder(spark)).collect()
+    for b in range(1, 20, 2):
+        assert any(r.doc_id == b and r.end_word <= 95 for r in found) and any(r.doc_id == b and 185 <= r.start_word for r in found)
