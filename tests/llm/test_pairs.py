@@ -336,3 +336,53 @@ def test_reworded_passages_at_two_places(spark):
     found = passages.shared_passages(frame(spark, [" ".join(d) for d in docs]), shared.shared_folder(spark)).collect()
     for b in range(1, 20, 2):
         assert any(r.doc_id == b and r.end_word <= 95 for r in found) and any(r.doc_id == b and 185 <= r.start_word for r in found)
+
+
+def test_a_repeated_word_is_no_passage_from_each_of_its_places(spark):
+    rng = random.Random(47)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    say = lambda k: rng.choices(vocabulary, k=k)
+    docs = [[*say(40), *["same"] * 2000, *say(40)], [*say(30), *["same"] * 60, *say(30)], say(100)]
+    found = passages.shared_passages(frame(spark, [" ".join(d) for d in docs]), shared.shared_folder(spark)).collect()
+    for doc, low, high in ((0, 40, 2040), (1, 30, 90)):
+        assert {w for r in found if r.doc_id == doc for w in range(r.start_word, r.end_word)} == set(range(low, high))
+    assert {r.doc_id for r in found} == {0, 1} and len(found) <= 2 * 2000 // 50
+
+
+def test_matches_are_chained_together_as_alone():
+    rng = np.random.default_rng(13)
+    for _ in range(60):
+        groups, want = [], set()
+        for p in range(int(rng.integers(0, 6))):
+            n, size = int(rng.integers(1, 15)), int(rng.choice([8, 60, 500]))
+            xy = rng.integers(0, size, (n, 2)) if rng.random() < 0.5 else np.cumsum(rng.integers(1, 45, (n, 2)), 0)
+            xy = np.unique(xy, axis=0)
+            groups.append(np.column_stack([np.full(len(xy), p // 2), np.full(len(xy), p), xy]))
+            want |= {(p // 2, p, *map(tuple, xy[r].T.tolist())) for r in passages.chain(*xy.T, 5.0, 0.05, 40) if len(r) > 1}
+        at, p, x, y = np.concatenate([*groups, np.zeros((0, 4), np.int64)]).T
+        at, p, ends, x, y = passages._chained(at, p, x, y, 5.0, 0.05, 40)
+        got = [(int(at[i]), int(p[i]), *(tuple(v[ends[i] : ends[i + 1]].tolist()) for v in (x, y))) for i in range(len(at))]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_common_words_are_those_of_the_table():
+    rng = random.Random(17)
+    for _ in range(300):
+        a, b = (rng.choices(range(rng.choice([2, 6, 90])), k=rng.randrange(0, 70)) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for v in a:
+            row = _next_row(row, v, b)
+        assert passages._common(a, b) == row[-1]
+
+
+def _next_row(row, value, other):
+    new = [0]
+    for j, w in enumerate(other, 1):
+        new.append(row[j - 1] + 1 if value == w else max(row[j], new[-1]))
+    return new
+
+
+def test_seeds_beside_their_like_alone_are_left_out():
+    row, place, seed = np.array([0, 0, 0, 0, 0, 1, 1, 2, 2]), np.array([0, 9, 20, 60, 61, 0, 1, 3, 44]), np.array([5, 7, 7, 7, 7, 7, 7, 1, 2])
+    assert passages._beside_others(row, place, seed, 40).tolist() == [True, True, True, False, False, False, False, False, False]
+    assert passages._beside_others(row[:0], place[:0], seed[:0], 40).tolist() == []
