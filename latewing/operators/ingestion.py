@@ -98,6 +98,8 @@ def new_documents(files: DataFrame, registry: DataFrame) -> DataFrame:
 
 PAGES = "file_hash string, file_path string, page_number int, content string, num_pages int, error_message string"
 COUNTED = "file_hash string, file_path string, num_pages int, error_message string"
+#: Characters and rows of pages that are sent on together.
+DRAWN, DRAWN_ROWS = 1 << 20, 1000
 _KINDS = {"string": pa.string(), "int": pa.int32()}
 
 
@@ -121,7 +123,8 @@ def counted(files: DataFrame, render: Renderer) -> DataFrame:
                     rows.append((name, path, 0, str(failure)))
             yield _batch(rows, COUNTED)
 
-    spread = files.select("file_hash", "file_path").repartition(spread_over(files.sparkSession), "file_hash")
+    # by path: hashes may be equal or not known
+    spread = files.select("file_hash", "file_path").repartition(spread_over(files.sparkSession), "file_path")
     return spread.mapInArrow(count, COUNTED)
 
 
@@ -130,19 +133,29 @@ def rendered(counts: DataFrame, render: Renderer, dpi: int = 150, chunk: int = 8
     that failed.  A chunk is a path and a range; whoever draws it opens the file."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            for name, path, n, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    with open_file(path) as file:
-                        pages = render.pages(path, file, start, end, dpi)
-                    yield _batch([(name, path, start + k, page, n, None) for k, page in enumerate(pages, 1)], PAGES)
-                except Exception as failure:
-                    yield _batch([(name, path, None, None, n, str(failure))], PAGES)
-
-    chunks = page_chunks(counts.where("error_message is null"), size=chunk).select("file_hash", "file_path", "num_pages", "chunk_start", "chunk_end")
-    pages = chunks.repartition(spread_over(counts.sparkSession), "file_hash", "chunk_start").mapInArrow(draw, PAGES)
-    none = counts.where("error_message is not null").selectExpr("file_hash", "file_path", "cast(null as int) as page_number", "cast(null as string) as content", "num_pages", "error_message")
-    return pages.unionByName(none)
+            for name, path, n, failed, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if failed is not None:
+                    rows.append((name, path, None, None, n, failed))
+                else:
+                    try:
+                        with open_file(path) as file:
+                            pages = render.pages(path, file, start, end, dpi)
+                        size += sum(len(page or "") for page in pages)
+                        rows += [(name, path, start + k, page, n, None) for k, page in enumerate(pages, 1)]
+                    except Exception as failure:
+                        rows.append((name, path, None, None, n, str(failure)))
+                if size >= DRAWN or len(rows) >= DRAWN_ROWS:
+                    yield _batch(rows, PAGES)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows, PAGES)
+
+    # documents that failed go along as a row without a range, so that counts are made once
+    ranged = counts.withColumn("n_read", F.when(F.col("error_message").isNull(), F.col("num_pages")).otherwise(1))
+    chunks = page_chunks(ranged, "n_read", chunk).select("file_hash", "file_path", "num_pages", "error_message", "chunk_start", "chunk_end")
+    return chunks.repartition(spread_over(counts.sparkSession), "file_path", "chunk_start").mapInArrow(draw, PAGES)
 
 
 def _in_order(ops: DataFrame) -> DataFrame:
