@@ -386,3 +386,36 @@ def test_seeds_beside_their_like_alone_are_left_out():
     row, place, seed = np.array([0, 0, 0, 0, 0, 1, 1, 2, 2]), np.array([0, 9, 20, 60, 61, 0, 1, 3, 44]), np.array([5, 7, 7, 7, 7, 7, 7, 1, 2])
     assert passages._beside_others(row, place, seed, 40).tolist() == [True, True, True, False, False, False, False, False, False]
     assert passages._beside_others(row[:0], place[:0], seed[:0], 40).tolist() == []
+
+
+def test_reworded_passages_around_a_frequent_line(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    line, docs = word(30), []
+    for i in range(170):
+        if i < 20 and i % 2:  # the words around the line are those of the document before, every fourth changed
+            docs.append(word(50) + [w if n % 4 else f"x{i}y{n}" for n, w in enumerate(before)] + line + [w if n % 4 != 3 else f"x{i}z{n}" for n, w in enumerate(after)] + word(50))
+        else:
+            before, after = word(15), word(15)
+            docs.append(word(50) + before + line + after + word(50))
+    for tile in (2000, 40):  # one tile, and many
+        monkeypatch.setattr(passages, "TILE", tile)
+        found = passages.shared_passages(frame(spark, [" ".join(d) for d in docs]), shared.shared_folder(spark)).collect()
+        assert {(r.doc_id, r.partner_id) for r in found} >= {(i, i ^ 1) for i in range(20)}
+        assert all(r.doc_id < 20 and r.partner_id == r.doc_id ^ 1 and abs(r.start_word - 50) < 3 and abs(r.end_word - 110) < 3 for r in found)
+
+
+def test_many_extensions_are_those_of_each_pair():
+    rng = np.random.default_rng(3)
+    a = [rng.integers(0, 4, n).tolist() for n in rng.integers(0, 60, 60)]
+    b = [[x if rng.random() > 0.2 else int(rng.integers(0, 4)) for x in v[int(rng.integers(0, 3)) :]] for v in a]
+
+    def rows(lists, nothing):
+        out = np.full((len(lists), 70), nothing)
+        for i, v in enumerate(lists):
+            out[i, : len(v)] = v
+        return out, np.array([len(v) for v in lists])
+
+    p, q = np.divmod(np.arange(3600), 60)
+    got = passages._reach(*rows(a, -1), *rows(b, -2), p, q)
+    assert [tuple(v) for v in got.T.tolist()] == [passages._extended(a[i], b[j], 6) for i, j in zip(p, q, strict=True)]
